@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from hearthlog.llm import bpe, chat, exact_dedup, packing, pii, quality_rules
+from hearthlog.llm import bpe, chat, exact_dedup, ngram_join, packing, pii, quality_rules
 from hearthlog.llm.common import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -142,3 +142,8 @@ GROUP BY p.conv_id, p.alone
 @query
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(load(spark, sf_dir, "documents")).drop("text")
+
+
+@query
+def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.link_components(load(spark, sf_dir, "documents"))
