@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import struct
+from array import array
 from functools import lru_cache
 
 import pyarrow as pa
@@ -31,9 +32,13 @@ def letters_of(data: bytes) -> str:
     return data.decode("latin-1").translate(byte_letters())
 
 
+@lru_cache(1)
+def _letter_bytes() -> dict[str, int]:
+    return {c: b for b, c in enumerate(byte_letters())}
+
+
 def bytes_of(piece: str) -> bytes:
-    back = {c: b for b, c in enumerate(byte_letters())}
-    return bytes(back[c] for c in piece)
+    return bytes(map(_letter_bytes().__getitem__, piece))
 
 
 def _varint(n: int) -> bytes:
@@ -79,18 +84,20 @@ class ByteBpe:
         ranks = read_ranks(path)
         self.np, self.find = np, regex.compile(pattern).findall
         self.model = sentencepiece.SentencePieceProcessor(model_proto=serialise_model(ranks))
-        self.rank_of = np.array([0, *sorted(ranks.values())], "<u4")
+        self.rank_of = [0, *sorted(ranks.values())]
         self.whole = {letters_of(token): np.array([rank], "<u4").tobytes() for token, rank in ranks.items()}
-        self.token_of = [b""] * (int(self.rank_of.max()) + 1)
+        self.token_of = [b""] * (max(self.rank_of) + 1)
         for i in range(1, self.model.get_piece_size()):
-            self.token_of[int(self.rank_of[i])] = bytes_of(self.model.id_to_piece(i))
-        self.cache = SegmentCache(self._encode_segments)
-
-    def _encode_segments(self, segments: list[str]) -> list[bytes]:
-        split = [[letters_of(p.encode()) for p in self.find(s)] for s in segments]
-        rest = list({p for ps in split for p in ps if p not in self.whole})
-        made = {p: self.rank_of[ids].tobytes() for p, ids in zip(rest, self.model.encode(rest, num_threads=1))}
-        return [b"".join([self.whole.get(p) or made[p] for p in ps]) for ps in split]
+            self.token_of[self.rank_of[i]] = bytes_of(self.model.id_to_piece(i))
+        self.cache = SegmentCache(self._encode_segment)
+
+    def _encode_segment(self, segment: str) -> bytes:
+        """A match that is a piece by itself is that piece; the others go to sentencepiece, one by one."""
+        return b"".join([self.whole.get(p) or self._encode_match(p) for p in map(letters_of, map(str.encode, self.find(segment)))])
+
+    def _encode_match(self, letters: str) -> bytes:
+        rank_of = self.rank_of
+        return array("I", [rank_of[i] for i in self.model.encode(letters)]).tobytes()
 
     def encode(self, texts: list[str]):
         """Yields the ids of each text as little-endian unsigned 32-bit integers."""

@@ -39,46 +39,42 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+class _Learned(dict):
+    """Encodes a segment when it's first asked for, and keeps the first `most` of them."""
+
+    def __init__(self, encode, lead: str, most: int):
+        super().__init__()
+        self.encode, self.lead, self.most = encode, lead, most
+
+    def __missing__(self, segment: str) -> bytes:
+        ids = self.encode(self.lead + segment)
+        if len(self) < self.most:
+            self[segment] = ids
+        return ids
+
+
 class SegmentCache:
-    """Encodes texts by segments, each distinct segment once.
+    """Encodes texts by segments, each frequent segment once.
 
     A single space between two characters that aren't white space always starts a new match of the
     byte-level pre-tokenisation pattern, so the text between two such spaces encodes independently of
-    what surrounds it. `encode_all` maps a list of distinct segments to their ids as bytes.
+    what surrounds it. `encode` maps a segment to its ids as bytes; `most` bounds what a worker keeps.
     """
 
-    JOINED = re.compile(r" \s|\s ")
+    RARE_SPACE = re.compile(r"[^\S\n ]")
     SAFE = re.compile(r"(?<=\S) (?=\S)")
 
-    def __init__(self, encode_all, most: int = 250_000):
-        self.encode_all, self.most = encode_all, most
-        self.first: dict[str, bytes] = {}
-        self.later: dict[str, bytes] = {}
+    def __init__(self, encode, most: int = 400_000):
+        self.first, self.later = _Learned(encode, "", most // 20), _Learned(encode, " ", most)
 
     def segments(self, text: str) -> list[str]:
-        return (self.SAFE.split(text) if self.JOINED.search(text) else text.split(" ")) if text else []
-
-    def _learn(self, cache: dict[str, bytes], lead: str, wanted: set[str]) -> None:
-        new = [s for s in wanted if s not in cache]
-        if len(cache) + len(new) > self.most:
-            cache.clear()
-            new = list(wanted)
-        cache.update(zip(new, self.encode_all([lead + s for s in new])))
+        if "  " in text or "\n " in text or " \n" in text or self.RARE_SPACE.search(text):
+            return self.SAFE.split(text)
+        return text.split(" ") if text else []
 
     def encode(self, texts: list[str]):
         """Yields the ids of each text as little-endian unsigned 32-bit integers."""
-        group, size = [], 0
-        for text in texts:
-            group.append(self.segments(text))
-            size += len(text)
-            if size > 2_000_000:
-                yield from self._encode(group)
-                group, size = [], 0
-        yield from self._encode(group)
-
-    def _encode(self, group: list[list[str]]):
-        self._learn(self.first, "", {s[0] for s in group if s})
-        self._learn(self.later, " ", {x for s in group for x in s[1:]})
         later = self.later.__getitem__
-        for s in group:
+        for text in texts:
+            s = self.segments(text)
             yield b"".join((self.first[s[0]], *map(later, s[1:]))) if s else b""
