@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from hearthlog.llm import bpe, chat, exact_dedup, ngram_join, packing, pii, quality_rules
+from hearthlog.llm import bpe, chat, exact_dedup, ngram_join, packing, pii, quality_classifier, quality_rules, toxicity
 from hearthlog.llm.common import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -147,3 +147,13 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.link_components(load(spark, sf_dir, "documents"))
+
+
+@query
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.classify(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+
+
+@query
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.grade(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
