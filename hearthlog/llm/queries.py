@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from hearthlog.llm import bpe, chat, exact_dedup, ngram_join, packing, pii, quality_classifier, quality_rules, toxicity
+from hearthlog.llm import bpe, chat, exact_dedup, ngram_join, packing, pii, quality_classifier, quality_rules, suffix_dedup, toxicity
 from hearthlog.llm.common import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -157,3 +157,8 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.grade(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+
+
+@query
+def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(load(spark, sf_dir, "documents"))
