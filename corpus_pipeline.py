@@ -1,22 +1,49 @@
-"""A corpus cleaned and packed by the operators of hearthlog.llm."""
+"""A corpus cleaned and packed by the operators of hearthlog.llm; counted as part of that subpackage.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written and read again as the next
+stage's docs. All but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from hearthlog.llm import exact_dedup, packing
+from hearthlog.llm import exact_dedup, ngram_join, packing, pii, quality_rules
+
+
+def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules reject go."""
+    return quality_rules.keep_good(docs)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the row with the largest doc_id stays."""
     return exact_dedup.drop_copies(docs)
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group linked by five-word shingles at 0.75 the smallest doc_id stays."""
+    return ngram_join.keep_one(docs)
+
+
+def sanitise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data are generalised, and terms that give them away removed; no row goes."""
+    return pii.sanitise(docs)
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents as pieces placed in sequences of 1024 tokens."""
     return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
-STAGES = [("exact dedup", drop_exact_copies), ("best-fit packing", pack)]
+STAGES = [
+    ("quality rules", drop_low_quality),
+    ("exact dedup", drop_exact_copies),
+    ("n-gram jaccard join", drop_near_copies),
+    ("pii", sanitise),
+    ("best-fit packing", pack),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -236,8 +236,9 @@ def sanitise(docs: DataFrame, rule: Disclosure = Disclosure(), id_col: str = "do
             for text, terms in zip(batch.column(place).to_pylist(), batch.column(last).to_pylist()):
                 base = base_spans(text)
                 texts.append(redact(text, sorted(base + term_spans(text, set(terms), base)) if terms else base) if text else text)
-            yield batch.set_column(place, text_col, pa.array(texts, batch.column(place).type)).select(docs.columns)
+            yield batch.set_column(place, text_col, pa.array(texts, batch.column(place).type)).select(columns)
 
-    place, last = docs.columns.index(text_col), len(docs.columns)
+    columns = docs.columns
+    place, last = columns.index(text_col), len(columns)
     marked = held.join(told, "__uid", "left").select(*docs.columns, "__terms").mapInArrow(run, docs.schema)
     return keyed.filter(~suspect).select(*docs.columns).unionByName(marked)
