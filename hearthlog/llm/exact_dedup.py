@@ -54,8 +54,10 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`docs` with one row for each distinct text (A-Z lower-cased; null is empty), all columns as they were."""
-    stay = exact_groups(docs, id_col, text_col).filter("kept").groupBy("doc_id").agg(F.count("*").alias("__n")).withColumnRenamed("doc_id", "__id")
-    same = W.partitionBy("__key", "__sha").orderBy("__sha")
-    rows = docs.withColumn("__key", F.col(id_col)).withColumn("__sha", F.sha2(ascii_lower(F.coalesce(F.col(text_col), F.lit(""))), 256))
-    once = rows.join(stay.filter("__n >= 1").withColumn("__key", F.col("__id")), F.col(id_col).eqNullSafe(F.col("__id")), "left_semi")
-    return once.withColumn("__rank", F.row_number().over(same)).filter("__rank = 1").select(*docs.columns)
+    key = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("null")).alias("__key")
+    read = exact_groups(docs, id_col, text_col).filter("text_sha256 IS NOT NULL").select(key("doc_id"), F.col("text_sha256").alias("__sha"), "kept")
+    gone = read.groupBy("__key", "__sha").agg(F.bool_or("kept").alias("any")).filter("NOT any").select("__key", "__sha")
+    rows = docs.withColumn("__key", key(id_col)).withColumn("__sha", F.sha2(ascii_lower(F.coalesce(F.col(text_col), F.lit(""))), 256))
+    # Equal rows that share an id are told apart by nothing, so one of them stays.
+    rank = F.row_number().over(W.partitionBy("__key", "__sha").orderBy("__sha"))
+    return rows.join(gone, ["__key", "__sha"], "left_anti").withColumn("__rank", rank).filter("__rank = 1").select(*docs.columns)
