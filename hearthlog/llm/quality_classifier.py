@@ -60,7 +60,7 @@ class Words:
         if len(self.number) > self.most:
             self._reset()
         number = self.number
-        for w in set(words) - number.keys():
+        for w in dict.fromkeys(w for w in words if w not in number):
             number[w] = len(self.kept)
             self.kept.append(self.measure(w))
         return np.fromiter(map(number.__getitem__, words), np.int64, len(words))
