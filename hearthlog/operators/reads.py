@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -14,23 +15,31 @@ def counts_by(df: DataFrame, key: str, name: str) -> DataFrame:
     return df.groupBy(key).agg(F.count("*").alias(name))
 
 
-def with_count(df: DataFrame, id_col: str, child: DataFrame, key: str, name: str) -> DataFrame:
-    """`df` with the number of its children, 0 for none; children are counted before the join."""
+def with_count(df: DataFrame, id_col: str, child: DataFrame, key: str, name: str, few: bool = False) -> DataFrame:
+    """`df` with the number of its children, 0 for none; children are counted before the join.
+
+    `few` says that df is a page: then its ids, at most a page of them, filter the children where they are read.
+    """
+    if few:
+        child = child.join(F.broadcast(df.select(F.col(id_col).alias(key)).distinct()), key, "left_semi")
     n = counts_by(child, key, name).withColumnRenamed(key, "__key")
     return df.join(n, F.col(id_col) == F.col("__key"), "left").drop("__key").withColumn(name, F.coalesce(name, F.lit(0)))
 
 
-def feed(a, year: str | None = None, person: str | None = None, post: str | None = None) -> DataFrame:
-    """Posts with author and numbers of media, comments and reactions."""
+def feed(a, year: str | None = None, person: str | None = None, post: str | None = None, page: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Posts with author and numbers of media, comments and reactions; `page` cuts the posts before anything is joined."""
     posts = a.posts
     for wanted, test in ((year, F.substring("created_at", 1, 4) == year), (person, F.col("author_id") == person), (post, F.col("id") == post)):
         posts = posts.filter(test) if wanted else posts
+    posts, few = (page(posts), True) if page else (posts, bool(post))
     own = F.broadcast(a.profiles.select(F.col("display_name").alias("owner_name")).limit(1))
     names = a.people.select(F.col("id").alias("author_id"), F.col("display_name").alias("known_name"))
+    if few:
+        names = names.join(F.broadcast(posts.select("author_id").distinct()), "author_id", "left_semi")
     posts = posts.join(names, "author_id", "left").crossJoin(own).withColumn("author_name", F.coalesce("known_name", "owner_name")).drop("known_name", "owner_name")
-    posts = with_count(posts, "id", a.media.filter("owner_type = 'post'"), "owner_id", "media_count")
-    posts = with_count(posts, "id", a.comments, "post_id", "comment_count")
-    return with_count(posts, "id", a.reactions.filter("target_type = 'post'"), "target_id", "reaction_count")
+    posts = with_count(posts, "id", a.media.filter("owner_type = 'post'"), "owner_id", "media_count", few)
+    posts = with_count(posts, "id", a.comments, "post_id", "comment_count", few)
+    return with_count(posts, "id", a.reactions.filter("target_type = 'post'"), "target_id", "reaction_count", few)
 
 
 def nested(df: DataFrame, key: str, order: list[str], fields: list[str], name: str) -> DataFrame:
@@ -54,12 +63,17 @@ def thread(a, conversation: str) -> DataFrame:
     return with_count(texts, "id", a.media.filter("owner_type = 'message'"), "owner_id", "media_count")
 
 
-def activity(ledger: DataFrame, people: DataFrame, kind: str | None = None, year: int | None = None, text: str | None = None) -> DataFrame:
+def activity(ledger: DataFrame, people: DataFrame, kind: str | None = None, year: int | None = None, text: str | None = None, page: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Records of the ledger with the name of who acted; `page` cuts them before names are joined."""
     rows = ledger
     rows = rows.filter(F.col("activity_type") == kind) if kind else rows
     rows = rows.filter(F.col("calendar_year") == year) if year else rows
     rows = rows.filter(contains_ci(F.col("summary"), text)) if text and text.strip() else rows
-    return rows.join(people.select(F.col("id").alias("actor_person_id"), F.col("display_name").alias("actor_name")), "actor_person_id", "left")
+    names = people.select(F.col("id").alias("actor_person_id"), F.col("display_name").alias("actor_name"))
+    if page:
+        rows = page(rows)
+        names = names.join(F.broadcast(rows.select("actor_person_id").distinct()), "actor_person_id", "left_semi")
+    return rows.join(names, "actor_person_id", "left")
 
 
 def memories(ledger: DataFrame, month: int, day: int, as_of_year: int, limit: int = 60) -> DataFrame:
@@ -70,8 +84,13 @@ def memories(ledger: DataFrame, month: int, day: int, as_of_year: int, limit: in
     return once.withColumn("years_ago", F.greatest(F.lit(0), F.lit(as_of_year) - F.col("calendar_year")))
 
 
-def people_rollup(a) -> DataFrame:
-    """People with their numbers of posts, comments, reactions, connections and media, and first and last sight."""
+def people_rollup(a, page: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """People with their numbers of posts, comments, reactions, connections and media, and first and last sight.
+
+    `page` cuts the people by sort_name first; then only their own records are counted.
+    """
+    people = a.people.withColumn("sort_name", ascii_lower(F.col("display_name")))
+    people = page(people) if page else people
     media_posts = a.media.filter("owner_type = 'post'").join(a.posts.select(F.col("id").alias("owner_id"), "author_id"), "owner_id").select("author_id", "id")
     media_albums = a.media.filter("owner_type = 'album'").join(a.albums.select(F.col("id").alias("owner_id"), F.col("owner_id").alias("author_id")), "owner_id").select("author_id", "id")
     parts = [
@@ -82,8 +101,11 @@ def people_rollup(a) -> DataFrame:
     rows = [df.select(F.col(key).alias("id"), *[F.lit(int(n == name)).alias(n) for _, _, n in parts], F.lit(None).cast("string").alias("at")) for df, key, name in parts]
     seen = [a.posts.select("author_id", "created_at"), a.comments.select("author_id", "created_at"), a.reactions.select("person_id", "created_at"), a.connections.select("person_id", "started_at")]
     rows += [df.toDF("id", "at").select("id", *[F.lit(0).alias(n) for _, _, n in parts], "at") for df in seen]
+    if page:
+        wanted = F.broadcast(people.select("id"))
+        rows = [df.join(wanted, "id", "left_semi") for df in rows]
     sums = reduce(DataFrame.unionByName, rows).groupBy("id").agg(*[F.sum(n).alias(n) for _, _, n in parts], F.min("at").alias("first_interaction"), F.max("at").alias("last_interaction"))
-    return a.people.join(sums, "id", "left").select("id", "display_name", ascii_lower(F.col("display_name")).alias("sort_name"), *[F.coalesce(n, F.lit(0)).alias(n) for _, _, n in parts], "first_interaction", "last_interaction")
+    return people.join(sums, "id", "left").select("id", "display_name", "sort_name", *[F.coalesce(n, F.lit(0)).alias(n) for _, _, n in parts], "first_interaction", "last_interaction")
 
 
 def connections(a, kind: str | None = None, text: str | None = None) -> DataFrame:

@@ -402,17 +402,17 @@ def upsert_rows(a):
 
 @query(f"SELECT {_PICK} FROM feed ORDER BY coalesce(created_at, '') DESC, id DESC LIMIT 20", _FEED)
 def feed_newest_page1(a):
-    return paging.window_of(reads.feed(a), F.col("created_at"), "id", 20).select(*_FEED_COLUMNS)
+    return reads.feed(a, page=lambda p: paging.window_of(p, F.col("created_at"), "id", 20)).select(*_FEED_COLUMNS)
 
 
 @query(f"SELECT {_PICK} FROM feed WHERE coalesce(created_at, '') < '2000-01-01T00:00:00.000Z' OR coalesce(created_at, '') = '2000-01-01T00:00:00.000Z' AND id < 'post:5' ORDER BY coalesce(created_at, '') DESC, id DESC LIMIT 20", _FEED)
 def feed_newest_page2(a):
-    return paging.window_of(reads.feed(a), F.col("created_at"), "id", 20, after=("2000-01-01T00:00:00.000Z", "post:5")).select(*_FEED_COLUMNS)
+    return reads.feed(a, page=lambda p: paging.window_of(p, F.col("created_at"), "id", 20, after=("2000-01-01T00:00:00.000Z", "post:5"))).select(*_FEED_COLUMNS)
 
 
 @query(f"SELECT {_PICK} FROM feed WHERE coalesce(created_at, '') > '' OR coalesce(created_at, '') = '' AND id > 'post:2' ORDER BY coalesce(created_at, ''), id LIMIT 20", _FEED)
 def feed_oldest_page2(a):
-    return paging.window_of(reads.feed(a), F.col("created_at"), "id", 20, descending=False, after=("", "post:2")).select(*_FEED_COLUMNS)
+    return reads.feed(a, page=lambda p: paging.window_of(p, F.col("created_at"), "id", 20, descending=False, after=("", "post:2"))).select(*_FEED_COLUMNS)
 
 
 @query(f"SELECT {_PICK} FROM feed WHERE id = 'post:17'", _FEED)
@@ -428,7 +428,7 @@ rollup AS (
 
 @query("SELECT id, display_name, post_count, comment_count, reaction_count, connection_count FROM rollup WHERE lower(display_name) > 'customer#000000050' OR lower(display_name) = 'customer#000000050' AND id > 'person:c:50' ORDER BY lower(display_name), id LIMIT 30", _PEOPLE)
 def people_page2(a):
-    rows = paging.window_of(reads.people_rollup(a), F.col("sort_name"), "id", 30, descending=False, after=("customer#000000050", "person:c:50"))
+    rows = reads.people_rollup(a, page=lambda p: paging.window_of(p, F.col("sort_name"), "id", 30, descending=False, after=("customer#000000050", "person:c:50")))
     return rows.select("id", "display_name", "post_count", "comment_count", "reaction_count", "connection_count")
 
 
@@ -457,8 +457,8 @@ def media_page(a):
 
 @query("SELECT l.id, activity_type, occurred_at, summary, p.display_name AS actor_name FROM ledger l LEFT JOIN people p ON p.id = l.actor_person_id WHERE activity_type = 'comment' AND calendar_year = 1996 ORDER BY occurred_at DESC, l.id DESC LIMIT 40", _LEDGER_PARTS)
 def activity_page(a):
-    rows = reads.activity(derived.ledger(a), a.people, "comment", 1996)
-    return paging.window_of(rows, F.col("occurred_at"), "id", 40).select("id", "activity_type", "occurred_at", "summary", "actor_name")
+    rows = reads.activity(derived.ledger(a), a.people, "comment", 1996, page=lambda r: paging.window_of(r, F.col("occurred_at"), "id", 40))
+    return rows.select("id", "activity_type", "occurred_at", "summary", "actor_name")
 
 
 @query(
