@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType, StructField, StructType
 
 VERSION = 1
 _SOURCE = "archive_part_id string, source_path string, source_index int"
@@ -20,4 +20,5 @@ _DDL = {
     "messages": f"id string, conversation_id string, sender_id string, sender_name string, body string, sent_at string, {_SOURCE}",
     "media": f"id string, path string, media_type string, filename string, mime_type string, caption string, timestamp string, owner_type string, owner_id string, width int, height int, duration_ms int, {_SOURCE}",
 }
-SCHEMAS = {name: StructType.fromDDL(ddl) for name, ddl in _DDL.items()}
+_TYPES = {"string": StringType(), "int": IntegerType(), "boolean": BooleanType(), "array<string>": ArrayType(StringType())}
+SCHEMAS = {name: StructType([StructField(c, _TYPES[t]) for c, t in (x.split() for x in ddl.split(", "))]) for name, ddl in _DDL.items()}
