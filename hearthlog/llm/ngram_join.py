@@ -16,7 +16,8 @@ from hearthlog.llm.graph import components
 
 @dataclass(frozen=True)
 class Join:
-    """Words in a shingle, the least similarity in hundredths, and how frequent shingles are put off.
+    """Words in a shingle, the least similarity in hundredths, the hashes of a group that look for a leader, and how
+    frequent shingles are put off.
 
     Any one order of shingles gives the same links; putting frequent ones last keeps the lists short. Shingles
     count as frequent when tasks that met them twice or more met them `frequent` times in all; the
@@ -25,10 +26,12 @@ class Join:
 
     width: int = 5
     percent: int = 75
-    frequent: int = 50
+    leads: int = 12
+    frequent: int = 10
     most_frequent: int = 200_000
 
 
+_PLACES = 1 << 12
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
@@ -36,32 +39,60 @@ _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 class Shingler:
     """Sets of shingles as sorted arrays of 64-bit hashes."""
 
-    def __init__(self, width: int, most: int = 400_000):
+    def __init__(self, width: int, most: int = 200_000):
         self.width, self.most, self.words = width, most, {}
         rng = np.random.default_rng(20240229)
         self.factors = rng.integers(1, 2**63, width, np.uint64) * np.uint64(2) + np.uint64(1)
 
-    def __call__(self, text: str | None) -> np.ndarray:
+    def _hashed(self, words: list[bytes]) -> np.ndarray:
         from xxhash import xxh64_intdigest
 
-        words = (text or "").encode().translate(_LOWER).split()
         known = self.words
         if len(known) > self.most:
             known.clear()
-        for w in set(words) - known.keys():
+        for w in {w for w in words if w not in known}:
             known[w] = xxh64_intdigest(w)
-        n = len(words)
-        k = min(self.width, n)
-        if not k:
-            return np.empty(0, np.uint64)
-        h = np.fromiter(map(known.__getitem__, words), np.uint64, n)
-        with np.errstate(over="ignore"):
-            total = np.full(n - k + 1, k, np.uint64)
-            for i in range(k):
-                total += h[i : n - k + 1 + i] * self.factors[i]
-            for shift, factor in zip((30, 27), _MIX):  # mixes the sums, so that their order is random
-                total = (total ^ (total >> np.uint64(shift))) * factor
-            return np.unique(total ^ (total >> np.uint64(31)))
+        return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+
+    def _windows(self, h: np.ndarray, k: int) -> np.ndarray:
+        n = max(0, len(h) - k + 1)
+        total = np.full(n, k, np.uint64)
+        for i in range(k):
+            total += h[i : n + i] * self.factors[i]
+        for shift, factor in zip((30, 27), _MIX):  # mixes the sums, so that their order is random
+            total = (total ^ (total >> np.uint64(shift))) * factor
+        return total ^ (total >> np.uint64(31))
+
+    def all(self, texts: list[str | None]) -> list[np.ndarray]:
+        """The sets of many texts; the words of all are hashed together."""
+        split = [(t or "").encode().translate(_LOWER).split() for t in texts]
+        h = self._hashed([w for words in split for w in words])
+        hashed, out, at = self._windows(h, self.width), [], 0
+        for words in split:
+            n = len(words)
+            if n >= self.width:
+                s = np.sort(hashed[at : at + n - self.width + 1])
+                out.append(s[np.concatenate([[True], s[1:] != s[:-1]])])
+            else:
+                out.append(self._windows(h[at : at + n], n) if n else np.empty(0, np.uint64))
+            at += n
+        return out
+
+    def __call__(self, text: str | None) -> np.ndarray:
+        return self.all([text])[0]
+
+
+def _in_parts(column, most: int = 500_000):
+    """Slices of a column of texts, of about so many bytes each, as (first row, texts)."""
+    texts, first, size = [], 0, 0
+    for i, t in enumerate(column):
+        texts.append(t.as_py())
+        size += len(texts[-1] or "")
+        if size > most:
+            yield first, texts
+            texts, first, size = [], i + 1, 0
+    if texts:
+        yield first, texts
 
 
 def _mark(data: bytes, seed: int) -> int:
@@ -81,13 +112,14 @@ def frequent_shingles(rows: DataFrame, rule: Join) -> tuple[np.ndarray, np.ndarr
         of, pending, kept = Shingler(rule.width), [], (np.empty(0, np.uint64), np.empty(0, np.int64))
         held = 0
         for batch in batches:
-            for text in batch.column(0):
-                pending.append(of(text.as_py()))
-                held += len(pending[-1])
-                if held > 4_000_000:
+            for _, texts in _in_parts(batch.column(0)):
+                new = of.all(texts)
+                pending += new
+                held += sum(map(len, new))
+                if held > 1_500_000:
                     kept = _merge(kept, pending)
                     pending, held = [], 0
-                    if len(kept[0]) > 4_000_000:  # what was met once goes first
+                    if len(kept[0]) > 1_500_000:  # what was met once goes first
                         yield _batch(kept)
                         kept = (np.empty(0, np.uint64), np.empty(0, np.int64))
         yield _batch(_merge(kept, pending))
@@ -122,16 +154,24 @@ def prefix_of(shingles: np.ndarray, frequent: tuple[np.ndarray, np.ndarray], per
     return shingles[:size]
 
 
+def _common(shingles: np.ndarray, frequent: tuple[np.ndarray, np.ndarray]) -> int:
+    """Thousandths of a set that are frequent. Of near copies, the one with the fewest changes of its own has most."""
+    if not len(frequent[0]):
+        return 0
+    at = np.minimum(np.searchsorted(frequent[0], shingles), len(frequent[0]) - 1)
+    return int(1000 * (frequent[0][at] == shingles).mean())
+
+
 def link_components(docs: DataFrame, rule: Join = Join(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each row of `docs`: doc_id, n_shingles, component_id, the smallest doc_id reachable by links.
 
     1. Equal sets become one node. Nodes with equal size and prefix become one group.
-    2. Groups meet in the list of each shingle of their prefixes. First each group is tried against one other
-       group of its lists and each member against one member of its group; this joins large groups of near
-       copies without trying all their pairs.
-    3. Of what still lies in different components, all pairs of groups that share a list and pass the length
-       filter are counted; pairs whose shared prefix can't reach the needed overlap go, the others are expanded
-       to members and verified by their whole sets. So no link between components is missed.
+    2. Each group is tried against the groups that lead most of the lists of its smallest hashes, and each member
+       of a group against one other. This joins large groups of near copies without trying all their pairs; it
+       may miss links.
+    3. Of what still lies in different components, all pairs of groups that share a shingle of their prefixes, at
+       places after which enough can still be common, and that pass the length filter are expanded to members and
+       verified by their whole sets. So no link between components is missed.
 
     Texts with fewer words than a shingle have their whole sequence as one; texts without words, and null ones,
     have no shingles and link with nothing. Rows that share a doc_id count as linked; a null doc_id gets a null
@@ -143,80 +183,135 @@ def link_components(docs: DataFrame, rule: Join = Join(), id_col: str = "doc_id"
     def sketch(batches):
         of, seen = Shingler(rule.width), set()
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
+            ids = batch.column(0).to_pylist()
+            for first, texts in _in_parts(batch.column(1)):
                 out = []
-                for doc_id, text in zip(batch.column(0).slice(at, 500).to_pylist(), batch.column(1).slice(at, 500).to_pylist()):
-                    s = of(text)
+                for doc_id, s in zip(ids[first:], of.all(texts)):
                     if not len(s):
-                        out.append((doc_id, 0, None, None, None, None))
+                        out.append((doc_id, 0, None, None, None, None, None, None))
                         continue
                     data, prefix = s.tobytes(), prefix_of(s, frequent, rule.percent)
                     gid = _mark(len(s).to_bytes(8, "little") + prefix.tobytes(), 3)
-                    out.append((doc_id, len(s), _mark(data, 1), _mark(data, 2), gid, None if gid in seen or doc_id is None else prefix.view(np.int64)))
+                    again = gid in seen or doc_id is None
                     if doc_id is not None:
                         seen.add(gid)
-                    if len(seen) > 200_000:
-                        seen.clear()
-                types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=["doc_id", "n", "s1", "s2", "gid", "prefix"])
+                    out.append((doc_id, len(s), _mark(data, 1), _mark(data, 2), gid, _common(s, frequent), None if again else s[: rule.leads].view(np.int64), None if again else prefix.view(np.int64)))
+                if len(seen) > 200_000:
+                    seen.clear()
+                types = (*[pa.int64()] * 6, *[pa.list_(pa.int64())] * 2)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=["doc_id", "n", "s1", "s2", "gid", "score", "leads", "prefix"])
 
-    sketched = rows.mapInArrow(sketch, "doc_id long, n long, s1 long, s2 long, gid long, prefix array<long>")
-    base = cut(sketched)
+    base = cut(rows.mapInArrow(sketch, "doc_id long, n long, s1 long, s2 long, gid long, score long, leads array<long>, prefix array<long>"))
     known = base.filter("n > 0 AND doc_id IS NOT NULL")
-    nodes = cut(known.groupBy("s1", "s2").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("gid").alias("gid")).select("node", "n", "gid").distinct())
-
-    listed = base.filter("prefix IS NOT NULL").select("gid", F.col("n").cast("int").alias("n"), F.explode("prefix").alias("token")).repartition("token")
-    shared = listed.withColumn("least", F.min("gid").over(W.partitionBy("token"))).withColumn("most", F.max("gid").over(W.partitionBy("token")))
-    lists = cut(shared.filter("least <> most").select("token", "gid", "n").distinct())
+    in_class = known.groupBy("s1", "s2").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("gid").alias("gid"))
+    nodes = cut(in_class.groupBy("node").agg(F.min(F.struct("gid", "n")).alias("g")).select("node", "g.gid", "g.n"))
 
     heads = nodes.groupBy("gid").agg(F.min("node").alias("head"))
     inside = nodes.join(heads, "gid").filter("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b"))
-    multiple = nodes.join(lists.select("gid").distinct(), "gid", "left_semi").select("node").union(inside.select("a")).union(inside.select("b"))
-    texts = _texts(rows, multiple.distinct())
-
-    star = _star(lists, heads, rule, ascending=True)
-    links = _verify(star.union(inside).distinct(), texts, rule)
-    nodes_now, lists_now = _relabel(nodes, lists, links)
-    second = _star(lists_now, heads, rule, ascending=False)
-    links = cut(links.union(_verify(second.distinct(), texts, rule)).distinct())
-    nodes_now, lists_now = _relabel(nodes, lists_now.select("token", "gid", "n").distinct(), links)
-    rest = _cross_pairs(nodes_now, lists_now, rule)
-    links = links.union(_verify(rest, texts, rule))
-
-    comps = components(links)
-    in_class = known.groupBy("s1", "s2").agg(F.min("doc_id").alias("node"))
-    by_doc = known.select("doc_id", "s1", "s2").join(in_class, ["s1", "s2"]).join(comps, "node", "left").select("doc_id", F.coalesce("comp", "node").alias("comp"))
-    smallest = by_doc.groupBy("doc_id").agg(F.min("comp").alias("comp"))
+    leads = base.filter("leads IS NOT NULL").select("gid", "n", "score", F.explode("leads").alias("token")).repartition("token")
+    links = _verify(_stars(leads, heads, rule).union(inside).distinct(), rows, rule)
+    labelled = cut(nodes.join(components(links), "node", "left").select("node", "gid", "n", F.coalesce("comp", "node").alias("comp")))
+
+    # One number holds 52 bits of the token and its place below; later places count as the last that fits.
+    place = F.least(F.col("pos"), F.lit(_PLACES - 1)).cast("long")
+    lists = base.filter("prefix IS NOT NULL").select("gid", F.posexplode("prefix").alias("pos", "t")).select("gid", F.shiftright("t", 12).alias("t"), place.alias("pos"))
+    lists = lists.select("gid", (F.col("t") * _PLACES + F.col("pos")).alias("tp")).repartition(F.shiftright("tp", 12))
+    token = F.shiftright("tp", 12)
+    shared = lists.withColumn("lo", F.min("gid").over(W.partitionBy(token))).withColumn("hi", F.max("gid").over(W.partitionBy(token))).filter("lo <> hi")
+    met = shared.select("tp", "gid").distinct().join(labelled.select("gid", "n", "comp").distinct(), "gid")
+    met = met.select(token.alias("token"), "gid", F.col("tp").bitwiseAND(F.lit(_PLACES - 1)).alias("pos"), "n", "comp").repartition("token")
+    rest = _cross_pairs(labelled, _open_lists(cut(_apart(met)), rule), rule)
+    links = links.union(_verify(rest, rows, rule))
+
+    by_doc = known.select("doc_id", "s1", "s2").join(in_class.select("s1", "s2", "node"), ["s1", "s2"]).join(components(links), "node", "left")
+    smallest = by_doc.groupBy("doc_id").agg(F.min(F.coalesce("comp", "node")).alias("comp"))
     return base.select("doc_id", "n").join(smallest, "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("comp", "doc_id").alias("component_id"))
 
 
-def _texts(rows: DataFrame, ids: DataFrame) -> DataFrame:
-    """node, z: compressed texts of the nodes that may be tried; compressed before they are dealt out."""
+def _stars(lists: DataFrame, heads: DataFrame, rule: Join) -> DataFrame:
+    """a, b: the head of each group and the heads of the two groups that lead most of its lists.
+
+    In one half of the votes the group with most frequent shingles leads a list: of near copies, the one with the
+    fewest changes of its own. In the other half it's the one with the largest number.
+    """
+    token = W.partitionBy("token")
+    led = lists.withColumn("lo", F.max(F.struct("score", "gid", "n")).over(token)).withColumn("hi", F.max(F.struct("gid", "n")).over(token))
+    led = led.filter((F.col("lo.gid") != F.col("gid")) | (F.col("hi.gid") != F.col("gid"))).select("token", "gid", "n", "lo", "hi").distinct()
+    met = led.select("gid", "n", F.explode(F.array(F.struct(F.lit(0).alias("end"), "lo.gid", "lo.n"), F.struct(F.lit(1).alias("end"), "hi.gid", "hi.n"))).alias("x"))
+    met = met.select("gid", "n", F.col("x.end").alias("end"), F.col("x.gid").alias("other"), F.col("x.n").alias("m")).filter("gid <> other")
+    met = met.filter(100 * F.least("n", "m") >= rule.percent * F.greatest("n", "m")).groupBy("gid", "n", "end", "other").agg(F.count("*").alias("c"))
+    met = met.filter(5 * F.col("c") >= F.least(F.lit(rule.leads), F.col("n")))  # a few hashes in common are chance
+    best = met.groupBy("gid", "end").agg(F.max(F.struct("c", "other")).alias("best")).select("gid", F.col("best.other").alias("other"))
+    a = best.join(heads, "gid").select("other", F.col("head").alias("a"))
+    return a.join(heads.withColumnRenamed("gid", "other"), "other").select("a", F.col("head").alias("b"))
+
+
+def _apart(lists: DataFrame) -> DataFrame:
+    """The lists that hold two components."""
+    both = lists.withColumn("lo", F.min("comp").over(W.partitionBy("token"))).withColumn("hi", F.max("comp").over(W.partitionBy("token")))
+    return both.filter("lo <> hi").drop("lo", "hi")
+
+
+def _needed(n, m, rule: Join):
+    """The overlap at which sets of n and m link."""
+    return F.ceil(F.lit(rule.percent) * (n + m) / (100 + rule.percent))
+
+
+def _open_lists(lists: DataFrame, rule: Join) -> DataFrame:
+    """The lists without the places at which a group can't meet a partner for the first time.
+
+    Two sets that link have their first common shingle where enough of both still follows: at place p of n
+    shingles at most n - p can be common. With the smallest partner that the list holds this is a bound for each
+    row; a near copy with many changes of its own, which come first, so leaves the lists of what all copies share.
+    """
+    small = F.greatest(F.min("n").over(W.partitionBy("token")), F.ceil(F.lit(rule.percent) * F.col("n") / 100))
+    sized = lists.withColumn("small", small)
+    return cut(_apart(sized.filter(F.col("pos") <= F.col("n") - _needed(F.col("n"), F.col("small"), rule)).select("token", "gid", "pos", "n", "comp")))
+
+
+_BITS = 25  # of the bitmap of ids below: 4 MB whatever the input
+
+
+def _places(ids: np.ndarray) -> list[np.ndarray]:
+    return [(ids.astype(np.uint64) * f) >> np.uint64(64 - _BITS) for f in (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))]
+
+
+def _bitmap(ids: DataFrame) -> np.ndarray:
+    """A Bloom filter of fixed size. Where it fills up it lets more rows through, and the join behind it drops them."""
+
+    def run(batches):
+        for batch in batches:
+            bits = np.unique(np.concatenate(_places(batch.column(0).to_numpy())))
+            yield pa.RecordBatch.from_arrays([pa.array((bits >> np.uint64(6)).astype(np.int64)), pa.array((np.uint64(1) << (bits & np.uint64(63))).view(np.int64))], names=["word", "bit"])
+
+    words = ids.mapInArrow(run, "word long, bit long").groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    out = np.zeros(1 << _BITS - 6, np.uint64)
+    out[words.column(0).to_numpy()] = words.column(1).to_numpy().view(np.uint64)
+    return out
+
+
+def _texts(rows: DataFrame, pairs: DataFrame) -> DataFrame:
+    """node, z: compressed texts of what is in pairs."""
+    ids = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    bitmap = _bitmap(ids)
 
     def squeeze(batches):
         import zstandard
 
         pack = zstandard.ZstdCompressor(level=3).compress
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([pack(t.as_py().encode()) for t in batch.column(1)], pa.binary())], names=["node", "z"])
-
-    packed = rows.filter("doc_id IS NOT NULL").mapInArrow(squeeze, "node long, z binary")
-    return cut(packed.join(ids, "node", "left_semi"))
-
+            x, y = _places(batch.column(0).to_numpy())
+            maybe = (bitmap[x >> np.uint64(6)] >> (x & np.uint64(63))) & (bitmap[y >> np.uint64(6)] >> (y & np.uint64(63))) & np.uint64(1)
+            some = batch.filter(pa.array(maybe.astype(bool)))
+            yield pa.RecordBatch.from_arrays([some.column(0), pa.array([pack(t.as_py().encode()) for t in some.column(1)], pa.binary())], names=["node", "z"])
 
-def _star(lists: DataFrame, heads: DataFrame, rule: Join, ascending: bool) -> DataFrame:
-    """a, b: the head of each group and the head of the group that leads most of its lists."""
-    pick = F.min if ascending else F.max
-    lead = lists.groupBy("token").agg(pick(F.struct("gid", "n")).alias("lead"))
-    met = lists.join(lead, "token").select("gid", "n", F.col("lead.gid").alias("other"), F.col("lead.n").alias("m")).filter("gid <> other")
-    met = met.filter((100 * F.least("n", "m") >= rule.percent * F.greatest("n", "m"))).groupBy("gid", "other").agg(F.count("*").alias("c"))
-    best = met.groupBy("gid").agg(F.max(F.struct("c", "other")).alias("best")).select("gid", F.col("best.other").alias("other"))
-    a = best.join(heads, "gid").select("other", F.col("head").alias("a"))
-    return a.join(heads.withColumnRenamed("gid", "other"), "other").select("a", F.col("head").alias("b"))
+    return rows.filter("doc_id IS NOT NULL").mapInArrow(squeeze, "node long, z binary")
 
 
-def _verify(pairs: DataFrame, texts: DataFrame, rule: Join) -> DataFrame:
+def _verify(pairs: DataFrame, rows: DataFrame, rule: Join) -> DataFrame:
     """The pairs (a, b) that link, by the intersection of their whole sets."""
+    pairs = cut(pairs)
+    texts = _texts(rows, pairs)
 
     def run(batches):
         import zstandard
@@ -243,22 +338,12 @@ def _verify(pairs: DataFrame, texts: DataFrame, rule: Join) -> DataFrame:
     return cut(with_a.join(texts.toDF("b", "zb"), "b").select("a", "b", "za", "zb").mapInArrow(run, "a long, b long"))
 
 
-def _relabel(nodes: DataFrame, lists: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """node, gid, n, comp; and token, gid, n, comp for the lists that still hold two components."""
-    labelled = cut(nodes.join(components(links), "node", "left").select("node", "gid", "n", F.coalesce("comp", "node").alias("comp")))
-    now = lists.join(labelled.select("gid", "comp").distinct(), "gid")
-    open_lists = now.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("token")
-    return labelled, cut(now.join(open_lists, "token", "left_semi").select("token", "gid", "n", "comp"))
-
-
 def _cross_pairs(nodes: DataFrame, lists: DataFrame, rule: Join) -> DataFrame:
-    """a, b: all pairs of nodes in different components that share a prefix shingle and may overlap enough."""
-    x, y = lists.toDF("token", "g1", "n1", "c1"), lists.toDF("token", "g2", "n2", "c2")
-    near = (F.col("c1") < F.col("c2")) & (100 * F.least("n1", "n2") >= rule.percent * F.greatest("n1", "n2"))
-    met = x.join(y, "token").filter(near).groupBy("g1", "n1", "c1", "g2", "n2", "c2").agg(F.count("*").alias("c"))
-    beyond = lambda n: F.ceil(F.lit(rule.percent) * F.col(n) / 100) - 1  # noqa: E731  shingles after the prefix
-    needed = F.ceil(F.lit(rule.percent) * (F.col("n1") + F.col("n2")) / (100 + rule.percent))
-    groups = met.filter(F.col("c") + F.greatest(beyond("n1"), beyond("n2")) >= needed).select("g1", "c1", "g2", "c2")
+    """a, b: all pairs of nodes in different components that may meet for the first time in a list and overlap enough."""
+    x, y = lists.toDF("token", "g1", "p1", "n1", "c1"), lists.toDF("token", "g2", "p2", "n2", "c2")
+    needed = _needed(F.col("n1"), F.col("n2"), rule)
+    near = (F.col("c1") < F.col("c2")) & (100 * F.least("n1", "n2") >= rule.percent * F.greatest("n1", "n2")) & (F.col("p1") <= F.col("n1") - needed) & (F.col("p2") <= F.col("n2") - needed)
+    groups = x.join(y, "token").filter(near).select("g1", "c1", "g2", "c2").distinct()
     first = groups.join(nodes.select(F.col("gid").alias("g1"), F.col("comp").alias("c1"), F.col("node").alias("a")), ["g1", "c1"])
     across = first.join(nodes.select(F.col("gid").alias("g2"), F.col("comp").alias("c2"), F.col("node").alias("b")), ["g2", "c2"]).select("a", "b")
     mixed = nodes.groupBy("gid").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("gid")

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import hashlib
 import zlib
+from array import array
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,7 +27,7 @@ class Repeats:
 
     length: int = 100
     gram: int = 24
-    run: int = 200_000
+    run: int = 60_000
 
     @property
     def left(self) -> int:
@@ -134,7 +135,7 @@ def _checksum(data: bytes) -> int:
     return zlib.crc32(data) & 0x7FFF
 
 
-def _find_anchors(rule: Repeats, chunk: int = 1_500_000, most: int = 1_000_000):
+def _find_anchors(rule: Repeats, chunk: int = 700_000, most: int = 300_000):
     """Rows (h, doc, at, stop): an anchor at `at`, or, where stop isn't null, a span that repeats inside the task."""
 
     def settle(kept):
@@ -143,6 +144,9 @@ def _find_anchors(rule: Repeats, chunk: int = 1_500_000, most: int = 1_000_000):
         marks, h, doc, at, before, after = (x[order] for x in (marks, h, doc, at, before, after))
         again = np.zeros(len(h), bool)
         again[1:] = (marks[1:] == marks[:-1]).all(1)
+        twice = np.zeros(len(h), bool)  # from equal rows with one id
+        twice[1:] = again[1:] & (doc[1:] == doc[:-1]) & (at[1:] == at[:-1])
+        marks, h, doc, at, before, after, again = (x[~twice] for x in (marks, h, doc, at, before, after, again))
         # The same surroundings came earlier: all passages through this anchor are repeats.
         place = at & (1 << _PLACE) - 1
         spans = union(doc[again], (at - before)[again], (place + after)[again])
@@ -267,7 +271,7 @@ def encode_run(common, rest, left, before, after, doc, at) -> bytes:
 
 
 def decode_run(block: bytes, width: int):
-    """doc, at, common, before, after, left and the whole suffixes of a run."""
+    """doc, at, common, before, after, left of a run, and a generator of its suffixes, which are built one by one."""
     import zstandard
 
     data = zstandard.ZstdDecompressor().decompress(block, max_output_size=2**31 - 1)
@@ -276,26 +280,29 @@ def decode_run(block: bytes, width: int):
     for kind, size in (("<i8", n), ("<i8", n), ("u1", n), ("u1", n), ("u1", n), ("u1", n * left)):
         out.append(np.frombuffer(data, kind, size, at))
         at += out[-1].nbytes
-    common, whole, last = out[2].tolist(), [], b""
-    for c in common:
-        end = at + width - c
-        last = last[:c] + data[at:end]
-        whole.append(last)
-        at = end
-    return out[0], out[1], out[2], out[3], out[4], out[5].reshape(n, left), whole
+    def suffixes(at=at, last=b""):
+        for c in out[2].tolist():
+            end = at + width - c
+            last = last[:c] + data[at:end]
+            yield last
+            at = end
 
+    return out[0], out[1], out[2], out[3], out[4], out[5].reshape(n, left), suffixes()
 
-def merge_runs(runs: list[list[bytes]], shared: list[list[int]]) -> tuple[list[int], list[int], list[int]]:
+
+def merge_runs(runs: list, shared: list, width: int) -> tuple[array, array, array]:
     """Merges sorted runs by a tree of losers: run and index of each suffix in order, and what it shares with the last.
 
+    A run is an iterable of suffixes of `width` bytes; shared has what each has in common with the one before.
+
     Each head carries the length of the prefix it shares with the suffix that last passed it, so two heads are told
     apart by these numbers alone unless they are equal, and then compared only behind that prefix.
     """
     k = 1
     while k < len(runs):
         k *= 2
-    end, width = b"", max((len(r[0]) for r in runs if r), default=0)
-    head = [r[0] if r else end for r in runs] + [end] * (k - len(runs))
+    end, source = b"", [iter(r) for r in runs]
+    head = [next(r, end) for r in source] + [end] * (k - len(runs))
     lcp = [0 if x else -1 for x in head]  # -1: at its end, and last in any order
     at = [0] * k
     loser = [0] * k
@@ -330,17 +337,14 @@ def merge_runs(runs: list[list[bytes]], shared: list[list[int]]) -> tuple[list[i
             nxt.append(won)
         level = nxt
     top = level[0]
-    order_run, order_at, order_lcp = [], [], []
+    order_run, order_at, order_lcp = array("i"), array("i"), array("i")
     while lcp[top] >= 0:
         order_run.append(top)
         order_at.append(at[top])
         order_lcp.append(lcp[top])
         at[top] += 1
-        i = at[top]
-        if i < len(runs[top]):
-            head[top], lcp[top] = runs[top][i], shared[top][i]
-        else:
-            head[top], lcp[top] = end, -1
+        head[top] = next(source[top], end)
+        lcp[top] = int(shared[top][at[top]]) if head[top] else -1
         node = (top + k) // 2
         while node:
             won, lost = play(top, loser[node])
@@ -352,21 +356,28 @@ def merge_runs(runs: list[list[bytes]], shared: list[list[int]]) -> tuple[list[i
 
 def repeated_spans(runs: list[tuple], rule: Repeats):
     """doc, start, stop of the repeats that the merged suffixes of one part show."""
-    order_run, order_at, shared = merge_runs([r[6] for r in runs], [r[2].tolist() for r in runs])
+    order_run, order_at, shared = (np.frombuffer(x, np.int32) for x in merge_runs([r[6] for r in runs], [r[2] for r in runs], 8 + rule.length))
     base = np.cumsum([0, *(len(r[0]) for r in runs)])
-    order = base[np.array(order_run, np.int64)] + np.array(order_at, np.int64)
+    order = base[order_run] + order_at
     doc, at, before, after, left = (np.concatenate([r[i] for r in runs])[order] for i in (0, 1, 3, 4, 5))
     before, after = before.astype(np.int64), after.astype(np.int64)
-    common = np.clip(np.array(shared, np.int64) - 8, 0, rule.length)
+    common = np.clip(shared.astype(np.int64) - 8, 0, rule.length)
     common[1:] = np.minimum(common[1:], np.minimum(after[1:], after[:-1]))
     common[:1] = 0
     n = len(doc)
-    # Hashes of the last d bytes before the anchors, for each d.
-    tails = np.zeros((rule.left + 1, n), np.uint64)
-    for d in range(1, rule.left + 1):
-        tails[d] = tails[d - 1] * np.uint64(_BASE) + _BYTE[left[:, rule.left - d]]
+    # Equal rows with one id bring the same anchor twice; both get the same age.
+    order = np.lexsort((at, doc))
+    later = np.zeros(n, np.int64)
+    later[1:] = (doc[order][1:] != doc[order][:-1]) | (at[order][1:] != at[order][:-1])
     age = np.empty(n, np.int64)
-    age[np.lexsort((at, doc))] = np.arange(n)
+    age[order] = np.cumsum(later)
+
+    def later_ones(order: np.ndarray, same: np.ndarray, age: np.ndarray) -> np.ndarray:
+        """Which rows, taken in order and grouped where `same` as the one before, are younger than their group's first."""
+        start = np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))
+        out = np.zeros(len(order), bool)
+        out[order] = age[order] > age[order[start]]
+        return out
     found = []
 
     def add(rows, first, last):
@@ -378,10 +389,14 @@ def repeated_spans(runs: list[tuple], rule: Repeats):
     new = np.ones(n, bool)
     new[1:] = (common[1:] < np.minimum(after[1:], rule.length)) | (after[1:] != after[:-1])
     right = np.cumsum(new)
-    order = np.lexsort((age, before, tails[rule.left], right))
-    again = np.zeros(n, bool)
+    tail = np.zeros(n, np.uint64)  # hash of the bytes before the anchor
+    for d in range(1, rule.left + 1):
+        tail = tail * np.uint64(_BASE) + _BYTE[left[:, rule.left - d]]
+    order = np.lexsort((age, before, tail, right))
+    same = np.zeros(n, bool)
     a, b = order[1:], order[:-1]
-    again[a] = (right[a] == right[b]) & (tails[rule.left][a] == tails[rule.left][b]) & (before[a] == before[b])
+    same[1:] = (right[a] == right[b]) & (tail[a] == tail[b]) & (before[a] == before[b])
+    again = later_ones(order, same, age)
     rows = np.flatnonzero(again)
     add(rows, np.maximum(rule.length - after[rows], 0), before[rows])
     # Of the rest, those beside others that share the gram; between them lies the least of what was passed.
@@ -398,17 +413,20 @@ def repeated_spans(runs: list[tuple], rule: Repeats):
         rest, gap = rest[:0], rest[:0]
     if len(rest):
         flags = np.zeros((rule.left + 2, len(rest)), np.int8)
+        tail, left, age, before_, after_ = np.zeros(len(rest), np.uint64), left[rest], age[rest], before[rest], after[rest]
         for d in range(rule.left + 1):
+            if d:
+                tail = tail * np.uint64(_BASE) + _BYTE[left[:, rule.left - d]]
             need = rule.length - d
-            fits = np.flatnonzero((before[rest] >= d) & (after[rest] >= need))
+            fits = np.flatnonzero((before_ >= d) & (after_ >= need))
             if len(fits) < 2:
                 continue
             group = np.cumsum(gap < need)[fits]
-            key = _mixed(group.astype(np.uint64) * _MIX + tails[d][rest[fits]])
-            order = np.lexsort((age[rest[fits]], key))
-            repeat = np.zeros(len(fits), bool)
-            repeat[order[1:]] = key[order[1:]] == key[order[:-1]]
-            flags[d, fits[repeat]] = 1
+            key = _mixed(group.astype(np.uint64) * _MIX + tail[fits])
+            order = np.lexsort((age[fits], key))
+            same = np.zeros(len(fits), bool)
+            same[1:] = key[order[1:]] == key[order[:-1]]
+            flags[d, fits[later_ones(order, same, age[fits])]] = 1
         step = np.diff(flags, axis=0, prepend=np.zeros((1, len(rest)), np.int8))
         who, first = np.nonzero((step == 1).T)
         _, after_last = np.nonzero((step == -1).T)
@@ -416,6 +434,15 @@ def repeated_spans(runs: list[tuple], rule: Repeats):
     return union(*(np.concatenate(x) for x in zip(*found)))
 
 
+def _dealt(doc: np.ndarray, start: np.ndarray, stop: np.ndarray, buckets: int) -> dict:
+    """Spans as one block for each bucket of documents."""
+    bucket = (_mixed(doc.astype(np.uint64) * _MIX) % np.uint64(buckets)).astype(np.int32)
+    order = np.argsort(bucket, kind="stable")
+    edges = np.flatnonzero(np.diff(bucket[order], prepend=-1))
+    rows = np.stack([doc, start, stop]).astype("<i8")[:, order]
+    return {"bucket": bucket[order][edges], "block": [rows[:, a:b].tobytes() for a, b in zip(edges, [*edges[1:], len(order)])]}
+
+
 def remove_repeats(docs: DataFrame, rule: Repeats = Repeats(), id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for each row of `docs`, and kept, the remaining bytes, if asked for.
 
@@ -431,7 +458,7 @@ def remove_repeats(docs: DataFrame, rule: Repeats = Repeats(), id_col: str = "do
     4. What neighbours share on both sides of their anchors gives the repeats.
     """
     spark = docs.sparkSession
-    parts = shuffle_partitions(spark)
+    parts = 4 * shuffle_partitions(spark)  # small merges
     lowest = -(2**63)
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(lowest)).alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     met = rows.mapInArrow(_find_anchors(rule), "h long, doc long, at long, stop long").repartition("h")
@@ -444,14 +471,21 @@ def remove_repeats(docs: DataFrame, rule: Repeats = Repeats(), id_col: str = "do
     runs = _squeezed(rows).join(state.filter(F.size("anchors") > 0).select("doc", "anchors"), "doc").mapInArrow(_sort_runs(rule, parts), "part int, block binary")
 
     def merge(table):
-        width = 8 + rule.length
-        decoded = [decode_run(b.as_py(), width) for b in table.column("block")]
-        doc, start, stop = repeated_spans(decoded, rule)
-        return pa.table([pa.array(x, pa.int64()) for x in (doc, start, stop)], names=["doc", "start", "stop"])
-
-    merged = runs.groupBy("part").applyInArrow(merge, "doc long, start long, stop long")
-    spans = merged.unionByName(state.select("doc", F.explode("spans").alias("s")).select("doc", "s.start", "s.stop"))
-    spans = spans.groupBy("doc").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+        decoded = [decode_run(b.as_py(), 8 + rule.length) for b in table.column("block")]
+        return pa.table(_dealt(*repeated_spans(decoded, rule), buckets), schema=pa.schema([("bucket", pa.int32()), ("block", pa.binary())]))
+
+    def gather(table):
+        found = np.concatenate([np.frombuffer(b.as_py(), "<i8").reshape(3, -1) for b in table.column("block")], axis=1)
+        doc, start, stop = union(*found)
+        edges = np.flatnonzero(np.diff(doc, prepend=doc[:1] - 1))
+        ends = np.append(edges, len(doc))
+        lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(x, pa.int64())) for x in (start, stop)]
+        return pa.table([pa.array(doc[edges], pa.int64()), *lists], names=["doc", "starts", "stops"])
+
+    buckets = shuffle_partitions(spark)
+    merged = runs.groupBy("part").applyInArrow(merge, "bucket int, block binary").groupBy("bucket").applyInArrow(gather, "doc long, starts array<long>, stops array<long>")
+    spans = merged.unionByName(state.filter(F.size("spans") > 0).select("doc", F.col("spans.start").alias("starts"), F.col("spans.stop").alias("stops")))
+    spans = spans.groupBy("doc").agg(F.flatten(F.collect_list(F.arrays_zip("starts", "stops"))).alias("spans"))
 
     def apply(batches):
         import zstandard
@@ -461,7 +495,7 @@ def remove_repeats(docs: DataFrame, rule: Repeats = Repeats(), id_col: str = "do
             out = []
             for doc, z, spans in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
                 data = unpack(z.as_py(), max_output_size=2**31 - 1)
-                mine = [(s["start"] & (1 << _PLACE) - 1, s["stop"]) for s in spans or () if s["start"] >> _PLACE == _checksum(data)]
+                mine = [(s["starts"] & (1 << _PLACE) - 1, s["stops"]) for s in spans or () if s["starts"] >> _PLACE == _checksum(data)]
                 kept, done, removed, n = [], 0, 0, 0
                 for a, b in sorted(mine):
                     if a > done or not n:

@@ -160,9 +160,9 @@ def test_op3_merge_is_a_merge():
     runs = [sorted(bytes(rnd.choice(b"ab") for _ in range(12)) for _ in range(rnd.randint(0, 30))) for _ in range(7)]
     share = lambda a, b: next((k for k in range(12) if a[k] != b[k]), 12)
     shared = [[0, *[share(a, b) for a, b in zip(r, r[1:])]][: len(r)] for r in runs]
-    which, at, lcp = suffix_dedup.merge_runs(runs, shared)
+    which, at, lcp = suffix_dedup.merge_runs(runs, shared, 12)
     out = [runs[w][i] for w, i in zip(which, at)]
-    assert out == sorted(x for r in runs for x in r) and lcp[1:] == [share(a, b) for a, b in zip(out, out[1:])]
+    assert out == sorted(x for r in runs for x in r) and list(lcp[1:]) == [share(a, b) for a, b in zip(out, out[1:])]
 
 
 @pytest.mark.parametrize("frequent", [50, 3])
