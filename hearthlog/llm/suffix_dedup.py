@@ -360,6 +360,7 @@ def repeated_spans(runs: list[tuple], rule: Repeats):
     base = np.cumsum([0, *(len(r[0]) for r in runs)])
     order = base[order_run] + order_at
     doc, at, before, after, left = (np.concatenate([r[i] for r in runs])[order] for i in (0, 1, 3, 4, 5))
+    runs.clear()  # frees the suffixes
     before, after = before.astype(np.int64), after.astype(np.int64)
     common = np.clip(shared.astype(np.int64) - 8, 0, rule.length)
     common[1:] = np.minimum(common[1:], np.minimum(after[1:], after[:-1]))
@@ -412,25 +413,26 @@ def repeated_spans(runs: list[tuple], rule: Repeats):
     else:
         rest, gap = rest[:0], rest[:0]
     if len(rest):
-        flags = np.zeros((rule.left + 2, len(rest)), np.int8)
+        opened = np.full(len(rest), -1, np.int16)  # least bytes before the anchor of the passages that repeat up to now
         tail, left, age, before_, after_ = np.zeros(len(rest), np.uint64), left[rest], age[rest], before[rest], after[rest]
-        for d in range(rule.left + 1):
-            if d:
+        for d in range(rule.left + 2):
+            if 0 < d <= rule.left:
                 tail = tail * np.uint64(_BASE) + _BYTE[left[:, rule.left - d]]
             need = rule.length - d
-            fits = np.flatnonzero((before_ >= d) & (after_ >= need))
-            if len(fits) < 2:
-                continue
-            group = np.cumsum(gap < need)[fits]
-            key = _mixed(group.astype(np.uint64) * _MIX + tail[fits])
-            order = np.lexsort((age[fits], key))
-            same = np.zeros(len(fits), bool)
-            same[1:] = key[order[1:]] == key[order[:-1]]
-            flags[d, fits[later_ones(order, same, age[fits])]] = 1
-        step = np.diff(flags, axis=0, prepend=np.zeros((1, len(rest)), np.int8))
-        who, first = np.nonzero((step == 1).T)
-        _, after_last = np.nonzero((step == -1).T)
-        add(rest[who], first, after_last - 1)
+            repeats = np.zeros(len(rest), bool)
+            fits = np.flatnonzero((before_ >= d) & (after_ >= need)) if d <= rule.left else ()
+            if len(fits) > 1:
+                group = np.cumsum(gap < need)[fits]
+                key = _mixed(group.astype(np.uint64) * _MIX + tail[fits])
+                order = np.lexsort((age[fits], key))
+                same = np.zeros(len(fits), bool)
+                same[1:] = key[order[1:]] == key[order[:-1]]
+                repeats[fits[later_ones(order, same, age[fits])]] = True
+            done = np.flatnonzero((opened >= 0) & ~repeats)
+            if len(done):
+                add(rest[done], opened[done].astype(np.int64), d - 1)
+                opened[done] = -1
+            opened[repeats & (opened < 0)] = d
     return union(*(np.concatenate(x) for x in zip(*found)))
 
 
