@@ -31,14 +31,22 @@ STOPS = ".,;:!?\"'()-"
 
 @dataclass(frozen=True)
 class Rules:
-    """Limits of the method. Texts below a least length are left to the base rules alone."""
+    """Limits of the method. Texts below a least length are left to the base rules alone.
+
+    most_word_distance follows from the default references (`word_limit`), so that a text without frequent words is
+    further from all of them than allowed.
+    """
 
     characters: dict = field(default_factory=lambda: dict(CHARACTERS))
-    words: dict = field(default_factory=lambda: {k: {w: int(n) / 1000 for w, n in zip(v.split()[::2], v.split()[1::2])} for k, v in WORDS.items()})
+    words: dict = field(default_factory=lambda: Rules.word_shares())
     least_chars: int = 200
     least_words: int = 40
     most_char_distance: float = 0.25
-    most_word_distance: float = 0.40
+    most_word_distance: float = field(default_factory=lambda: word_limit(Rules.word_shares()))
+
+    @staticmethod
+    def word_shares() -> dict:
+        return {k: {w: int(n) / 1000 for w, n in zip(v.split()[::2], v.split()[1::2])} for k, v in WORDS.items()}
 
 
 def repeated_words(words: list[bytes], width: int = 5) -> int:
@@ -89,6 +97,16 @@ def distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.where(total[:, 0] > 0, np.sqrt(np.maximum((left + right) / 2, 0)), 1.0)
 
 
+def word_limit(words: dict, share: float = 0.01) -> float:
+    """The least distance to its reference of a text that holds `share` of frequent words, in their proportions."""
+    out = []
+    for ws in words.values():
+        q = np.array([*ws.values(), 1 - sum(ws.values())])
+        p = np.array([*(share * x / sum(ws.values()) for x in ws.values()), 1 - share])
+        out.append(float(distance(1e6 * p[None], q)[0]))
+    return round(min(out), 4)
+
+
 def measure(texts: list[str | None], rules: Rules) -> list[tuple]:
     """For each text: the four counts of the contract after n_words, and the two least distances to a reference."""
     vocabulary = sorted({w for ws in rules.words.values() for w in ws})

@@ -113,6 +113,23 @@ def test_op2_divergence():
     assert quality_rules.distance(one, np.array([0.5, 0.5]))[0] == 0 and abs(quality_rules.distance(np.array([[1.0, 0.0]]), np.array([0.0, 1.0]))[0] - 1) < 1e-12
 
 
+def test_op2_rejects_texts_without_common_words():
+    rnd, rules = random.Random(6), quality_rules.Rules()
+    content = lambda n: [("".join(rnd.choice("bdfghklmnprstv") + rnd.choice("aeiou") for _ in range(rnd.randint(3, 5)))) for _ in range(n)]
+    menu = lambda n: " | ".join(" ".join(content(2)) for _ in range(n))
+    for text in (menu(30), menu(1200), " ".join(content(300))):
+        m = quality_rules.measure([text], rules)[0]
+        assert m[0] >= rules.least_words and m[5] <= rules.most_char_distance and not quality_rules.verdict(len(text), m, rules)
+    for lang, words in rules.words.items():
+        q = np.array([*words.values(), 1 - sum(words.values())])
+        assert quality_rules.distance(np.array([[0.0] * len(words) + [1.0]]), q)[0] > rules.most_word_distance, lang
+        prose = [w for w, share in words.items() for _ in range(round(100 * share))] * 2
+        prose += content(200 - len(prose))
+        rnd.shuffle(prose)
+        text = " ".join(prose) + "."
+        assert quality_rules.verdict(len(text), quality_rules.measure([text], rules)[0], rules), lang
+
+
 def brute_repeats(docs, length):
     seen, out = set(), {}
     for key, data in sorted(docs):
