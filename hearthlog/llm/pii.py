@@ -7,11 +7,13 @@ import re
 from collections import Counter
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hearthlog.llm.common import cut
+from hearthlog.llm.ngram_join import _bitmap, _places
 
 KINDS = ("email", "ip", "card", "phone", "term")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -26,7 +28,7 @@ _TERM = re.compile(r"[^\W\d_]{3,}")
 
 @dataclass(frozen=True)
 class Disclosure:
-    """When a term counts as giving an entity away.
+    """When a term counts as giving an entity away. Documents are counted by distinct texts, so copies change nothing.
 
     window: characters on either side of an entity in which its terms are looked for; least_contexts: different
     contexts of the entity that must hold the term (copies of a context count once); least_given: the least
@@ -101,29 +103,79 @@ def _prepared(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
-def contexts(rows: DataFrame, window: int) -> DataFrame:
-    """entity, term, context: the terms near each entity, and a hash of the characters around it."""
+def text_counts(rows: DataFrame) -> DataFrame:
+    """doc, copies: a hash of each distinct text, and how many rows have it."""
+    return cut(rows.groupBy(F.xxhash64("text").alias("doc")).agg(F.count("*").alias("copies")))
+
+
+def distinct_texts(rows: DataFrame, repeated: np.ndarray) -> DataFrame:
+    """text: each distinct text of `rows` once. Texts met once stay where they are, and only repeated ones are shuffled.
+
+    `repeated` is the bitmap of the repeated texts' hashes; what it lets through besides is shuffled in vain.
+    """
+
+    def part(again: bool):
+        def run(batches):
+            seen: set[int] = set()
+            for batch in batches:
+                for at in range(0, batch.num_rows, 500):
+                    rows = batch.slice(at, 500)
+                    docs = rows.column(0).to_numpy()
+                    x, y = _places(docs)
+                    maybe = ((repeated[x >> np.uint64(6)] >> (x & np.uint64(63))) & (repeated[y >> np.uint64(6)] >> (y & np.uint64(63))) & np.uint64(1)).astype(bool)
+                    if again and maybe.any():
+                        for i in np.flatnonzero(maybe):
+                            maybe[i] = int(docs[i]) not in seen
+                            seen.add(int(docs[i]))
+                        if len(seen) > 200_000:
+                            seen.clear()
+                    yield rows.filter(pa.array(maybe if again else ~maybe)).select(["doc", "text"] if again else ["text"])
+
+        return run
+
+    def first(batches):
+        seen: set[int] = set()
+        for batch in batches:
+            new = []
+            for doc in batch.column(0).to_pylist():
+                new.append(doc not in seen)
+                seen.add(doc)
+            yield batch.filter(pa.array(new, pa.bool_())).select(["text"])
+
+    keyed = rows.select(F.xxhash64("text").alias("doc"), "text")
+    again = keyed.mapInArrow(part(True), "doc long, text string").repartition("doc").mapInArrow(first, "text string")
+    return keyed.mapInArrow(part(False), "text string").unionByName(again)
+
+
+def contexts(texts: DataFrame, window: int) -> DataFrame:
+    """entity, term, context, docs: the terms near each entity, a hash of the characters around it, and a count of texts.
+
+    A text counts at the first context in which it holds a pair of entity and term. For each entity there is also
+    a row with an empty term, which counts the texts that hold the entity.
+    """
 
     def run(batches):
         for batch in batches:
-            out = set()
+            out: Counter[tuple[str, str, int]] = Counter()
             for text in batch.column("text").to_pylist():
-                spans = base_spans(text)
+                spans, met = base_spans(text), set()
                 for a, k, b in spans:
                     near = text[max(0, a - window) : a] + "\0" + text[b : b + window]
                     mark = int.from_bytes(hashlib.blake2b(near.encode(), digest_size=8).digest(), "big", signed=True)
-                    lo, hi = max(0, a - window), b + window
-                    for m in _TERM.finditer(text, lo, hi):
-                        if not any(x < m.end() and m.start() < y for x, _, y in spans):
-                            out.add((entity(text, (a, k, b)), m[0].lower(), mark))
+                    lo, hi, name = max(0, a - window), b + window, entity(text, (a, k, b))
+                    terms = {m[0].lower() for m in _TERM.finditer(text, lo, hi) if not any(x < m.end() and m.start() < y for x, _, y in spans)}
+                    for term in ("", *terms):
+                        out[name, term, mark if term else 0] += (name, term) not in met
+                        met.add((name, term))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.string(), pa.string(), pa.int64()))], names=["entity", "term", "context"])
+                columns = (*zip(*out), tuple(out.values()))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int64(), pa.int64()))], names=["entity", "term", "context", "docs"])
 
-    return rows.select("text").mapInArrow(run, "entity string, term string, context long")
+    return texts.select("text").mapInArrow(run, "entity string, term string, context long, docs long")
 
 
-def term_frequencies(rows: DataFrame, most: int = 300_000) -> DataFrame:
-    """term, n: in how many rows each term occurs, counted within tasks before the shuffle."""
+def term_frequencies(texts: DataFrame, most: int = 300_000) -> DataFrame:
+    """term, n: in how many texts each term occurs, counted within tasks before the shuffle."""
 
     def run(batches):
         counts: Counter[str] = Counter()
@@ -142,7 +194,7 @@ def term_frequencies(rows: DataFrame, most: int = 300_000) -> DataFrame:
         if counts:
             yield flush()
 
-    return rows.select("text").mapInArrow(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    return texts.select("text").mapInArrow(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
 
 
 def disclosing_terms(docs: DataFrame, rule: Disclosure = Disclosure(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -152,13 +204,16 @@ def disclosing_terms(docs: DataFrame, rule: Disclosure = Disclosure(), id_col: s
 
 
 def _disclosing(rows: DataFrame, suspects: DataFrame, rule: Disclosure) -> DataFrame:
-    near = contexts(suspects, rule.window).distinct()
-    pairs = near.groupBy("entity", "term").agg(F.count("*").alias("contexts")).filter(F.col("contexts") >= rule.least_contexts)
-    entities = near.select("entity", "context").distinct().groupBy("entity").agg(F.count("*").alias("entity_contexts"))
-    total = rows.agg(F.count("*").alias("total"))  # one row
-    both = pairs.join(term_frequencies(rows), "term").join(entities, "entity").crossJoin(F.broadcast(total))
-    given = F.least(F.col("contexts") / F.col("n"), F.lit(1.0))
-    bits = F.log2(given * F.col("total") / F.col("entity_contexts"))
+    counts = text_counts(rows)
+    repeated = _bitmap(counts.filter("copies > 1").select("doc"))
+    near = contexts(distinct_texts(suspects, repeated), rule.window).groupBy("entity", "term", "context").agg(F.sum("docs").alias("docs"))
+    both = near.groupBy("entity", "term").agg(F.count("*").alias("contexts"), F.sum("docs").alias("docs"))
+    pairs = both.filter((F.col("term") != "") & (F.col("contexts") >= rule.least_contexts))
+    entities = both.filter("term = ''").select("entity", F.col("docs").alias("entity_docs"))
+    total = counts.agg(F.count("*").alias("total"))  # one row
+    both = pairs.join(term_frequencies(distinct_texts(rows, repeated)), "term").join(entities, "entity").crossJoin(F.broadcast(total))
+    given = F.least(F.col("docs") / F.col("n"), F.lit(1.0))
+    bits = F.log2(given * F.col("total") / F.col("entity_docs"))
     return both.filter((given >= rule.least_given) & (bits >= rule.least_bits)).select("entity", "term", "contexts", "n")
 
 

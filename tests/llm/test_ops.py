@@ -333,6 +333,21 @@ def test_op9_adds_disclosing_terms(spark):
     assert clean.columns == docs.columns and clean.count() == len(made) and clean.filter("text LIKE '%@%'").count() == 0 and clean.filter("text IS NULL").count() == 1
 
 
+def test_op9_counts_copies_once(spark):
+    made = [(i, f"nice {'aeiou'[i]}day of kormoran sees bob@x.example.org near {'aeiou'[i]}house end") for i in range(5)]
+    made += [(1000 + i, f"plain words of day number{'x' * i} here") for i in range(600)] + [(300, None), (302, "mail bob@x.example.org kormoran kormoran"), (303, "call +1 555 123 4567 8 now")]
+    line = " and so he wrote to all of the others in the house: kormoran reads bob@x.example.org at the end of each day and of each long night too"
+    made += [(400 + i, f"letter {'y' * i}{' far from it' * 9}{line}") for i in range(30)]  # one context in many documents
+    spans = lambda rows: {r["doc_id"]: r["spans"] for r in pii.find(table(spark, rows).repartition(6)).collect()}
+    want = spans(made)
+    assert all(want[i].count("term") >= 1 for i in [*range(5), 302, *range(400, 430)])
+    assert spans(made * 3) == want
+    assert spans(made + [x for x in made if x[0] == 302] * 40) == want
+    assert spans(made + [x for x in made if x[0] == 303] * 300) == want
+    total = {r["term"]: r["n"] for r in pii.disclosing_terms(table(spark, made * 3)).collect() if r["entity"] == "email:bob@x.example.org"}
+    assert total["kormoran"] == 36
+
+
 def test_op10_matches_brute_force(docs, rows):
     groups = {}
     for i, t in rows:
