@@ -25,6 +25,13 @@ class Training:
     seed: int = 7
 
 
+#: Words of more bytes are read by numpy, in slices, and aren't kept.
+LONG = 200
+_CRC = np.arange(256, dtype=np.uint32)
+for _ in range(8):
+    _CRC = np.where(_CRC & 1, (_CRC >> 1) ^ np.uint32(0xEDB88320), _CRC >> 1).astype(np.uint32)
+
+
 class Features:
     """Buckets of a text's words, of their character n-grams and of its pairs of neighbouring words, met first or again."""
 
@@ -33,9 +40,21 @@ class Features:
 
     def of_word(self, word: bytes) -> list[int]:
         """The word itself and the n-grams of the word between < and >, which count bytes."""
-        crc32, whole, buckets = zlib.crc32, b"<" + word[:200] + b">", self.t.buckets
+        crc32, whole, buckets = zlib.crc32, b"<" + word + b">", self.t.buckets
         return [crc32(word, 1) % buckets, *[crc32(whole[i : i + n]) % buckets for n in range(self.t.least_chars, self.t.most_chars + 1) for i in range(len(whole) - n + 1)]]
 
+    def of_long_word(self, word: bytes, most: int = 1 << 18):
+        """The buckets of of_word as arrays of about `most` buckets each."""
+        yield np.array([zlib.crc32(word, 1) % self.t.buckets])
+        whole = np.frombuffer(b"<" + word + b">", np.uint8)
+        for n in range(self.t.least_chars, self.t.most_chars + 1):
+            for at in range(0, len(whole) - n + 1, most):
+                part = whole[at : at + most + n - 1]
+                crc = np.full(len(part) - n + 1, 0xFFFFFFFF, np.uint32)
+                for i in range(n):
+                    crc = _CRC[(crc ^ part[i : i + len(crc)]) & np.uint32(255)] ^ (crc >> np.uint32(8))
+                yield (crc ^ np.uint32(0xFFFFFFFF)).astype(np.int64) % self.t.buckets
+
     def of_pairs(self, hashes: np.ndarray) -> np.ndarray:
         with np.errstate(over="ignore"):
             mixed = (hashes[:-1] * np.uint64(0x9E3779B97F4A7C15) ^ hashes[1:]) * np.uint64(0xBF58476D1CE4E5B9)
@@ -80,12 +99,20 @@ class Model:
         docs = []
         for text in texts:
             tokens = text.encode().split()
-            ids = words(tokens)
-            if not len(ids):
+            if not tokens:
                 docs.append((np.empty(0, np.int64), np.empty(0, np.float32)))
                 continue
-            pairs = self.features.of_pairs(np.array([words.kept[i][1] for i in ids], np.uint64))
+            long = [w for w in tokens if len(w) > LONG]
+            ids = words([w for w in tokens if len(w) <= LONG])
+            pairs = self.features.of_pairs(np.array([zlib.crc32(w) for w in tokens] if long else [words.kept[i][1] for i in ids], np.uint64))
             buckets, n = np.unique(np.concatenate([*(words.kept[i][0] for i in ids), pairs]), return_counts=True)
+            if long:
+                counts = np.bincount(buckets.astype(np.int64), n, t.buckets)
+                for w in long:
+                    for part in self.features.of_long_word(w):
+                        counts += np.bincount(part, minlength=t.buckets)
+                buckets = np.flatnonzero(counts)
+                n = counts[buckets]
             docs.append((buckets, (n / n.sum()).astype(np.float32)))
         rng, total, step = np.random.default_rng(t.seed), t.epochs * max(len(docs), 1), 0
         for _ in range(t.epochs):
@@ -123,6 +150,22 @@ class Scorer:
         buckets = self.features.of_word(word)
         return sum(map(self.by_bucket.__getitem__, buckets)), len(buckets), zlib.crc32(word)
 
+    def _measured(self, tokens: list[bytes]) -> list[tuple[float, int, int]]:
+        if max(map(len, tokens)) <= LONG:
+            ids = self.words(tokens).tolist()
+            kept = self.words.kept
+            return [kept[i] for i in ids]
+        ids = iter(self.words([w for w in tokens if len(w) <= LONG]).tolist())
+        kept = self.words.kept
+        return [kept[next(ids)] if len(w) <= LONG else self._measure_long(w) for w in tokens]
+
+    def _measure_long(self, word: bytes) -> tuple[float, int, int]:
+        total, n = 0.0, 0
+        for part in self.features.of_long_word(word):
+            total += float(self.weights[part].sum())
+            n += len(part)
+        return total, n, zlib.crc32(word)
+
     def __call__(self, texts: list[str]) -> list[float]:
         out = []
         for text in texts:
@@ -130,8 +173,7 @@ class Scorer:
             if not tokens:
                 out.append(self._squash(self.bias))
                 continue
-            ids = self.words(tokens)
-            sums, counts, hashes = zip(*[self.words.kept[i] for i in ids.tolist()])
+            sums, counts, hashes = zip(*self._measured(tokens))
             pairs = self.features.of_pairs(np.array(hashes, np.uint64))
             total = sum(sums) + float(self.weights[pairs].sum())
             out.append(self._squash(self.bias + total / (sum(counts) + len(pairs))))
@@ -163,7 +205,7 @@ def classify(docs: DataFrame, labels: DataFrame, t: Training = Training(), thres
 
     Null texts count as empty and get the score of no features. Labels that are null or not 0 or 1, and those
     without a document, are left out of training; without any labels all scores are 0.5. Repeated rows get equal
-    scores. Very long words count by their first 200 bytes among n-grams, and whole as words.
+    scores. Words of any length count whole, by all their n-grams.
     """
     rows = sample(docs, labels, "quality", t.sample, id_col, text_col)
     weights, bias = Model(t).train([r[1] for r in rows], [r[2] for r in rows]).flat()

@@ -228,6 +228,25 @@ def test_op5_learns(spark):
     assert {r["score"] for r in quality_classifier.classify(docs.limit(3), labels.limit(0)).collect()} == {0.5}
 
 
+def test_op5_reads_long_words_whole():
+    t = quality_classifier.Training(buckets=1 << 14)
+    rnd = random.Random(8)
+    word = "".join(rnd.choice("漢字語文学生日本") for _ in range(400)).encode()
+    features = quality_classifier.Features(t)
+    whole = b"<" + word + b">"
+    want = Counter([zlib.crc32(word, 1) % t.buckets] + [zlib.crc32(whole[i : i + n]) % t.buckets for n in (3, 4) for i in range(len(whole) - n + 1)])
+    assert all(Counter(np.concatenate(list(features.of_long_word(word, most))).tolist()) == want for most in (7, 100, 1 << 18)) and Counter(features.of_word(word)) == want
+    good, bad = "花鳥風月山川" * 60, "買賣錢金銀銅" * 60
+    start = "漢字" * 60
+    model = quality_classifier.Model(t).train([start + good, start + bad] * 20, [1, 0] * 20)
+    scorer = quality_classifier.Scorer(t, *model.flat())
+    # Words that no training text held, equal in their first 360 bytes: only n-grams behind those tell them apart.
+    a, b = scorer([start + good + "山川", start + bad + "銀銅"])
+    assert a > 0.7 > 0.3 > b and not scorer.words.number
+    weights, buckets = model.flat()[0].astype(float), features.of_word((start + good).encode())
+    assert abs(scorer([start + good])[0] - 1 / (1 + np.exp(-(model.flat()[1] + weights[buckets].mean())))) < 1e-9
+
+
 def test_op6_orders_severity(spark):
     rnd = random.Random(5)
     plain, rude = [f"{a}{b}" for a in ("lake", "tree", "road", "song") for b in ("", "s", "land", "side")], ["zorgling", "zorgled", "brakh", "brakhs"]
