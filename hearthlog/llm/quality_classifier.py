@@ -191,12 +191,24 @@ def held_out(doc_id):
 def sample(docs: DataFrame, labels: DataFrame, label: str, most: int, id_col: str = "doc_id", text_col: str = "text", even: bool = False) -> list[tuple[int, str, int]]:
     """At most `most` labelled rows outside the held-out fold, by order of a hash of their id; `even`: half of each label.
 
-    The ids are broadcast, which `most` bounds.
+    The ids are broadcast, which `most` bounds. Of rows that share an id the one with the least text counts; tasks
+    reduce to it before the shuffle, so no more than `most` rows come to the driver.
     """
+
+    def least(batches):
+        found: dict[int, tuple[str, int]] = {}
+        for batch in batches:
+            for key, text, y in zip(*(c.to_pylist() for c in batch.columns)):
+                if key not in found or text < found[key][0]:
+                    found[key] = (text, y)
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array([x for x, _ in found.values()], pa.string()), pa.array([y for _, y in found.values()], pa.int64())], names=["__id", "__text", "__label"])
+
     usable = labels.filter(F.col(label).isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(id_col)).groupBy(F.col(id_col).cast("long").alias("__id")).agg(F.max(label).alias("__label"))
     first = lambda rows, n: rows.orderBy(F.xxhash64("__id"), "__id").limit(n)
     few = first(usable.filter("__label = 1"), most // 2).union(first(usable.filter("__label = 0"), most // 2)) if even else first(usable, most)
     rows = docs.select(F.col(id_col).cast("long").alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("__text")).join(F.broadcast(few), "__id")
+    rows = rows.select("__id", "__text", F.col("__label").cast("long")).mapInArrow(least, "__id long, __text string, __label long").groupBy("__id", "__label").agg(F.min("__text").alias("__text"))
     return sorted((r["__id"], r["__text"], int(r["__label"])) for r in rows.collect())
 
 

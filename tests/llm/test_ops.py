@@ -247,6 +247,16 @@ def test_op5_reads_long_words_whole():
     assert abs(scorer([start + good])[0] - 1 / (1 + np.exp(-(model.flat()[1] + weights[buckets].mean())))) < 1e-9
 
 
+def test_op5_op6_sample_holds_one_row_for_each_id(spark):
+    docs = table(spark, [(3, f"text {i:03d}") for i in range(300)] + [(i, f"doc {i}") for i in range(4, 60)] + [(3, None)] * 2).repartition(7)
+    labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(60)] + [(3, 1, 1)], "doc_id long, quality int, toxic int")
+    for label, even in (("quality", False), ("toxic", True)):
+        rows = quality_classifier.sample(docs, labels, label, 1000, even=even)
+        assert [r[0] for r in rows] == [i for i in range(3, 60) if zlib.crc32(str(i).encode()) % 4 != 2]
+        assert all(r == (r[0], f"doc {r[0]}" if r[0] > 3 else "", r[0] % 2) for r in rows)
+    assert len(quality_classifier.sample(docs.filter("doc_id = 3"), labels, "quality", 5)) <= 5
+
+
 def test_op6_orders_severity(spark):
     rnd = random.Random(5)
     plain, rude = [f"{a}{b}" for a in ("lake", "tree", "road", "song") for b in ("", "s", "land", "side")], ["zorgling", "zorgled", "brakh", "brakhs"]
