@@ -14,7 +14,7 @@ def components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
     Alternates the large star (each node hands its larger neighbours to its smallest one) and the small star
     (each node hands its smaller neighbours and itself to the smallest of them) until no edge changes. The
     number of rounds grows with the logarithm of the longest path. Links stay in tables; the driver sees two
-    numbers a round. Edges to itself and repeated ones don't matter; no edges give an empty result.
+    numbers a round. Raises where edges still change after `most_rounds`. Edges to itself and repeated ones don't matter; no edges give an empty result.
     """
     now = cut(edges.select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).filter("hi <> lo").distinct())
     seen = _mark(now)
@@ -28,6 +28,8 @@ def components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
         before, seen = seen, _mark(now)
         if seen == before:
             break
+    else:
+        raise RuntimeError(f"components still change after {most_rounds} rounds")
     return now.select(F.col("hi").alias("node"), F.col("lo").alias("comp")).union(now.select(F.col("lo").alias("node"), F.col("lo").alias("comp")).distinct())
 
 

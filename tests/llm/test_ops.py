@@ -14,6 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from hearthlog.llm import bpe, chat, exact_dedup, ngram_join, packing, pii, quality_classifier, quality_rules, suffix_dedup, toxicity
+from hearthlog.llm.graph import components
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
 FOLD = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
@@ -214,6 +215,13 @@ def test_op4_chain_of_near_copies(spark):
     assert [r[0] for r in got] == [0]
 
 
+def test_op4_components_converge_or_raise(spark):
+    path = spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long")
+    assert {r["comp"] for r in components(path).collect()} == {0}
+    with pytest.raises(RuntimeError):
+        components(path, most_rounds=1)
+
+
 def test_op5_learns(spark):
     rnd = random.Random(2)
     good, bad = ["house", "river", "walk", "green", "stone"], ["h0use$$$", "win!!!", "cl1ck***", "fr33%%%"]
