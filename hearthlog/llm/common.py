@@ -4,8 +4,12 @@ from __future__ import annotations
 
 import re
 import string
+import sys
 import tempfile
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,9 +27,11 @@ def ascii_lower(col: Column) -> Column:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Uses the shared folder that the cluster names; a temporary one only where none is named (tests)."""
+    """Uses the shared folder that the cluster names. A temporary one serves where driver and tasks share a machine only."""
     if spark.sparkContext.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="hearthlog-checkpoint-"))
 
 
@@ -39,17 +45,76 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+_BITS = 25  # of a bitmap of keys: 4 MB whatever the input
+
+
+def places(keys: np.ndarray) -> list[np.ndarray]:
+    """The two bits of each key."""
+    return [(keys.astype(np.uint64) * f) >> np.uint64(64 - _BITS) for f in (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))]
+
+
+def bitmap(keys: DataFrame) -> np.ndarray:
+    """A Bloom filter of fixed size over one column of longs. Where it fills up it only lets more rows through."""
+
+    def run(batches):
+        for batch in batches:
+            bits = np.unique(np.concatenate(places(batch.column(0).to_numpy())))
+            yield pa.RecordBatch.from_arrays([pa.array((bits >> np.uint64(6)).astype(np.int64)), pa.array((np.uint64(1) << (bits & np.uint64(63))).view(np.int64))], names=["word", "bit"])
+
+    words = keys.mapInArrow(run, "word long, bit long").groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    out = np.zeros(1 << _BITS - 6, np.uint64)
+    out[words.column(0).to_numpy()] = words.column(1).to_numpy().view(np.uint64)
+    return out
+
+
+def maybe_in(keys: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """False for keys that aren't among those of the bitmap; true for all that are and for few others."""
+    x, y = places(keys)
+    return ((bits[x >> np.uint64(6)] >> (x & np.uint64(63))) & (bits[y >> np.uint64(6)] >> (y & np.uint64(63))) & np.uint64(1)).astype(bool)
+
+
+def maybe(key: Column, bits: np.ndarray) -> Column:
+    """maybe_in as a column; a null key gives false."""
+
+    @F.pandas_udf("boolean")
+    def test(keys: pd.Series) -> pd.Series:
+        known = keys.notna().to_numpy()
+        return pd.Series(maybe_in(keys.fillna(0).to_numpy().astype(np.int64), bits) & known)
+
+    return test(key.cast("long"))
+
+
+#: A key with more than this share of the rows counts as hot, so there are at most as many hot keys.
+_HOT = 1000
+
+
+def hot_join(rows: DataFrame, classes: DataFrame, keys: list[str], size: str, total: int) -> DataFrame:
+    """Left join of rows to classes, one row for each key, whose column `size` counts the key's rows out of `total`.
+
+    Classes with over a thousandth of the rows are at most a thousand, and are broadcast; the rest is shuffled.
+    """
+    hot = F.col(size) > total / _HOT
+    values = [c for c in classes.columns if c not in keys]
+    few = F.broadcast(classes.filter(hot).select(*keys, F.struct(*values).alias("__hot")))
+    split = rows.join(few, keys, "left")
+    found = split.filter("__hot IS NOT NULL").select(*rows.columns, *[F.col(f"__hot.{c}").alias(c) for c in values])
+    return found.unionByName(split.filter("__hot IS NULL").drop("__hot").join(classes.filter(~hot), keys, "left").select(*rows.columns, *values))
+
+
 class _Learned(dict):
-    """Encodes a segment when it's first asked for, and keeps the first `most` of them."""
+    """Encodes a segment when it's first asked for. Keeps short ones, up to so many bytes in all."""
+
+    LONGEST = 48
 
-    def __init__(self, encode, lead: str, most: int):
+    def __init__(self, encode, lead: str, most_bytes: int):
         super().__init__()
-        self.encode, self.lead, self.most = encode, lead, most
+        self.encode, self.lead, self.room = encode, lead, most_bytes
 
     def __missing__(self, segment: str) -> bytes:
         ids = self.encode(self.lead + segment)
-        if len(self) < self.most:
+        if self.room > 0 and len(segment) <= self.LONGEST:
             self[segment] = ids
+            self.room -= sys.getsizeof(segment) + sys.getsizeof(ids) + 100  # a hundred bytes for its place in the table
         return ids
 
 
@@ -58,14 +123,14 @@ class SegmentCache:
 
     A single space between two characters that aren't white space always starts a new match of the
     byte-level pre-tokenisation pattern, so the text between two such spaces encodes independently of
-    what surrounds it. `encode` maps a segment to its ids as bytes; `most` bounds what a worker keeps.
+    what surrounds it. `encode` maps a segment to its ids as bytes; `most_bytes` bounds what a worker keeps.
     """
 
     RARE_SPACE = re.compile(r"[^\S\n ]")
     SAFE = re.compile(r"(?<=\S) (?=\S)")
 
-    def __init__(self, encode, most: int = 400_000):
-        self.first, self.later = _Learned(encode, "", most // 20), _Learned(encode, " ", most)
+    def __init__(self, encode, most_bytes: int = 48_000_000):
+        self.first, self.later = _Learned(encode, "", most_bytes // 12), _Learned(encode, " ", most_bytes)
 
     def segments(self, text: str) -> list[str]:
         if "  " in text or "\n " in text or " \n" in text or self.RARE_SPACE.search(text):

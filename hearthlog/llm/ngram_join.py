@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+import math
+import re
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
-from hearthlog.llm.common import cut
+from hearthlog.llm.common import bitmap, cut, hot_join, maybe, maybe_in
 from hearthlog.llm.graph import components
 
 
@@ -31,7 +32,7 @@ class Join:
     most_frequent: int = 200_000
 
 
-_PLACES = 1 << 12
+_GAP = re.compile(rb"[\x20\x09-\x0D]")
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
@@ -39,7 +40,10 @@ _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 class Shingler:
     """Sets of shingles as sorted arrays of 64-bit hashes."""
 
-    def __init__(self, width: int, most: int = 200_000):
+    #: Bytes of a text that are split at once, and of a word that is remembered.
+    SLICE, LONGEST = 2_000_000, 40
+
+    def __init__(self, width: int, most: int = 100_000):
         self.width, self.most, self.words = width, most, {}
         rng = np.random.default_rng(20240229)
         self.factors = rng.integers(1, 2**63, width, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -47,13 +51,26 @@ class Shingler:
     def _hashed(self, words: list[bytes]) -> np.ndarray:
         from xxhash import xxh64_intdigest
 
-        known = self.words
+        known, longest, once = self.words, self.LONGEST, {}
         if len(known) > self.most:
             known.clear()
         for w in {w for w in words if w not in known}:
-            known[w] = xxh64_intdigest(w)
+            (known if len(w) <= longest else once)[w] = xxh64_intdigest(w)
+        if once:
+            return np.fromiter((known[w] if len(w) <= longest else once[w] for w in words), np.uint64, len(words))
         return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
 
+    def _slices(self, data: bytes):
+        """Parts of a long text that end where a word does."""
+        at = 0
+        while at < len(data):
+            end = at + self.SLICE
+            if end < len(data):
+                gap = _GAP.search(data, end)
+                end = gap.start() if gap else len(data)
+            yield data[at:end]
+            at = end
+
     def _windows(self, h: np.ndarray, k: int) -> np.ndarray:
         n = max(0, len(h) - k + 1)
         total = np.full(n, k, np.uint64)
@@ -63,19 +80,24 @@ class Shingler:
             total = (total ^ (total >> np.uint64(shift))) * factor
         return total ^ (total >> np.uint64(31))
 
+    def _set(self, h: np.ndarray) -> np.ndarray:
+        n = len(h)
+        if n < self.width:
+            return self._windows(h, n) if n else h
+        s = np.sort(self._windows(h, self.width))
+        return s[np.concatenate([[True], s[1:] != s[:-1]])]
+
     def all(self, texts: list[str | None]) -> list[np.ndarray]:
-        """The sets of many texts; the words of all are hashed together."""
-        split = [(t or "").encode().translate(_LOWER).split() for t in texts]
-        h = self._hashed([w for words in split for w in words])
-        hashed, out, at = self._windows(h, self.width), [], 0
-        for words in split:
-            n = len(words)
-            if n >= self.width:
-                s = np.sort(hashed[at : at + n - self.width + 1])
-                out.append(s[np.concatenate([[True], s[1:] != s[:-1]])])
+        """The sets of many texts; the words of all are hashed together, and those of long texts slice by slice."""
+        data = [(t or "").encode().translate(_LOWER) for t in texts]
+        split = [d.split() if len(d) <= self.SLICE else None for d in data]
+        h, out, at = self._hashed([w for words in split for w in words or ()]), [], 0
+        for d, words in zip(data, split):
+            if words is None:
+                out.append(self._set(np.concatenate([self._hashed(x.split()) for x in self._slices(d)])))
             else:
-                out.append(self._windows(h[at : at + n], n) if n else np.empty(0, np.uint64))
-            at += n
+                out.append(self._set(h[at : at + len(words)]))
+                at += len(words)
         return out
 
     def __call__(self, text: str | None) -> np.ndarray:
@@ -105,37 +127,69 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
-def frequent_shingles(rows: DataFrame, rule: Join) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted hashes of the commonest shingles and their counts, at most rule.most_frequent of them."""
+class Tally:
+    """Counts of what a task met more than once, in bounded memory: beyond it, what was met once is forgotten."""
+
+    def __init__(self, most: int = 250_000):
+        self.most, self.pending, self.held = most, [], 0
+        self.keys, self.counts = np.empty(0, np.uint64), np.empty(0, np.int64)
+
+    def add(self, sets: list[np.ndarray]):
+        """Takes sets, and gives counts away where there are too many."""
+        self.pending += sets
+        self.held += sum(map(len, sets))
+        if self.held > self.most:
+            self._merge()
+            if len(self.keys) > 2 * self.most:
+                yield self.rest()
+
+    def _merge(self):
+        new, n = np.unique(np.concatenate([self.keys[:0], *self.pending]), return_counts=True)
+        keys, place = np.unique(np.concatenate([self.keys, new]), return_inverse=True)
+        self.counts = np.bincount(place, np.concatenate([self.counts, n]), len(keys)).astype(np.int64)
+        self.keys, self.pending, self.held = keys, [], 0
+
+    def rest(self) -> tuple[np.ndarray, np.ndarray]:
+        self._merge()
+        more = self.counts > 1
+        out = self.keys[more], self.counts[more]
+        self.keys, self.counts = self.keys[:0], self.counts[:0]
+        return out
+
+
+def shingled(rows: DataFrame, rule: Join) -> DataFrame:
+    """doc_id, n, s1, s2, set for each row: the size of its set, 128 bits of it and the set itself.
+
+    Rows with n = -1 hold what a task counted: hashes in tokens and how often it met them in times.
+    """
+    names = ["doc_id", "n", "s1", "s2", "set", "tokens", "times"]
+    kinds = (*[pa.int64()] * 4, pa.binary(), *[pa.list_(pa.int64())] * 2)
+
+    def counted(tokens, times):
+        rows = [(None, -1, None, None, None, tokens[k : k + 50_000].view(np.int64), times[k : k + 50_000]) for k in range(0, len(tokens), 50_000)]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 7, kinds)], names=names)
 
     def run(batches):
-        of, pending, kept = Shingler(rule.width), [], (np.empty(0, np.uint64), np.empty(0, np.int64))
-        held = 0
+        of, tally = Shingler(rule.width), Tally()
         for batch in batches:
-            for _, texts in _in_parts(batch.column(0)):
-                new = of.all(texts)
-                pending += new
-                held += sum(map(len, new))
-                if held > 1_500_000:
-                    kept = _merge(kept, pending)
-                    pending, held = [], 0
-                    if len(kept[0]) > 1_500_000:  # what was met once goes first
-                        yield _batch(kept)
-                        kept = (np.empty(0, np.uint64), np.empty(0, np.int64))
-        yield _batch(_merge(kept, pending))
-
-    def _merge(kept, pending):
-        keys, counts = np.unique(np.concatenate([np.empty(0, np.uint64), *pending]), return_counts=True)
-        both, place = np.unique(np.concatenate([kept[0], keys]), return_inverse=True)
-        total = np.zeros(len(both), np.int64)
-        np.add.at(total, place, np.concatenate([kept[1], counts]))
-        return both, total
-
-    def _batch(kept):
-        more = kept[1] > 1
-        return pa.RecordBatch.from_arrays([pa.array(kept[0][more].view(np.int64)), pa.array(kept[1][more])], names=["token", "n"])
-
-    counted = rows.select("text").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).filter(F.col("n") >= rule.frequent)
+            ids = batch.column(0).to_pylist()
+            for first, texts in _in_parts(batch.column(1)):
+                sets, out = of.all(texts), []
+                for doc_id, s in zip(ids[first:], sets):
+                    data = s.tobytes()
+                    out.append((doc_id, len(s), _mark(data, 1), _mark(data, 2), data, None, None) if len(s) else (doc_id, 0, None, None, None, None, None))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=names)
+                for told in tally.add(sets):
+                    yield counted(*told)
+        yield counted(*tally.rest())
+
+    return rows.mapInArrow(run, "doc_id long, n long, s1 long, s2 long, set binary, tokens array<long>, times array<long>")
+
+
+def frequent_shingles(base: DataFrame, rule: Join) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of the commonest shingles and their counts, at most rule.most_frequent of them."""
+    met = base.filter("n = -1").select(F.explode(F.arrays_zip("tokens", "times")).alias("x")).select(F.col("x.tokens").alias("token"), F.col("x.times").alias("n"))
+    counted = met.groupBy("token").agg(F.sum("n").alias("n")).filter(F.col("n") >= rule.frequent)
     top = counted.orderBy(F.desc("n"), "token").limit(rule.most_frequent).toArrow()
     tokens, counts = top.column(0).to_numpy().astype(np.int64).view(np.uint64), top.column(1).to_numpy()
     order = np.argsort(tokens)
@@ -162,6 +216,51 @@ def _common(shingles: np.ndarray, frequent: tuple[np.ndarray, np.ndarray]) -> in
     return int(1000 * (frequent[0][at] == shingles).mean())
 
 
+_PARITY = 512  # bits of a set's parities
+_BLOCK = 2000  # rows of a list that are tried against each other in one piece
+_HUB = 16  # tasks that share the pairs of a set which many others are tried against
+
+
+def parities(shingles: np.ndarray) -> list[int]:
+    """A set's parities: bit i tells whether an odd number of its hashes fall in cell i.
+
+    Two sets differ in at least as many shingles as their parities differ in bits, so linked sets of n and m differ
+    in at most n + m less twice the needed overlap bits.
+    """
+    odd = np.bincount((shingles >> np.uint64(55)).astype(np.int64), minlength=_PARITY) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
+
+
+def sketched(base: DataFrame, frequent: tuple[np.ndarray, np.ndarray], rule: Join) -> DataFrame:
+    """s1, s2, n, gid, score, parity of each set that a task meets first; leads and prefix where it meets the group first."""
+    names = ["s1", "s2", "n", "gid", "score", "parity", "leads", "prefix"]
+    kinds = (*[pa.int64()] * 5, *[pa.list_(pa.int64())] * 3)
+
+    def run(batches):
+        seen, met = set(), set()
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                part, out = batch.slice(at, 500), []
+                for s1, s2, data in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2)):
+                    if (s1, s2) in seen:
+                        continue
+                    seen.add((s1, s2))
+                    s = np.frombuffer(data.as_buffer(), np.uint64)
+                    prefix = prefix_of(s, frequent, rule.percent)
+                    gid = _mark(len(s).to_bytes(8, "little") + prefix.tobytes(), 3)
+                    new = gid not in met
+                    met.add(gid)
+                    out.append((s1, s2, len(s), gid, _common(s, frequent), parities(s), s[: rule.leads].view(np.int64) if new else None, prefix.view(np.int64) if new else None))
+                if len(seen) > 100_000:
+                    seen.clear()
+                    met.clear()
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=names)
+
+    rows = base.filter("n > 0 AND doc_id IS NOT NULL").select("s1", "s2", "set")
+    return rows.mapInArrow(run, "s1 long, s2 long, n long, gid long, score long, parity array<long>, leads array<long>, prefix array<long>")
+
+
 def link_components(docs: DataFrame, rule: Join = Join(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each row of `docs`: doc_id, n_shingles, component_id, the smallest doc_id reachable by links.
 
@@ -169,63 +268,53 @@ def link_components(docs: DataFrame, rule: Join = Join(), id_col: str = "doc_id"
     2. Each group is tried against the groups that lead most of the lists of its smallest hashes, and each member
        of a group against one other. This joins large groups of near copies without trying all their pairs; it
        may miss links.
-    3. Of what still lies in different components, all pairs of groups that share a shingle of their prefixes, at
-       places after which enough can still be common, and that pass the length filter are expanded to members and
-       verified by their whole sets. So no link between components is missed.
+    3. Of what still lies in different components, groups that share a shingle of their prefixes, at places after
+       which enough can still be common, and that pass the filters by length and by parities are expanded to
+       members and verified by their whole sets. So no link between components is missed.
 
     Texts with fewer words than a shingle have their whole sequence as one; texts without words, and null ones,
-    have no shingles and link with nothing. Rows that share a doc_id count as linked; a null doc_id gets a null
-    component. Empty tables give empty results; other columns are ignored.
+    have no shingles and link with nothing. Rows that share a doc_id count as linked, whatever their texts; a null
+    doc_id gets a null component. Empty tables give empty results; other columns are ignored.
     """
-    rows = _rows(docs, id_col, text_col)
-    frequent = frequent_shingles(rows, rule)
-
-    def sketch(batches):
-        of, seen = Shingler(rule.width), set()
-        for batch in batches:
-            ids = batch.column(0).to_pylist()
-            for first, texts in _in_parts(batch.column(1)):
-                out = []
-                for doc_id, s in zip(ids[first:], of.all(texts)):
-                    if not len(s):
-                        out.append((doc_id, 0, None, None, None, None, None, None))
-                        continue
-                    data, prefix = s.tobytes(), prefix_of(s, frequent, rule.percent)
-                    gid = _mark(len(s).to_bytes(8, "little") + prefix.tobytes(), 3)
-                    again = gid in seen or doc_id is None
-                    if doc_id is not None:
-                        seen.add(gid)
-                    out.append((doc_id, len(s), _mark(data, 1), _mark(data, 2), gid, _common(s, frequent), None if again else s[: rule.leads].view(np.int64), None if again else prefix.view(np.int64)))
-                if len(seen) > 200_000:
-                    seen.clear()
-                types = (*[pa.int64()] * 6, *[pa.list_(pa.int64())] * 2)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=["doc_id", "n", "s1", "s2", "gid", "score", "leads", "prefix"])
-
-    base = cut(rows.mapInArrow(sketch, "doc_id long, n long, s1 long, s2 long, gid long, score long, leads array<long>, prefix array<long>"))
-    known = base.filter("n > 0 AND doc_id IS NOT NULL")
-    in_class = known.groupBy("s1", "s2").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("gid").alias("gid"))
-    nodes = cut(in_class.groupBy("node").agg(F.min(F.struct("gid", "n")).alias("g")).select("node", "g.gid", "g.n"))
-
-    heads = nodes.groupBy("gid").agg(F.min("node").alias("head"))
-    inside = nodes.join(heads, "gid").filter("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b"))
-    leads = base.filter("leads IS NOT NULL").select("gid", "n", "score", F.explode("leads").alias("token")).repartition("token")
-    links = _verify(_stars(leads, heads, rule).union(inside).distinct(), rows, rule)
-    labelled = cut(nodes.join(components(links), "node", "left").select("node", "gid", "n", F.coalesce("comp", "node").alias("comp")))
-
-    # One number holds 52 bits of the token and its place below; later places count as the last that fits.
-    place = F.least(F.col("pos"), F.lit(_PLACES - 1)).cast("long")
-    lists = base.filter("prefix IS NOT NULL").select("gid", F.posexplode("prefix").alias("pos", "t")).select("gid", F.shiftright("t", 12).alias("t"), place.alias("pos"))
-    lists = lists.select("gid", (F.col("t") * _PLACES + F.col("pos")).alias("tp")).repartition(F.shiftright("tp", 12))
-    token = F.shiftright("tp", 12)
-    shared = lists.withColumn("lo", F.min("gid").over(W.partitionBy(token))).withColumn("hi", F.max("gid").over(W.partitionBy(token))).filter("lo <> hi")
-    met = shared.select("tp", "gid").distinct().join(labelled.select("gid", "n", "comp").distinct(), "gid")
-    met = met.select(token.alias("token"), "gid", F.col("tp").bitwiseAND(F.lit(_PLACES - 1)).alias("pos"), "n", "comp").repartition("token")
-    rest = _cross_pairs(labelled, _open_lists(cut(_apart(met)), rule), rule)
-    links = links.union(_verify(rest, rows, rule))
-
-    by_doc = known.select("doc_id", "s1", "s2").join(in_class.select("s1", "s2", "node"), ["s1", "s2"]).join(components(links), "node", "left")
-    smallest = by_doc.groupBy("doc_id").agg(F.min(F.coalesce("comp", "node")).alias("comp"))
-    return base.select("doc_id", "n").join(smallest, "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("comp", "doc_id").alias("component_id"))
+    base = cut(shingled(_rows(docs, id_col, text_col), rule))
+    sketches = cut(sketched(base, frequent_shingles(base, rule), rule))
+    one = sketches.groupBy("s1", "s2").agg(*[F.first(c).alias(c) for c in ("n", "gid", "parity")])
+    nodes = cut(one.select(F.monotonically_increasing_id().alias("node"), "*"))
+
+    heads = nodes.groupBy("gid").agg(F.min("node").alias("head"), F.count("*").alias("members"))
+    inside = nodes.join(heads.filter("members > 1"), "gid").filter("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b"))
+    leads = sketches.filter("leads IS NOT NULL").select("gid", "n", "score", F.explode("leads").alias("token"))
+    verified = _verify(_stars(leads, heads, rule).union(inside).distinct(), base, nodes, rule)
+
+    known = base.filter("n > 0 AND doc_id IS NOT NULL").select("doc_id", "s1", "s2")
+    total = known.count()
+    owned = known.groupBy("s1", "s2").agg(F.min("doc_id").alias("doc"), F.count("*").alias("rows"))
+    links = verified.union(_same_ids(known, nodes, owned, total))
+    labelled = cut(nodes.join(components(links), "node", "left").select("node", "s1", "s2", "gid", "n", "parity", F.coalesce("comp", "node").alias("comp")))
+
+    across = _verify(_cross_pairs(labelled, _open_lists(sketches, labelled, rule), rule), base, nodes, rule)
+    comp_of = labelled.select("node", "comp")
+    merged = across.join(comp_of.toDF("a", "x"), "a").join(comp_of.toDF("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    moved = components(merged).select(F.col("node").alias("comp"), F.col("comp").alias("into"))
+    final = labelled.select("s1", "s2", "comp").join(moved, "comp", "left").select("s1", "s2", F.coalesce("into", "comp").alias("comp")).join(owned, ["s1", "s2"])
+    smallest = final.groupBy("comp").agg(F.min("doc").alias("component_id"), F.count("*").alias("sets"))
+    named = hot_join(cut(final), smallest, ["comp"], "sets", total).select("s1", "s2", "rows", "component_id")
+
+    named = cut(named)
+    sized = base.filter("n > 0 AND doc_id IS NOT NULL").select("doc_id", "n", "s1", "s2")
+    placed = hot_join(sized, named, ["s1", "s2"], "rows", total).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    others = base.filter("n = 0 OR n > 0 AND doc_id IS NULL").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    return placed.unionByName(others)
+
+
+def _same_ids(known: DataFrame, nodes: DataFrame, owned: DataFrame, total: int) -> DataFrame:
+    """a, b: the sets of one doc_id, where it has several."""
+    marks = F.struct("s1", "s2")
+    several = known.groupBy("doc_id").agg(F.min(marks).alias("lo"), F.max(marks).alias("hi")).filter("lo <> hi").select("doc_id", "lo")
+    rows = known.join(several, "doc_id").distinct()
+    number = nodes.select("s1", "s2", "node")
+    a = rows.join(number, ["s1", "s2"]).select(F.col("node").alias("a"), F.col("lo.s1").alias("s1"), F.col("lo.s2").alias("s2"))
+    return a.join(number, ["s1", "s2"]).select("a", F.col("node").alias("b")).filter("a <> b")
 
 
 def _stars(lists: DataFrame, heads: DataFrame, rule: Join) -> DataFrame:
@@ -234,22 +323,15 @@ def _stars(lists: DataFrame, heads: DataFrame, rule: Join) -> DataFrame:
     In one half of the votes the group with most frequent shingles leads a list: of near copies, the one with the
     fewest changes of its own. In the other half it's the one with the largest number.
     """
-    token = W.partitionBy("token")
-    led = lists.withColumn("lo", F.max(F.struct("score", "gid", "n")).over(token)).withColumn("hi", F.max(F.struct("gid", "n")).over(token))
-    led = led.filter((F.col("lo.gid") != F.col("gid")) | (F.col("hi.gid") != F.col("gid"))).select("token", "gid", "n", "lo", "hi").distinct()
+    first = lists.groupBy("token").agg(F.max(F.struct("score", "gid", "n")).alias("lo"), F.max(F.struct("gid", "n")).alias("hi"), F.min("gid").alias("least")).filter("least <> hi.gid")
+    led = lists.join(first.drop("least"), "token")
     met = led.select("gid", "n", F.explode(F.array(F.struct(F.lit(0).alias("end"), "lo.gid", "lo.n"), F.struct(F.lit(1).alias("end"), "hi.gid", "hi.n"))).alias("x"))
     met = met.select("gid", "n", F.col("x.end").alias("end"), F.col("x.gid").alias("other"), F.col("x.n").alias("m")).filter("gid <> other")
     met = met.filter(100 * F.least("n", "m") >= rule.percent * F.greatest("n", "m")).groupBy("gid", "n", "end", "other").agg(F.count("*").alias("c"))
     met = met.filter(5 * F.col("c") >= F.least(F.lit(rule.leads), F.col("n")))  # a few hashes in common are chance
     best = met.groupBy("gid", "end").agg(F.max(F.struct("c", "other")).alias("best")).select("gid", F.col("best.other").alias("other"))
     a = best.join(heads, "gid").select("other", F.col("head").alias("a"))
-    return a.join(heads.withColumnRenamed("gid", "other"), "other").select("a", F.col("head").alias("b"))
-
-
-def _apart(lists: DataFrame) -> DataFrame:
-    """The lists that hold two components."""
-    both = lists.withColumn("lo", F.min("comp").over(W.partitionBy("token"))).withColumn("hi", F.max("comp").over(W.partitionBy("token")))
-    return both.filter("lo <> hi").drop("lo", "hi")
+    return a.join(heads.select(F.col("gid").alias("other"), F.col("head").alias("b")), "other").select("a", "b")
 
 
 def _needed(n, m, rule: Join):
@@ -257,102 +339,145 @@ def _needed(n, m, rule: Join):
     return F.ceil(F.lit(rule.percent) * (n + m) / (100 + rule.percent))
 
 
-def _open_lists(lists: DataFrame, rule: Join) -> DataFrame:
-    """The lists without the places at which a group can't meet a partner for the first time.
+def _apart(lists: DataFrame) -> DataFrame:
+    """token, small, rows: the tokens whose lists hold two components, their smallest set and their length."""
+    found = lists.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("n").alias("small"), F.count("*").alias("rows"))
+    return found.filter("lo <> hi").select("token", "small", "rows")
+
+
+def _open_lists(sketches: DataFrame, labelled: DataFrame, rule: Join) -> DataFrame:
+    """token, gid, pos, n, comp, parity, rows: the lists in which different components can still meet.
 
     Two sets that link have their first common shingle where enough of both still follows: at place p of n
     shingles at most n - p can be common. With the smallest partner that the list holds this is a bound for each
     row; a near copy with many changes of its own, which come first, so leaves the lists of what all copies share.
+    Lists of one component go by a bitmap before anything of them is shuffled. parity is null for groups of
+    several sets, which are told apart as members only.
     """
-    small = F.greatest(F.min("n").over(W.partitionBy("token")), F.ceil(F.lit(rule.percent) * F.col("n") / 100))
-    sized = lists.withColumn("small", small)
-    return cut(_apart(sized.filter(F.col("pos") <= F.col("n") - _needed(F.col("n"), F.col("small"), rule)).select("token", "gid", "pos", "n", "comp")))
-
-
-_BITS = 25  # of the bitmap of ids below: 4 MB whatever the input
-
-
-def _places(ids: np.ndarray) -> list[np.ndarray]:
-    return [(ids.astype(np.uint64) * f) >> np.uint64(64 - _BITS) for f in (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))]
-
-
-def _bitmap(ids: DataFrame) -> np.ndarray:
-    """A Bloom filter of fixed size. Where it fills up it lets more rows through, and the join behind it drops them."""
+    one = labelled.groupBy("gid", "comp").agg(F.first("n").alias("n"), F.first("parity").alias("parity"), F.count("*").alias("members"))
+    mixed = one.groupBy("gid").agg(F.max("n").alias("n"), F.sum("members").alias("members"), F.collect_set("comp").alias("comps"), F.first("parity").alias("parity"))
+    groups = sketches.filter("prefix IS NOT NULL").select("gid", "prefix").join(mixed, "gid")
+    lists = cut(groups.select("gid", "n", "comps", F.when(F.col("members") == 1, F.col("parity")).alias("parity"), "prefix"))
+    exploded = lists.select("comps", "n", F.explode("prefix").alias("token")).select("token", "n", F.explode("comps").alias("comp"))
+    apart = bitmap(_apart(exploded).select("token"))
 
     def run(batches):
         for batch in batches:
-            bits = np.unique(np.concatenate(_places(batch.column(0).to_numpy())))
-            yield pa.RecordBatch.from_arrays([pa.array((bits >> np.uint64(6)).astype(np.int64)), pa.array((np.uint64(1) << (bits & np.uint64(63))).view(np.int64))], names=["word", "bit"])
-
-    words = ids.mapInArrow(run, "word long, bit long").groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
-    out = np.zeros(1 << _BITS - 6, np.uint64)
-    out[words.column(0).to_numpy()] = words.column(1).to_numpy().view(np.uint64)
-    return out
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                flat, sizes = part.column("prefix").flatten(), part.column("prefix").value_lengths().to_numpy()
+                tokens = flat.to_numpy()
+                start = np.cumsum(sizes) - sizes
+                pos = np.arange(len(tokens)) - np.repeat(start, sizes)
+                keep = np.flatnonzero(maybe_in(tokens, apart))
+                of = part.select(["gid", "n", "comps", "parity"]).take(pa.array(np.repeat(np.arange(part.num_rows), sizes)[keep]))
+                yield pa.RecordBatch.from_arrays([pa.array(tokens[keep]), pa.array(pos[keep], pa.int64()), *of.columns], names=["token", "pos", "gid", "n", "comps", "parity"])
 
+    some = lists.mapInArrow(run, "token long, pos long, gid long, n long, comps array<long>, parity array<long>")
+    some = cut(some.distinct().select("token", "pos", "gid", "n", "parity", F.explode("comps").alias("comp")))
+    small = F.greatest("small", F.ceil(F.lit(rule.percent) * F.col("n") / 100))
+    placed = cut(some.join(_apart(some), "token").filter(F.col("pos") <= F.col("n") - _needed(F.col("n"), small, rule)).select("token", "pos", "gid", "n", "parity", "comp"))
+    return placed.join(_apart(placed).select("token", "rows"), "token")
 
-def _texts(rows: DataFrame, pairs: DataFrame) -> DataFrame:
-    """node, z: compressed texts of what is in pairs."""
-    ids = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    bitmap = _bitmap(ids)
 
-    def squeeze(batches):
-        import zstandard
+def _differ(x: str, y: str):
+    """Bits in which two arrays of parities differ; null where one is null."""
+    bits = [F.bit_count(F.col(x)[i].bitwiseXOR(F.col(y)[i])) for i in range(_PARITY // 64)]
+    return sum(bits[1:], bits[0])
 
-        pack = zstandard.ZstdCompressor(level=3).compress
-        for batch in batches:
-            x, y = _places(batch.column(0).to_numpy())
-            maybe = (bitmap[x >> np.uint64(6)] >> (x & np.uint64(63))) & (bitmap[y >> np.uint64(6)] >> (y & np.uint64(63))) & np.uint64(1)
-            some = batch.filter(pa.array(maybe.astype(bool)))
-            yield pa.RecordBatch.from_arrays([some.column(0), pa.array([pack(t.as_py().encode()) for t in some.column(1)], pa.binary())], names=["node", "z"])
-
-    return rows.filter("doc_id IS NOT NULL").mapInArrow(squeeze, "node long, z binary")
 
+def _cross_pairs(nodes: DataFrame, lists: DataFrame, rule: Join) -> DataFrame:
+    """a, b: all pairs of nodes in different components that may meet for the first time in a list and overlap enough.
 
-def _verify(pairs: DataFrame, rows: DataFrame, rule: Join) -> DataFrame:
-    """The pairs (a, b) that link, by the intersection of their whole sets."""
+    A list is joined by classes of size, of which only neighbours can link, and a long one block by block.
+    """
+    step = -math.log(rule.percent / 100) * (1 + 1e-6)  # a little more, so that rounding can't part two sets by two classes
+    level = F.floor(F.log(F.col("n")) / step).cast("int")
+    blocks = F.ceil(F.col("rows") / _BLOCK).cast("int")
+    mine = F.pmod(F.xxhash64("gid", "comp"), blocks).cast("int")
+    rows = lists.select("token", "pos", "gid", "n", "parity", "comp", level.alias("level"), blocks.alias("blocks"), mine.alias("block"))
+    column = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    x = rows.select(*[F.col(c).alias(c + "1") for c in ("pos", "gid", "n", "parity", "comp")], "token", F.col("block").alias("row"), column.alias("column"), "level")
+    y = rows.withColumn("at", F.explode(F.sequence(F.col("level") - 1, F.col("level") + 1)))
+    y = y.select(*[F.col(c).alias(c + "2") for c in ("pos", "gid", "n", "parity", "comp")], "token", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("row"), F.col("block").alias("column"), F.col("at").alias("level"))
+    needed = _needed(F.col("n1"), F.col("n2"), rule)
+    fits = (100 * F.least("n1", "n2") >= rule.percent * F.greatest("n1", "n2")) & (F.col("pos1") <= F.col("n1") - needed) & (F.col("pos2") <= F.col("n2") - needed)
+    close = F.coalesce(_differ("parity1", "parity2") <= F.col("n1") + F.col("n2") - 2 * needed, F.lit(True))
+    groups = x.join(y, ["token", "row", "column", "level"]).filter((F.col("comp1") < F.col("comp2")) & (F.col("gid1") != F.col("gid2")) & fits & close)
+    groups = groups.select("gid1", "comp1", "gid2", "comp2").distinct()
+    member = lambda k: nodes.select(*[F.col(c).alias(c + k) for c in ("gid", "comp", "node", "n", "parity")])
+    both = groups.join(member("1"), ["gid1", "comp1"]).join(member("2"), ["gid2", "comp2"]).filter(close).select(F.col("node1").alias("a"), F.col("node2").alias("b"))
+    # Members of one group that its head didn't join.
+    mixed = nodes.groupBy("gid").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("members")).filter("lo <> hi")
+    own = nodes.join(mixed.select("gid", F.ceil(F.col("members") / _BLOCK).cast("int").alias("blocks")), "gid").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    x = own.select("gid", F.col("node").alias("a"), F.col("comp").alias("comp1"), F.col("n").alias("n1"), F.col("parity").alias("parity1"), F.col("block").alias("row"), every.alias("column"))
+    y = own.select("gid", F.col("node").alias("b"), F.col("comp").alias("comp2"), F.col("n").alias("n2"), F.col("parity").alias("parity2"), every.alias("row"), F.col("block").alias("column"))
+    within = x.join(y, ["gid", "row", "column"]).filter((F.col("comp1") < F.col("comp2")) & close).select("a", "b")
+    return both.union(within).distinct()
+
+
+def _verify(pairs: DataFrame, base: DataFrame, nodes: DataFrame, rule: Join) -> DataFrame:
+    """The pairs (a, b) of nodes that link, by the intersection of their whole sets.
+
+    Each set is brought once; a node with more than a thousandth of all pairs is brought to several tasks.
+    """
     pairs = cut(pairs)
-    texts = _texts(rows, pairs)
-
-    def run(batches):
-        import zstandard
-
-        unpack, of, cache = zstandard.ZstdDecompressor().decompress, Shingler(rule.width), {}
+    total = pairs.count()
+    ids = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    wanted = cut(nodes.select("node", "s1", "s2").join(ids, "node"))
+    marks = bitmap(wanted.select("s1"))
 
-        def shingles(node, z):
-            if node not in cache:
-                if len(cache) > 500:
-                    cache.clear()
-                cache[node] = of(unpack(z, max_output_size=2**31 - 1).decode())
-            return cache[node]
+    def some(batches):
+        seen = set()
+        for batch in batches:
+            keep = maybe_in(batch.column(0).to_numpy(), marks)
+            for i in np.flatnonzero(keep):
+                key = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
+                keep[i] = key not in seen
+                seen.add(key)
+            if len(seen) > 100_000:
+                seen.clear()
+            yield batch.filter(pa.array(keep))
+
+    sets = base.filter("n > 0 AND doc_id IS NOT NULL").select("s1", "s2", "set").mapInArrow(some, "s1 long, s2 long, set binary")
+    sets = wanted.join(sets.groupBy("s1", "s2").agg(F.first("set").alias("set")), ["s1", "s2"]).select("node", "set")
 
+    def run(batches):
         for batch in batches:
-            out = []
-            for a, b, za, zb in zip(*(batch.column(k).to_pylist() for k in ("a", "b", "za", "zb"))):
-                x, y = shingles(a, za), shingles(b, zb)
-                both = len(np.intersect1d(x, y, assume_unique=True))
+            a, b, last, y = batch.column("a").to_pylist(), batch.column("b").to_pylist(), None, None
+            left, right, out = batch.column("set_a"), batch.column("set_b"), []
+            for i in range(batch.num_rows):
+                if b[i] != last:
+                    last, y = b[i], np.frombuffer(right[i].as_buffer(), np.uint64)
+                x = np.frombuffer(left[i].as_buffer(), np.uint64)
+                at = np.minimum(np.searchsorted(y, x), len(y) - 1)
+                both = int((y[at] == x).sum())
                 if 100 * both >= rule.percent * (len(x) + len(y) - both):
-                    out.append((a, b))
+                    out.append((a[i], b[i]))
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
-    with_a = pairs.join(texts.toDF("a", "za"), "a")
-    return cut(with_a.join(texts.toDF("b", "zb"), "b").select("a", "b", "za", "zb").mapInArrow(run, "a long, b long"))
-
-
-def _cross_pairs(nodes: DataFrame, lists: DataFrame, rule: Join) -> DataFrame:
-    """a, b: all pairs of nodes in different components that may meet for the first time in a list and overlap enough."""
-    x, y = lists.toDF("token", "g1", "p1", "n1", "c1"), lists.toDF("token", "g2", "p2", "n2", "c2")
-    needed = _needed(F.col("n1"), F.col("n2"), rule)
-    near = (F.col("c1") < F.col("c2")) & (100 * F.least("n1", "n2") >= rule.percent * F.greatest("n1", "n2")) & (F.col("p1") <= F.col("n1") - needed) & (F.col("p2") <= F.col("n2") - needed)
-    groups = x.join(y, "token").filter(near).select("g1", "c1", "g2", "c2").distinct()
-    first = groups.join(nodes.select(F.col("gid").alias("g1"), F.col("comp").alias("c1"), F.col("node").alias("a")), ["g1", "c1"])
-    across = first.join(nodes.select(F.col("gid").alias("g2"), F.col("comp").alias("c2"), F.col("node").alias("b")), ["g2", "c2"]).select("a", "b")
-    mixed = nodes.groupBy("gid").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("gid")
-    own = nodes.join(mixed, "gid", "left_semi")
-    within = own.select("gid", F.col("comp").alias("c1"), F.col("node").alias("a")).join(own.select("gid", F.col("comp").alias("c2"), F.col("node").alias("b")), "gid").filter("c1 < c2").select("a", "b")
-    return across.union(within).distinct()
+    hot = F.broadcast(pairs.groupBy("b").agg(F.count("*").alias("c")).filter(F.col("c") > F.lit(total / 1000)).select("b"))  # fewer than a thousand
+    salt = lambda df: df.join(hot.withColumn("hub", F.lit(True)), "b", "left")
+    with_a = pairs.join(sets.toDF("a", "set_a"), "a")
+    left = salt(with_a).withColumn("salt", F.when(F.col("hub"), F.pmod(F.xxhash64("a"), F.lit(_HUB))).otherwise(F.lit(0)).cast("int")).drop("hub")
+    right = salt(sets.toDF("b", "set_b")).withColumn("salt", F.explode(F.when(F.col("hub"), F.sequence(F.lit(0), F.lit(_HUB - 1))).otherwise(F.array(F.lit(0))))).drop("hub")
+    return cut(left.join(right, ["b", "salt"]).select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long"))
 
 
 def keep_one(docs: DataFrame, rule: Join = Join(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """`docs` with the smallest doc_id of each component, in all columns. Rows with a null doc_id stay."""
-    gone = link_components(docs, rule, id_col, text_col).filter("component_id <> doc_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs[id_col] == F.col("__gone"), "left_anti")
+    """`docs` with one row of each component, in all columns: that with the smallest doc_id.
+
+    Of several rows with this id the one whose text has the smallest hash stays. Rows with a null doc_id and rows
+    without words link with nothing and stay, all of them.
+    """
+    found = link_components(docs, rule, id_col, text_col).filter("n_shingles > 0 AND doc_id IS NOT NULL")
+    marked = cut(found.groupBy("doc_id").agg(F.min("component_id").alias("component_id"), F.count("*").alias("rows")).filter("component_id <> doc_id OR rows > 1"))
+    marked = marked.select(F.col("doc_id").alias("__id"), (F.col("component_id") == F.col("doc_id")).alias("__again"))
+    number = docs[id_col].cast("long")
+    worded = F.coalesce(docs[text_col], F.lit("")).rlike(r"[^\x20\x09-\x0D]") & number.isNotNull()
+    judged = docs.withColumn("__maybe", F.coalesce(worded & maybe(number, bitmap(marked.select("__id"))), F.lit(False)))
+    moved = judged.filter("__maybe").drop("__maybe").withColumn("__id", number).join(marked, "__id", "left")
+    again = moved.filter("__again").select("__id", F.struct(*docs.columns).alias("row"), F.struct(F.sha2(F.coalesce(text_col, F.lit("")), 256), F.to_json(F.struct(*docs.columns))).alias("key"))
+    again = again.groupBy("__id").agg(F.min_by("row", "key").alias("row")).select("row.*")
+    return judged.filter("NOT __maybe").drop("__maybe").unionByName(moved.filter("__again IS NULL").select(*docs.columns)).unionByName(again)

@@ -12,8 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hearthlog.llm.common import cut
-from hearthlog.llm.ngram_join import _bitmap, _places
+from hearthlog.llm.common import bitmap, cut, maybe_in
 
 KINDS = ("email", "ip", "card", "phone", "term")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -121,8 +120,7 @@ def distinct_texts(rows: DataFrame, repeated: np.ndarray) -> DataFrame:
                 for at in range(0, batch.num_rows, 500):
                     rows = batch.slice(at, 500)
                     docs = rows.column(0).to_numpy()
-                    x, y = _places(docs)
-                    maybe = ((repeated[x >> np.uint64(6)] >> (x & np.uint64(63))) & (repeated[y >> np.uint64(6)] >> (y & np.uint64(63))) & np.uint64(1)).astype(bool)
+                    maybe = maybe_in(docs, repeated)
                     if again and maybe.any():
                         for i in np.flatnonzero(maybe):
                             maybe[i] = int(docs[i]) not in seen
@@ -205,7 +203,7 @@ def disclosing_terms(docs: DataFrame, rule: Disclosure = Disclosure(), id_col: s
 
 def _disclosing(rows: DataFrame, suspects: DataFrame, rule: Disclosure) -> DataFrame:
     counts = text_counts(rows)
-    repeated = _bitmap(counts.filter("copies > 1").select("doc"))
+    repeated = bitmap(counts.filter("copies > 1").select("doc"))
     near = contexts(distinct_texts(suspects, repeated), rule.window).groupBy("entity", "term", "context").agg(F.sum("docs").alias("docs"))
     both = near.groupBy("entity", "term").agg(F.count("*").alias("contexts"), F.sum("docs").alias("docs"))
     pairs = both.filter((F.col("term") != "") & (F.col("contexts") >= rule.least_contexts))
