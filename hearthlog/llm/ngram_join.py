@@ -216,49 +216,58 @@ def _common(shingles: np.ndarray, frequent: tuple[np.ndarray, np.ndarray]) -> in
     return int(1000 * (frequent[0][at] == shingles).mean())
 
 
-_PARITY = 512  # bits of a set's parities
+_PARITY = 512  # bits of a set's parities where lists are joined
+_SHORT = 8  # rows of a list up to which it is joined as it is
 _BLOCK = 2000  # rows of a list that are tried against each other in one piece
 _HUB = 16  # tasks that share the pairs of a set which many others are tried against
 
 
-def parities(shingles: np.ndarray) -> list[int]:
-    """A set's parities: bit i tells whether an odd number of its hashes fall in cell i.
+def parities(shingles: np.ndarray) -> np.ndarray:
+    """A set's parities: bit i tells whether an odd number of its hashes end in i. It has about a bit for each shingle.
 
     Two sets differ in at least as many shingles as their parities differ in bits, so linked sets of n and m differ
     in at most n + m less twice the needed overlap bits.
     """
-    odd = np.bincount((shingles >> np.uint64(55)).astype(np.int64), minlength=_PARITY) & 1
-    return np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
+    bits = max(_PARITY, 1 << (len(shingles) - 1).bit_length())
+    odd = np.bincount((shingles & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def folded(parity: np.ndarray, words: int) -> np.ndarray:
+    """The parities of fewer cells, which are those of the halves together."""
+    while len(parity) > words:
+        parity = parity[: len(parity) // 2] ^ parity[len(parity) // 2 :]
+    return parity
 
 
 def sketched(base: DataFrame, frequent: tuple[np.ndarray, np.ndarray], rule: Join) -> DataFrame:
-    """s1, s2, n, gid, score, parity of each set that a task meets first; leads and prefix where it meets the group first."""
-    names = ["s1", "s2", "n", "gid", "score", "parity", "leads", "prefix"]
-    kinds = (*[pa.int64()] * 5, *[pa.list_(pa.int64())] * 3)
+    """rid, s1, s2, n, gid, score, parity, fold of each set that a task meets first; leads and prefix where it meets the group first."""
+    names = ["rid", "s1", "s2", "n", "gid", "score", "parity", "fold", "leads", "prefix"]
+    kinds = (*[pa.int64()] * 6, *[pa.list_(pa.int64())] * 4)
 
     def run(batches):
         seen, met = set(), set()
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part, out = batch.slice(at, 500), []
-                for s1, s2, data in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2)):
+                for rid, s1, s2, data in zip(*(part.column(k).to_pylist() for k in range(3)), part.column(3)):
                     if (s1, s2) in seen:
                         continue
                     seen.add((s1, s2))
                     s = np.frombuffer(data.as_buffer(), np.uint64)
                     prefix = prefix_of(s, frequent, rule.percent)
                     gid = _mark(len(s).to_bytes(8, "little") + prefix.tobytes(), 3)
-                    new = gid not in met
+                    new, parity = gid not in met, parities(s)
                     met.add(gid)
-                    out.append((s1, s2, len(s), gid, _common(s, frequent), parities(s), s[: rule.leads].view(np.int64) if new else None, prefix.view(np.int64) if new else None))
+                    out.append((rid, s1, s2, len(s), gid, _common(s, frequent), parity, folded(parity, _PARITY // 64), s[: rule.leads].view(np.int64) if new else None, prefix.view(np.int64) if new else None))
                 if len(seen) > 100_000:
                     seen.clear()
                     met.clear()
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=names)
 
-    rows = base.filter("n > 0 AND doc_id IS NOT NULL").select("s1", "s2", "set")
-    return rows.mapInArrow(run, "s1 long, s2 long, n long, gid long, score long, parity array<long>, leads array<long>, prefix array<long>")
+    rows = base.filter("n > 0 AND doc_id IS NOT NULL").select("rid", "s1", "s2", "set")
+    return rows.mapInArrow(run, "rid long, s1 long, s2 long, n long, gid long, score long, parity array<long>, fold array<long>, leads array<long>, prefix array<long>")
 
 
 def link_components(docs: DataFrame, rule: Join = Join(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -276,10 +285,10 @@ def link_components(docs: DataFrame, rule: Join = Join(), id_col: str = "doc_id"
     have no shingles and link with nothing. Rows that share a doc_id count as linked, whatever their texts; a null
     doc_id gets a null component. Empty tables give empty results; other columns are ignored.
     """
-    base = cut(shingled(_rows(docs, id_col, text_col), rule))
+    base = cut(shingled(_rows(docs, id_col, text_col), rule).withColumn("rid", F.monotonically_increasing_id()))
     sketches = cut(sketched(base, frequent_shingles(base, rule), rule))
-    one = sketches.groupBy("s1", "s2").agg(*[F.first(c).alias(c) for c in ("n", "gid", "parity")])
-    nodes = cut(one.select(F.monotonically_increasing_id().alias("node"), "*"))
+    one = sketches.groupBy("s1", "s2").agg(F.min(F.struct("rid", "n", "gid", "parity", "fold")).alias("x"))
+    nodes = cut(one.select(F.col("x.rid").alias("node"), "s1", "s2", "x.n", "x.gid", "x.parity", "x.fold"))
 
     heads = nodes.groupBy("gid").agg(F.min("node").alias("head"), F.count("*").alias("members"))
     inside = nodes.join(heads.filter("members > 1"), "gid").filter("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b"))
@@ -290,7 +299,7 @@ def link_components(docs: DataFrame, rule: Join = Join(), id_col: str = "doc_id"
     total = known.count()
     owned = known.groupBy("s1", "s2").agg(F.min("doc_id").alias("doc"), F.count("*").alias("rows"))
     links = verified.union(_same_ids(known, nodes, owned, total))
-    labelled = cut(nodes.join(components(links), "node", "left").select("node", "s1", "s2", "gid", "n", "parity", F.coalesce("comp", "node").alias("comp")))
+    labelled = cut(nodes.join(components(links), "node", "left").select("node", "s1", "s2", "gid", "n", "fold", F.coalesce("comp", "node").alias("comp")))
 
     across = _verify(_cross_pairs(labelled, _open_lists(sketches, labelled, rule), rule), base, nodes, rule)
     comp_of = labelled.select("node", "comp")
@@ -339,109 +348,126 @@ def _needed(n, m, rule: Join):
     return F.ceil(F.lit(rule.percent) * (n + m) / (100 + rule.percent))
 
 
-def _apart(lists: DataFrame) -> DataFrame:
-    """token, small, rows: the tokens whose lists hold two components, their smallest set and their length."""
-    found = lists.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("n").alias("small"), F.count("*").alias("rows"))
-    return found.filter("lo <> hi").select("token", "small", "rows")
+def _apart(lists: DataFrame, *more) -> DataFrame:
+    """The tokens whose lists hold two components, and what else is asked for."""
+    found = lists.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), *more)
+    return found.filter("lo <> hi").drop("lo", "hi")
 
 
 def _open_lists(sketches: DataFrame, labelled: DataFrame, rule: Join) -> DataFrame:
-    """token, gid, pos, n, comp, parity, rows: the lists in which different components can still meet.
+    """token, gid, pos, n, comp, rows: the lists in which different components can still meet, and how long they are.
 
     Two sets that link have their first common shingle where enough of both still follows: at place p of n
     shingles at most n - p can be common. With the smallest partner that the list holds this is a bound for each
     row; a near copy with many changes of its own, which come first, so leaves the lists of what all copies share.
-    Lists of one component go by a bitmap before anything of them is shuffled. parity is null for groups of
-    several sets, which are told apart as members only.
+    Lists of one component go by a bitmap before anything of them is shuffled.
     """
-    one = labelled.groupBy("gid", "comp").agg(F.first("n").alias("n"), F.first("parity").alias("parity"), F.count("*").alias("members"))
-    mixed = one.groupBy("gid").agg(F.max("n").alias("n"), F.sum("members").alias("members"), F.collect_set("comp").alias("comps"), F.first("parity").alias("parity"))
-    groups = sketches.filter("prefix IS NOT NULL").select("gid", "prefix").join(mixed, "gid")
-    lists = cut(groups.select("gid", "n", "comps", F.when(F.col("members") == 1, F.col("parity")).alias("parity"), "prefix"))
-    exploded = lists.select("comps", "n", F.explode("prefix").alias("token")).select("token", "n", F.explode("comps").alias("comp"))
-    apart = bitmap(_apart(exploded).select("token"))
+    comps = labelled.groupBy("gid").agg(F.first("n").alias("n"), F.collect_set("comp").alias("comps"))
+    prefixes = sketches.filter("prefix IS NOT NULL").groupBy("gid").agg(F.first("prefix").alias("prefix"))
+    lists = cut(prefixes.join(comps, "gid"))
+    exploded = lists.select("comps", F.explode("prefix").alias("token")).select("token", F.explode("comps").alias("comp"))
+    apart = bitmap(_apart(exploded))
 
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                flat, sizes = part.column("prefix").flatten(), part.column("prefix").value_lengths().to_numpy()
-                tokens = flat.to_numpy()
-                start = np.cumsum(sizes) - sizes
-                pos = np.arange(len(tokens)) - np.repeat(start, sizes)
+                tokens, sizes = part.column("prefix").flatten().to_numpy(), part.column("prefix").value_lengths().to_numpy()
+                pos = np.arange(len(tokens)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
                 keep = np.flatnonzero(maybe_in(tokens, apart))
-                of = part.select(["gid", "n", "comps", "parity"]).take(pa.array(np.repeat(np.arange(part.num_rows), sizes)[keep]))
-                yield pa.RecordBatch.from_arrays([pa.array(tokens[keep]), pa.array(pos[keep], pa.int64()), *of.columns], names=["token", "pos", "gid", "n", "comps", "parity"])
+                of = part.select(["gid", "n", "comps"]).take(pa.array(np.repeat(np.arange(part.num_rows), sizes)[keep]))
+                yield pa.RecordBatch.from_arrays([pa.array(tokens[keep]), pa.array(pos[keep], pa.int64()), *of.columns], names=["token", "pos", "gid", "n", "comps"])
 
-    some = lists.mapInArrow(run, "token long, pos long, gid long, n long, comps array<long>, parity array<long>")
-    some = cut(some.distinct().select("token", "pos", "gid", "n", "parity", F.explode("comps").alias("comp")))
+    some = lists.mapInArrow(run, "token long, pos long, gid long, n long, comps array<long>")
+    some = cut(some.select("token", "pos", "gid", "n", F.explode("comps").alias("comp")))
     small = F.greatest("small", F.ceil(F.lit(rule.percent) * F.col("n") / 100))
-    placed = cut(some.join(_apart(some), "token").filter(F.col("pos") <= F.col("n") - _needed(F.col("n"), small, rule)).select("token", "pos", "gid", "n", "parity", "comp"))
-    return placed.join(_apart(placed).select("token", "rows"), "token")
+    met = some.join(_apart(some, F.min("n").alias("small"), F.count("*").alias("rows")), "token")
+    return met.filter(F.col("pos") <= F.col("n") - _needed(F.col("n"), small, rule)).drop("small")
+
 
+def _close(rule: Join):
+    """Whether the parities of fold1 and fold2 allow sets of n1 and n2 to link; null where one isn't known."""
+    bits = [F.bit_count(F.col("fold1")[i].bitwiseXOR(F.col("fold2")[i])) for i in range(_PARITY // 64)]
+    return sum(bits[1:], bits[0]) <= F.col("n1") + F.col("n2") - 2 * _needed(F.col("n1"), F.col("n2"), rule)
 
-def _differ(x: str, y: str):
-    """Bits in which two arrays of parities differ; null where one is null."""
-    bits = [F.bit_count(F.col(x)[i].bitwiseXOR(F.col(y)[i])) for i in range(_PARITY // 64)]
-    return sum(bits[1:], bits[0])
+
+def _sides(rows: DataFrame, columns: list[str], keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Both sides of a join of rows with themselves: keys as they are, the other columns with 1 and 2 behind their names."""
+    return tuple(rows.select(*keys, *[F.col(c).alias(f"{c}{k}") for c in columns]) for k in (1, 2))
+
+
+def _blocks(rows: DataFrame, size: str, key: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Deals rows out to pairs of blocks, so that any two rows of a list meet in one pair, and no piece is too large."""
+    split = rows.withColumn("blocks", F.ceil(F.col(size) / _BLOCK).cast("int")).withColumn("mine", F.pmod(F.xxhash64(*key), F.col("blocks")).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    drop = ("blocks", "mine", size)
+    return split.withColumn("row", F.col("mine")).withColumn("column", every).drop(*drop), split.withColumn("row", every).withColumn("column", F.col("mine")).drop(*drop)
 
 
 def _cross_pairs(nodes: DataFrame, lists: DataFrame, rule: Join) -> DataFrame:
     """a, b: all pairs of nodes in different components that may meet for the first time in a list and overlap enough.
 
-    A list is joined by classes of size, of which only neighbours can link, and a long one block by block.
+    A short list is joined as it is. A longer one is joined block by block and by classes of size, of which only
+    neighbours can link, and its pairs must pass the filter by parities, which only groups of one set have.
     """
+    needed = _needed(F.col("n1"), F.col("n2"), rule)
+    fits = (F.col("comp1") < F.col("comp2")) & (F.col("gid1") != F.col("gid2")) & (100 * F.least("n1", "n2") >= rule.percent * F.greatest("n1", "n2"))
+    fits &= (F.col("pos1") <= F.col("n1") - needed) & (F.col("pos2") <= F.col("n2") - needed)
+    columns = ["pos", "gid", "n", "comp"]
+    x, y = _sides(lists.filter(F.col("rows") <= _SHORT), columns, ["token"])
+    found = x.join(y, "token").filter(fits).select("gid1", "comp1", "gid2", "comp2")
+
     step = -math.log(rule.percent / 100) * (1 + 1e-6)  # a little more, so that rounding can't part two sets by two classes
     level = F.floor(F.log(F.col("n")) / step).cast("int")
-    blocks = F.ceil(F.col("rows") / _BLOCK).cast("int")
-    mine = F.pmod(F.xxhash64("gid", "comp"), blocks).cast("int")
-    rows = lists.select("token", "pos", "gid", "n", "parity", "comp", level.alias("level"), blocks.alias("blocks"), mine.alias("block"))
-    column = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    x = rows.select(*[F.col(c).alias(c + "1") for c in ("pos", "gid", "n", "parity", "comp")], "token", F.col("block").alias("row"), column.alias("column"), "level")
-    y = rows.withColumn("at", F.explode(F.sequence(F.col("level") - 1, F.col("level") + 1)))
-    y = y.select(*[F.col(c).alias(c + "2") for c in ("pos", "gid", "n", "parity", "comp")], "token", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("row"), F.col("block").alias("column"), F.col("at").alias("level"))
-    needed = _needed(F.col("n1"), F.col("n2"), rule)
-    fits = (100 * F.least("n1", "n2") >= rule.percent * F.greatest("n1", "n2")) & (F.col("pos1") <= F.col("n1") - needed) & (F.col("pos2") <= F.col("n2") - needed)
-    close = F.coalesce(_differ("parity1", "parity2") <= F.col("n1") + F.col("n2") - 2 * needed, F.lit(True))
-    groups = x.join(y, ["token", "row", "column", "level"]).filter((F.col("comp1") < F.col("comp2")) & (F.col("gid1") != F.col("gid2")) & fits & close)
-    groups = groups.select("gid1", "comp1", "gid2", "comp2").distinct()
-    member = lambda k: nodes.select(*[F.col(c).alias(c + k) for c in ("gid", "comp", "node", "n", "parity")])
-    both = groups.join(member("1"), ["gid1", "comp1"]).join(member("2"), ["gid2", "comp2"]).filter(close).select(F.col("node1").alias("a"), F.col("node2").alias("b"))
+    alone = nodes.groupBy("gid").agg(F.first("fold").alias("fold"), F.count("*").alias("members")).select("gid", F.when(F.col("members") == 1, F.col("fold")).alias("fold"))
+    long = cut(lists.filter(F.col("rows") > _SHORT).join(alone, "gid"))
+    x, y = _blocks(long.withColumn("level", level), "rows", ["gid", "comp"])
+    y = y.withColumn("level", F.explode(F.sequence(F.col("level") - 1, F.col("level") + 1)))
+    columns, keys = [*columns, "fold"], ["token", "row", "column", "level"]
+    found = found.union(_sides(x, columns, keys)[0].join(_sides(y, columns, keys)[1], keys).filter(fits & F.coalesce(_close(rule), F.lit(True))).select("gid1", "comp1", "gid2", "comp2"))
+    x, y = _sides(nodes, ["node"], ["gid", "comp"])
+    both = found.distinct().join(x.toDF("gid1", "comp1", "a"), ["gid1", "comp1"]).join(y.toDF("gid2", "comp2", "b"), ["gid2", "comp2"]).select("a", "b")
+
     # Members of one group that its head didn't join.
-    mixed = nodes.groupBy("gid").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("members")).filter("lo <> hi")
-    own = nodes.join(mixed.select("gid", F.ceil(F.col("members") / _BLOCK).cast("int").alias("blocks")), "gid").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    x = own.select("gid", F.col("node").alias("a"), F.col("comp").alias("comp1"), F.col("n").alias("n1"), F.col("parity").alias("parity1"), F.col("block").alias("row"), every.alias("column"))
-    y = own.select("gid", F.col("node").alias("b"), F.col("comp").alias("comp2"), F.col("n").alias("n2"), F.col("parity").alias("parity2"), every.alias("row"), F.col("block").alias("column"))
-    within = x.join(y, ["gid", "row", "column"]).filter((F.col("comp1") < F.col("comp2")) & close).select("a", "b")
-    return both.union(within).distinct()
+    mixed = nodes.groupBy("gid").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("members")).filter("lo <> hi").select("gid", "members")
+    x, y = _blocks(nodes.join(mixed, "gid").select("gid", "node", "comp", "n", "fold", "members"), "members", ["node"])
+    columns, keys = ["node", "comp", "n", "fold"], ["gid", "row", "column"]
+    within = _sides(x, columns, keys)[0].join(_sides(y, columns, keys)[1], keys).filter((F.col("comp1") < F.col("comp2")) & _close(rule))
+    return both.union(within.select("node1", "node2")).distinct()
+
+
+def _may_link(pairs: DataFrame, nodes: DataFrame, rule: Join) -> DataFrame:
+    """The pairs whose sizes and whole parities allow a link."""
+
+    def run(batches):
+        for batch in batches:
+            n, m = (batch.column(c).to_numpy() for c in ("n1", "n2"))
+            keep = 100 * np.minimum(n, m) >= rule.percent * np.maximum(n, m)
+            most = n + m - 2 * -(-rule.percent * (n + m) // (100 + rule.percent))
+            x, y = batch.column("parity1"), batch.column("parity2")
+            for i in np.flatnonzero(keep):
+                a, b = x[i].values.to_numpy(), y[i].values.to_numpy()
+                words = min(len(a), len(b))
+                keep[i] = np.bitwise_count((folded(a, words) ^ folded(b, words)).view(np.uint64)).sum() <= most[i]
+            yield batch.select(["a", "b"]).filter(pa.array(keep))
+
+    x, y = _sides(nodes, ["n", "parity"], ["node"])
+    both = pairs.join(x.withColumnRenamed("node", "a"), "a").join(y.withColumnRenamed("node", "b"), "b")
+    return both.select("a", "b", "n1", "n2", "parity1", "parity2").mapInArrow(run, "a long, b long")
 
 
 def _verify(pairs: DataFrame, base: DataFrame, nodes: DataFrame, rule: Join) -> DataFrame:
-    """The pairs (a, b) of nodes that link, by the intersection of their whole sets.
+    """The pairs (a, b) of nodes that link: by their parities first, then by the intersection of their whole sets.
 
-    Each set is brought once; a node with more than a thousandth of all pairs is brought to several tasks.
+    Each set is dealt out once, and that of `a` once more to where `b` is. A node that is `b` in more than a
+    thousandth of the pairs, as at most a thousand are, has its pairs in several tasks.
     """
-    pairs = cut(pairs)
-    total = pairs.count()
-    ids = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    wanted = cut(nodes.select("node", "s1", "s2").join(ids, "node"))
-    marks = bitmap(wanted.select("s1"))
+    pairs = cut(_may_link(pairs, nodes, rule))
+    marks = bitmap(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
 
     def some(batches):
-        seen = set()
         for batch in batches:
-            keep = maybe_in(batch.column(0).to_numpy(), marks)
-            for i in np.flatnonzero(keep):
-                key = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
-                keep[i] = key not in seen
-                seen.add(key)
-            if len(seen) > 100_000:
-                seen.clear()
-            yield batch.filter(pa.array(keep))
-
-    sets = base.filter("n > 0 AND doc_id IS NOT NULL").select("s1", "s2", "set").mapInArrow(some, "s1 long, s2 long, set binary")
-    sets = wanted.join(sets.groupBy("s1", "s2").agg(F.first("set").alias("set")), ["s1", "s2"]).select("node", "set")
+            yield batch.filter(pa.array(maybe_in(batch.column(0).to_numpy(), marks)))
 
     def run(batches):
         for batch in batches:
@@ -457,12 +483,16 @@ def _verify(pairs: DataFrame, base: DataFrame, nodes: DataFrame, rule: Join) ->
                     out.append((a[i], b[i]))
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
-    hot = F.broadcast(pairs.groupBy("b").agg(F.count("*").alias("c")).filter(F.col("c") > F.lit(total / 1000)).select("b"))  # fewer than a thousand
-    salt = lambda df: df.join(hot.withColumn("hub", F.lit(True)), "b", "left")
-    with_a = pairs.join(sets.toDF("a", "set_a"), "a")
-    left = salt(with_a).withColumn("salt", F.when(F.col("hub"), F.pmod(F.xxhash64("a"), F.lit(_HUB))).otherwise(F.lit(0)).cast("int")).drop("hub")
-    right = salt(sets.toDF("b", "set_b")).withColumn("salt", F.explode(F.when(F.col("hub"), F.sequence(F.lit(0), F.lit(_HUB - 1))).otherwise(F.array(F.lit(0))))).drop("hub")
-    return cut(left.join(right, ["b", "salt"]).select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long"))
+    sets = base.filter("n > 0 AND doc_id IS NOT NULL").select("rid", "set").mapInArrow(some, "node long, set binary")
+    hubs = [r["b"] for r in pairs.groupBy("b").agg(F.count("*").alias("c")).filter(F.col("c") > max(_BLOCK, pairs.count() // 1000)).collect()]  # fewer than a thousand
+    few = pairs.filter(~F.col("b").isin(hubs)) if hubs else pairs
+    both = few.join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b").select("a", "b", "set_a", "set_b")
+    if hubs:
+        salt = F.pmod(F.xxhash64("a"), F.lit(_HUB)).cast("int").alias("salt")
+        left = pairs.filter(F.col("b").isin(hubs)).join(sets.toDF("a", "set_a"), "a").select("a", "b", "set_a", salt)
+        right = sets.toDF("b", "set_b").filter(F.col("b").isin(hubs)).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_HUB - 1))))
+        both = both.unionByName(left.join(right, ["b", "salt"]).select("a", "b", "set_a", "set_b"))
+    return cut(both.mapInArrow(run, "a long, b long"))
 
 
 def keep_one(docs: DataFrame, rule: Join = Join(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
