@@ -15,15 +15,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from hearthlog.llm.bpe import bytes_of
 from hearthlog.llm.common import SegmentCache, cut, shuffle_partitions
 
 
 class IdCache:
-    """Encodes by a tokenizers file; segments are encoded once each.
+    """Encodes by a tokenizers file; frequent segments are encoded once each.
 
-    A byte-level BPE whose merges are in the order of their ids is the same as one by ranks, which tiktoken
-    runs several times faster; for other files, and for texts that spell a special token, tokenizers itself runs.
+    Segments are as SegmentCache has them, which suits pre-tokenisers of the byte-level pattern alone. With other
+    ones, and for texts that spell a special token, texts are encoded whole.
     """
 
     def __init__(self, path: str):
@@ -32,35 +31,19 @@ class IdCache:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.ranked = self._by_ranks()
+        spec = json.loads(self.tokenizer.to_str())
+        level = spec["pre_tokenizer"] or {}
+        self.by_segments = not spec["normalizer"] and level.get("type") == "ByteLevel" and level.get("use_regex") and not level.get("add_prefix_space")
         self.cache = SegmentCache(self._encode)
 
-    def _by_ranks(self):
-        import public_tokenizers
-        import tiktoken
-
-        spec = json.loads(self.tokenizer.to_str())
-        level, model = spec["pre_tokenizer"] or {}, spec["model"]
-        vocab = model.get("vocab") or {}
-        pairs = [m if isinstance(m, list) else m.split(" ") for m in model.get("merges") or []]
-        made = [vocab.get("".join(m), -1) for m in pairs]
-        plain = not spec["normalizer"] and level.get("type") == "ByteLevel" and level.get("use_regex") and not level.get("add_prefix_space") and model["type"] == "BPE"
-        if not plain or model.get("ignore_merges") or made != sorted(set(made)) or len(vocab) != 256 + len(made):
-            return None
-        ranks = {bytes_of(t): i for t, i in vocab.items() if t not in self.special}
-        return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-
-    def _encode(self, segment: str) -> bytes:
-        return array("I", self.ranked.encode_ordinary(segment)).tobytes() if self.ranked else self._encode_whole(segment)
-
-    def _encode_whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    def _encode(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def encode(self, texts: list[str]):
         """Yields the ids of each text as bytes."""
-        odd = {i for i, t in enumerate(texts) if any(s in t for s in self.special)}
-        for i, ids in enumerate(self.cache.encode(["" if i in odd else t for i, t in enumerate(texts)])):
-            yield self._encode_whole(texts[i]) if i in odd else ids
+        whole = {i for i, t in enumerate(texts) if not self.by_segments or any(s in t for s in self.special)}
+        for i, ids in enumerate(self.cache.encode(["" if i in whole else t for i, t in enumerate(texts)])):
+            yield self._encode(texts[i]) if i in whole else ids
 
 
 @lru_cache(2)
@@ -91,36 +74,60 @@ def cut_pieces(docs: DataFrame, path: str, end_id: int, capacity: int, id_col: s
     return rows.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
+class SumIndex:
+    """Single lengths, pairs and triples of lengths by their sum, under counts of what is left of each length.
+
+    Counts only go down, so a combination that can't be had any more never can, and each sum's combinations are
+    gone through once. Pairs are listed by their sum for all sums; triples are those of a single and a listed pair.
+    """
+
+    def __init__(self, counts: dict[int, int], capacity: int):
+        self.left = Counter({k: v for k, v in counts.items() if v > 0})
+        lengths = sorted(self.left, reverse=True)
+        self.pairs: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        for a in lengths:
+            for b in lengths:
+                if b <= a and a + b <= capacity:
+                    self.pairs[a + b].append((a, b))
+        self.lengths, self.open = lengths, {}
+
+    def _combinations(self, total: int):
+        """Of one, two, then three lengths; those with the longest members first."""
+        if self.left[total]:
+            yield (total,)
+        yield from self.pairs.get(total, ())
+        for a in self.lengths:
+            if self.left[a]:
+                yield from ((a, *pair) for pair in self.pairs.get(total - a, ()) if pair[0] <= a)
+
+    def filling(self, gap: int, beside: int) -> tuple[int, ...] | None:
+        """A combination that fills the gap from what is left beside one of length `beside`; a gap is asked for beside one length only."""
+        if gap not in self.open:
+            found = self._combinations(gap)
+            self.open[gap] = [next(found, None), found]
+        at = self.open[gap]
+        while at[0] is not None:
+            if all(self.left[x] - (x == beside) >= at[0].count(x) for x in at[0]):
+                return at[0]
+            at[0] = next(at[1], None)
+        return None
+
+
 def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, tuple[int, ...]]]:
     """How often to use which combination of lengths. Works on the histogram, so its size is bound by the capacity.
 
     From the longest length down, gaps are filled exactly by one, two or three of the lengths still available,
     looked up by their sum; what has no exact complement is placed by best fit, longest first.
     """
-    left, out = Counter({k: v for k, v in counts.items() if v}), []
-
-    def complement(length: int, gap: int) -> tuple[int, ...] | None:
-        """The combination with the longest members that fills the gap from what is left beside `length`."""
-        spare = lambda *xs: all(left[x] - (x == length) >= n for x, n in Counter(xs).items())
-        if spare(gap):
-            return (gap,)
-        for a in range(gap - 1, (gap - 1) // 2, -1):
-            if left[a] and spare(a, gap - a):
-                return (a, gap - a)
-        for a in range(gap - 2, (gap - 1) // 3, -1):
-            if left[a]:
-                for b in range(min(a, gap - a - 1), (gap - a - 1) // 2, -1):
-                    if left[b] and spare(a, b, gap - a - b):
-                        return (a, b, gap - a - b)
-        return None
-
+    index, out = SumIndex(counts, capacity), []
+    left = index.left
     for length in range(capacity, 0, -1):
         while left[length]:
-            fill = complement(length, capacity - length) if length < capacity else ()
+            fill = index.filling(capacity - length, length) if length < capacity else ()
             if fill is None:
                 break
             combination = (length, *fill)
-            times = min(left[x] // n for x, n in Counter(combination).items())
+            times = min(left[x] // combination.count(x) for x in combination)
             out.append((times, combination))
             for x in combination:
                 left[x] -= times
