@@ -4,8 +4,12 @@ from __future__ import annotations
 
 import hashlib
 import re
+import zlib
+from bisect import bisect_left
 from collections import Counter
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 import numpy as np
 import pyarrow as pa
@@ -29,16 +33,22 @@ _TERM = re.compile(r"[^\W\d_]{3,}")
 class Disclosure:
     """When a term counts as giving an entity away. Documents are counted by distinct texts, so copies change nothing.
 
-    window: characters on either side of an entity in which its terms are looked for; least_contexts: different
-    contexts of the entity that must hold the term (copies of a context count once); least_given: the least
-    share of the documents with the term that hold it beside the entity; least_bits: the least pointwise
-    mutual information of term and entity.
+    For one entity: window is the number of characters on either side in which its terms are looked for;
+    least_contexts how many different contexts of the entity must hold the term (copies of a context count once);
+    least_given the least share of the documents with the term that hold it beside the entity; least_bits the least
+    pointwise mutual information of term and entity.
+
+    For a kind of entity: the mutual information of term and kind, by documents, must be least_share of the kind's
+    own information or more, and least_documents must hold both. Both must be so in each of two halves of the
+    documents, so no term is chosen on the documents alone that it was found in.
     """
 
     window: int = 60
     least_contexts: int = 3
     least_given: float = 0.5
     least_bits: float = 3.0
+    least_share: float = 0.5
+    least_documents: int = 5
 
 
 def luhn(digits: str) -> bool:
@@ -93,9 +103,32 @@ def written(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans)
 
 
+class Taken:
+    """Tells in logarithmic time whether a stretch meets one of the spans."""
+
+    def __init__(self, spans: list[tuple[int, int, int]]):
+        self.starts, self.stops = [], []
+        for a, _, b in spans:
+            if self.stops and a <= self.stops[-1]:
+                self.stops[-1] = max(self.stops[-1], b)
+            else:
+                self.starts.append(a)
+                self.stops.append(b)
+
+    def __call__(self, a: int, b: int) -> bool:
+        k = bisect_left(self.starts, b)
+        return k > 0 and self.stops[k - 1] > a
+
+
+def free_terms(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int, str]]:
+    """start, end and lower-cased term for each whole word outside the spans."""
+    taken = Taken(spans)
+    return [(m.start(), m.end(), m[0].lower()) for m in _TERM.finditer(text) if not taken(m.start(), m.end())]
+
+
 def term_spans(text: str, terms: set[str], taken: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """Whole-word occurrences of terms outside the spans already taken."""
-    return [(m.start(), 4, m.end()) for m in _TERM.finditer(text) if m[0].lower() in terms and not any(a < m.end() and m.start() < b for a, _, b in taken)]
+    return [(a, 4, b) for a, b, term in free_terms(text, taken) if term in terms]
 
 
 def _prepared(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -157,11 +190,15 @@ def contexts(texts: DataFrame, window: int) -> DataFrame:
             out: Counter[tuple[str, str, int]] = Counter()
             for text in batch.column("text").to_pylist():
                 spans, met = base_spans(text), set()
+                words = free_terms(text, spans) if spans else []
+                starts, low = [w[0] for w in words], 0
                 for a, k, b in spans:
                     near = text[max(0, a - window) : a] + "\0" + text[b : b + window]
                     mark = int.from_bytes(hashlib.blake2b(near.encode(), digest_size=8).digest(), "big", signed=True)
-                    lo, hi, name = max(0, a - window), b + window, entity(text, (a, k, b))
-                    terms = {m[0].lower() for m in _TERM.finditer(text, lo, hi) if not any(x < m.end() and m.start() < y for x, _, y in spans)}
+                    name = entity(text, (a, k, b))
+                    while low < len(words) and words[low][0] < a - window:
+                        low += 1
+                    terms = {w[2] for w in words[low : bisect_left(starts, b + window)] if w[1] <= b + window}
                     for term in ("", *terms):
                         out[name, term, mark if term else 0] += (name, term) not in met
                         met.add((name, term))
@@ -172,31 +209,46 @@ def contexts(texts: DataFrame, window: int) -> DataFrame:
     return texts.select("text").mapInArrow(run, "entity string, term string, context long, docs long")
 
 
-def term_frequencies(texts: DataFrame, most: int = 300_000) -> DataFrame:
-    """term, n: in how many texts each term occurs, counted within tasks before the shuffle."""
+_HALVES = [f"{kind}{half}" for kind in ("email", "ip", "card", "phone", "all") for half in (0, 1)]
+
+
+def term_statistics(texts: DataFrame, most: int = 300_000) -> DataFrame:
+    """term, then how many texts of each half hold it together with each kind of entity, and how many hold it at all.
+
+    Words inside entities don't count. The empty term counts all texts. Tasks count before the shuffle.
+    """
 
     def run(batches):
-        counts: Counter[str] = Counter()
+        counts: list[Counter[str]] = [Counter() for _ in _HALVES]
 
         def flush():
-            got = pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.int64())], names=["term", "n"])
-            counts.clear()
-            return got
+            columns = np.repeat(np.arange(len(counts), dtype=np.int32), [len(c) for c in counts])
+            got = [pa.array([t for c in counts for t in c], pa.string()), pa.array(columns), pa.array([n for c in counts for n in c.values()], pa.int64())]
+            for c in counts:
+                c.clear()
+            return pa.RecordBatch.from_arrays(got, names=["term", "column", "n"])
 
         for batch in batches:
             for at in range(0, batch.num_rows, 200):
                 for text in batch.column(0).slice(at, 200).to_pylist():
-                    counts.update(set(_TERM.findall(text.lower())))
-                if len(counts) > most:
+                    half, spans = zlib.crc32(text.encode()) & 1, base_spans(text)
+                    terms = {w[2] for w in free_terms(text, spans)} if spans else {t.lower() for t in set(_TERM.findall(text))}
+                    terms.add("")
+                    for kind in {4, *(k for _, k, _ in spans)}:
+                        counts[2 * kind + half].update(terms)
+                if sum(map(len, counts)) > most:
                     yield flush()
-        if counts:
-            yield flush()
+        yield flush()
 
-    return texts.select("text").mapInArrow(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    met = texts.select("text").mapInArrow(run, "term string, column int, n long")
+    return met.groupBy("term").agg(*[F.coalesce(F.sum(F.when(F.col("column") == i, F.col("n"))), F.lit(0)).alias(name) for i, name in enumerate(_HALVES)])
 
 
 def disclosing_terms(docs: DataFrame, rule: Disclosure = Disclosure(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """entity, term, contexts, n: the terms that exceed the disclosure thresholds, from counts over all of `docs`."""
+    """entity, term: the terms that exceed the disclosure thresholds, from counts over all of `docs`.
+
+    entity is one entity, as kind:value, or a kind alone, which the term gives away wherever both stand in a document.
+    """
     rows = _prepared(docs, id_col, text_col)
     return _disclosing(rows, rows.filter(F.col("text").rlike("[0-9@]")), rule)
 
@@ -208,41 +260,92 @@ def _disclosing(rows: DataFrame, suspects: DataFrame, rule: Disclosure) -> DataF
     both = near.groupBy("entity", "term").agg(F.count("*").alias("contexts"), F.sum("docs").alias("docs"))
     pairs = both.filter((F.col("term") != "") & (F.col("contexts") >= rule.least_contexts))
     entities = both.filter("term = ''").select("entity", F.col("docs").alias("entity_docs"))
-    total = counts.agg(F.count("*").alias("total"))  # one row
-    both = pairs.join(term_frequencies(distinct_texts(rows, repeated)), "term").join(entities, "entity").crossJoin(F.broadcast(total))
+    statistics = term_statistics(distinct_texts(rows, repeated))
+    likely = reduce(or_, [F.least(f"{kind}0", f"{kind}1") >= rule.least_documents for kind in KINDS[:4]])
+    # Only terms that can pass go on: those near entities are few, and those of kinds are filtered here.
+    total = statistics.filter("term = ''").select(*[F.col(c).alias(f"total_{c}") for c in _HALVES])  # one row
+    measured = pairs.join(statistics.select("term", (F.col("all0") + F.col("all1")).alias("n")), "term").join(entities, "entity").crossJoin(F.broadcast(total))
     given = F.least(F.col("docs") / F.col("n"), F.lit(1.0))
-    bits = F.log2(given * F.col("total") / F.col("entity_docs"))
-    return both.filter((given >= rule.least_given) & (bits >= rule.least_bits)).select("entity", "term", "contexts", "n")
+    bits = F.log2(given * (F.col("total_all0") + F.col("total_all1")) / F.col("entity_docs"))
+    single = measured.filter((given >= rule.least_given) & (bits >= rule.least_bits)).select("entity", "term")
 
+    def told(kind: str, half: int):
+        base = F.col(f"total_{kind}{half}") / F.col(f"total_all{half}")
+        return (F.col(f"{kind}{half}") >= rule.least_documents) & (F.log2(F.col(f"{kind}{half}") / F.col(f"all{half}") / base) >= -F.log2(base) * rule.least_share) & (base < 1)
 
-def find(docs: DataFrame, rule: Disclosure = Disclosure(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row for each row of `docs`: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, text.
+    flags = F.array(*[F.when(told(kind, 0) & told(kind, 1), F.lit(kind)) for kind in KINDS[:4]])
+    kinds = statistics.filter(likely & (F.col("term") != "")).crossJoin(F.broadcast(total)).select(F.explode(flags).alias("entity"), "term").filter("entity IS NOT NULL")
+    return single.unionByName(kinds)
 
-    The method adds spans of kind `term` to the base ones, in documents that hold the entity which the term
-    gives away; it never removes or moves a base span. text is the sanitised text: base spans are generalised
-    to [KIND] and disclosing terms removed. Null texts count as empty; repeated rows are judged each by itself;
-    a table without entities, or an empty one, gives rows without spans. Long texts are scanned in linear time.
+
+#: Up to so many disclosing terms are sent to every task; beyond, documents are joined to them.
+MOST_TOLD = 50_000
+
+
+def _suspects(docs: DataFrame, rule: Disclosure, text_col: str) -> tuple[DataFrame, DataFrame, dict[str, set[str]] | None]:
+    """Rows of `docs` that can hold no entity; the others with __told; and what each term gives away, for all of them.
+
+    Both have __text. Where there are too many terms to send around, __told holds those of each row instead.
     """
-    rows = _prepared(docs, id_col, text_col)
-    suspect = F.col("text").rlike("[0-9@]")
-    held = cut(rows.filter(suspect).withColumn("uid", F.monotonically_increasing_id()))
-    terms = _disclosing(rows, held, rule)
+    keyed = docs.withColumn("__text", F.coalesce(F.col(text_col), F.lit("")))
+    suspect, text = F.col("__text").rlike("[0-9@]"), F.col("__text").alias("text")
+    clean, held = keyed.filter(~suspect), keyed.filter(suspect)
+    terms = cut(_disclosing(keyed.select(text), held.select(text), rule))
+    if terms.count() <= MOST_TOLD:
+        known: dict[str, set[str]] = {}
+        for row in terms.collect():
+            known.setdefault(row["term"], set()).add(row["entity"])
+        return clean, held.withColumn("__told", F.lit(None).cast("array<struct<entity:string,term:string>>")), known
 
     def entities(batches):
         for batch in batches:
-            out = {(uid, entity(text, s)) for uid, text in zip(batch.column("uid").to_pylist(), batch.column("text").to_pylist()) for s in base_spans(text)}
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.string()))], names=["uid", "entity"])
+            for at in range(0, batch.num_rows, 50):
+                out = set()
+                for uid, text in zip(batch.column(0).slice(at, 50).to_pylist(), batch.column(1).slice(at, 50).to_pylist()):
+                    spans = base_spans(text)
+                    terms = {w[2] for w in free_terms(text, spans)} if spans else ()
+                    out.update((uid, name, term) for name in protected(text, spans) for term in terms)
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.string(), pa.string()))], names=["__uid", "entity", "term"])
+
+    held = cut(held.withColumn("__uid", F.monotonically_increasing_id()))
+    met = held.select("__uid", "__text").mapInArrow(entities, "__uid long, entity string, term string")
+    told = met.join(terms, ["entity", "term"]).groupBy("__uid").agg(F.collect_set(F.struct("entity", "term")).alias("__told"))
+    return clean, held.join(told, "__uid", "left").drop("__uid"), None
+
+
+def protected(text: str, spans: list[tuple[int, int, int]]) -> set[str]:
+    """The entities of a text, each by itself and by its kind."""
+    return {entity(text, s) for s in spans} | {KINDS[k] for _, k, _ in spans}
 
-    holders = held.select("uid", "text").mapInArrow(entities, "uid long, entity string")
-    told = holders.join(terms.select("entity", "term"), "entity").groupBy("uid").agg(F.collect_set("term").alias("terms"))
+
+def judge(text: str, told: list[dict] | None, known: dict[str, set[str]] | None) -> tuple[list, list]:
+    """The base spans of a text, and all spans, with those of terms that give one of its entities away."""
+    base = base_spans(text)
+    if not base:
+        return base, base
+    names = protected(text, base)
+    terms = {x["term"] for x in told or ()} if known is None else {t for t, of in known.items() if not of.isdisjoint(names)}
+    return base, sorted(base + term_spans(text, terms, base)) if terms else base
+
+
+def find(docs: DataFrame, rule: Disclosure = Disclosure(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """A row for each row of `docs`: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, text.
+
+    The method adds spans of kind `term` to the base ones, in documents that hold the entity, or an entity of the
+    kind, which the term gives away; it never removes or moves a base span. text is the sanitised text: base spans
+    are generalised to [KIND] and disclosing terms removed. Null texts count as empty; repeated rows are judged
+    each by itself; a table without entities, or an empty one, gives rows without spans. Long texts with many
+    entities are scanned in linear time.
+    """
+    rows = _prepared(docs, id_col, text_col)
+    clean, held, known = _suspects(rows, rule, "text")
 
     def run(batches):
         for batch in batches:
             out = []
-            for doc_id, text, terms in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "terms"))):
-                base = base_spans(text)
-                spans = sorted(base + term_spans(text, set(terms), base)) if terms else base
+            for doc_id, text, told in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "__text", "__told"))):
+                base, spans = judge(text, told, known)
                 n = Counter(k for _, k, _ in base)
                 out.append((doc_id, n[0], n[1], n[2], n[3], hashlib.sha256(written(base).encode()).hexdigest(), written(spans), redact(text, spans)))
             types = (pa.int64(), *[pa.int64()] * 4, *[pa.string()] * 3)
@@ -250,10 +353,9 @@ def find(docs: DataFrame, rule: Disclosure = Disclosure(), id_col: str = "doc_id
 
     names = ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "text"]
     schema = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, text string"
-    marked = held.join(told, "uid", "left").select("doc_id", "text", "terms").mapInArrow(run, schema)
+    marked = held.select("doc_id", "__text", "__told").mapInArrow(run, schema)
     zero = [F.lit(0).cast("long").alias(c) for c in names[1:5]]
-    clean = rows.filter(~suspect).select("doc_id", *zero, F.sha2(F.lit(""), 256).alias("base_sha256"), F.lit("").alias("spans"), "text")
-    return clean.unionByName(marked)
+    return clean.select("doc_id", *zero, F.sha2(F.lit(""), 256).alias("base_sha256"), F.lit("").alias("spans"), "text").unionByName(marked)
 
 
 def redact(text: str, spans: list[tuple[int, int, int]]) -> str:
@@ -267,31 +369,15 @@ def redact(text: str, spans: list[tuple[int, int, int]]) -> str:
 
 
 def sanitise(docs: DataFrame, rule: Disclosure = Disclosure(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """`docs` with sanitised texts, all rows and columns kept. Null texts stay null."""
-    keyed = docs.withColumn("__text", F.coalesce(F.col(text_col), F.lit("")))
-    suspect = F.col("__text").rlike("[0-9@]")
-    rows = keyed.select(F.lit(0).alias("doc_id"), F.col("__text").alias("text"))
-    held = cut(keyed.filter(suspect).withColumn("__uid", F.monotonically_increasing_id()))
-    terms = _disclosing(rows, held.select(F.col("__text").alias("text")), rule)
-
-    def entities(batches):
-        for batch in batches:
-            out = {(uid, entity(text, s)) for uid, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for s in base_spans(text)}
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.string()))], names=["__uid", "__entity"])
-
-    holders = held.select("__uid", "__text").mapInArrow(entities, "__uid long, __entity string")
-    told = holders.join(terms.select(F.col("entity").alias("__entity"), "term"), "__entity").groupBy("__uid").agg(F.collect_set("term").alias("__terms"))
+    """`docs` with sanitised texts, all rows and columns kept. Null texts stay null. Spans are those of `find`."""
+    clean, held, known = _suspects(docs, rule, text_col)
 
     def run(batches):
         for batch in batches:
-            texts = []
-            for text, terms in zip(batch.column(place).to_pylist(), batch.column(last).to_pylist()):
-                base = base_spans(text)
-                texts.append(redact(text, sorted(base + term_spans(text, set(terms), base)) if terms else base) if text else text)
+            texts = [redact(text, judge(text, told, known)[1]) for text, told in zip(batch.column("__text").to_pylist(), batch.column("__told").to_pylist())]
             yield batch.set_column(place, text_col, pa.array(texts, batch.column(place).type)).select(columns)
 
     columns = docs.columns
-    place, last = columns.index(text_col), len(columns)
-    marked = held.join(told, "__uid", "left").select(*docs.columns, "__terms").mapInArrow(run, docs.schema)
-    return keyed.filter(~suspect).select(*docs.columns).unionByName(marked)
+    place = columns.index(text_col)
+    marked = held.select(*columns, "__text", "__told").mapInArrow(run, docs.schema)
+    return clean.select(*columns).unionByName(marked)
