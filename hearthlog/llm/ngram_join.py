@@ -241,9 +241,9 @@ def folded(parity: np.ndarray, words: int) -> np.ndarray:
 
 
 def sketched(base: DataFrame, frequent: tuple[np.ndarray, np.ndarray], rule: Join) -> DataFrame:
-    """rid, s1, s2, n, gid, score, parity, fold of each set that a task meets first; leads and prefix where it meets the group first."""
-    names = ["rid", "s1", "s2", "n", "gid", "score", "parity", "fold", "leads", "prefix"]
-    kinds = (*[pa.int64()] * 6, *[pa.list_(pa.int64())] * 4)
+    """rid, s1, s2, n, gid, score, parity, fold of each set that a task meets first; leads where it meets the group first."""
+    names = ["rid", "s1", "s2", "n", "gid", "score", "parity", "fold", "leads"]
+    kinds = (*[pa.int64()] * 6, *[pa.list_(pa.int64())] * 3)
 
     def run(batches):
         seen, met = set(), set()
@@ -259,7 +259,7 @@ def sketched(base: DataFrame, frequent: tuple[np.ndarray, np.ndarray], rule: Joi
                     gid = _mark(len(s).to_bytes(8, "little") + prefix.tobytes(), 3)
                     new, parity = gid not in met, parities(s)
                     met.add(gid)
-                    out.append((rid, s1, s2, len(s), gid, _common(s, frequent), parity, folded(parity, _PARITY // 64), s[: rule.leads].view(np.int64) if new else None, prefix.view(np.int64) if new else None))
+                    out.append((rid, s1, s2, len(s), gid, _common(s, frequent), parity, folded(parity, _PARITY // 64), s[: rule.leads].view(np.int64) if new else None))
                 if len(seen) > 100_000:
                     seen.clear()
                     met.clear()
@@ -267,7 +267,7 @@ def sketched(base: DataFrame, frequent: tuple[np.ndarray, np.ndarray], rule: Joi
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=names)
 
     rows = base.filter("n > 0 AND doc_id IS NOT NULL").select("rid", "s1", "s2", "set")
-    return rows.mapInArrow(run, "rid long, s1 long, s2 long, n long, gid long, score long, parity array<long>, fold array<long>, leads array<long>, prefix array<long>")
+    return rows.mapInArrow(run, "rid long, s1 long, s2 long, n long, gid long, score long, parity array<long>, fold array<long>, leads array<long>")
 
 
 def link_components(docs: DataFrame, rule: Join = Join(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -286,7 +286,8 @@ def link_components(docs: DataFrame, rule: Join = Join(), id_col: str = "doc_id"
     doc_id gets a null component. Empty tables give empty results; other columns are ignored.
     """
     base = cut(shingled(_rows(docs, id_col, text_col), rule).withColumn("rid", F.monotonically_increasing_id()))
-    sketches = cut(sketched(base, frequent_shingles(base, rule), rule))
+    frequent = frequent_shingles(base, rule)
+    sketches = cut(sketched(base, frequent, rule))
     one = sketches.groupBy("s1", "s2").agg(F.min(F.struct("rid", "n", "gid", "parity", "fold")).alias("x"))
     nodes = cut(one.select(F.col("x.rid").alias("node"), "s1", "s2", "x.n", "x.gid", "x.parity", "x.fold"))
 
@@ -301,7 +302,7 @@ def link_components(docs: DataFrame, rule: Join = Join(), id_col: str = "doc_id"
     links = verified.union(_same_ids(known, nodes, owned, total))
     labelled = cut(nodes.join(components(links), "node", "left").select("node", "s1", "s2", "gid", "n", "fold", F.coalesce("comp", "node").alias("comp")))
 
-    across = _verify(_cross_pairs(labelled, _open_lists(sketches, labelled, rule), rule), base, nodes, rule)
+    across = _verify(_cross_pairs(labelled, _open_lists(base, labelled, frequent, rule), rule), base, nodes, rule)
     comp_of = labelled.select("node", "comp")
     merged = across.join(comp_of.toDF("a", "x"), "a").join(comp_of.toDF("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
     moved = components(merged).select(F.col("node").alias("comp"), F.col("comp").alias("into"))
@@ -354,35 +355,53 @@ def _apart(lists: DataFrame, *more) -> DataFrame:
     return found.filter("lo <> hi").drop("lo", "hi")
 
 
-def _open_lists(sketches: DataFrame, labelled: DataFrame, rule: Join) -> DataFrame:
+def _open_lists(base: DataFrame, labelled: DataFrame, frequent: tuple[np.ndarray, np.ndarray], rule: Join) -> DataFrame:
     """token, gid, pos, n, comp, rows: the lists in which different components can still meet, and how long they are.
 
-    Two sets that link have their first common shingle where enough of both still follows: at place p of n
-    shingles at most n - p can be common. With the smallest partner that the list holds this is a bound for each
-    row; a near copy with many changes of its own, which come first, so leaves the lists of what all copies share.
-    Lists of one component go by a bitmap before anything of them is shuffled.
+    Of each set's prefix only hashes that another prefix has, too, are kept, by a bitmap; then the lists of one
+    component go. Two sets that link have their first common shingle where enough of both still follows: at place p
+    of n shingles at most n - p can be common. With the smallest partner that the list holds this is a bound for
+    each row; a near copy with many changes of its own, which come first, so leaves the lists of what all copies share.
     """
-    comps = labelled.groupBy("gid").agg(F.first("n").alias("n"), F.collect_set("comp").alias("comps"))
-    prefixes = sketches.filter("prefix IS NOT NULL").groupBy("gid").agg(F.first("prefix").alias("prefix"))
-    lists = cut(prefixes.join(comps, "gid"))
-    exploded = lists.select("comps", F.explode("prefix").alias("token")).select("token", F.explode("comps").alias("comp"))
-    apart = bitmap(_apart(exploded))
+    nodes = bitmap(labelled.select("node"))  # lets each set through once
 
-    def run(batches):
+    def prefixes(batch):
+        for i in np.flatnonzero(maybe_in(batch.column(0).to_numpy(), nodes)):
+            s = np.frombuffer(batch.column(1)[i].as_buffer(), np.uint64)
+            yield batch.column(0)[i].as_py(), prefix_of(s, frequent, rule.percent).view(np.int64)
+
+    def in_parts(batches, most=200_000):
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                tokens, sizes = part.column("prefix").flatten().to_numpy(), part.column("prefix").value_lengths().to_numpy()
-                pos = np.arange(len(tokens)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-                keep = np.flatnonzero(maybe_in(tokens, apart))
-                of = part.select(["gid", "n", "comps"]).take(pa.array(np.repeat(np.arange(part.num_rows), sizes)[keep]))
-                yield pa.RecordBatch.from_arrays([pa.array(tokens[keep]), pa.array(pos[keep], pa.int64()), *of.columns], names=["token", "pos", "gid", "n", "comps"])
-
-    some = lists.mapInArrow(run, "token long, pos long, gid long, n long, comps array<long>")
-    some = cut(some.select("token", "pos", "gid", "n", F.explode("comps").alias("comp")))
+            held, size = [], 0
+            for rid, prefix in prefixes(batch):
+                held.append((rid, prefix))
+                size += len(prefix)
+                if size > most:
+                    yield held
+                    held, size = [], 0
+            if held:
+                yield held
+
+    def tokens(batches):
+        for held in in_parts(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([p for _, p in held]))], names=["token"])
+
+    sets = base.filter("n > 0 AND doc_id IS NOT NULL").select("rid", "set")
+    shared = bitmap(sets.mapInArrow(tokens, "token long").groupBy("token").agg(F.count("*").alias("c")).filter("c > 1").select("token"))
+
+    def run(batches):
+        for held in in_parts(batches):
+            sizes = np.array([len(p) for _, p in held])
+            all_tokens, rid = np.concatenate([p for _, p in held]), np.repeat(np.array([r for r, _ in held], np.int64), sizes)
+            pos = np.arange(len(all_tokens)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            keep = maybe_in(all_tokens, shared)
+            yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (all_tokens, pos, rid)], names=["token", "pos", "node"])
+
+    met = sets.mapInArrow(run, "token long, pos long, node long").join(labelled.select("node", "gid", "n", "comp"), "node")
+    some = cut(met.select("token", "pos", "gid", "n", "comp").distinct())
     small = F.greatest("small", F.ceil(F.lit(rule.percent) * F.col("n") / 100))
-    met = some.join(_apart(some, F.min("n").alias("small"), F.count("*").alias("rows")), "token")
-    return met.filter(F.col("pos") <= F.col("n") - _needed(F.col("n"), small, rule)).drop("small")
+    both = some.join(_apart(some, F.min("n").alias("small"), F.count("*").alias("rows")), "token")
+    return both.filter(F.col("pos") <= F.col("n") - _needed(F.col("n"), small, rule)).drop("small")
 
 
 def _close(rule: Join):
