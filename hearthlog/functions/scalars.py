@@ -5,7 +5,7 @@ from __future__ import annotations
 import string
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ISO = "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"
@@ -35,12 +35,12 @@ def valid_iso(c: Column) -> Column:
 
 def parse_time(c: Column) -> Column:
     """Canonical text from seconds or milliseconds, a year, or an ISO-like text; null for anything else."""
-    number = F.when(c.rlike(r"^\d{5,17}$"), c.try_cast("long"))
-    millis = F.when(number < 10**12, number * 1000).otherwise(number)
+    number = F.when(c.rlike(r"^\d+(\.\d+)?$") & ~c.rlike(r"^\d{4}$"), c.try_cast("double"))
+    millis = F.when(number < 1e12, number * 1000).otherwise(number).cast("long")
     day = F.when(c.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_timestamp(c, F.lit("yyyy-MM-dd")))
     full = F.when(c.rlike(r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}"), F.try_to_timestamp(F.regexp_replace(c, " ", "T")))
     year = F.when(c.rlike(r"^\d{4}$"), F.try_to_timestamp(F.concat(c, F.lit("-01-01")), F.lit("yyyy-MM-dd")))
-    return iso(F.coalesce(F.timestamp_millis(millis), year, day, full))
+    return iso(F.coalesce(F.when(millis < 253402300800000, F.timestamp_millis(millis)), year, day, full))
 
 
 def parse_human_date(c: Column) -> Column:
@@ -101,59 +101,87 @@ def resolve_path(source: Column, ref: Column) -> Column:
     return F.when(~bad, F.array_join(done["path"], "/"))
 
 
-#: File endings of each kind of media, tried in this order.
-MEDIA_ENDINGS = {
-    "photo": "jpg jpeg png gif webp heic bmp avif",
-    "video": "mp4 mov webm m4v avi mkv",
-    "audio": "mp3 m4a aac wav ogg opus",
-    "document": "pdf doc docx txt",
-}
+#: Kinds of media in the order in which they are tried, with a word that settles them and file endings.
+MEDIA_KINDS = [
+    ("video", "video", "mp4 mov webm m4v"),
+    ("audio", "audio", "mp3 m4a wav ogg oga"),
+    ("photo", "image", "jpg jpeg png gif webp heic avif"),
+    ("file", "file", "pdf doc docx xls xlsx txt zip"),
+]
+#: The same for media that an HTML page shows, where the tag settles the kind.
+SHOWN_KINDS = [
+    ("video", "mp4 mov m4v webm avi mkv"),
+    ("audio", "mp3 m4a wav ogg aac"),
+    ("photo", "jpg jpeg png gif webp heic avif bmp"),
+]
+
+
+def _ends(low: Column, endings: str, more: str = "$") -> Column:
+    return low.rlike(rf"\.({endings.replace(' ', '|')}){more}")
 
 
-def media_type(path: Column, mime: Column | None = None) -> Column:
-    """photo, video, audio, document or file; the MIME type decides before the file's ending."""
-    e = F.when(F.lit(False), "")
-    if mime is not None:
-        e = e.when(mime.startswith("image/"), "photo").when(mime.startswith("video/"), "video").when(mime.startswith("audio/"), "audio")
-    for kind, endings in MEDIA_ENDINGS.items():
-        e = e.when(ascii_lower(path).rlike(rf"\.({endings.replace(' ', '|')})$"), kind)
-    return e.otherwise("file")
+def media_type(path: Column, hint: Column | None = None) -> Column:
+    """video, audio, photo, file or unknown: a word in the hint or the path decides before the file's ending."""
+    low = ascii_lower(path if hint is None else F.concat_ws(" ", hint, path))
+    return reduce(lambda e, k: e.when(low.contains(k[1]) | _ends(low, k[2]), k[0]), MEDIA_KINDS, F.when(F.lit(False), "")).otherwise("unknown")
+
+
+def shown_media_type(path: Column, tag: Column) -> Column:
+    """video, audio, photo or unknown for media that a page shows."""
+    low = ascii_lower(path)
+    return reduce(lambda e, k: e.when((tag == k[0]) | _ends(low, k[1], "($|[?#])"), k[0]), SHOWN_KINDS, F.when(F.lit(False), "")).otherwise("unknown")
+
 
+def _first_mark(low: Column, marks: list[tuple[str, str]], otherwise: str | None = None) -> Column:
+    return reduce(lambda e, m: e.when(low.rlike(m[1]), m[0]), marks, F.when(F.lit(False), "")).otherwise(F.lit(otherwise))
 
-#: What a connection's file name or key says about it, tried in this order.
+
+#: What a connection's path and type say about it, tried in this order.
 CONNECTION_MARKS = [
-    ("removed_friend", "removed|deleted_friend|unfriend"),
-    ("rejected_request", "reject|declin"),
-    ("sent_request", "sent"),
-    ("received_request", "received|friend_request"),
-    ("follower", "follower|followed_by"),
+    ("removed_friend", "removed|unfriend"),
+    ("follower", "follower"),
+    ("following", "following"),
+    ("blocked", "blocked"),
+    ("incoming_request", "incoming|received"),
+    ("outgoing_request", "outgoing|sent"),
+    ("friend", "friend"),
+]
+#: The same for HTML pages, by their path alone.
+PAGE_CONNECTION_MARKS = [
+    ("removed_friend", "removed_friends"),
+    ("follower", "followers"),
     ("following", "following|who_you"),
+    ("incoming_request", "received.*request|request.*received"),
+    ("outgoing_request", "(sent|outgoing).*request|request.*(sent|outgoing)"),
+    ("blocked", "blocked"),
     ("friend", "friend"),
 ]
 
 
 def connection_type(hint: Column) -> Column:
-    low = ascii_lower(hint)
-    return reduce(lambda e, m: e.when(low.rlike(m[1]), m[0]), CONNECTION_MARKS, F.when(F.lit(False), "")).otherwise("other")
+    return _first_mark(ascii_lower(hint), CONNECTION_MARKS, "unknown")
+
+
+def page_connection_type(path: Column) -> Column:
+    return _first_mark(ascii_lower(path), PAGE_CONNECTION_MARKS, "unknown")
 
 
 #: The part of a path that says which section a file belongs to, tried in this order.
 SECTION_MARKS = [
-    ("profile", "profile_information|/profile"),
+    ("profile", r"profile_information|profile_v2|personal_information|/profile/|(^|/)profile\.json$"),
+    ("posts", r"/posts/|(^|/)posts\.json$|(^|/)your_posts(__|[_-])?[^/]*\.(json|html?)$"),
+    ("messages", r"messages/(.*/)?message([_-]\d+)?\.(json|html?)$"),
     ("comments", "comment"),
-    ("reactions", "reaction|likes"),
-    ("posts", "post"),
-    ("messages", "message|filtered_threads"),
-    ("connections", "friend|follow"),
-    ("albums", "album"),
+    ("reactions", "reaction|like"),
+    ("connections", "friends|followers|following|friend_requests|connections"),
+    ("albums", "album|your_photos|your_videos"),
 ]
 
 
 def section(path: Column) -> Column:
-    """The section of a candidate file, or null."""
+    """The section of a JSON or HTML file, or null."""
     low = ascii_lower(path)
-    found = reduce(lambda e, m: e.when(low.rlike(m[1]), m[0]), SECTION_MARKS, F.when(F.lit(False), ""))
-    return F.when(low.rlike(r"\.(json|html?)$"), found)
+    return F.when(low.rlike(r"\.(json|html?)$"), _first_mark(low, SECTION_MARKS))
 
 
 #: The hosts that profile links may point to.
@@ -200,17 +228,24 @@ def redact_file(c: Column) -> Column:
 
 #: What a warning's text says about its category, tried in this order.
 WARNING_MARKS = [
-    ("unsafe-media", "unsafe|suspicious"),
-    ("malformed", "malformed|invalid|parse"),
-    ("missing-target", "target"),
-    ("unsupported", "unsupported|unknown"),
-    ("limit", "limit|too large|exceed"),
+    ("unsupported-shape", "unsupported|unrecognized"),
+    ("malformed-json", "malformed|json|parse"),
+    ("unsafe-path", "suspicious|unsafe"),
+    ("missing-media", "media reference not found"),
+    ("duplicate-part", "duplicate"),
 ]
 
 
 def warning_category(c: Column) -> Column:
-    low = ascii_lower(c)
-    return reduce(lambda e, m: e.when(low.rlike(m[1]), m[0]), WARNING_MARKS, F.when(F.lit(False), "")).otherwise("other")
+    """A known category, or the message itself without its file, what is in brackets and numbers, at most 120 characters."""
+    bare = F.regexp_replace(F.regexp_replace(F.regexp_replace(c, r"^.*?·\s*", ""), r"\([^)]*\)", "(path)"), r"\d+", "#")
+    other = F.coalesce(F.nullif(F.substring(F.trim(bare), 1, 120), F.lit("")), F.lit("import-warning"))
+    return F.coalesce(_first_mark(ascii_lower(bare), WARNING_MARKS), other)
+
+
+def or_null(df: DataFrame, name: str, kind: str = "string") -> Column:
+    """A column of `df`, or null where it has none of this name."""
+    return F.col(name) if name in df.columns else F.lit(None).cast(kind)
 
 
 def natural_key(path: Column) -> Column:

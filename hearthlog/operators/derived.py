@@ -7,66 +7,89 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hearthlog.functions.scalars import summary, valid_iso
+from hearthlog.functions.scalars import or_null, summary, valid_iso
 
 _NULL = lambda: F.lit(None).cast("string")
+LEDGER = "id string, activity_type string, actor_person_id string, target_type string, target_id string, occurred_at string, summary string, source_path string, source_index int, archive_part_id string, calendar_year int, calendar_month int, calendar_day int"
+DOCUMENTS = "entity_type string, entity_id string, title string, body string, context string, created_at string, conversation_id string, source_path string"
 
 
-def _quoted(c: str) -> Column:
-    return F.concat(F.lit("“"), summary(F.col(c)), F.lit("”"))
+def owner(a) -> DataFrame:
+    """owner_person, owner_profile, owner_name: one row, of nulls where no profile is known."""
+    first = a.profiles.agg(F.min(F.struct("id", "person_id", "display_name")).alias("p"))
+    return first.select(F.col("p.person_id").alias("owner_person"), F.col("p.id").alias("owner_profile"), F.col("p.display_name").alias("owner_name"))
+
+
+def _quoted(c: Column) -> Column:
+    return F.concat(F.lit("“"), c, F.lit("”"))
+
+
+def _if_any(c: Column, *text) -> Column:
+    """The texts together if c isn't empty, else nothing."""
+    return F.when(F.coalesce(c, F.lit("")) != "", F.concat(*text)).otherwise("")
 
 
 def ledger(a) -> DataFrame:
     """Every dated record of the archive `a` as one row; records without a real date stay out.
 
-    The owner's person id is one value in a one-row table.
+    Where no profile is known, the owner's own records have no actor.
     """
-    owner = F.broadcast(a.profiles.select(F.col("person_id").alias("owner_person"), F.col("id").alias("owner_profile")).limit(1))
+    own = F.broadcast(owner(a))  # one row
+    lit, col = F.lit, F.col
 
-    def branch(df: DataFrame, kind: str, actor: Column, target_type: Column, target_id: Column, at: Column, text: Column) -> DataFrame:
+    def branch(df: DataFrame, kind: str, actor: Column, target_type: Column, target_id: Column, at: Column, text: Column, name: str | None = None) -> DataFrame:
         return df.select(
-            F.concat(F.lit(f"activity:{kind}:"), F.col("id")).alias("id"), F.lit(kind).alias("activity_type"), actor.alias("actor_person_id"),
+            F.concat(lit(f"activity:{name or kind}:"), col("id")).alias("id"), lit(kind).alias("activity_type"), actor.alias("actor_person_id"),
             target_type.alias("target_type"), target_id.alias("target_id"), at.alias("occurred_at"), text.alias("summary"),
+            or_null(df, "source_path").alias("source_path"), or_null(df, "source_index", "int").alias("source_index"), or_null(df, "archive_part_id").alias("archive_part_id"),
         )
 
-    lit, col = F.lit, F.col
-    own_posts = a.posts.crossJoin(owner)
+    body, words = _quoted(summary(col("body"))), lambda c: F.coalesce(col(c), lit(""))
+    author, reactor, sender = or_null(a.comments, "author_name"), or_null(a.reactions, "person_name"), col("sender_name")
     branches = [
-        branch(a.profiles, "profile", col("person_id"), lit("profile"), col("id"), col("joined_at"), F.concat(lit("Joined as "), col("display_name"))),
-        branch(own_posts, "post", F.when(col("author_id") == "owner", col("owner_person")).otherwise(col("author_id")), lit("post"), col("id"), col("created_at"), F.coalesce(F.concat(col("title"), lit(": "), _quoted("body")), _quoted("body"))),
-        branch(a.comments, "comment", col("author_id"), lit("post"), col("post_id"), col("created_at"), F.concat(lit("Commented "), _quoted("body"))),
-        branch(a.reactions, "reaction", col("person_id"), col("target_type"), col("target_id"), col("created_at"), F.concat(lit("Reacted with "), col("kind"))),
-        branch(a.messages, "message", F.concat(lit("person:m:"), col("sender_name")), lit("conversation"), col("conversation_id"), col("sent_at"), F.concat(lit("Wrote "), _quoted("body"))),
-        branch(a.connections, "connection", col("person_id"), lit("person"), col("person_id"), F.coalesce("started_at", "ended_at"), F.concat(col("relationship_type"), lit(" "), col("display_name"))),
-        branch(a.albums, "album", col("owner_id"), lit("album"), col("id"), F.coalesce("created_at", "updated_at"), F.concat(lit("Album "), col("title"))),
-        branch(a.media, "media", _NULL(), col("owner_type"), col("owner_id"), col("timestamp"), F.concat(lit("Added "), col("media_type"))),
-        branch(a.profile_facts.crossJoin(owner), "profile-fact", col("owner_person"), lit("profile"), col("profile_id"), F.coalesce("start_date", "end_date"), F.concat(col("label"), lit(": "), col("value"))),
-    ]
+        branch(a.profiles, "profile", col("person_id"), lit("profile"), col("id"), col("joined_at"), F.concat(lit("Profile: "), col("display_name"))),
+        branch(
+            a.posts.crossJoin(own), "post", F.when(col("author_id") == "owner", col("owner_person")).otherwise(col("author_id")), lit("post"), col("id"), col("created_at"),
+            F.when(words("title") != "", F.concat(lit("Posted "), _quoted(col("title")))).when(words("body") != "", F.concat(lit("Posted "), body)).otherwise("Posted"),
+        ),
+        branch(a.comments, "comment", col("author_id"), lit("post"), col("post_id"), col("created_at"), F.concat(lit("Commented"), _if_any(author, lit(" as "), author), lit(": "), body)),
+        branch(a.reactions, "reaction", col("person_id"), col("target_type"), col("target_id"), col("created_at"), F.concat(lit("Reacted "), col("kind"), _if_any(reactor, lit(" as "), reactor))),
+        branch(a.messages, "message", col("sender_id"), lit("conversation"), col("conversation_id"), col("sent_at"), F.concat(lit("Message"), _if_any(sender, lit(" from "), sender), _if_any(col("body"), lit(": "), body))),
+        branch(a.connections, "connection", col("person_id"), lit("person"), col("person_id"), F.coalesce("started_at", "ended_at"), F.concat(F.replace(col("relationship_type"), lit("_"), lit(" ")), lit(": "), col("display_name"))),
+        branch(a.albums, "album", col("owner_id"), lit("album"), col("id"), F.coalesce("created_at", "updated_at"), F.concat(lit("Album: "), col("title"))),
+        branch(a.media, "media", _NULL(), col("owner_type"), col("owner_id"), col("timestamp"), F.concat(lit("Media: "), F.coalesce(or_null(a.media, "filename"), col("path")))),
+        branch(a.profile_facts.crossJoin(own), "profile", col("owner_person"), lit("profile"), col("owner_profile"), F.coalesce("start_date", "end_date"), F.concat(col("category"), _if_any(col("label"), lit(" · "), col("label")), lit(": "), col("value")), "profile-fact"),
+    ]
     rows = reduce(DataFrame.unionByName, branches).filter(valid_iso(col("occurred_at")))
     part = lambda a, n: F.substring("occurred_at", a, n).cast("int")
     return rows.select("*", part(1, 4).alias("calendar_year"), part(6, 2).alias("calendar_month"), part(9, 2).alias("calendar_day"))
 
 
 def search_documents(a) -> DataFrame:
-    """Every searchable record as (entity_type, entity_id, title, body, context, created_at, conversation_id)."""
+    """Every searchable record as (entity_type, entity_id, title, body, context, created_at, conversation_id, source_path)."""
     lit, col = F.lit, F.col
-    join = lambda *cs: F.concat_ws(" ", *cs)
+    join = lambda *cs: F.trim(F.concat_ws(" ", *cs))
 
-    def doc(df: DataFrame, kind: str, title: Column, body: Column, context: Column, at: Column, conversation: Column | None = None) -> DataFrame:
-        return df.select(lit(kind).alias("entity_type"), F.col("id").alias("entity_id"), title.alias("title"), body.alias("body"), context.alias("context"), at.alias("created_at"), (_NULL() if conversation is None else conversation).alias("conversation_id"))
+    def doc(df: DataFrame, kind: str, title: Column, body: Column, context: Column, at: Column, conversation: Column | None = None, key: Column | None = None) -> DataFrame:
+        path = F.coalesce(or_null(df, "source_path"), or_null(df, "identity_source"))
+        return df.select(
+            lit(kind).alias("entity_type"), (col("id") if key is None else key).alias("entity_id"), title.alias("title"), body.alias("body"), context.alias("context"),
+            at.alias("created_at"), (_NULL() if conversation is None else conversation).alias("conversation_id"), path.alias("source_path"),
+        )
 
     chats = a.conversations.select(col("id").alias("conversation_id"), col("title").alias("chat_title"))
     texts = a.messages.join(chats, "conversation_id", "left")
+    links = F.array_join("links", " ") if "links" in a.posts.columns else _NULL()
     branches = [
-        doc(a.people, "person", col("display_name"), col("relationship"), col("facebook_id"), _NULL()),
-        doc(a.profile_facts, "profile-fact", col("category"), join("label", "value"), join("start_date", "end_date"), F.coalesce("start_date", "end_date")),
-        doc(a.posts, "post", col("title"), col("body"), col("created_at"), col("created_at")),
-        doc(a.comments, "comment", col("author_id"), col("body"), col("post_id"), col("created_at")),
-        doc(a.reactions, "reaction", col("kind"), col("person_id"), col("target_id"), col("created_at")),
-        doc(a.connections, "connection", col("display_name"), join("relationship_type", "username"), col("started_at"), col("started_at")),
+        doc(a.people, "person", col("display_name"), join(or_null(a.people, "username"), "relationship"), col("facebook_id"), _NULL()),
+        doc(a.profile_facts, "profile-fact", col("category"), join("label", "value"), join("start_date", "end_date"), F.coalesce("start_date", "end_date"), key=F.concat(lit("fact:"), col("id"))),
+        doc(a.posts, "post", col("title"), col("body"), join("created_at", links), col("created_at")),
+        doc(a.comments, "comment", or_null(a.comments, "author_name"), col("body"), col("post_id"), col("created_at")),
+        doc(a.reactions, "reaction", col("kind"), or_null(a.reactions, "person_name"), col("target_id"), col("created_at")),
+        doc(a.connections, "connection", col("display_name"), join("relationship_type", "username"), F.coalesce("started_at", "ended_at"), F.coalesce("started_at", "ended_at")),
         doc(a.albums, "album", col("title"), col("description"), col("created_at"), F.coalesce("updated_at", "created_at")),
-        doc(a.media, "media", col("path"), col("caption"), col("path"), col("timestamp")),
-        doc(a.conversations, "conversation", F.coalesce("title", lit("Conversation")), F.array_join("participant_names", " "), F.array_join("participant_names", " "), _NULL(), col("id")),
+        doc(a.media, "media", F.coalesce(or_null(a.media, "filename"), col("path")), col("caption"), col("path"), col("timestamp")),
+        doc(a.conversations, "conversation", F.coalesce("title", lit("Conversation")), F.array_join("participant_names", " "), F.array_join("participant_names", " "), _NULL()),
         doc(texts, "message", F.coalesce("chat_title", lit("Conversation")), col("body"), join("sender_name", "sent_at"), col("sent_at"), col("conversation_id")),
     ]
     return reduce(DataFrame.unionByName, branches)

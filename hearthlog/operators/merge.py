@@ -34,27 +34,33 @@ def first_known(value: str, order: Column) -> Column:
 
 def union_lists(c: str, order: Column, most: int | None = None) -> Column:
     """Distinct elements of lists, in the order in which they first came."""
-    lists = F.transform(F.array_sort(F.collect_list(F.struct(order.alias("o"), F.col(c).alias("v")))), lambda x: x["v"])
+    lists = F.transform(F.array_sort(F.collect_list(F.when(F.col(c).isNotNull(), F.struct(order.alias("o"), F.col(c).alias("v"))))), lambda x: x["v"])
     joined = F.array_distinct(F.flatten(lists))
     return F.slice(joined, 1, most) if most else joined
 
 
+#: Columns of people that merge by a rule of their own.
+PERSON_RULES = ("id", "first_seen", "last_seen", "is_archive_owner", "identity_confidence", "source_paths")
+
+
 def merge_people(people: DataFrame, fields: list[str], order: str = "seq") -> DataFrame:
     """First known value of each field; earliest and latest sight; any owner; exact identity beats inferred."""
     o = F.col(order)
     return people.groupBy("id").agg(
         *[first_known(f, o).alias(f) for f in fields],
         F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"),
-        F.bool_or("is_archive_owner").alias("is_archive_owner"),
+        F.coalesce(F.bool_or("is_archive_owner"), F.lit(False)).alias("is_archive_owner"),
         F.when(F.bool_or(F.col("identity_confidence") == "exact"), "exact").otherwise("inferred").alias("identity_confidence"),
         union_lists("source_paths", o).alias("source_paths"),
     )
 
 
 def merge_conversations(chunks: DataFrame, order: str = "seq") -> DataFrame:
-    """First title that isn't null, union of participants; more than two names make a group."""
+    """First title that isn't null, union of participants; more than two names make a group. Of other columns the last value."""
     o = F.col(order)
-    out = chunks.groupBy("id").agg(first_known("title", o).alias("title"), union_lists("participant_names", o).alias("participant_names"))
+    lists = [c for c in ("participant_names", "participant_ids") if c in chunks.columns]
+    rest = [c for c in chunks.columns if c not in ("id", "title", "is_group", order, *lists)]
+    out = chunks.groupBy("id").agg(first_known("title", o).alias("title"), *[union_lists(c, o).alias(c) for c in lists], *[F.max_by(c, o).alias(c) for c in rest])
     return out.withColumn("is_group", F.size("participant_names") > 2)
 
 
@@ -85,5 +91,6 @@ def match_parts(expected: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def upsert(base: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """`base` with the rows of `new` in place of those with equal keys."""
+    """`base` with the rows of `new` in place of those with equal keys; of several new rows with one key the largest."""
+    new = last_wins(new, keys, [c for c in new.columns if c not in keys])
     return base.join(new.select(*keys), keys, "left_anti").unionByName(new, allowMissingColumns=True)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 from dataclasses import dataclass
 from urllib.parse import quote, unquote
 
@@ -45,9 +46,13 @@ def window_of(df: DataFrame, key: Column, id_col: str, limit: int, descending: b
     return keyed.orderBy(order("sort_key"), order(id_col)).limit(limit)
 
 
-def page(df: DataFrame, key: Column, id_col: str = "id", limit: int | None = None, cursor: str | None = None, descending: bool = True, name: str = "key") -> Page:
-    """One page; a row more than asked for tells if there are others."""
+def page(df: DataFrame, key: Column, id_col: str = "id", limit: int | None = None, cursor: str | None = None, descending: bool = True, name: str = "key", then: Callable[[DataFrame], DataFrame] | None = None) -> Page:
+    """One page; a row more than asked for tells if there are others. `then` adds to the rows of the page."""
     n, parts = clamp(limit), decode_cursor(cursor, name, "id")
-    rows = window_of(df, key, id_col, n + 1, descending, (parts[name], parts["id"]) if parts else None).collect()
+    found = window_of(df, key, id_col, n + 1, descending, (parts[name], parts["id"]) if parts else None)
+    if then:
+        order = (F.desc, F.asc)[not descending]
+        found = then(found).orderBy(order("sort_key"), order(id_col))
+    rows = found.collect()
     more, items = len(rows) > n, rows[:n]
     return Page(items, encode_cursor(**{name: items[-1]["sort_key"], "id": items[-1][id_col]}) if more else None, more)

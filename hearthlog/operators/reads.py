@@ -8,7 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hearthlog.functions.scalars import ascii_lower, contains_ci
+from hearthlog.functions.scalars import ascii_lower, contains_ci, or_null
+from hearthlog.operators.derived import owner
 
 
 def counts_by(df: DataFrame, key: str, name: str) -> DataFrame:
@@ -26,22 +27,56 @@ def with_count(df: DataFrame, id_col: str, child: DataFrame, key: str, name: str
     return df.join(n, F.col(id_col) == F.col("__key"), "left").drop("__key").withColumn(name, F.coalesce(name, F.lit(0)))
 
 
+def named(posts: DataFrame, a, few: bool = False) -> DataFrame:
+    """`posts` with author_name and author_photo_path: of the person, else of the profile, else of the archive's owner.
+
+    Without a profile posts keep their rows and have no name where the author isn't known.
+    """
+    names = a.people.select(F.col("id").alias("author_id"), F.col("display_name").alias("known_name"), or_null(a.people, "profile_photo_path").alias("known_photo"))
+    if few:
+        names = names.join(F.broadcast(posts.select("author_id").distinct()), "author_id", "left_semi")
+    own = owner(a).select("owner_name")  # one row
+    if "is_archive_owner" in a.people.columns:
+        photo = a.people.filter("is_archive_owner").agg(F.min("profile_photo_path").alias("owner_photo"))  # one row
+    else:
+        photo = own.select(F.lit(None).cast("string").alias("owner_photo"))
+    mine = a.profiles.select(F.col("person_id").alias("author_id"), "display_name").groupBy("author_id").agg(F.min("display_name").alias("profile_name"))
+    out = posts.join(names, "author_id", "left").join(mine, "author_id", "left").crossJoin(F.broadcast(own)).crossJoin(F.broadcast(photo))
+    out = out.withColumn("author_name", F.coalesce("known_name", "profile_name", "owner_name")).withColumn("author_photo_path", F.coalesce("known_photo", "owner_photo"))
+    return out.drop("known_name", "known_photo", "profile_name", "owner_name", "owner_photo")
+
+
 def feed(a, year: str | None = None, person: str | None = None, post: str | None = None, page: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Posts with author and numbers of media, comments and reactions; `page` cuts the posts before anything is joined."""
     posts = a.posts
     for wanted, test in ((year, F.substring("created_at", 1, 4) == year), (person, F.col("author_id") == person), (post, F.col("id") == post)):
         posts = posts.filter(test) if wanted else posts
     posts, few = (page(posts), True) if page else (posts, bool(post))
-    own = F.broadcast(a.profiles.select(F.col("display_name").alias("owner_name")).limit(1))
-    names = a.people.select(F.col("id").alias("author_id"), F.col("display_name").alias("known_name"))
-    if few:
-        names = names.join(F.broadcast(posts.select("author_id").distinct()), "author_id", "left_semi")
-    posts = posts.join(names, "author_id", "left").crossJoin(own).withColumn("author_name", F.coalesce("known_name", "owner_name")).drop("known_name", "owner_name")
+    posts = named(posts, a, few)
     posts = with_count(posts, "id", a.media.filter("owner_type = 'post'"), "owner_id", "media_count", few)
     posts = with_count(posts, "id", a.comments, "post_id", "comment_count", few)
     return with_count(posts, "id", a.reactions.filter("target_type = 'post'"), "target_id", "reaction_count", few)
 
 
+def with_children(page: DataFrame, child: DataFrame, key: str, order: list[str], fields: list[str], name: str) -> DataFrame:
+    """The rows of a page with the list of their children; the page's ids filter the children where they are read."""
+    fields = [f for f in fields if f in child.columns]
+    ids = F.broadcast(page.select(F.col("id").alias(key)).distinct())
+    lists = nested(child.join(ids, key, "left_semi"), key, order, fields, name).withColumnRenamed(key, "__key")
+    kind = dict(lists.dtypes)[name]
+    return page.join(lists, F.col("id") == F.col("__key"), "left").drop("__key").withColumn(name, F.coalesce(name, F.array().cast(kind)))
+
+
+MEDIA_FIELDS = ["id", "path", "media_type", "filename", "mime_type", "caption", "timestamp", "owner_type", "owner_id", "width", "height", "duration_ms"]
+
+
+def full_posts(page: DataFrame, a) -> DataFrame:
+    """A page of posts with lists of their media, comments and reactions."""
+    page = with_children(page, a.media.filter("owner_type = 'post'"), "owner_id", ["id"], MEDIA_FIELDS, "media")
+    page = with_children(page, a.comments, "post_id", ["created_at", "id"], ["id", "author_id", "author_name", "body", "created_at"], "comments")
+    return with_children(page, a.reactions.filter("target_type = 'post'"), "target_id", ["created_at", "id"], ["id", "person_id", "person_name", "kind", "created_at"], "reactions")
+
+
 def nested(df: DataFrame, key: str, order: list[str], fields: list[str], name: str) -> DataFrame:
     """key and a list of structs of its rows, in a defined order."""
     kept = F.array_sort(F.collect_list(F.struct(*order, *[f for f in fields if f not in order])))
@@ -68,7 +103,8 @@ def activity(ledger: DataFrame, people: DataFrame, kind: str | None = None, year
     rows = ledger
     rows = rows.filter(F.col("activity_type") == kind) if kind else rows
     rows = rows.filter(F.col("calendar_year") == year) if year else rows
-    rows = rows.filter(contains_ci(F.col("summary"), text)) if text and text.strip() else rows
+    if text and text.strip():
+        rows = rows.filter(contains_ci(F.col("summary"), text) | F.coalesce(contains_ci(or_null(rows, "source_path"), text), F.lit(False)))
     names = people.select(F.col("id").alias("actor_person_id"), F.col("display_name").alias("actor_name"))
     if page:
         rows = page(rows)

@@ -1,32 +1,58 @@
-"""Ranked full-text search over three columns: postings, conjunctive queries, phrases, BM25 and snippets."""
+"""Ranked full-text search over three columns: stored postings, conjunctive queries, phrases, BM25, snippets and pages."""
 
 from __future__ import annotations
 
-import re
-from functools import reduce
+import unicodedata
+from dataclasses import dataclass
+from functools import lru_cache, reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
-from hearthlog.functions.scalars import ascii_lower, contains_ci
+from hearthlog.functions.scalars import contains_ci
+from hearthlog.operators import paging
 
 COLUMNS = ("title", "body", "context")
 #: Weights of the columns, and the usual constants of BM25.
 WEIGHTS = {"title": 5.0, "body": 1.5, "context": 1.0}
 K1, B = 1.2, 0.75
-#: Letters, numbers and private use; everything else separates tokens. Cased and accented letters are told apart
-#: beyond A-Z, so that results don't depend on a locale.
+#: Letters, numbers and private use; everything else separates tokens.
 SEPARATOR = r"[^\p{L}\p{N}\p{Co}]+"
+#: Buckets of terms in the stored postings; a query reads those of its terms only.
+BUCKETS = 64
+POSTINGS = "term string, entity_type string, entity_id string, title array<int>, body array<int>, context array<int>, length long, created_at string, bucket int"
+CORPUS = "documents long, length double"
+
+
+@lru_cache(1)
+def _marked() -> tuple[str, str]:
+    """Lower-case letters with one or more marks, and their letters without, by Unicode's own decomposition."""
+    pairs = [(chr(c), unicodedata.normalize("NFD", chr(c))) for c in range(0x80, 0x2000) if chr(c) == chr(c).lower()]
+    found = [(c, d[0]) for c, d in pairs if len(d) > 1 and d[0].isalpha() and all(unicodedata.combining(x) for x in d[1:])]
+    return "".join(c for c, _ in found), "".join(d for _, d in found)
+
+
+def folded(c: Column) -> Column:
+    """Lower case, letters without marks: accents and case don't tell tokens apart."""
+    return F.translate(F.lower(F.coalesce(c, F.lit(""))), *_marked())
+
+
+def folded_text(text: str) -> str:
+    return text.lower().translate(str.maketrans(*_marked()))
 
 
 def tokens(c: Column) -> Column:
-    return F.filter(F.split(ascii_lower(F.coalesce(c, F.lit(""))), SEPARATOR), lambda t: t != "")
+    return F.filter(F.split(folded(c), SEPARATOR), lambda t: t != "")
 
 
 def query_phrases(text: str) -> list[list[str]]:
-    """White space separates phrases, all of which must occur; a phrase of several tokens needs them side by side."""
-    low = text.translate({c: c + 32 for c in range(65, 91)})
-    return [p for p in ([t for t in re.split(r"[\W_]+", w) if t] for w in low.split()) if p]
+    """White space separates phrases, all of which must occur; a phrase of several tokens needs them side by side.
+
+    Tokens are what they are in documents: letters, numbers and private use.
+    """
+    inside = lambda ch: unicodedata.category(ch)[0] in "LN" or unicodedata.category(ch) == "Co"
+    words = ("".join(ch if inside(ch) else " " for ch in w).split() for w in folded_text(text).split())
+    return [w for w in words if w]
 
 
 def postings(docs: DataFrame) -> DataFrame:
@@ -35,9 +61,127 @@ def postings(docs: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, each)
 
 
+def term_statistics(docs: DataFrame) -> DataFrame:
+    """term, docs, n: in how many documents each term occurs, and how often. Each document counts its terms first."""
+    every = F.concat(*[tokens(F.col(c)) for c in COLUMNS])
+    # Sorted tokens: the first of each run of equal ones adds a document.
+    met = docs.select(F.array_sort(every).alias("t")).select(F.posexplode("t").alias("i", "term"), "t")
+    return met.groupBy("term").agg(F.count_if((F.col("i") == 0) | (F.col("t")[F.greatest(F.col("i") - 1, F.lit(0))] != F.col("term"))).alias("docs"), F.count("*").alias("n"))
+
+
+def _bucket(term: Column) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
+
+
+def stored_postings(docs: DataFrame) -> DataFrame:
+    """A row for each term of each document: where it stands in each column, and the document's length and date.
+
+    Rows are ordered by term within their bucket, so that a query reads few row groups.
+    """
+    places = lambda c: F.transform(tokens(F.col(c)), lambda t, i: F.struct(t.alias("term"), F.lit(c).alias("col"), i.alias("pos")))
+    every = docs.select("entity_type", "entity_id", "created_at", F.concat(*map(places, COLUMNS)).alias("p"))
+    met = every.select("entity_type", "entity_id", "created_at", F.size("p").cast("long").alias("length"), F.explode("p").alias("p"))
+    at = lambda c: F.array_sort(F.collect_list(F.when(F.col("p.col") == c, F.col("p.pos")))).alias(c)
+    rows = met.groupBy(F.col("p.term").alias("term"), "entity_type", "entity_id", "length", "created_at").agg(*map(at, COLUMNS))
+    return rows.select("term", "entity_type", "entity_id", *COLUMNS, "length", "created_at", _bucket(F.col("term")).alias("bucket")).repartition("bucket").sortWithinPartitions("bucket", "term")
+
+
+def corpus(docs: DataFrame) -> DataFrame:
+    """documents, length: how many there are, and how long they are on average. One row."""
+    return docs.agg(F.count("*").alias("documents"), F.avg(sum((F.size(tokens(F.col(c))) for c in COLUMNS), F.lit(0))).alias("length"))
+
+
+def _idf(documents: Column, with_phrase: Column) -> Column:
+    return F.greatest(F.lit(1e-6), F.ln((documents - with_phrase + 0.5) / (with_phrase + 0.5)))
+
+
+def _score(f: Column, d: Column, documents: Column, length: Column, mean: Column) -> Column:
+    return _idf(documents, d) * (f * (K1 + 1)) / (f + K1 * (1 - B + B * length / mean))
+
+
+def scored(stored: DataFrame, numbers: DataFrame, text: str, where: Column | None = None) -> DataFrame:
+    """entity_type, entity_id, created_at, rank of the documents that hold all phrases, from the stored postings alone.
+
+    Only the postings of the query's terms are read; their number of documents comes from them too. `where` filters
+    hits, not the numbers.
+    """
+    phrases = query_phrases(text)
+    terms = sorted({t for p in phrases for t in p})
+    empty = stored.select("entity_type", "entity_id", "created_at", F.lit(0.0).alias("rank")).limit(0)
+    if not terms:
+        return empty
+    buckets = [r[0] for r in stored.sparkSession.createDataFrame([(t,) for t in terms], "t string").select(_bucket(F.col("t"))).distinct().collect()]
+    read = stored.filter(F.col("bucket").isin(buckets) & F.col("term").isin(terms))
+    place = lambda i, c: F.flatten(F.collect_list(F.when(F.col("term") == terms[i], F.col(c)))).alias(f"{c}{i}")
+    docs = read.groupBy("entity_type", "entity_id", "created_at", "length").agg(*[place(i, c) for i in range(len(terms)) for c in COLUMNS])
+
+    def followed(starts: Column, places: Column, k: int) -> Column:
+        return F.filter(starts, lambda p: F.array_contains(places, p + k))
+
+    def found(phrase: list[str], c: str) -> Column:
+        at = [F.col(f"{c}{terms.index(t)}") for t in phrase]
+        return F.size(reduce(lambda starts, k: followed(starts, at[k], k), range(1, len(phrase)), at[0]))
+
+    for i, p in enumerate(phrases):
+        docs = docs.withColumn(f"_f{i}", sum((found(p, c) * F.lit(w) for c, w in WEIGHTS.items()), F.lit(0.0)))
+    n = range(len(phrases))
+    docs = docs.select("entity_type", "entity_id", "created_at", "length", *[f"_f{i}" for i in n])
+    counts = docs.agg(*[F.count_if(F.col(f"_f{i}") > 0).alias(f"_d{i}") for i in n]).crossJoin(numbers.select("documents", F.col("length").alias("_mean")))  # one row
+    hits = reduce(lambda df, i: df.filter(F.col(f"_f{i}") > 0), n, docs if where is None else docs.filter(where)).crossJoin(F.broadcast(counts))
+    rank = sum((_score(F.col(f"_f{i}"), F.col(f"_d{i}"), F.col("documents"), F.col("length"), F.col("_mean")) for i in n), F.lit(0.0))
+    return hits.select("entity_type", "entity_id", "created_at", F.round(-rank, 6).alias("rank"))
+
+
+@dataclass(frozen=True)
+class SearchPage:
+    """items, where the next page begins, whether there is one, hits of this page by kind, the backend, and whether it's out of date."""
+
+    items: list[Row]
+    next_cursor: str | None
+    has_more: bool
+    counts: dict[str, int]
+    backend: str
+    preparing: bool = False
+
+
+def _search_page(rows: list[Row], limit: int, backend: str) -> SearchPage:
+    items, counts = rows[:limit], {}
+    for r in items:
+        counts[r["entity_type"]] = counts.get(r["entity_type"], 0) + 1
+    more, last = len(rows) > limit, items[-1] if items else None
+    at = {"rank": last["rank"] if backend == "ranked" else 0, "createdAt": last["created_at"] or "", "entityId": last["entity_id"], "entityType": last["entity_type"]} if more else None
+    return SearchPage(items, paging.encode_cursor(**at) if at else None, more, counts, backend)
+
+
+def _behind(cursor: str | None, rank: Column | None) -> Column:
+    """Rows behind a cursor in the order of rank, newest, id and kind."""
+    at = paging.decode_cursor(cursor, "rank", "createdAt", "entityId", "entityType")
+    if not at:
+        return F.lit(True)
+    day, id_, kind = F.coalesce("created_at", F.lit("")), F.col("entity_id"), F.col("entity_type")
+    later = (day < at["createdAt"]) | ((day == at["createdAt"]) & ((id_ > at["entityId"]) | ((id_ == at["entityId"]) & (kind > at["entityType"]))))
+    return later if rank is None else (rank > at["rank"]) | ((rank == at["rank"]) & later)
+
+
+_ORDER = lambda: (F.desc(F.coalesce("created_at", F.lit(""))), "entity_id", "entity_type")
+
+
+def ranked_page(docs: DataFrame, stored: DataFrame, numbers: DataFrame, text: str, where: Column | None, limit: int, cursor: str | None = None) -> SearchPage:
+    """A page of hits; only the page's own documents are read."""
+    hits = scored(stored, numbers, text, where).filter(_behind(cursor, F.col("rank"))).orderBy("rank", *_ORDER()).limit(limit + 1)
+    found = docs.drop("created_at").join(F.broadcast(hits), ["entity_type", "entity_id"])
+    found = found.withColumn("snippet", snippet(F.col("body"), query_phrases(text)))
+    return _search_page(found.orderBy("rank", *_ORDER()).collect(), limit, "ranked")
+
+
+def like_page(docs: DataFrame, text: str, where: Column | None, limit: int, cursor: str | None = None) -> SearchPage:
+    hits = like_hits(docs, text, where).filter(_behind(cursor, None))
+    return _search_page(hits.orderBy(*_ORDER()).limit(limit + 1).collect(), limit, "like")
+
+
 def _spaced(c: Column) -> Column:
     """The tokens of a text, each between two single spaces of its own."""
-    return F.concat(F.lit("  "), F.regexp_replace(ascii_lower(F.coalesce(c, F.lit(""))), SEPARATOR, "  "), F.lit("  "))
+    return F.concat(F.lit("  "), F.regexp_replace(folded(c), SEPARATOR, "  "), F.lit("  "))
 
 
 def _length(spaced: Column) -> Column:
@@ -69,13 +213,9 @@ def ranked(docs: DataFrame, text: str, where: Column | None = None) -> DataFrame
     counted = counted.withColumn("_len", sum((_length(F.col(f"_{c}")) for c in COLUMNS), F.lit(0)))
     stats = counted.agg(F.count("*").alias("_n"), F.avg("_len").alias("_avg"), *[F.sum((F.col(f"_f{i}") > 0).cast("long")).alias(f"_d{i}") for i in range(len(phrases))])
     hits = reduce(lambda df, i: df.filter(F.col(f"_f{i}") > 0), range(len(phrases)), counted if where is None else counted.filter(where))
-    scored = hits.crossJoin(F.broadcast(stats))  # one row
-    score = F.lit(0.0)
-    for i in range(len(phrases)):
-        f, d = F.col(f"_f{i}"), F.col(f"_d{i}")
-        idf = F.greatest(F.lit(1e-6), F.ln((F.col("_n") - d + 0.5) / (d + 0.5)))
-        score = score + idf * (f * (K1 + 1)) / (f + K1 * (1 - B + B * F.col("_len") / F.col("_avg")))
-    return scored.withColumn("rank", -score).select(*docs.columns, "rank")
+    met = hits.crossJoin(F.broadcast(stats))  # one row
+    score = sum((_score(F.col(f"_f{i}"), F.col(f"_d{i}"), F.col("_n"), F.col("_len"), F.col("_avg")) for i in range(len(phrases))), F.lit(0.0))
+    return met.withColumn("rank", -score).select(*docs.columns, "rank")
 
 
 def top_hits(docs: DataFrame, text: str, limit: int = 20, where: Column | None = None) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from hearthlog.functions.scalars import ascii_lower, iso, media_type
 
 _ISO = "%Y-%m-%dT%H:%M:%S.%gZ"
-RELATIONS = ["friend", "follower", "following", "sent_request", "received_request", "rejected_request", "removed_friend", "other"]
+RELATIONS = ["friend", "follower", "following", "outgoing_request", "incoming_request", "blocked", "removed_friend", "unknown"]
 
 
 def _id(prefix: str, *cols: str):
@@ -58,18 +58,19 @@ class Archive:
     def comments(self) -> DataFrame:
         order = ["created_at", "author_id", "body", "l_partkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax"]
         first = self.raw_comments.groupBy("id", "post_id").agg(F.min(F.struct(*order)).alias("r"))
-        return first.select("id", "post_id", "r.author_id", "r.body", "r.created_at")
+        named = F.when(F.substring_index("r.author_id", ":", -1).cast("int") % 2 == 0, F.concat(F.lit("Author "), F.substring_index("r.author_id", ":", -1)))
+        return first.select("id", "post_id", "r.author_id", named.alias("author_name"), "r.body", "r.created_at")
 
     @cached_property
     def reactions(self) -> DataFrame:
         e = self.table("events").filter(F.col("event_type").isin("click", "view", "purchase"))
-        return e.select(_id("reaction:", "event_id").alias("id"), F.lit("post").alias("target_type"), F.concat(F.lit("post:"), F.expr("event_id div 4").cast("string")).alias("target_id"), _id("person:c:", "user_id").alias("person_id"), F.col("event_type").alias("kind"), iso(F.col("ts")).alias("created_at"))
+        return e.select(_id("reaction:", "event_id").alias("id"), F.lit("post").alias("target_type"), F.concat(F.lit("post:"), F.expr("event_id div 4").cast("string")).alias("target_id"), _id("person:c:", "user_id").alias("person_id"), F.when(F.col("user_id") % 2 == 0, F.concat(F.lit("User "), F.col("user_id").cast("string"))).alias("person_name"), F.col("event_type").alias("kind"), iso(F.col("ts")).alias("created_at"))
 
     @cached_property
     def messages(self) -> DataFrame:
         at = F.timestamp_add("MINUTE", F.col("turn").cast("int"), F.timestamp_add("DAY", F.col("conv_id").cast("int"), F.to_timestamp_ntz(F.lit("2024-01-01 00:00:00"))))
         return self.table("conversations").select(
-            _id("message:", "conv_id", "turn").alias("id"), _id("conversation:", "conv_id").alias("conversation_id"), F.col("role").alias("sender_name"), F.col("text").alias("body"),
+            _id("message:", "conv_id", "turn").alias("id"), _id("conversation:", "conv_id").alias("conversation_id"), F.concat(F.lit("person:m:"), F.col("role")).alias("sender_id"), F.col("role").alias("sender_name"), F.col("text").alias("body"),
             F.when(F.col("role") != "system", iso(at)).alias("sent_at"),
         )
 
@@ -84,7 +85,7 @@ class Archive:
         endings = F.element_at(F.array(*map(F.lit, [".jpg", ".MP4", ".mp3", ".pdf", ""])), (F.col("p_size") % 5 + 1).cast("int"))
         path = F.concat(F.lit("media/"), F.col("p_partkey").cast("string"), endings)
         return p.select(
-            _id("media:", "p_partkey").alias("id"), path.alias("path"), media_type(path).alias("media_type"), F.col("p_name").alias("caption"),
+            _id("media:", "p_partkey").alias("id"), path.alias("path"), media_type(path).alias("media_type"), F.substring_index(path, "/", -1).alias("filename"), F.col("p_name").alias("caption"),
             F.when(F.col("p_size") % 10 != 0, _days("2000-01-01 00:00:00", F.col("p_size") * 7)).alias("timestamp"),
             F.when(even, "post").otherwise("album").alias("owner_type"), F.when(even, _id("post:", "p_partkey")).otherwise(_id("album:", "p_brand")).alias("owner_id"),
         )
@@ -118,13 +119,7 @@ class Archive:
         return n.select(_id("fact:", "n_nationkey").alias("id"), F.lit("profile:owner").alias("profile_id"), ascii_lower(F.col("r_name")).alias("category"), F.lit("Lived in").alias("label"), F.col("n_name").alias("value"), F.when(F.col("n_nationkey") % 4 != 0, _days("2011-01-01 00:00:00", F.col("n_nationkey"))).alias("start_date"), F.lit(None).cast("string").alias("end_date"))
 
 
-def _when(kinds: dict[str, str]) -> str:
-    return " ".join(f"WHEN regexp_matches(lower(path), '\\.({e.replace(' ', '|')})$') THEN '{k}'" for k, e in kinds.items())
-
-
 def _sql() -> str:
-    from hearthlog.functions.scalars import MEDIA_ENDINGS
-
     f, kinds = f"'{_ISO}'", ", ".join(f"'{r}'" for r in RELATIONS)
     return f"""
 people AS (
@@ -137,20 +132,20 @@ raw_comments AS (
   SELECT 'comment:' || l_orderkey || ':' || l_linenumber AS id, 'post:' || l_orderkey AS post_id, 'person:s:' || l_suppkey AS author_id,
          l_returnflag || '/' || l_linestatus AS body, strftime(l_shipdate, {f}) AS created_at, l_partkey, l_quantity, l_extendedprice, l_discount, l_tax FROM lineitem),
 comments AS (
-  SELECT id, post_id, author_id, body, created_at FROM raw_comments
+  SELECT id, post_id, author_id, CASE WHEN CAST(split_part(author_id, ':', 3) AS INT) % 2 = 0 THEN 'Author ' || split_part(author_id, ':', 3) END AS author_name, body, created_at FROM raw_comments
   QUALIFY row_number() OVER (PARTITION BY id ORDER BY created_at, author_id, body, l_partkey, l_quantity, l_extendedprice, l_discount, l_tax) = 1),
 reactions AS (
   SELECT 'reaction:' || event_id AS id, 'post' AS target_type, 'post:' || (event_id // 4) AS target_id, 'person:c:' || user_id AS person_id,
-         event_type AS kind, strftime(ts, {f}) AS created_at FROM events WHERE event_type IN ('click', 'view', 'purchase')),
+         CASE WHEN user_id % 2 = 0 THEN 'User ' || user_id END AS person_name, event_type AS kind, strftime(ts, {f}) AS created_at FROM events WHERE event_type IN ('click', 'view', 'purchase')),
 messages AS (
-  SELECT 'message:' || conv_id || ':' || turn AS id, 'conversation:' || conv_id AS conversation_id, role AS sender_name, text AS body,
+  SELECT 'message:' || conv_id || ':' || turn AS id, 'conversation:' || conv_id AS conversation_id, 'person:m:' || role AS sender_id, role AS sender_name, text AS body,
          CASE WHEN role <> 'system' THEN strftime(TIMESTAMP '2024-01-01' + to_days(conv_id::INT) + to_minutes(turn), {f}) END AS sent_at FROM conversations),
 chats AS (
   SELECT 'conversation:' || conv_id AS id, CASE WHEN conv_id % 5 <> 0 THEN 'Chat ' || conv_id END AS title,
          list_sort(list(DISTINCT role)) AS participant_names, count(DISTINCT role) > 2 AS is_group FROM conversations GROUP BY conv_id),
 media_paths AS (SELECT *, 'media/' || p_partkey || ['.jpg', '.MP4', '.mp3', '.pdf', ''][p_size % 5 + 1] AS path FROM part),
 media AS (
-  SELECT 'media:' || p_partkey AS id, path, CASE {_when(MEDIA_ENDINGS)} ELSE 'file' END AS media_type, p_name AS caption,
+  SELECT 'media:' || p_partkey AS id, path, ['photo', 'video', 'audio', 'file', 'unknown'][p_size % 5 + 1] AS media_type, split_part(path, '/', 2) AS filename, p_name AS caption,
          CASE WHEN p_size % 10 <> 0 THEN strftime(TIMESTAMP '2000-01-01' + to_days(p_size * 7), {f}) END AS timestamp,
          CASE WHEN p_partkey % 2 = 0 THEN 'post' ELSE 'album' END AS owner_type,
          CASE WHEN p_partkey % 2 = 0 THEN 'post:' || p_partkey ELSE 'album:' || p_brand END AS owner_id FROM media_paths),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +12,7 @@ from pyspark.sql import Window as W
 from hearthlog.functions import scalars as S
 from hearthlog.operators import derived, merge, paging, reads, search
 from hearthlog.plans.bindings import CTES, Archive
+from hearthlog.streaming import ingest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -30,29 +32,29 @@ def query(sql: str | None = None, ctes: str = ""):
 
 _LEDGER_PARTS = """
 ledger_raw AS (
-  SELECT 'activity:profile:' || id AS id, 'profile' AS activity_type, person_id AS actor_person_id, 'profile' AS target_type, id AS target_id, joined_at AS occurred_at, 'Joined as ' || display_name AS summary FROM profiles
-  UNION ALL SELECT 'activity:post:' || id, 'post', author_id, 'post', id, created_at, coalesce(title || ': ' || '“' || substr(body, 1, 160) || '”', '“' || substr(body, 1, 160) || '”') FROM posts
-  UNION ALL SELECT 'activity:comment:' || id, 'comment', author_id, 'post', post_id, created_at, 'Commented “' || substr(body, 1, 160) || '”' FROM comments
-  UNION ALL SELECT 'activity:reaction:' || id, 'reaction', person_id, target_type, target_id, created_at, 'Reacted with ' || kind FROM reactions
-  UNION ALL SELECT 'activity:message:' || id, 'message', 'person:m:' || sender_name, 'conversation', conversation_id, sent_at, 'Wrote “' || substr(translate(body, chr(10) || chr(13), '  '), 1, 160) || '”' FROM messages
-  UNION ALL SELECT 'activity:connection:' || id, 'connection', person_id, 'person', person_id, coalesce(started_at, ended_at), relationship_type || ' ' || display_name FROM connections
-  UNION ALL SELECT 'activity:album:' || id, 'album', owner_id, 'album', id, coalesce(created_at, updated_at), 'Album ' || title FROM albums
-  UNION ALL SELECT 'activity:media:' || id, 'media', NULL, owner_type, owner_id, timestamp, 'Added ' || media_type FROM media
-  UNION ALL SELECT 'activity:profile-fact:' || id, 'profile-fact', 'person:c:1', 'profile', profile_id, coalesce(start_date, end_date), label || ': ' || value FROM profile_facts),
+  SELECT 'activity:profile:' || id AS id, 'profile' AS activity_type, person_id AS actor_person_id, 'profile' AS target_type, id AS target_id, joined_at AS occurred_at, 'Profile: ' || display_name AS summary FROM profiles
+  UNION ALL SELECT 'activity:post:' || id, 'post', author_id, 'post', id, created_at, CASE WHEN title <> '' THEN 'Posted “' || title || '”' WHEN body <> '' THEN 'Posted “' || substr(body, 1, 160) || '”' ELSE 'Posted' END FROM posts
+  UNION ALL SELECT 'activity:comment:' || id, 'comment', author_id, 'post', post_id, created_at, coalesce('Commented as ' || author_name, 'Commented') || ': “' || substr(body, 1, 160) || '”' FROM comments
+  UNION ALL SELECT 'activity:reaction:' || id, 'reaction', person_id, target_type, target_id, created_at, 'Reacted ' || kind || coalesce(' as ' || person_name, '') FROM reactions
+  UNION ALL SELECT 'activity:message:' || id, 'message', sender_id, 'conversation', conversation_id, sent_at, 'Message from ' || sender_name || CASE WHEN body <> '' THEN ': “' || substr(translate(body, chr(10) || chr(13), '  '), 1, 160) || '”' ELSE '' END FROM messages
+  UNION ALL SELECT 'activity:connection:' || id, 'connection', person_id, 'person', person_id, coalesce(started_at, ended_at), replace(relationship_type, '_', ' ') || ': ' || display_name FROM connections
+  UNION ALL SELECT 'activity:album:' || id, 'album', owner_id, 'album', id, coalesce(created_at, updated_at), 'Album: ' || title FROM albums
+  UNION ALL SELECT 'activity:media:' || id, 'media', NULL, owner_type, owner_id, timestamp, 'Media: ' || filename FROM media
+  UNION ALL SELECT 'activity:profile-fact:' || id, 'profile', 'person:c:1', 'profile', 'profile:owner', coalesce(start_date, end_date), category || ' · ' || label || ': ' || value FROM profile_facts),
 ledger AS (
   SELECT *, CAST(substr(occurred_at, 1, 4) AS INT) AS calendar_year, CAST(substr(occurred_at, 6, 2) AS INT) AS calendar_month, CAST(substr(occurred_at, 9, 2) AS INT) AS calendar_day
   FROM ledger_raw WHERE occurred_at IS NOT NULL)"""
 _DOCS = """
 search_docs AS (
   SELECT 'person' AS entity_type, id AS entity_id, display_name AS title, relationship AS body, facebook_id AS context, NULL AS created_at, NULL AS conversation_id FROM people
-  UNION ALL SELECT 'profile-fact', id, category, concat_ws(' ', label, value), concat_ws(' ', start_date, end_date), coalesce(start_date, end_date), NULL FROM profile_facts
-  UNION ALL SELECT 'post', id, title, body, created_at, created_at, NULL FROM posts
-  UNION ALL SELECT 'comment', id, author_id, body, post_id, created_at, NULL FROM comments
-  UNION ALL SELECT 'reaction', id, kind, person_id, target_id, created_at, NULL FROM reactions
-  UNION ALL SELECT 'connection', id, display_name, concat_ws(' ', relationship_type, username), started_at, started_at, NULL FROM connections
+  UNION ALL SELECT 'profile-fact', 'fact:' || id, category, concat_ws(' ', label, value), concat_ws(' ', start_date, end_date), coalesce(start_date, end_date), NULL FROM profile_facts
+  UNION ALL SELECT 'post', id, title, body, coalesce(created_at, ''), created_at, NULL FROM posts
+  UNION ALL SELECT 'comment', id, author_name, body, post_id, created_at, NULL FROM comments
+  UNION ALL SELECT 'reaction', id, kind, person_name, target_id, created_at, NULL FROM reactions
+  UNION ALL SELECT 'connection', id, display_name, concat_ws(' ', relationship_type, username), coalesce(started_at, ended_at), coalesce(started_at, ended_at), NULL FROM connections
   UNION ALL SELECT 'album', id, title, description, created_at, coalesce(updated_at, created_at), NULL FROM albums
-  UNION ALL SELECT 'media', id, path, caption, path, timestamp, NULL FROM media
-  UNION ALL SELECT 'conversation', id, coalesce(title, 'Conversation'), array_to_string(participant_names, ' '), array_to_string(participant_names, ' '), NULL, id FROM chats
+  UNION ALL SELECT 'media', id, filename, caption, path, timestamp, NULL FROM media
+  UNION ALL SELECT 'conversation', id, coalesce(title, 'Conversation'), array_to_string(participant_names, ' '), array_to_string(participant_names, ' '), NULL, NULL FROM chats
   UNION ALL SELECT 'message', m.id, coalesce(c.title, 'Conversation'), m.body, concat_ws(' ', m.sender_name, m.sent_at), m.sent_at, m.conversation_id FROM messages m LEFT JOIN chats c ON c.id = m.conversation_id)"""
 _FEED = """
 feed AS (
@@ -78,9 +80,9 @@ def posts_by_author(a):
     return a.posts.filter("author_id = 'person:c:7'")
 
 
-@query("SELECT id, activity_type, occurred_at, summary FROM ledger WHERE translate(summary, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') LIKE '%added ph_to%'", _LEDGER_PARTS)
+@query("SELECT id, activity_type, occurred_at, summary FROM ledger WHERE translate(summary, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') LIKE '%media: 1_.%'", _LEDGER_PARTS)
 def ledger_text_filter(a):
-    return derived.ledger(a).filter(S.contains_ci(F.col("summary"), " ADDED ph_to ")).select("id", "activity_type", "occurred_at", "summary")
+    return derived.ledger(a).filter(S.contains_ci(F.col("summary"), " MEDIA: 1_. ")).select("id", "activity_type", "occurred_at", "summary")
 
 
 @query("SELECT id, created_at FROM comments WHERE created_at >= '1997-03-01T00:00:00.000Z' AND created_at <= '1997-04-30T23:59:59.999Z'")
@@ -119,18 +121,46 @@ def media_preview_filter(a):
     return a.media.filter(F.col("media_type").isin("photo", "video", "audio")).select("id", "path")
 
 
-@query(
-    """SELECT c_custkey, CASE WHEN regexp_matches(h, 'removed|deleted_friend|unfriend') THEN 'removed_friend' WHEN regexp_matches(h, 'reject|declin') THEN 'rejected_request'
-  WHEN regexp_matches(h, 'sent') THEN 'sent_request' WHEN regexp_matches(h, 'received|friend_request') THEN 'received_request' WHEN regexp_matches(h, 'follower|followed_by') THEN 'follower'
-  WHEN regexp_matches(h, 'following|who_you') THEN 'following' WHEN regexp_matches(h, 'friend') THEN 'friend' ELSE 'other' END AS kind
-FROM (SELECT c_custkey, ['removed_friends.json', 'rejected_friend_requests.json', 'sent_friend_requests.json', 'received_friend_requests.json', 'followers.json', 'WHO_YOU_follow.json', 'your_friends.json', 'x.json'][c_custkey % 8 + 1] AS f, lower(f) AS h FROM customer)"""
-)
+_CONNECTION_FILES = ["removed_friends.json", "rejected_friend_requests.json", "sent_friend_requests.json", "received_friend_requests.json", "followers.json", "who_youve_FOLLOWING.json", "your_friends.json", "x.json", "blocked_profiles.json", "unfriended.json", "Outgoing.json"]
+
+
+@query("SELECT c_custkey, ['removed_friend', 'friend', 'outgoing_request', 'incoming_request', 'follower', 'following', 'friend', 'unknown', 'blocked', 'removed_friend', 'outgoing_request'][c_custkey % 11 + 1] AS kind FROM customer")
 def connection_type_classifier(a):
-    files = ["removed_friends.json", "rejected_friend_requests.json", "sent_friend_requests.json", "received_friend_requests.json", "followers.json", "WHO_YOU_follow.json", "your_friends.json", "x.json"]
-    file = F.element_at(F.array(*map(F.lit, files)), (F.col("c_custkey") % 8 + 1).cast("int"))
+    file = F.element_at(F.array(*map(F.lit, _CONNECTION_FILES)), (F.col("c_custkey") % 11 + 1).cast("int"))
     return a.table("customer").select("c_custkey", S.connection_type(file).alias("kind"))
 
 
+_MEDIA_FILES = ["a.JPG", "b.mp4", "c.oga", "d.xlsx", "e.zip", "f", "video/g.jpg", "h.heic", "files/i.png", "j.pdf", "k.docx", "l.bin"]
+
+
+@query("SELECT p_partkey, ['photo', 'video', 'audio', 'file', 'file', 'unknown', 'video', 'photo', 'photo', 'file', 'file', 'unknown'][p_partkey % 12 + 1] AS kind FROM part")
+def media_kind_classifier(a):
+    file = F.element_at(F.array(*map(F.lit, _MEDIA_FILES)), (F.col("p_partkey") % 12 + 1).cast("int"))
+    return a.table("part").select("p_partkey", S.media_type(file).alias("kind"))
+
+
+_SECTION_FILES = {
+    "a/profile_information/profile.json": "profile", "a/posts/comments.json": "posts", "your_posts__check_ins_1.html": "posts", "a/messages/inbox/b_1/message_12.html": "messages",
+    "messages/friends.json": "connections", "a/comments_and_reactions/comments.json": "comments", "likes_and_reactions_1.json": "reactions", "friends_and_followers/who.json": "connections",
+    "x/album/0.html": "albums", "your_videos.json": "albums", "ads/x.json": None, "a/posts/media.txt": None,
+}
+
+
+@query("SELECT p_partkey, ['profile', 'posts', 'posts', 'messages', 'connections', 'comments', 'reactions', 'connections', 'albums', 'albums', NULL, NULL][p_partkey % 12 + 1] AS section FROM part")
+def section_classifier(a):
+    file = F.element_at(F.array(*map(F.lit, _SECTION_FILES)), (F.col("p_partkey") % 12 + 1).cast("int"))
+    return a.table("part").select("p_partkey", S.section(file).alias("section"))
+
+
+_WARNINGS = ["p.zip · f: unsupported posts JSON shape (skipped).", "Unexpected token } in JSON", "x · y: suspicious media path skipped (../a)", "Media reference not found: b", "Duplicate part", "x · Took 12 s (long)", " "]
+
+
+@query("SELECT p_partkey, ['unsupported-shape', 'malformed-json', 'unsafe-path', 'missing-media', 'duplicate-part', 'Took # s (path)', 'import-warning'][p_partkey % 7 + 1] AS category FROM part")
+def warning_category_classifier(a):
+    text = F.element_at(F.array(*map(F.lit, _WARNINGS)), (F.col("p_partkey") % 7 + 1).cast("int"))
+    return a.table("part").select("p_partkey", S.warning_category(text).alias("category"))
+
+
 # -- joins
 
 
@@ -145,9 +175,7 @@ FROM (SELECT id, CASE WHEN CAST(substr(author_id, 10) AS INT) % 3 = 0 THEN 'owne
 )
 def feed_author_fallback(a):
     posts = a.posts.withColumn("author_id", F.when(F.substring_index("author_id", ":", -1).cast("int") % 3 == 0, "owner").otherwise(F.col("author_id")))
-    own = F.broadcast(a.profiles.select(F.col("display_name").alias("own")).limit(1))
-    names = a.people.select(F.col("id").alias("author_id"), F.col("display_name").alias("known"))
-    return posts.join(names, "author_id", "left").crossJoin(own).select("id", F.coalesce("known", "own").alias("author_name"))
+    return reads.named(posts, a).select("id", "author_name")
 
 
 _INBOX = """
@@ -378,12 +406,12 @@ def merge_conversations(a):
 
 @query("SELECT id, activity_type, actor_person_id, target_type, target_id, occurred_at, summary, calendar_year, calendar_month, calendar_day FROM ledger", _LEDGER_PARTS)
 def ledger_union9(a):
-    return derived.ledger(a)
+    return derived.ledger(a).drop("source_path", "source_index", "archive_part_id")
 
 
 @query("SELECT entity_type, entity_id, title, body, context, created_at, conversation_id FROM search_docs", _DOCS)
 def search_docs_union10(a):
-    return derived.search_documents(a)
+    return derived.search_documents(a).drop("source_path")
 
 
 @query("SELECT id, author_id, title, body, created_at FROM posts")
@@ -560,7 +588,8 @@ def _docs(a):
 _TEXTS = """
 texts AS (SELECT lpad(CAST(doc_id AS VARCHAR), 9, '0') AS entity_id, source AS title, text AS body, lang AS context FROM documents),
 folded AS (SELECT *, translate(coalesce(title, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t, translate(coalesce(body, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS b, translate(coalesce(context, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS c FROM texts),
-words AS (SELECT entity_id, regexp_extract_all(t, '[\\p{L}\\p{N}\\p{Co}]+') AS t, regexp_extract_all(b, '[\\p{L}\\p{N}\\p{Co}]+') AS b, regexp_extract_all(c, '[\\p{L}\\p{N}\\p{Co}]+') AS c FROM folded)"""
+plain AS (SELECT entity_id, strip_accents(lower(coalesce(title, ''))) AS t, strip_accents(lower(coalesce(body, ''))) AS b, strip_accents(lower(coalesce(context, ''))) AS c FROM texts),
+words AS (SELECT entity_id, regexp_extract_all(t, '[\\p{L}\\p{N}\\p{Co}]+') AS t, regexp_extract_all(b, '[\\p{L}\\p{N}\\p{Co}]+') AS b, regexp_extract_all(c, '[\\p{L}\\p{N}\\p{Co}]+') AS c FROM plain)"""
 
 
 @query("SELECT entity_id FROM folded WHERE t LIKE '%idiot%' OR b LIKE '%idiot%' OR c LIKE '%idiot%'", _TEXTS)
@@ -593,6 +622,31 @@ def search_bm25(a):
     return search.ranked(_docs(a), "idiot").select("entity_id", F.round("rank", 4).alias("rank"))
 
 
+_MANY = _TEXTS + """,
+freq AS (SELECT entity_id, len(t) + len(b) + len(c) AS dl,
+  5.0::DOUBLE * len(list_filter(t, lambda x: x = 'idiot')) + 1.5::DOUBLE * len(list_filter(b, lambda x: x = 'idiot')) + 1.0::DOUBLE * len(list_filter(c, lambda x: x = 'idiot')) AS f,
+  5.0::DOUBLE * len(list_filter(t, lambda x: x = 'en')) + 1.5::DOUBLE * len(list_filter(b, lambda x: x = 'en')) + 1.0::DOUBLE * len(list_filter(c, lambda x: x = 'en')) AS g FROM words),
+corpus AS (SELECT count(*)::DOUBLE AS n, avg(dl) AS avgdl, sum(CASE WHEN f > 0 THEN 1 ELSE 0 END)::DOUBLE AS d, sum(CASE WHEN g > 0 THEN 1 ELSE 0 END)::DOUBLE AS e FROM freq)"""
+
+
+@query(
+    """SELECT entity_id, round(-(greatest(1e-6, ln((n - d + 0.5) / (d + 0.5))) * (f * 2.2) / (f + 1.2 * (0.25 + 0.75 * dl / avgdl))
+  + greatest(1e-6, ln((n - e + 0.5) / (e + 0.5))) * (g * 2.2) / (g + 1.2 * (0.25 + 0.75 * dl / avgdl))), 4) AS rank FROM freq, corpus WHERE f > 0 AND g > 0""",
+    _MANY,
+)
+def search_stored(a):
+    """Two terms by stored postings, which are written and read again."""
+    folder = ingest.shared_folder(a.spark, f"postings-{uuid.uuid4().hex}")
+    search.stored_postings(_docs(a)).write.partitionBy("bucket").parquet(folder)
+    stored = a.spark.read.schema(search.POSTINGS).parquet(folder)
+    return search.scored(stored, search.corpus(_docs(a)), "Idiot ÉN").select("entity_id", F.round("rank", 4).alias("rank"))
+
+
+@query("SELECT entity_id FROM words WHERE (' ' || array_to_string(t, ' ') || ' ') LIKE '% of the %' OR (' ' || array_to_string(b, ' ') || ' ') LIKE '% of the %'", _TEXTS)
+def search_stored_phrase(a):
+    return search.scored(search.stored_postings(_docs(a)), search.corpus(_docs(a)), "of-the").select("entity_id")
+
+
 @query("SELECT c AS lang, count(*) AS n FROM folded WHERE b LIKE '%de%' GROUP BY c", _TEXTS)
 def search_filters(a):
     hits = search.like_hits(_docs(a).withColumn("title", F.lit(None).cast("string")).withColumn("lang", F.col("context")).withColumn("context", F.lit(None).cast("string")), "DE")
@@ -611,7 +665,7 @@ def global_facets(a):
 
 @query("SELECT term, count(DISTINCT entity_id) AS docs, count(*) AS n FROM (SELECT entity_id, unnest(list_concat(list_concat(t, b), c)) AS term FROM words) GROUP BY term", _TEXTS)
 def postings_statistics(a):
-    return search.postings(_docs(a)).groupBy("term").agg(F.count_distinct("entity_id").alias("docs"), F.count("*").alias("n"))
+    return search.term_statistics(_docs(a))
 
 
 # -- extensions over time

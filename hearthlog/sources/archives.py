@@ -100,7 +100,7 @@ def detect(listing: DataFrame) -> DataFrame:
     low = S.ascii_lower(F.col("path"))
     n = listing.agg(
         F.count_if(low.endswith(".json")).alias("json"), F.count_if(low.rlike(r"\.html?$")).alias("html"),
-        F.array_sort(F.collect_set(S.section(F.col("path")))).alias("sections"), F.count_if(S.media_type(F.col("path")) != "file").alias("media"),
+        F.array_sort(F.collect_set(S.section(F.col("path")))).alias("sections"), F.count_if(S.media_type(F.col("path")).isin("photo", "video", "audio")).alias("media"),
     )
     kind = F.when((F.col("json") > 0) & (F.col("html") > 0), "mixed").when(F.col("json") > 0, "json").when(F.col("html") > 0, "html").when(F.col("media") > 0, "media-only").otherwise("unknown")
     sure = F.when(F.size("sections") > 0, F.least(F.lit(0.98), 0.55 + 0.06 * F.size("sections"))).otherwise(0.0)

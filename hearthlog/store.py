@@ -1,7 +1,9 @@
 """A stored archive: imports, derived tables and all read queries behind one object.
 
-Each change writes whole tables under a generation of its own and commits it last; readers take the latest committed
-generation, so a change that fails leaves what was there. Derived tables are written by `rebuild_*`.
+A change writes what is new under a generation of its own and commits it last; readers take what is committed, so a
+change that fails leaves what was there. A part of an archive is a generation that is added to those before; readers
+resolve repeated records, and `compact` writes the resolved tables as one generation. Derived tables are written by
+`rebuild_*` and count only until the next change of what they are derived from.
 """
 
 from __future__ import annotations
@@ -11,15 +13,21 @@ from dataclasses import dataclass, field
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from hearthlog.operators import derived, diagnostics, merge, paging, reads, search
 from hearthlog.schemas import SCHEMAS
 from hearthlog.streaming import ingest
 
-#: Entities whose repeated ids merge; of all others the first delivery wins.
 KEYS = {name: ["album_id", "media_id"] if name == "album_media" else ["id"] for name in SCHEMAS}
-DERIVED = {"ledger": ["id"], "search_documents": ["entity_type", "entity_id"]}
 STATE = "part_id string, status string, seq long"
+COMMITS = "table string, generation int, whole boolean"
+DERIVED = {"ledger": derived.LEDGER, "search_documents": derived.DOCUMENTS, "postings": search.POSTINGS, "corpus": search.CORPUS}
+PARTITIONS = {"ledger": "calendar_year", "postings": "bucket"}
+#: The part and place from which a record came; records arrive in this order.
+ARRIVAL = ("__seq", "source_path", "source_index")
+#: Parts that are read side by side before they are written as one.
+MOST_PARTS = 32
 
 
 @dataclass
@@ -30,31 +38,67 @@ class ArchiveStore:
 
     # -- generations
 
-    def _committed(self) -> dict[str, int]:
-        """Table and its latest generation; a handful of rows."""
+    def _commits(self) -> dict[str, list[int]]:
+        """Table and the generations that make it up: the latest whole one and what was added since. A handful of rows."""
         try:
-            rows = self.spark.read.schema("table string, generation int").parquet(f"{self.root}/commits").groupBy("table").agg(F.max("generation").alias("g")).collect()
+            rows = self.spark.read.schema(COMMITS).parquet(f"{self.root}/commits").collect()
         except AnalysisException as e:
             if "PATH_NOT_FOUND" not in str(e):
                 raise
             rows = []
-        return {r["table"]: r["g"] for r in rows}
+        found: dict[str, list[int]] = {}
+        for r in sorted(rows, key=lambda r: r["generation"]):
+            found[r["table"]] = [r["generation"]] if r["whole"] else [*found.get(r["table"], []), r["generation"]]
+        return found
 
-    def _write(self, tables: dict[str, DataFrame]) -> None:
-        new = max(self._committed().values(), default=0) + 1
+    def _schema(self, name: str) -> StructType:
+        return SCHEMAS.get(name) or StructType.fromDDL(DERIVED.get(name, STATE))
+
+    def _write(self, tables: dict[str, DataFrame], added: frozenset[str] = frozenset()) -> None:
+        """Commits tables as one generation; those in `added` go beside what is there, the others replace it."""
+        new = max((g for gs in self._commits().values() for g in gs), default=0) + 1
         for name, df in tables.items():
             writer = df.write.mode("overwrite")
-            (writer.partitionBy("calendar_year") if name == "ledger" else writer).parquet(f"{self.root}/v{new}/{name}")
-        self.spark.createDataFrame([(name, new) for name in tables], "table string, generation int").coalesce(1).write.mode("append").parquet(f"{self.root}/commits")
+            (writer.partitionBy(PARTITIONS[name]) if name in PARTITIONS else writer).parquet(f"{self.root}/v{new}/{name}")
+        self.spark.createDataFrame([(name, new, name not in added) for name in tables], COMMITS).coalesce(1).write.mode("append").parquet(f"{self.root}/commits")
         self._views.clear()
 
+    def fresh(self, name: str) -> bool:
+        """Whether a derived table was built after the last change of the records."""
+        now = self._commits()
+        last = max((g for n, gs in now.items() if n in SCHEMAS for g in gs), default=0)
+        return name in now and now[name][-1] >= last
+
     def table(self, name: str) -> DataFrame:
+        """A table as it is; an empty one where nothing was written, or where a derived one is out of date."""
         if name not in self._views:
-            at = self._committed().get(name)
-            schema = SCHEMAS.get(name, STATE)
-            self._views[name] = self.spark.read.parquet(f"{self.root}/v{at}/{name}") if at else self.spark.createDataFrame([], schema)
+            generations, schema = self._commits().get(name, []), self._schema(name)
+            if not generations or name in DERIVED and not self.fresh(name):
+                self._views[name] = self.spark.createDataFrame([], schema)
+            else:
+                read = lambda g: self.spark.read.schema(schema).parquet(f"{self.root}/v{g}/{name}")
+                parts = [read(g) for g in generations]
+                self._views[name] = parts[0] if len(parts) == 1 else self._resolved(name, parts)
         return self._views[name]
 
+    def _resolved(self, name: str, parts: list[DataFrame]) -> DataFrame:
+        """Repeated records of several parts as one: people and conversations merge, the last profile and of all others the first record counts."""
+        rows = parts[0].withColumn("__seq", F.lit(0))
+        for i, part in enumerate(parts[1:], 1):
+            rows = rows.unionByName(part.withColumn("__seq", F.lit(i)))
+        columns = SCHEMAS[name].names
+        if name == "people":
+            return merge.merge_people(rows, [c for c in columns if c not in merge.PERSON_RULES], "__seq").select(*columns)
+        if name == "conversations":
+            return merge.merge_conversations(rows, "__seq").select(*columns)
+        order = [c for c in ARRIVAL if c in rows.columns]
+        return (merge.last_wins if name == "profiles" else merge.first_wins)(rows, KEYS[name], order).drop("__seq")
+
+    def compact(self) -> None:
+        """Writes the records of all parts as one generation."""
+        now = self._commits()
+        self._write({n: self.table(n) for n in SCHEMAS if len(now.get(n, [])) > 1})
+
     def __getattr__(self, name: str) -> DataFrame:
         if name in SCHEMAS:
             return self.table(name)
@@ -67,11 +111,18 @@ class ArchiveStore:
         self._write({n: self._shaped(n, bundle.get(n)) for n in SCHEMAS} | {"states": self.spark.createDataFrame([], STATE)})
 
     def _shaped(self, name: str, df: DataFrame | None) -> DataFrame:
+        """`df` in a table's columns, one row for each key by the rules that hold between parts."""
         empty = self.spark.createDataFrame([], SCHEMAS[name])
-        return empty if df is None else empty.unionByName(df.select(*[c for c in df.columns if c in SCHEMAS[name].names]), allowMissingColumns=True)
+        if df is None:
+            return empty
+        rows = empty.unionByName(df.select(*[c for c in df.columns if c in SCHEMAS[name].names]), allowMissingColumns=True)
+        return self._resolved(name, [rows])
 
     def import_part(self, part_id: str, bundle: dict[str, DataFrame]) -> bool:
-        """Adds a part's records; records that are there stay as they are. A part that is complete or skipped isn't taken again."""
+        """Adds a part's records. Posts and the like that are there stay as they are, people and conversations merge.
+
+        A part that is complete or skipped isn't taken again. Only the part is written.
+        """
         state = {r["part_id"]: r["status"] for r in self.table("states").filter(F.col("part_id") == part_id).collect()}
         if state.get(part_id) in ingest.FINAL:
             return False
@@ -80,9 +131,10 @@ class ArchiveStore:
             new = self._shaped(name, df)
             if "archive_part_id" in new.columns:
                 new = new.withColumn("archive_part_id", F.coalesce("archive_part_id", F.lit(part_id)))
-            both = self.table(name).withColumn("__seq", F.lit(0)).unionByName(new.withColumn("__seq", F.lit(1)))
-            tables[name] = merge.first_wins(both, KEYS[name], ["__seq"]).drop("__seq")
-        self._write(tables | {"states": self._moved(part_id, "complete")})
+            tables[name] = new
+        self._write(tables | {"states": self._moved(part_id, "complete")}, added=frozenset(tables))
+        if max(map(len, self._commits().values())) > MOST_PARTS:
+            self.compact()
         return True
 
     def _moved(self, part_id: str, status: str) -> DataFrame:
@@ -106,10 +158,25 @@ class ArchiveStore:
         return self.table("ledger").count()
 
     def rebuild_search(self) -> int:
-        docs = derived.search_documents(self)
-        self._write({"search_documents": merge.first_wins(docs, DERIVED["search_documents"], ["created_at"])})
+        """Search documents, their postings by term, and the numbers that ranks need."""
+        self._write({"search_documents": merge.first_wins(derived.search_documents(self), ["entity_type", "entity_id"], ["created_at"])})
+        docs = self.table("search_documents")
+        self._write({"postings": search.stored_postings(docs), "corpus": search.corpus(docs)})
         return self.table("search_documents").count()
 
+    def run_derived(self) -> dict[str, int]:
+        """Builds what is out of date, and nothing else; rows of each. A run that was broken off goes on where it stood."""
+        built = {}
+        if not self.fresh("ledger"):
+            built["ledger"] = self.rebuild_activity()
+        if not (self.fresh("search_documents") and self.fresh("postings")):
+            built["search_documents"] = self.rebuild_search()
+        return built
+
+    def derived_status(self) -> dict[str, str]:
+        """pending or complete, for the ledger and the search."""
+        return {"activity": "complete" if self.fresh("ledger") else "pending", "search": "complete" if self.fresh("postings") else "pending"}
+
     # -- read queries
 
     def stats(self) -> dict[str, str]:
@@ -122,11 +189,11 @@ class ArchiveStore:
         n, c = paging.clamp(limit), paging.decode_cursor(cursor, "key", "id")
         cut = lambda p: paging.window_of(p, F.col("created_at"), "id", n + 1, newest, (c["key"], c["id"]) if c else None)
         order = (F.desc, F.asc)[not newest]
-        rows = reads.feed(self, year, person, page=cut).orderBy(order("sort_key"), order("id")).collect()
+        rows = reads.full_posts(reads.feed(self, year, person, page=cut), self).orderBy(order("sort_key"), order("id")).collect()
         return self._page(rows, n)
 
     def post(self, post_id: str) -> Row | None:
-        return reads.feed(self, post=post_id).first()
+        return reads.full_posts(reads.feed(self, post=post_id), self).first()
 
     def people_page(self, limit: int | None = None, cursor: str | None = None) -> paging.Page:
         return paging.page(reads.people_rollup(self), F.col("sort_name"), limit=limit, cursor=cursor, descending=False, name="name")
@@ -138,7 +205,7 @@ class ArchiveStore:
         return paging.page(reads.inbox(self, text), F.col("latest_sent_at"), limit=limit, cursor=cursor)
 
     def messages_page(self, conversation: str, limit: int | None = 40, cursor: str | None = None) -> paging.Page:
-        return paging.page(reads.thread(self, conversation), F.col("sent_at"), limit=limit, cursor=cursor)
+        return paging.page(reads.thread(self, conversation), F.col("sent_at"), limit=limit, cursor=cursor, then=lambda p: reads.with_children(p, self.media.filter("owner_type = 'message'"), "owner_id", ["id"], reads.MEDIA_FIELDS, "media"))
 
     def media_page(self, kind: str | None = None, limit: int | None = None, cursor: str | None = None) -> paging.Page:
         rows = self.media.filter(F.col("media_type") == kind) if kind else self.media
@@ -160,10 +227,14 @@ class ArchiveStore:
     def memories(self, month: int, day: int, as_of_year: int, limit: int = 60) -> DataFrame:
         return reads.memories(self.table("ledger"), month, day, as_of_year, limit).orderBy(F.desc("calendar_year"), F.desc("occurred_at"), F.desc("id"))
 
-    def search(self, text: str, kind: str | None = None, year: str | None = None, start: str | None = None, end: str | None = None, backend: str = "ranked", limit: int | None = None) -> list[Row]:
-        """Ranked hits, or substring hits with backend `like`; blank texts have none. Dates without a time cover the day."""
-        if not text.strip():
-            return []
+    def search_page(self, text: str, kind: str | None = None, year: str | None = None, start: str | None = None, end: str | None = None, backend: str = "ranked", limit: int | None = None, cursor: str | None = None) -> search.SearchPage:
+        """A page of ranked hits, or of substring hits with backend `like`; blank texts have none.
+
+        Dates without a time cover the day. While the search is out of date, `preparing` is true and there are no hits.
+        """
+        ready = self.fresh("postings" if backend == "ranked" else "search_documents")
+        if not text.strip() or not ready:
+            return search.SearchPage([], None, False, {}, backend, not ready and bool(text.strip()))
         tests = [
             F.col("entity_type") == kind if kind else None, F.substring("created_at", 1, 4) == year if year else None,
             F.col("created_at") >= (f"{start}T00:00:00.000Z" if len(start) == 10 else start) if start else None,
@@ -174,8 +245,12 @@ class ArchiveStore:
             where = where & F.coalesce(t, F.lit(False)) if t is not None else where
         docs = self.table("search_documents")
         if backend == "like":
-            return search.like_hits(docs, text, where).orderBy(F.desc(F.coalesce("created_at", F.lit(""))), "entity_id").limit(paging.clamp(limit)).collect()
-        return search.top_hits(docs, text, paging.clamp(limit), where).collect()
+            return search.like_page(docs, text, where, paging.clamp(limit), cursor)
+        return search.ranked_page(docs, self.table("postings"), self.table("corpus"), text, where, paging.clamp(limit), cursor)
+
+    def search(self, text: str, **options) -> list[Row]:
+        """The hits of search_page."""
+        return self.search_page(text, **options).items
 
     def report(self, filenames: DataFrame, warnings: DataFrame) -> str:
         return diagnostics.report(filenames, warnings).first()["report"]

@@ -59,4 +59,4 @@ def test_report_is_private(spark):
     parts = spark.createDataFrame([("Jane Doe export.zip",)], "filename string")
     warnings = spark.createDataFrame([("Unsafe media reference", "secret/jane.JSON"), ("whatever", "x")], "message string, path string")
     text = diagnostics.report(parts, warnings).first()["report"]
-    assert "ane" not in text and "<file>.zip" in text and "<session>" in text and "unsafe-media" in text
+    assert "ane" not in text and "<file>.zip" in text and "<session>" in text and "unsafe-path" in text

@@ -24,13 +24,52 @@ def test_store(spark, tmp_path):
     assert [r["id"] for r in first.items] == ["post:4", "post:3"] and [r["id"] for r in second.items] == ["post:2", "post:1", "post:0", "post:9"] and not second.has_more
     assert (first.items[0]["comment_count"], first.items[0]["author_name"], first.items[1]["comment_count"]) == (1, "Ann", 0)
     assert s.rebuild_activity() == 6 and s.rebuild_search() == 9
+    assert [c["body"] for c in first.items[0]["comments"]] == ["nice lake"] and first.items[1]["comments"] == [] and s.post("post:4")["media"] == []
     assert [r["entity_id"] for r in s.search("nice lake")] == ["c:1"] and len(s.search("LAKE", backend="like", kind="post", start="2021-01-01", end="2022-12-31")) == 2 and s.search(" ") == []
     assert [r["calendar_year"] for r in s.memories(3, 5, 2024).collect()] == [2024, 2023, 2022, 2021, 2020]
     assert s.stats()["posts"] == "6" and s.person("person:1")["post_count"] == 5 and s.profile()["display_name"] == "Ann"
     assert [r["id"] for r in s.people_page().items] == ["person:1", "person:2"] and s.activity_page("comment").items[0]["actor_name"] == "bob"
+    assert s.import_part("p4", {"posts": rows(spark, "posts", {"id": "post:77", "body": "late lake", "created_at": "2020-01-01T00:00:00.000Z"})})
+    assert s.search("late") == [] and s.search_page("late").preparing and s.memories(3, 5, 2024).collect() == [] and s.derived_status() == {"activity": "pending", "search": "pending"}
+    assert s.run_derived() == {"ledger": 7, "search_documents": 10} and s.run_derived() == {} and [r["entity_id"] for r in s.search("late LÁKE")] == ["post:77"]
+    pages, cursor = [], None
+    while True:
+        page = s.search_page("lake", limit=2, cursor=cursor)
+        pages += [(r["entity_type"], r["entity_id"]) for r in page.items]
+        cursor = page.next_cursor
+        if not page.has_more:
+            break
+    assert len(pages) == 7 == len(set(pages)) and sum(page.counts.values()) == 1
+    s.compact()
+    assert s.post("post:77")["body"] == "late lake" and s.stats()["posts"] == "7"
     s.mark_part("p3", "failed")
     assert s.session()["failed"] == 1 and not s.session()["complete"]
     for page in (s.conversations_page(), s.messages_page("x"), s.media_page("photo"), s.connections_page(), s.albums_page()):
         assert page.items == []
     s.replace({"people": people})
     assert s.posts_page().items == [] and s.people_page().items
+
+
+def test_no_profile_and_no_records(spark, tmp_path):
+    s = ArchiveStore(spark, str(tmp_path / "b"))
+    assert s.rebuild_activity() == 0 and s.rebuild_search() == 0 and s.search("x") == []
+    s.import_part("p1", {"posts": rows(spark, "posts", {"id": "post:1", "author_id": "owner", "body": "alone", "created_at": "2024-01-02T00:00:00.000Z"})})
+    assert [r["id"] for r in s.posts_page().items] == ["post:1"] and s.post("post:1")["author_name"] is None
+    assert s.rebuild_activity() == 1 and s.activity_page().items[0]["actor_person_id"] is None
+    assert s.profile() is None and s.stats()["posts"] == "1"
+
+
+def test_parts_merge(spark, tmp_path):
+    s = ArchiveStore(spark, str(tmp_path / "c"))
+    chat = {"id": "conversation:1", "participant_names": ["A", "B"], "participant_ids": ["a", "b"], "source_path": "x"}
+    who = {"id": "person:1", "display_name": "Ann", "first_seen": "2020", "last_seen": "2021", "source_paths": ["p"], "identity_confidence": "inferred"}
+    s.import_part("p1", {"conversations": rows(spark, "conversations", chat), "people": rows(spark, "people", who), "posts": rows(spark, "posts", {"id": "post:1", "body": "zz", "source_index": 0, "source_path": "z"})})
+    more = chat | {"title": "T", "participant_names": ["B", "C"], "participant_ids": ["b", "c"], "source_path": "y"}
+    again = who | {"username": "ann", "first_seen": "2019", "last_seen": "2020", "source_paths": ["q"], "identity_confidence": "exact"}
+    s.import_part("p2", {"conversations": rows(spark, "conversations", more), "people": rows(spark, "people", again), "posts": rows(spark, "posts", {"id": "post:1", "body": "aa", "source_index": 5, "source_path": "a"})})
+    for _ in range(2):
+        c, p = s.conversations.first(), s.people.first()
+        assert (c["title"], c["participant_names"], c["participant_ids"], c["is_group"], c["source_path"]) == ("T", ["A", "B", "C"], ["a", "b", "c"], True, "y")
+        assert (p["username"], p["first_seen"], p["last_seen"], p["source_paths"], p["identity_confidence"], p["is_archive_owner"]) == ("ann", "2019", "2021", ["p", "q"], "exact", False)
+        assert s.posts.first()["body"] == "zz" and s.posts.count() == 1
+        s.compact()
