@@ -27,7 +27,7 @@ class Join:
 
     width: int = 5
     percent: int = 75
-    leads: int = 12
+    leads: int = 8
     frequent: int = 10
     most_frequent: int = 200_000
 
@@ -38,7 +38,7 @@ _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
 
 class Shingler:
-    """Sets of shingles as sorted arrays of 64-bit hashes."""
+    """Sets of shingles as sorted arrays of 48-bit hashes."""
 
     #: Bytes of a text that are split at once, and of a word that is remembered.
     SLICE, LONGEST = 2_000_000, 40
@@ -78,7 +78,7 @@ class Shingler:
             total += h[i : n + i] * self.factors[i]
         for shift, factor in zip((30, 27), _MIX):  # mixes the sums, so that their order is random
             total = (total ^ (total >> np.uint64(shift))) * factor
-        return total ^ (total >> np.uint64(31))
+        return (total ^ (total >> np.uint64(31))) >> np.uint64(16)
 
     def _set(self, h: np.ndarray) -> np.ndarray:
         n = len(h)
@@ -117,6 +117,16 @@ def _in_parts(column, most: int = 500_000):
         yield first, texts
 
 
+def pack_set(s: np.ndarray) -> bytes:
+    """Six bytes a hash: the upper four of all, then the lower two of all."""
+    return (s >> np.uint64(16)).astype("<u4").tobytes() + s.astype("<u2").tobytes()
+
+
+def unpack_set(data) -> np.ndarray:
+    n = len(data) // 6
+    return np.frombuffer(data, "<u4", n).astype(np.uint64) << np.uint64(16) | np.frombuffer(data, "<u2", n, 4 * n)
+
+
 def _mark(data: bytes, seed: int) -> int:
     from xxhash import xxh3_64_intdigest
 
@@ -176,7 +186,7 @@ def shingled(rows: DataFrame, rule: Join) -> DataFrame:
             for first, texts in _in_parts(batch.column(1)):
                 sets, out = of.all(texts), []
                 for doc_id, s in zip(ids[first:], sets):
-                    data = s.tobytes()
+                    data = pack_set(s)
                     out.append((doc_id, len(s), _mark(data, 1), _mark(data, 2), data, None, None) if len(s) else (doc_id, 0, None, None, None, None, None))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=names)
                 for told in tally.add(sets):
@@ -254,7 +264,7 @@ def sketched(base: DataFrame, frequent: tuple[np.ndarray, np.ndarray], rule: Joi
                     if (s1, s2) in seen:
                         continue
                     seen.add((s1, s2))
-                    s = np.frombuffer(data.as_buffer(), np.uint64)
+                    s = unpack_set(data.as_buffer())
                     prefix = prefix_of(s, frequent, rule.percent)
                     gid = _mark(len(s).to_bytes(8, "little") + prefix.tobytes(), 3)
                     new, parity = gid not in met, parities(s)
@@ -367,7 +377,7 @@ def _open_lists(base: DataFrame, labelled: DataFrame, frequent: tuple[np.ndarray
 
     def prefixes(batch):
         for i in np.flatnonzero(maybe_in(batch.column(0).to_numpy(), nodes)):
-            s = np.frombuffer(batch.column(1)[i].as_buffer(), np.uint64)
+            s = unpack_set(batch.column(1)[i].as_buffer())
             yield batch.column(0)[i].as_py(), prefix_of(s, frequent, rule.percent).view(np.int64)
 
     def in_parts(batches, most=200_000):
@@ -384,7 +394,7 @@ def _open_lists(base: DataFrame, labelled: DataFrame, frequent: tuple[np.ndarray
 
     def tokens(batches):
         for held in in_parts(batches):
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([p for _, p in held]))], names=["token"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([p for _, p in held]) >> 8)], names=["token"])  # fewer bytes; what falls together is told apart below
 
     sets = base.filter("n > 0 AND doc_id IS NOT NULL").select("rid", "set")
     shared = bitmap(sets.mapInArrow(tokens, "token long").groupBy("token").agg(F.count("*").alias("c")).filter("c > 1").select("token"))
@@ -394,14 +404,14 @@ def _open_lists(base: DataFrame, labelled: DataFrame, frequent: tuple[np.ndarray
             sizes = np.array([len(p) for _, p in held])
             all_tokens, rid = np.concatenate([p for _, p in held]), np.repeat(np.array([r for r, _ in held], np.int64), sizes)
             pos = np.arange(len(all_tokens)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            keep = maybe_in(all_tokens, shared)
+            keep = maybe_in(all_tokens >> 8, shared)
             yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (all_tokens, pos, rid)], names=["token", "pos", "node"])
 
     met = sets.mapInArrow(run, "token long, pos long, node long").join(labelled.select("node", "gid", "n", "comp"), "node")
     some = cut(met.select("token", "pos", "gid", "n", "comp").distinct())
     small = F.greatest("small", F.ceil(F.lit(rule.percent) * F.col("n") / 100))
     both = some.join(_apart(some, F.min("n").alias("small"), F.count("*").alias("rows")), "token")
-    return both.filter(F.col("pos") <= F.col("n") - _needed(F.col("n"), small, rule)).drop("small")
+    return cut(both.filter(F.col("pos") <= F.col("n") - _needed(F.col("n"), small, rule)).drop("small"))
 
 
 def _close(rule: Join):
@@ -494,8 +504,8 @@ def _verify(pairs: DataFrame, base: DataFrame, nodes: DataFrame, rule: Join) ->
             left, right, out = batch.column("set_a"), batch.column("set_b"), []
             for i in range(batch.num_rows):
                 if b[i] != last:
-                    last, y = b[i], np.frombuffer(right[i].as_buffer(), np.uint64)
-                x = np.frombuffer(left[i].as_buffer(), np.uint64)
+                    last, y = b[i], unpack_set(right[i].as_buffer())
+                x = unpack_set(left[i].as_buffer())
                 at = np.minimum(np.searchsorted(y, x), len(y) - 1)
                 both = int((y[at] == x).sum())
                 if 100 * both >= rule.percent * (len(x) + len(y) - both):
