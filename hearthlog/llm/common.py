@@ -41,6 +41,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Python workers get whole texts in batches of so many rows, so that a worker holds a few MB of them at a time."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -129,7 +134,7 @@ class SegmentCache:
     RARE_SPACE = re.compile(r"[^\S\n ]")
     SAFE = re.compile(r"(?<=\S) (?=\S)")
 
-    def __init__(self, encode, most_bytes: int = 48_000_000):
+    def __init__(self, encode, most_bytes: int = 24_000_000):
         self.first, self.later = _Learned(encode, "", most_bytes // 12), _Learned(encode, " ", most_bytes)
 
     def segments(self, text: str) -> list[str]:

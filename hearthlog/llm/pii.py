@@ -7,9 +7,8 @@ import re
 import zlib
 from bisect import bisect_left
 from collections import Counter
+from collections.abc import Callable
 from dataclasses import dataclass
-from functools import reduce
-from operator import or_
 
 import numpy as np
 import pyarrow as pa
@@ -140,29 +139,28 @@ def text_counts(rows: DataFrame) -> DataFrame:
     return cut(rows.groupBy(F.xxhash64("text").alias("doc")).agg(F.count("*").alias("copies")))
 
 
-def distinct_texts(rows: DataFrame, repeated: np.ndarray) -> DataFrame:
-    """text: each distinct text of `rows` once. Texts met once stay where they are, and only repeated ones are shuffled.
+def over_distinct(rows: DataFrame, repeated: np.ndarray, run: Callable, schema: str) -> DataFrame:
+    """run(batches of one column text) over each distinct text of `rows` once.
 
-    `repeated` is the bitmap of the repeated texts' hashes; what it lets through besides is shuffled in vain.
+    Texts met once are worked on where they are, and only repeated ones are shuffled. `repeated` is the bitmap of
+    their hashes; what it lets through besides is shuffled in vain.
     """
 
     def part(again: bool):
-        def run(batches):
+        def some(batches):
             seen: set[int] = set()
             for batch in batches:
-                for at in range(0, batch.num_rows, 500):
-                    rows = batch.slice(at, 500)
-                    docs = rows.column(0).to_numpy()
-                    maybe = maybe_in(docs, repeated)
-                    if again and maybe.any():
-                        for i in np.flatnonzero(maybe):
-                            maybe[i] = int(docs[i]) not in seen
-                            seen.add(int(docs[i]))
-                        if len(seen) > 200_000:
-                            seen.clear()
-                    yield rows.filter(pa.array(maybe if again else ~maybe)).select(["doc", "text"] if again else ["text"])
-
-        return run
+                docs = batch.column(0).to_numpy()
+                keep = maybe_in(docs, repeated)
+                if again and keep.any():
+                    for i in np.flatnonzero(keep):
+                        keep[i] = int(docs[i]) not in seen
+                        seen.add(int(docs[i]))
+                    if len(seen) > 200_000:
+                        seen.clear()
+                yield batch.filter(pa.array(keep if again else ~keep)).select(["doc", "text"] if again else ["text"])
+
+        return some
 
     def first(batches):
         seen: set[int] = set()
@@ -174,21 +172,33 @@ def distinct_texts(rows: DataFrame, repeated: np.ndarray) -> DataFrame:
             yield batch.filter(pa.array(new, pa.bool_())).select(["text"])
 
     keyed = rows.select(F.xxhash64("text").alias("doc"), "text")
-    again = keyed.mapInArrow(part(True), "doc long, text string").repartition("doc").mapInArrow(first, "text string")
-    return keyed.mapInArrow(part(False), "text string").unionByName(again)
+    once = part(False)
+    again = keyed.mapInArrow(part(True), "doc long, text string").repartition("doc")
+    return keyed.mapInArrow(lambda b: run(once(b)), schema).unionByName(again.mapInArrow(lambda b: run(first(b)), schema))
 
 
-def contexts(texts: DataFrame, window: int) -> DataFrame:
-    """entity, term, context, docs: the terms near each entity, a hash of the characters around it, and a count of texts.
+def half_of(text: str) -> int:
+    return zlib.crc32(text.encode()) & 1
 
-    A text counts at the first context in which it holds a pair of entity and term. For each entity there is also
-    a row with an empty term, which counts the texts that hold the entity.
-    """
+
+def _terms(text: str, spans: list) -> set[str]:
+    """The words of a text outside its entities."""
+    return {w[2] for w in free_terms(text, spans)} if spans else {t.lower() for t in set(_TERM.findall(text))}
+
+
+def _met_in(window: int, most: int = 200_000):
+    """Rows entity, term, context, docs: in how many texts a term is met beside an entity in a context, or with a kind in a half."""
+
+    def flush(out: Counter):
+        columns = (*zip(*out), tuple(out.values()))
+        kinds = (pa.string(), pa.string(), pa.int64(), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["entity", "term", "context", "docs"])
 
     def run(batches):
+        out: Counter[tuple[str, str, int]] = Counter()
         for batch in batches:
-            out: Counter[tuple[str, str, int]] = Counter()
-            for text in batch.column("text").to_pylist():
+            for row in batch.column("text"):
+                text = row.as_py()
                 spans, met = base_spans(text), set()
                 words = free_terms(text, spans) if spans else []
                 starts, low = [w[0] for w in words], 0
@@ -202,46 +212,56 @@ def contexts(texts: DataFrame, window: int) -> DataFrame:
                     for term in ("", *terms):
                         out[name, term, mark if term else 0] += (name, term) not in met
                         met.add((name, term))
-            if out:
-                columns = (*zip(*out), tuple(out.values()))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int64(), pa.int64()))], names=["entity", "term", "context", "docs"])
+                if spans:
+                    half, terms = half_of(text), {"", *(w[2] for w in words)}
+                    for kind in {KINDS[k] for _, k, _ in spans}:
+                        out.update([(kind, t, half) for t in terms])
+                if len(out) > most:
+                    yield flush(out)
+                    out.clear()
+        if out:
+            yield flush(out)
 
-    return texts.select("text").mapInArrow(run, "entity string, term string, context long, docs long")
+    return run
 
 
-_HALVES = [f"{kind}{half}" for kind in ("email", "ip", "card", "phone", "all") for half in (0, 1)]
+def met_terms(suspects: DataFrame, repeated: np.ndarray, window: int) -> DataFrame:
+    """entity, term, contexts, docs, docs0, docs1: of pairs of entity, or kind, and term; the empty term counts the entity's own texts.
 
+    A text counts at the first context in which it holds a pair. docs0 and docs1 are the halves, of kinds only.
+    """
+    met = over_distinct(suspects, repeated, _met_in(window), "entity string, term string, context long, docs long").groupBy("entity", "term", "context").agg(F.sum("docs").alias("docs"))
+    half = lambda h: F.coalesce(F.sum(F.when(F.col("context") == h, F.col("docs"))), F.lit(0)).alias(f"docs{h}")
+    return met.groupBy("entity", "term").agg(F.count("*").alias("contexts"), F.sum("docs").alias("docs"), half(0), half(1))
 
-def term_statistics(texts: DataFrame, most: int = 300_000) -> DataFrame:
-    """term, then how many texts of each half hold it together with each kind of entity, and how many hold it at all.
 
-    Words inside entities don't count. The empty term counts all texts. Tasks count before the shuffle.
-    """
+def term_statistics(rows: DataFrame, repeated: np.ndarray, wanted: set[str] | None, most: int = 300_000) -> DataFrame:
+    """term, n0, n1: how many distinct texts of each half hold a term, for the wanted ones or all; the empty term counts all texts."""
 
     def run(batches):
-        counts: list[Counter[str]] = [Counter() for _ in _HALVES]
+        counts: list[Counter[str]] = [Counter(), Counter()]
 
         def flush():
-            columns = np.repeat(np.arange(len(counts), dtype=np.int32), [len(c) for c in counts])
-            got = [pa.array([t for c in counts for t in c], pa.string()), pa.array(columns), pa.array([n for c in counts for n in c.values()], pa.int64())]
+            halves = np.repeat(np.arange(2, dtype=np.int32), [len(c) for c in counts])
+            got = [pa.array([t for c in counts for t in c], pa.string()), pa.array(halves), pa.array([n for c in counts for n in c.values()], pa.int64())]
             for c in counts:
                 c.clear()
-            return pa.RecordBatch.from_arrays(got, names=["term", "column", "n"])
+            return pa.RecordBatch.from_arrays(got, names=["term", "half", "n"])
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 200):
-                for text in batch.column(0).slice(at, 200).to_pylist():
-                    half, spans = zlib.crc32(text.encode()) & 1, base_spans(text)
-                    terms = {w[2] for w in free_terms(text, spans)} if spans else {t.lower() for t in set(_TERM.findall(text))}
-                    terms.add("")
-                    for kind in {4, *(k for _, k, _ in spans)}:
-                        counts[2 * kind + half].update(terms)
+            for row in batch.column("text"):
+                text = row.as_py()
+                terms = _terms(text, base_spans(text))
+                count = counts[half_of(text)]
+                count.update(terms if wanted is None else terms & wanted)
+                count[""] += 1
                 if sum(map(len, counts)) > most:
                     yield flush()
         yield flush()
 
-    met = texts.select("text").mapInArrow(run, "term string, column int, n long")
-    return met.groupBy("term").agg(*[F.coalesce(F.sum(F.when(F.col("column") == i, F.col("n"))), F.lit(0)).alias(name) for i, name in enumerate(_HALVES)])
+    met = over_distinct(rows, repeated, run, "term string, half int, n long")
+    n = lambda h: F.coalesce(F.sum(F.when(F.col("half") == h, F.col("n"))), F.lit(0)).alias(f"n{h}")
+    return met.groupBy("term").agg(n(0), n(1))
 
 
 def disclosing_terms(docs: DataFrame, rule: Disclosure = Disclosure(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -256,29 +276,27 @@ def disclosing_terms(docs: DataFrame, rule: Disclosure = Disclosure(), id_col: s
 def _disclosing(rows: DataFrame, suspects: DataFrame, rule: Disclosure) -> DataFrame:
     counts = text_counts(rows)
     repeated = bitmap(counts.filter("copies > 1").select("doc"))
-    near = contexts(distinct_texts(suspects, repeated), rule.window).groupBy("entity", "term", "context").agg(F.sum("docs").alias("docs"))
-    both = near.groupBy("entity", "term").agg(F.count("*").alias("contexts"), F.sum("docs").alias("docs"))
-    pairs = both.filter((F.col("term") != "") & (F.col("contexts") >= rule.least_contexts))
-    entities = both.filter("term = ''").select("entity", F.col("docs").alias("entity_docs"))
-    statistics = term_statistics(distinct_texts(rows, repeated))
-    likely = reduce(or_, [F.least(f"{kind}0", f"{kind}1") >= rule.least_documents for kind in KINDS[:4]])
-    # Only terms that can pass go on: those near entities are few, and those of kinds are filtered here.
-    total = statistics.filter("term = ''").select(*[F.col(c).alias(f"total_{c}") for c in _HALVES])  # one row
-    measured = pairs.join(statistics.select("term", (F.col("all0") + F.col("all1")).alias("n")), "term").join(entities, "entity").crossJoin(F.broadcast(total))
-    given = F.least(F.col("docs") / F.col("n"), F.lit(1.0))
-    bits = F.log2(given * (F.col("total_all0") + F.col("total_all1")) / F.col("entity_docs"))
-    single = measured.filter((given >= rule.least_given) & (bits >= rule.least_bits)).select("entity", "term")
-
-    def told(kind: str, half: int):
-        base = F.col(f"total_{kind}{half}") / F.col(f"total_all{half}")
-        return (F.col(f"{kind}{half}") >= rule.least_documents) & (F.log2(F.col(f"{kind}{half}") / F.col(f"all{half}") / base) >= -F.log2(base) * rule.least_share) & (base < 1)
-
-    flags = F.array(*[F.when(told(kind, 0) & told(kind, 1), F.lit(kind)) for kind in KINDS[:4]])
-    kinds = statistics.filter(likely & (F.col("term") != "")).crossJoin(F.broadcast(total)).select(F.explode(flags).alias("entity"), "term").filter("entity IS NOT NULL")
-    return single.unionByName(kinds)
-
-
-#: Up to so many disclosing terms are sent to every task; beyond, documents are joined to them.
+    met = cut(met_terms(suspects, repeated, rule.window))
+    is_kind = F.col("entity").isin(*KINDS[:4])
+    enough = F.when(is_kind, F.least("docs0", "docs1") >= rule.least_documents).otherwise(F.col("contexts") >= rule.least_contexts)
+    likely = cut(met.filter(enough & (F.col("term") != "")))
+    names = likely.select("term").distinct()
+    wanted = {r["term"] for r in names.collect()} if names.count() <= MOST_TOLD else None  # else all terms are counted
+    statistics = term_statistics(rows, repeated, wanted)
+    total = statistics.filter("term = ''").select(F.col("n0").alias("all0"), F.col("n1").alias("all1"))  # one row
+    own = met.filter("term = ''").select("entity", F.col("docs").alias("own"), F.col("docs0").alias("own0"), F.col("docs1").alias("own1"))
+    measured = likely.join(statistics, "term").join(own, "entity").crossJoin(F.broadcast(total))
+    given = F.least(F.col("docs") / (F.col("n0") + F.col("n1")), F.lit(1.0))
+    bits = F.log2(given * (F.col("all0") + F.col("all1")) / F.col("own"))
+
+    def told(half: int):
+        base = F.col(f"own{half}") / F.col(f"all{half}")
+        return (F.log2(F.col(f"docs{half}") / F.col(f"n{half}") / base) >= -F.log2(base) * rule.least_share) & (base < 1)
+
+    return measured.filter(F.when(is_kind, told(0) & told(1)).otherwise((given >= rule.least_given) & (bits >= rule.least_bits))).select("entity", "term")
+
+
+#: Up to so many terms are sent to every task; beyond, all are counted, and documents are joined to those that disclose.
 MOST_TOLD = 50_000
 
 

@@ -8,14 +8,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from hearthlog.llm import bpe, chat, exact_dedup, ngram_join, packing, pii, quality_classifier, quality_rules, suffix_dedup, toxicity
-from hearthlog.llm.common import load
+from hearthlog.llm.common import load, small_batches
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 
 def query(f):
-    QUERIES[f.__name__] = f
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        small_batches(spark)
+        return f(spark, sf_dir)
+
+    QUERIES[f.__name__] = run
     return f
 
 

@@ -370,6 +370,60 @@ def test_op9_adds_disclosing_terms(spark):
     assert clean.columns == docs.columns and clean.count() == len(made) and clean.filter("text LIKE '%@%'").count() == 0 and clean.filter("text IS NULL").count() == 1
 
 
+def kinds_corpus(n=400):
+    """Documents in which the word `badge` comes with card numbers, and other words don't."""
+    rnd = random.Random(5)
+    words = ["".join(rnd.choice("abcdefgh") for _ in range(6)) for _ in range(60)]
+    made = []
+    for i in range(n):
+        text = " ".join(rnd.choice(words) for _ in range(12)) + f" number{'x' * (i % 7)}{'y' * (i // 7)}"
+        if i % 10 == 0:
+            text += " badge" + (" 4111 1111 1111 1111" if i % 30 else " is here")
+        made.append((i, text))
+    return made
+
+
+@pytest.mark.parametrize("most", [pii.MOST_TOLD, 0])
+def test_op9_matches_brute_force(spark, monkeypatch, most):
+    """Terms of kinds and entities, by the sent-around table and by the join, against plain counts."""
+    monkeypatch.setattr(pii, "MOST_TOLD", most)
+    made, rule = kinds_corpus(), pii.Disclosure(least_contexts=10**9)
+    texts = sorted({t for _, t in made})
+    n, both, own, total = Counter(), Counter(), Counter(), Counter()
+    for t in texts:
+        half, base = zlib.crc32(t.encode()) & 1, brute_spans(t)
+        total[half] += 1
+        bare = t
+        for a, _, b in sorted(base, reverse=True):
+            bare = bare[:a] + "#" * (b - a) + bare[b:]
+        terms, kinds = {w.lower() for w in re.findall(r"[^\W\d_]{3,}", bare)}, {k for _, k, _ in base}
+        n.update((w, half) for w in terms)
+        own.update((k, half) for k in kinds)
+        both.update((k, w, half) for k in kinds for w in terms)
+    good = lambda k, w, h: both[k, w, h] >= rule.least_documents and np.log2(both[k, w, h] / n[w, h] / (own[k, h] / total[h])) >= -np.log2(own[k, h] / total[h]) * rule.least_share
+    want = {(pii.KINDS[k], w) for k, w, _ in both if all(good(k, w, h) for h in (0, 1))}
+    assert want == {("card", "badge")}
+    docs = table(spark, made * 2).repartition(5)
+    assert {(r["entity"], r["term"]) for r in pii.disclosing_terms(docs, rule).collect()} == want
+    spans = {r["doc_id"]: r for r in pii.find(docs, rule).collect()}
+    for i, t in made:
+        base = brute_spans(t)
+        terms = [(m.start(), 4, m.end()) for m in re.finditer("badge", t)] if base else []
+        written = lambda x: ",".join(f"{pii.KINDS[k]}:{a}:{b}" for a, k, b in sorted(x))
+        assert spans[i]["spans"] == written(base + terms) and spans[i]["n_card"] == sum(k == 2 for _, k, _ in base)
+        assert spans[i]["base_sha256"] == hashlib.sha256(written(base).encode()).hexdigest()
+
+
+def test_op9_is_linear_in_entities():
+    text = " ".join(f"word{'abc'[i % 3]} me{i}@x.example.org" for i in range(10_000))
+    spans = pii.base_spans(text)
+    assert len(spans) == 10_000 and len(pii.free_terms(text, spans)) == 10_000
+    import pyarrow as pa
+
+    rows = [b.num_rows for b in pii._met_in(60)([pa.RecordBatch.from_arrays([pa.array([text])], names=["text"])])]
+    assert sum(rows) > 20_000
+
+
 def test_op9_counts_copies_once(spark):
     made = [(i, f"nice {'aeiou'[i]}day of kormoran sees bob@x.example.org near {'aeiou'[i]}house end") for i in range(5)]
     made += [(1000 + i, f"plain words of day number{'x' * i} here") for i in range(600)] + [(300, None), (302, "mail bob@x.example.org kormoran kormoran"), (303, "call +1 555 123 4567 8 now")]
@@ -385,6 +439,50 @@ def test_op9_counts_copies_once(spark):
     assert "kormoran" in told
 
 
+def test_op4_links_all_texts_of_an_id(spark):
+    a, b = (" ".join(f"{c}{i}" for i in range(60)) for c in "ab")
+    made = [(1, a), (1, b), (2, b + " x"), (3, a + " y"), (4, None), (None, a), (6, "one two"), (7, "one  two"), (7, "One two"), (8, "z")]
+    got = ngram_join.link_components(table(spark, made)).collect()
+    assert Counter((r["doc_id"], r["component_id"]) for r in got) == Counter({(1, 1): 2, (2, 1): 1, (3, 1): 1, (4, 4): 1, (None, None): 1, (6, 6): 1, (7, 6): 2, (8, 8): 1})
+    kept = ngram_join.keep_one(table(spark, made)).collect()
+    assert sorted(str(r["doc_id"]) for r in kept) == ["1", "4", "6", "8", "None"] and kept[0].asDict().keys() == table(spark, made).first().asDict().keys()
+
+
+def test_op4_parities_and_packed_sets():
+    rnd = np.random.default_rng(1)
+    for n, m, common in ((5, 5, 5), (300, 280, 250), (3000, 2500, 2200), (9, 2000, 4)):
+        pool = np.unique(rnd.integers(0, 2**48, n + m, np.uint64))
+        x, y = np.sort(pool[:n]), np.sort(np.concatenate([pool[:common], pool[n : n + m - common]]))
+        assert (ngram_join.unpack_set(ngram_join.pack_set(x)) == x).all()
+        p, q = ngram_join.parities(x), ngram_join.parities(y)
+        words = min(len(p), len(q))
+        differ = np.bitwise_count((ngram_join.folded(p, words) ^ ngram_join.folded(q, words)).view(np.uint64)).sum()
+        assert differ <= len(np.setxor1d(x, y))
+
+
+def test_op4_long_texts_are_sliced(monkeypatch):
+    monkeypatch.setattr(ngram_join.Shingler, "SLICE", 50)
+    of = ngram_join.Shingler(5)
+    text = " ".join(f"w{i % 37}" for i in range(400)) + "  " + "q" * 300
+    sliced = of(text)
+    monkeypatch.setattr(ngram_join.Shingler, "SLICE", 10**9)
+    assert (sliced == of(text)).all()
+
+
+def test_op10_reads_survivors_only(spark):
+    made = [(1, "Same text"), (2, "same TEXT"), (3, "same tent"), (4, "other"), (2, "same text"), (None, None), (5, "")]
+    out = {(r["doc_id"], r["group_size"], r["kept"], r["text_sha256"] is None) for r in exact_dedup.exact_groups(table(spark, made)).collect()}
+    assert (4, 1, True, True) in out and (2, 3, True, False) in out and (5, 2, True, False) in out and (None, 2, False, False) in out
+    left = exact_dedup.drop_copies(table(spark, made)).collect()
+    assert sorted((str(r["doc_id"]), r["text"]) for r in left) == [("2", "same text"), ("3", "same tent"), ("4", "other"), ("5", "")]
+
+
+def test_op7_index_fills_gaps_exactly():
+    index = packing.SumIndex({5: 1, 3: 2, 2: 1}, 16)
+    assert index.filling(5, 11) == (5,) and index.filling(8, 8) == (5, 3) and index.filling(10, 6) == (5, 3, 2) and index.filling(9, 7) is None
+    assert packing.SumIndex({5: 2}, 10).filling(5, 5) == (5,) and packing.SumIndex({5: 1}, 10).filling(5, 5) is None
+
+
 def test_op10_matches_brute_force(docs, rows):
     groups = {}
     for i, t in rows:
