@@ -11,12 +11,12 @@ from pyspark.sql import functions as F
 from hearthlog.functions import scalars as S
 
 #: Limits of a card.
-MOST_TEXT, MOST_LINKS, MOST_DEPTH = 100_000, 100, 2048
+MOST_TEXT, MOST_LINKS, MOST_DEPTH, MOST_ALBUM = 100_000, 100, 2048, 20_000
 #: Classes that mark a card, its heading, its body and its date.
-CARD, HEADING, BODY, DATE = "_a6-g", "_a6-h", "_a6-p", "_a72d"
+CARD, HEADING, BODY, DATE, SENDER = "_a6-g", "_a6-h", "_a6-p", "_a72d", "_a6-i"
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 _SILENT = frozenset(("script", "style", "template", "noscript"))
-_CARD_TYPE = "struct<heading:string,body:string,date:string,links:array<string>,media:array<string>,attributes:map<string,string>>"
+_CARD_TYPE = "struct<heading:string,heading_class:string,body:string,date:string,datetime:string,text:string,links:array<string>,media:array<string>,tags:array<string>,attributes:map<string,string>>"
 
 
 class _Cards(HTMLParser):
@@ -25,7 +25,7 @@ class _Cards(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.open: list[tuple[str, str | None]] = []
-        self.cards, self.rows, self.links, self.media = [], [], [], []
+        self.cards, self.rows, self.links, self.media, self.loose = [], [], [], [], []
         self.text = {"title": "", "h1": ""}
         self.card, self.row, self.silent = None, None, 0
 
@@ -36,11 +36,15 @@ class _Cards(HTMLParser):
             self.silent += 1
         into = None
         if CARD in classes and self.card is None:
-            self.card = {"heading": "", "body": "", "date": "", "links": [], "media": [], "attributes": {k: v or "" for k, v in attrs if k.startswith("data-")}}
+            self.card = {"heading": "", "heading_class": None, "body": "", "date": "", "datetime": None, "text": "", "links": [], "media": [], "tags": [], "attributes": {k: v or "" for k, v in attrs if k.startswith("data-")}}
             into = "card"
         elif self.card is not None:
             into = "heading" if tag == "h2" or HEADING in classes else "body" if BODY in classes else "date" if tag == "time" or DATE in classes else None
             self.card["attributes"].update((k, v or "") for k, v in attrs if k.startswith("data-"))
+            if into == "heading" and self.card["heading_class"] is None:
+                self.card["heading_class"] = " ".join(classes)
+            if tag == "time" and a.get("datetime"):
+                self.card["datetime"] = a["datetime"]
         if tag == "tr":
             self.row = []
         elif tag in ("th", "td") and self.row is not None:
@@ -51,6 +55,10 @@ class _Cards(HTMLParser):
                 getattr(self, keep).append(a[name])
                 if self.card is not None and len(self.card[keep]) < MOST_LINKS:
                     self.card[keep].append(a[name])
+                    if keep == "media":
+                        self.card["tags"].append(tag)
+                elif self.card is None and keep == "media" and len(self.loose) < MOST_ALBUM:
+                    self.loose.append((a[name], tag))
         if tag not in _VOID and len(self.open) < MOST_DEPTH:
             self.open.append((tag, into))
 
@@ -74,6 +82,8 @@ class _Cards(HTMLParser):
         if self.silent:
             return
         tags = [t for t, _ in self.open]
+        if self.card is not None and len(self.card["text"]) < MOST_TEXT:
+            self.card["text"] += data
         for name in self.text:
             if name in tags:
                 self.text[name] += data
@@ -97,14 +107,14 @@ def _page(html: str | None) -> dict:
     p.close()
     if p.card is not None:  # never closed
         p.cards.append(p.card)
-    cards = [{**c, **{k: _squeezed(c[k]) for k in ("heading", "body", "date")}, "attributes": list(c["attributes"].items())} for c in p.cards]
-    return {"title": _squeezed(p.text["title"]), "h1": _squeezed(p.text["h1"]), "links": p.links, "media": p.media, "rows": [[_squeezed(x) or "" for x in r] for r in p.rows if r], "cards": cards}
+    cards = [{**c, **{k: _squeezed(c[k]) for k in ("heading", "body", "date", "text")}, "attributes": list(c["attributes"].items())} for c in p.cards]
+    return {"title": _squeezed(p.text["title"]), "h1": _squeezed(p.text["h1"]), "links": p.links, "media": p.media, "loose": [{"ref": r, "tag": t} for r, t in p.loose], "rows": [[_squeezed(x) or "" for x in r] for r in p.rows if r], "cards": cards}
 
 
 def pages(files: DataFrame, html_col: str = "text") -> DataFrame:
-    """`files` with title, h1, links, media, rows and cards of each page, without the HTML. Null pages have none."""
+    """`files` with title, h1, links, media, media outside of cards, rows and cards of each page, without the HTML. Null pages have none."""
     keep = [c for c in files.columns if c != html_col]
-    arrow = pa.struct([("title", pa.string()), ("h1", pa.string()), ("links", pa.list_(pa.string())), ("media", pa.list_(pa.string())), ("rows", pa.list_(pa.list_(pa.string()))), ("cards", pa.list_(pa.struct([("heading", pa.string()), ("body", pa.string()), ("date", pa.string()), ("links", pa.list_(pa.string())), ("media", pa.list_(pa.string())), ("attributes", pa.map_(pa.string(), pa.string()))])))])
+    arrow = pa.struct([("title", pa.string()), ("h1", pa.string()), ("links", pa.list_(pa.string())), ("media", pa.list_(pa.string())), ("loose", pa.list_(pa.struct([("ref", pa.string()), ("tag", pa.string())]))), ("rows", pa.list_(pa.list_(pa.string()))), ("cards", pa.list_(pa.struct([("heading", pa.string()), ("heading_class", pa.string()), ("body", pa.string()), ("date", pa.string()), ("datetime", pa.string()), ("text", pa.string()), ("links", pa.list_(pa.string())), ("media", pa.list_(pa.string())), ("tags", pa.list_(pa.string())), ("attributes", pa.map_(pa.string(), pa.string()))])))])
 
     def run(batches):
         for batch in batches:
@@ -114,54 +124,203 @@ def pages(files: DataFrame, html_col: str = "text") -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], page], names=[*keep, "page"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in files.select(*keep).schema)
-    out = files.select(*keep, html_col).mapInArrow(run, f"{kinds}, page struct<title:string,h1:string,links:array<string>,media:array<string>,rows:array<array<string>>,cards:array<{_CARD_TYPE}>>")
+    out = files.select(*keep, html_col).mapInArrow(run, f"{kinds}, page struct<title:string,h1:string,links:array<string>,media:array<string>,loose:array<struct<ref:string,tag:string>>,rows:array<array<string>>,cards:array<{_CARD_TYPE}>>")
     return out.select(*keep, "page.*")
 
 
+#: What a page's path says about its cards, tried in this order.
+PAGE_MARKS = [
+    ("messages", "(^|/)messages/"),
+    ("connections", "connections/"),
+    ("comments", "comment"),
+    ("reactions", "reaction|likes_and_reactions"),
+    ("albums", "/album|albums|your_photos|your_videos"),
+    ("posts", "/posts/|your_posts"),
+]
+#: The folders that hold threads.
+THREAD_FOLDERS = "inbox|archived_threads|filtered_threads|message_requests|marketplace_messages|marketplace|thread_requests|e2ee_cutover"
+
+
+def page_kind(path: Column) -> Column:
+    low = S.ascii_lower(path)
+    kind = F.when(F.lit(False), "")
+    for name, pattern in PAGE_MARKS:
+        kind = kind.when(low.rlike(pattern), name)
+    return kind
+
+
 def cards(parsed: DataFrame, path_col: str = "path") -> DataFrame:
-    """One row for each card, with its place on the page, section and date."""
-    keep = [c for c in parsed.columns if c not in ("title", "h1", "links", "media", "rows", "cards")]
-    rows = parsed.select(*keep, F.posexplode("cards").alias("place", "card"))
-    return rows.select(*keep, "place", "card.*").withColumn("created_at", S.parse_human_date(F.col("date"))).withColumn("section", S.section(F.col(path_col)))
+    """One row for each card, with its place on the page, kind, date and the page's heading."""
+    keep = [c for c in parsed.columns if c not in ("title", "h1", "links", "media", "loose", "rows", "cards")]
+    rows = parsed.select(*keep, F.col("h1").alias("page_title"), F.posexplode("cards").alias("place", "card")).select(*keep, "page_title", "place", "card.*")
+    at = F.coalesce(S.parse_human_date(F.col("datetime")), S.parse_human_date(F.col("date")))
+    return rows.withColumn("created_at", at).withColumn("section", page_kind(F.col(path_col)))
+
+
+def _hashed(prefix: str, *parts: Column) -> Column:
+    return F.concat(F.lit(f"{prefix}:facebook:html:"), S.fnv1a32(F.concat_ws(":", *parts)))
+
+
+def folder(path: Column) -> Column:
+    """The folder of a thread."""
+    named = F.nullif(F.regexp_extract(path, rf"(?i)/messages/(?:{THREAD_FOLDERS})/([^/]+)/", 1), F.lit(""))
+    return F.coalesce(named, F.nullif(F.regexp_extract(path, r"([^/]+)/[^/]*$", 1), F.lit("")), F.lit("messages"))
+
+
+def identity(name: Column, href: Column, scope: Column) -> dict[str, Column]:
+    """id, number, username and profile_url of a person: by number in the link, else by user name, else by name within a scope."""
+    url = S.safe_profile_url(href)
+    digits = F.try_parse_url(url, F.lit("QUERY"), F.lit("id"))
+    digits = F.when(digits.rlike(r"^\d+$"), digits)
+    path = F.try_parse_url(url, F.lit("PATH"))
+    single, people = F.regexp_extract(path, r"^/+([^/]+)/*$", 1), F.regexp_extract(path, r"(?i)^/+people/+([^/]+)", 1)
+    single = F.when(~S.ascii_lower(single).isin("profile.php", "people"), single)
+    username = F.when(digits.isNull(), F.coalesce(F.nullif(people, F.lit("")), F.nullif(single, F.lit(""))))
+    seed = F.coalesce(F.concat(F.lit("id:"), digits), F.concat(F.lit("username:"), F.lower(username)), F.concat(F.lit("name:"), F.lower(F.coalesce(name, F.lit(""))), F.lit("|scope:"), scope))
+    return {"id": F.concat(F.lit("person:facebook:html:"), S.fnv1a32(seed)), "facebook_id": digits, "username": username, "profile_url": url}
 
 
-def identity(name: Column, href: Column, scope: Column) -> Column:
-    """A person's id: by number in the link, else user name from its path, else the name within its scope."""
-    number = F.try_parse_url(href, F.lit("QUERY"), F.lit("id"))
-    user = F.nullif(F.regexp_extract(F.try_parse_url(href, F.lit("PATH")), r"^/([A-Za-z0-9.]{3,})/?$", 1), F.lit(""))
-    return F.coalesce(
-        F.when(number.rlike(r"^\d+$"), F.concat(F.lit("person:facebook:"), number)),
-        F.concat(F.lit("person:username:"), S.ascii_lower(user)),
-        F.concat(F.lit("person:html:"), S.fnv1a32(F.concat(scope, F.lit("|"), name))),
-    )
+def _count(text: Column, label: str) -> Column:
+    """The number beside a label, in front of it or behind it; 0 without one."""
+    behind = F.regexp_extract(text, rf"(?i)(?:{label}s?|reactions?)\s*[:·-]?\s*(\d+)", 1)
+    before = F.regexp_extract(text, rf"(?i)(\d+)\s+{label}s?", 1)
+    return F.coalesce(F.nullif(behind, F.lit("")), F.nullif(before, F.lit("")), F.lit("0")).cast("int")
+
+
+def _media(rows: DataFrame, kind: str) -> DataFrame:
+    """Local media of rows with path, id, place, refs (ref, tag) and caption, once for each path, as tables have them."""
+    each = rows.select("part_path", "path", "id", "caption", F.posexplode("refs").alias("k", "r")).withColumn("file", S.resolve_path(F.col("path"), F.col("r.ref"))).filter("file IS NOT NULL")
+    first = each.groupBy("part_path", "path", "id", "file").agg(F.min(F.struct("k", "r.tag", "caption")).alias("m")).select("part_path", "path", "id", "file", "m.k", "m.tag", "m.caption")
+    return first.select(
+        _hashed("media", F.col("path"), F.col("id"), F.col("k").cast("string"), F.col("file")).alias("id"), F.col("file").alias("path"), S.shown_media_type(F.col("file"), F.col("tag")).alias("media_type"), F.substring_index("file", "/", -1).alias("filename"),
+        "caption", F.lit(kind).alias("owner_type"), F.col("id").alias("owner_id"), F.col("part_path").alias("archive_part_id"), F.col("path").alias("source_path"), F.col("k").cast("int").alias("source_index"),
+    )
 
 
 def records(card_rows: DataFrame) -> dict[str, DataFrame]:
-    """Cards as posts, messages, connections, comments and reactions; the last two need an explicit target."""
-    kind = F.col("section")
-    key = lambda prefix: F.concat_ws(":", F.lit(prefix), "path", "place")
-    attr = lambda name: F.nullif(F.try_element_at("attributes", F.lit(name)), F.lit(""))
-    link = F.try_element_at("links", F.lit(1))
+    """Cards as posts, messages, conversations, connections, comments, reactions, media and people.
+
+    Comments and reactions of pages of their own need an explicit target; those without count as warnings.
+    """
+    if "part_path" not in card_rows.columns:
+        card_rows = card_rows.withColumn("part_path", F.lit(None).cast("string"))
+    kind, col = F.col("section"), F.col
+    attr = lambda *names: F.coalesce(*[F.nullif(F.try_element_at("attributes", F.lit(f"data-{n}")), F.lit("")) for n in names])
+    path, place = col("path"), col("place").cast("string")
+    source = [col("part_path").alias("archive_part_id"), path.alias("source_path"), col("place").cast("int").alias("source_index")]
+    href = F.try_element_at(F.filter("links", lambda x: S.safe_profile_url(x).isNotNull()), F.lit(1))
+    text = F.coalesce("body", F.nullif(F.trim(F.replace(F.replace(F.coalesce("text", F.lit("")), F.coalesce("heading", F.lit("")), F.lit("")), F.coalesce("date", F.lit("")), F.lit(""))), F.lit("")))
+    rows = card_rows.withColumn("href", href).withColumn("said", text).withColumn("refs", F.arrays_zip(col("media").alias("ref"), col("tags").alias("tag"))).withColumn("caption", F.lit(None).cast("string"))
+    here = lambda name, scope=path, link=col("href"): identity(name, link, scope)
+    chat_scope = F.concat(F.lit("messages:"), F.lower(folder(path)))
+
+    def people(df: DataFrame, name: Column, who: dict[str, Column], at: Column) -> DataFrame:
+        named = F.coalesce(F.nullif(F.trim(name), F.lit("")), F.lit("Unknown person"))
+        return df.select(
+            who["id"].alias("id"), named.alias("display_name"), who["facebook_id"].alias("facebook_id"), who["username"].alias("username"), who["profile_url"].alias("profile_url"), at.alias("first_seen"), at.alias("last_seen"),
+            F.when(who["facebook_id"].isNotNull() | who["username"].isNotNull(), "exact").otherwise("inferred").alias("identity_confidence"), path.alias("identity_source"), F.array(path).alias("source_paths"), F.lit(False).alias("is_archive_owner"), *source[:2],
+        )
+
+    chats = rows.filter(kind == "messages")
+    sent = chats.filter(col("heading").isNotNull() & F.coalesce(col("heading_class"), F.lit("")).rlike(rf"(^|\s){SENDER}(\s|$)"))
+    conversation = _hashed("conversation", F.concat(F.lit("folder:"), F.lower(folder(path)))).alias("conversation_id")
+    sender = here(col("heading"), chat_scope)
+    messages = sent.withColumn("id", _hashed("message", path, place)).withColumn("sender_id", sender["id"])
+    titled = chats.select(conversation, F.struct("path", "place").alias("o"), F.when(col("heading_class").rlike(SENDER), col("page_title")).otherwise(col("heading")).alias("title"), "part_path", "path")
+    titles = titled.groupBy("conversation_id").agg(F.min_by("title", F.when(col("title").isNotNull(), col("o"))).alias("title"), F.min_by("path", "o").alias("source_path"), F.min_by("part_path", "o").alias("archive_part_id"))
+    members = messages.select(conversation, F.struct("path", "place").alias("o"), "sender_id", "heading").groupBy("conversation_id", "sender_id").agg(F.min("o").alias("o"), F.min_by("heading", "o").alias("name"))
+    lists = members.groupBy("conversation_id").agg(F.array_sort(F.collect_list(F.struct("o", "name", "sender_id"))).alias("all"))
+    threads = titles.join(lists, "conversation_id", "left").select(
+        col("conversation_id").alias("id"), "title", F.coalesce(F.array_distinct(F.transform("all", lambda x: x["name"])), F.array().cast("array<string>")).alias("participant_names"),
+        F.coalesce(F.transform("all", lambda x: x["sender_id"]), F.array().cast("array<string>")).alias("participant_ids"), "archive_part_id", "source_path",
+    ).withColumn("is_group", F.size("participant_names") > 2)
+
+    own = F.lower(path).rlike("your_posts|your_facebook_activity/posts")
+    told = rows.filter((kind == "posts") & (col("said").isNotNull() | col("heading").isNotNull() | (F.size("refs") > 0))).withColumn("id", _hashed("post", path, place))
+    author = here(col("heading"))
+    posts = told.withColumn("author_id", F.when(own, "owner").when(col("heading").isNotNull(), author["id"]))
+    reacted = told.filter(attr("reaction-type", "reaction").isNotNull() & attr("actor", "actor-name").isNotNull())
+    replied = told.filter(attr("comment", "comment-text").isNotNull())
+
+    friends = rows.filter((kind == "connections") & col("heading").isNotNull())
+    friend = here(col("heading"))
+    post_id = F.coalesce(attr("post-id"), F.when(attr("target-type") == "post", attr("target-id")))
+    targeted = rows.filter((kind == "comments") & post_id.isNotNull() & col("said").isNotNull())
+    writer = F.coalesce(attr("comment-author", "actor"), col("heading"), F.lit("Unknown person"))
+    target_id = F.coalesce(attr("target-id"), F.when(attr("target-type") == "post", attr("post-id")))
+    given = attr("reaction-type", "reaction", "kind")
+    liked = rows.filter((kind == "reactions") & target_id.isNotNull() & given.isNotNull())
+    liker = F.coalesce(attr("actor", "actor-name"), col("heading"))
+    lost = rows.filter(((kind == "comments") & (post_id.isNull() | col("said").isNull())) | ((kind == "reactions") & (target_id.isNull() | given.isNull())))
+
+    named = lambda df, name: df.filter(name.isNotNull())
+    inline = attr("comment-author")
+    everyone = [
+        people(messages, col("heading"), sender, col("created_at")), people(friends, col("heading"), friend, col("created_at")), people(targeted, writer, here(writer), col("created_at")),
+        people(named(liked, liker), liker, here(liker), col("created_at")), people(named(posts, col("heading")).filter(~own), col("heading"), author, col("created_at")),
+        people(reacted, attr("actor", "actor-name"), here(attr("actor", "actor-name")), col("created_at")), people(replied, inline, here(inline, link=F.lit(None).cast("string")), col("created_at")),
+    ]
+    all_people = everyone[0]
+    for more in everyone[1:]:
+        all_people = all_people.unionByName(more)
+    links = F.array_distinct(F.filter(F.transform("links", lambda x: F.when(x.rlike("^https://"), x).otherwise(S.resolve_path(path, x))), lambda x: x.isNotNull()))
     return {
-        "posts": card_rows.filter((kind == "posts") & (F.col("body").isNotNull() | F.col("heading").isNotNull())).select(key("post").alias("id"), F.lit("owner").alias("author_id"), F.col("heading").alias("title"), "body", "created_at"),
-        "messages": card_rows.filter((kind == "messages") & F.col("body").isNotNull()).select(key("message").alias("id"), F.concat(F.lit("conversation:"), S.slug(F.regexp_extract("path", r"([^/]+)/[^/]*$", 1))).alias("conversation_id"), F.col("heading").alias("sender_name"), "body", F.col("created_at").alias("sent_at")),
-        "connections": card_rows.filter((kind == "connections") & F.col("heading").isNotNull()).select(key("connection").alias("id"), identity(F.col("heading"), link, F.col("path")).alias("person_id"), F.col("heading").alias("display_name"), S.connection_type(F.col("path")).alias("relationship_type"), F.col("created_at").alias("started_at")),
-        "comments": card_rows.filter((kind == "comments") & attr("data-post-id").isNotNull()).select(key("comment").alias("id"), attr("data-post-id").alias("post_id"), "body", "created_at"),
-        "reactions": card_rows.filter((kind == "reactions") & attr("data-target-id").isNotNull()).select(key("reaction").alias("id"), F.coalesce(attr("data-target-type"), F.lit("post")).alias("target_type"), attr("data-target-id").alias("target_id"), F.coalesce(attr("data-reaction-type"), F.lit("Like")).alias("kind"), "created_at"),
-        "warnings": card_rows.filter(kind.isin("comments", "reactions") & attr("data-post-id").isNull() & attr("data-target-id").isNull()).groupBy("path", "section").agg(F.count("*").alias("n")),
-    }
+        "posts": posts.select("id", "author_id", col("heading").alias("title"), col("said").alias("body"), "created_at", links.alias("links"), F.size("refs").alias("media_count"), _count(col("text"), "comment").alias("comment_count"), _count(col("text"), "reaction").alias("reaction_count"), *source),
+        "messages": messages.select("id", conversation, "sender_id", col("heading").alias("sender_name"), col("said").alias("body"), col("created_at").alias("sent_at"), *source),
+        "conversations": threads,
+        "connections": friends.select(_hashed("connection", path, place).alias("id"), friend["id"].alias("person_id"), col("heading").alias("display_name"), friend["facebook_id"].alias("facebook_id"), friend["username"].alias("username"), friend["profile_url"].alias("profile_url"), S.page_connection_type(path).alias("relationship_type"), col("created_at").alias("started_at"), *source),
+        "comments": targeted.select(_hashed("comment", path, place, post_id, col("said")).alias("id"), post_id.alias("post_id"), here(writer)["id"].alias("author_id"), writer.alias("author_name"), col("said").alias("body"), "created_at", *source).unionByName(
+            replied.select(_hashed("comment", path, place, attr("comment", "comment-text")).alias("id"), col("id").alias("post_id"), here(inline, link=F.lit(None).cast("string"))["id"].alias("author_id"), F.coalesce(inline, F.lit("Unknown person")).alias("author_name"), attr("comment", "comment-text").alias("body"), "created_at", *source)),
+        "reactions": liked.select(_hashed("reaction", path, place, target_id, given, F.coalesce(liker, F.lit(""))).alias("id"), F.when(attr("target-type").isin("post", "comment"), attr("target-type")).otherwise("post").alias("target_type"), target_id.alias("target_id"), F.when(liker.isNotNull(), here(liker)["id"]).alias("person_id"), liker.alias("person_name"), given.alias("kind"), "created_at", *source).unionByName(
+            reacted.select(_hashed("reaction", path, place, attr("reaction-type", "reaction"), attr("actor", "actor-name")).alias("id"), F.lit("post").alias("target_type"), col("id").alias("target_id"), here(attr("actor", "actor-name"))["id"].alias("person_id"), attr("actor", "actor-name").alias("person_name"), attr("reaction-type", "reaction").alias("kind"), "created_at", *source)),
+        "media": _media(posts, "post").unionByName(_media(messages, "message")),
+        "people": all_people,
+        "warnings": lost.groupBy("path", "section").agg(F.count("*").alias("n")),
+    }
+
+
+def albums(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """An album for each page of albums, photos or videos, and its media: those of its cards and those outside of them."""
+    if "part_path" not in parsed.columns:
+        parsed = parsed.withColumn("part_path", F.lit(None).cast("string"))
+    pages_ = parsed.filter(F.lower("path").rlike("/album|albums|your_photos|your_videos"))
+    told = F.try_element_at(F.transform(F.filter("rows", lambda r: (F.size(r) == 2) & r[0].rlike("(?i)^(album|title|name)$")), lambda r: r[1]), F.lit(1))
+    name = F.coalesce("h1", told, F.nullif(F.regexp_replace(F.substring_index("path", "/", -1), r"(?i)\.(html?|json)$", ""), F.lit("")), F.lit("Facebook album"))
+    rows = pages_.withColumn("id", _hashed("album", F.col("path"))).withColumn("name", name)
+    shown = F.flatten(F.transform("cards", lambda c: F.transform(F.arrays_zip(c["media"].alias("ref"), c["tags"].alias("tag")), lambda m: F.struct(m["ref"].alias("ref"), m["tag"].alias("tag"), c["body"].alias("caption")))))
+    loose = F.transform("loose", lambda m: F.struct(m["ref"].alias("ref"), m["tag"].alias("tag"), F.lit(None).cast("string").alias("caption")))
+    each = rows.withColumn("all", F.concat(loose, shown)).select("part_path", "path", "id", F.transform("all", lambda m: F.struct(m["ref"].alias("ref"), m["tag"].alias("tag"))).alias("refs"), F.lit(None).cast("string").alias("caption"))
+    return rows.select("id", F.col("name").alias("title"), F.lit("owner").alias("owner_id"), F.col("part_path").alias("archive_part_id"), F.col("path").alias("source_path"), F.lit(0).alias("source_index")), _media(each, "album")
 
 
 #: Categories of profile facts by label, tried in this order.
-FACT_MARKS = [("work", "work|employ|job"), ("education", "educat|school|universit"), ("location", "city|town|lived|address"), ("relationship", "relationship|married|partner"), ("family", "family|parent|sibling"), ("contact", "mail|phone|website"), ("basic", "birth|gender|language|name")]
+FACT_MARKS = [("work", "work|employ"), ("education", "school|education|university"), ("places_lived", "live|place|hometown"), ("relationship", "relationship|married"), ("languages", "language"), ("bio", "bio|about"), ("profile", "username|profile")]
+_NAME = "(?i)^(name|full name|profile name)$"
 
 
 def profile_facts(parsed: DataFrame) -> DataFrame:
-    """Rows of two cells on profile pages as facts."""
-    rows = parsed.filter(S.section(F.col("path")) == "profile").select("path", F.posexplode("rows").alias("place", "row")).filter(F.size("row") == 2)
+    """Rows of two cells on profile pages as facts; the name isn't one."""
+    part = F.col("part_path") if "part_path" in parsed.columns else F.lit(None).cast("string")
+    pages_ = parsed.filter(F.lower("path").rlike("profile_information|profile_v2|personal_information"))
+    named = F.filter("rows", lambda r: (F.size(r) == 2) & (r[1] != "") & ~r[0].rlike(_NAME))
+    rows = pages_.select(part.alias("archive_part_id"), "path", F.posexplode(named).alias("place", "row"))
     label = F.col("row")[0]
     low = S.ascii_lower(label)
     kind = F.when(F.lit(False), "")
     for name, pattern in FACT_MARKS:
         kind = kind.when(low.rlike(pattern), name)
-    return rows.select(F.concat_ws(":", F.lit("fact"), "path", "place").alias("id"), kind.otherwise("other").alias("category"), label.alias("label"), F.col("row")[1].alias("value")).filter("value <> ''")
+    return rows.select(_hashed("fact", F.col("path"), F.col("place").cast("string"), label).alias("id"), F.lit("owner").alias("profile_id"), kind.otherwise("other").alias("category"), label.alias("label"), F.col("row")[1].alias("value"), "archive_part_id", F.col("path").alias("source_path"), F.col("place").cast("int").alias("source_index"))
+
+
+def profiles(parsed: DataFrame) -> DataFrame:
+    """The owner's profile from each profile page that says a name, with the fields that its facts tell."""
+    part = F.col("part_path") if "part_path" in parsed.columns else F.lit(None).cast("string")
+    pages_ = parsed.filter(F.lower("path").rlike("profile_information|profile_v2|personal_information"))
+    value = lambda pattern: F.try_element_at(F.transform(F.filter("rows", lambda r: (F.size(r) == 2) & r[0].rlike(pattern)), lambda r: r[1]), F.lit(1))
+    href = F.try_element_at(F.filter("links", lambda x: S.safe_profile_url(x).isNotNull()), F.lit(1))
+    name = F.coalesce(F.nullif(value(_NAME), F.lit("")), F.col("h1"))
+    who = identity(name, href, F.col("path"))
+    return pages_.filter(name.isNotNull()).select(
+        _hashed("profile", F.col("path")).alias("id"), F.lit("owner").alias("person_id"), name.alias("display_name"), who["facebook_id"].alias("facebook_id"), who["username"].alias("username"), who["profile_url"].alias("profile_url"),
+        value("(?i)bio|about").alias("bio"), S.parse_human_date(value("(?i)registration|joined|created")).alias("joined_at"), value("(?i)relationship|married").alias("relationship"), part.alias("archive_part_id"), F.col("path").alias("source_path"), F.lit(0).alias("source_index"),
+    )

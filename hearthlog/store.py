@@ -118,13 +118,15 @@ class ArchiveStore:
         rows = empty.unionByName(df.select(*[c for c in df.columns if c in SCHEMAS[name].names]), allowMissingColumns=True)
         return self._resolved(name, [rows])
 
+    def is_final(self, part_id: str) -> bool:
+        return self.table("states").filter((F.col("part_id") == part_id) & F.col("status").isin(ingest.FINAL)).count() > 0
+
     def import_part(self, part_id: str, bundle: dict[str, DataFrame]) -> bool:
         """Adds a part's records. Posts and the like that are there stay as they are, people and conversations merge.
 
         A part that is complete or skipped isn't taken again. Only the part is written.
         """
-        state = {r["part_id"]: r["status"] for r in self.table("states").filter(F.col("part_id") == part_id).collect()}
-        if state.get(part_id) in ingest.FINAL:
+        if self.is_final(part_id):
             return False
         tables = {}
         for name, df in bundle.items():
