@@ -366,12 +366,13 @@ def _apart(lists: DataFrame, *more) -> DataFrame:
 
 
 def _open_lists(base: DataFrame, labelled: DataFrame, frequent: tuple[np.ndarray, np.ndarray], rule: Join) -> DataFrame:
-    """token, gid, pos, n, comp, rows: the lists in which different components can still meet, and how long they are.
+    """token, gid, pos, before, n, comp, rows: the lists in which different components can still meet, and how long they are.
 
     Of each set's prefix only hashes that another prefix has, too, are kept, by a bitmap; then the lists of one
     component go. Two sets that link have their first common shingle where enough of both still follows: at place p
     of n shingles at most n - p can be common. With the smallest partner that the list holds this is a bound for
     each row; a near copy with many changes of its own, which come first, so leaves the lists of what all copies share.
+    `before` is the hash kept before this one, or -1: two sets with the same one have met in its list already.
     """
     nodes = bitmap(labelled.select("node"))  # lets each set through once
 
@@ -405,10 +406,13 @@ def _open_lists(base: DataFrame, labelled: DataFrame, frequent: tuple[np.ndarray
             all_tokens, rid = np.concatenate([p for _, p in held]), np.repeat(np.array([r for r, _ in held], np.int64), sizes)
             pos = np.arange(len(all_tokens)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
             keep = maybe_in(all_tokens >> 8, shared)
-            yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (all_tokens, pos, rid)], names=["token", "pos", "node"])
+            token, pos, rid = all_tokens[keep], pos[keep], rid[keep]
+            before = np.full(len(token), -1, np.int64)
+            before[1:] = np.where(rid[1:] == rid[:-1], token[:-1], -1)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (token, pos, rid, before)], names=["token", "pos", "node", "before"])
 
-    met = sets.mapInArrow(run, "token long, pos long, node long").join(labelled.select("node", "gid", "n", "comp"), "node")
-    some = cut(met.select("token", "pos", "gid", "n", "comp").distinct())
+    met = sets.mapInArrow(run, "token long, pos long, node long, before long").join(labelled.select("node", "gid", "n", "comp"), "node")
+    some = cut(met.select("token", "pos", "before", "gid", "n", "comp").distinct())
     small = F.greatest("small", F.ceil(F.lit(rule.percent) * F.col("n") / 100))
     both = some.join(_apart(some, F.min("n").alias("small"), F.count("*").alias("rows")), "token")
     return cut(both.filter(F.col("pos") <= F.col("n") - _needed(F.col("n"), small, rule)).drop("small"))
@@ -441,8 +445,8 @@ def _cross_pairs(nodes: DataFrame, lists: DataFrame, rule: Join) -> DataFrame:
     """
     needed = _needed(F.col("n1"), F.col("n2"), rule)
     fits = (F.col("comp1") < F.col("comp2")) & (F.col("gid1") != F.col("gid2")) & (100 * F.least("n1", "n2") >= rule.percent * F.greatest("n1", "n2"))
-    fits &= (F.col("pos1") <= F.col("n1") - needed) & (F.col("pos2") <= F.col("n2") - needed)
-    columns = ["pos", "gid", "n", "comp"]
+    fits &= ((F.col("before1") != F.col("before2")) | (F.col("before1") < 0)) & (F.col("pos1") <= F.col("n1") - needed) & (F.col("pos2") <= F.col("n2") - needed)
+    columns = ["pos", "before", "gid", "n", "comp"]
     x, y = _sides(lists.filter(F.col("rows") <= _SHORT), columns, ["token"])
     found = x.join(y, "token").filter(fits).select("gid1", "comp1", "gid2", "comp2")
 

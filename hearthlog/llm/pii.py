@@ -235,8 +235,8 @@ def met_terms(suspects: DataFrame, repeated: np.ndarray, window: int) -> DataFra
     return met.groupBy("entity", "term").agg(F.count("*").alias("contexts"), F.sum("docs").alias("docs"), half(0), half(1))
 
 
-def term_statistics(rows: DataFrame, repeated: np.ndarray, wanted: set[str] | None, most: int = 300_000) -> DataFrame:
-    """term, n0, n1: how many distinct texts of each half hold a term, for the wanted ones or all; the empty term counts all texts."""
+def term_statistics(rows: DataFrame, repeated: np.ndarray, most: int = 300_000) -> DataFrame:
+    """term, n0, n1: how many distinct texts of each half hold a term outside entities; the empty term counts all texts."""
 
     def run(batches):
         counts: list[Counter[str]] = [Counter(), Counter()]
@@ -253,7 +253,7 @@ def term_statistics(rows: DataFrame, repeated: np.ndarray, wanted: set[str] | No
                 text = row.as_py()
                 terms = _terms(text, base_spans(text))
                 count = counts[half_of(text)]
-                count.update(terms if wanted is None else terms & wanted)
+                count.update(terms)
                 count[""] += 1
                 if sum(map(len, counts)) > most:
                     yield flush()
@@ -280,9 +280,7 @@ def _disclosing(rows: DataFrame, suspects: DataFrame, rule: Disclosure) -> DataF
     is_kind = F.col("entity").isin(*KINDS[:4])
     enough = F.when(is_kind, F.least("docs0", "docs1") >= rule.least_documents).otherwise(F.col("contexts") >= rule.least_contexts)
     likely = cut(met.filter(enough & (F.col("term") != "")))
-    names = likely.select("term").distinct()
-    wanted = {r["term"] for r in names.collect()} if names.count() <= MOST_TOLD else None  # else all terms are counted
-    statistics = term_statistics(rows, repeated, wanted)
+    statistics = term_statistics(rows, repeated)
     total = statistics.filter("term = ''").select(F.col("n0").alias("all0"), F.col("n1").alias("all1"))  # one row
     own = met.filter("term = ''").select("entity", F.col("docs").alias("own"), F.col("docs0").alias("own0"), F.col("docs1").alias("own1"))
     measured = likely.join(statistics, "term").join(own, "entity").crossJoin(F.broadcast(total))
@@ -296,7 +294,7 @@ def _disclosing(rows: DataFrame, suspects: DataFrame, rule: Disclosure) -> DataF
     return measured.filter(F.when(is_kind, told(0) & told(1)).otherwise((given >= rule.least_given) & (bits >= rule.least_bits))).select("entity", "term")
 
 
-#: Up to so many terms are sent to every task; beyond, all are counted, and documents are joined to those that disclose.
+#: Up to so many disclosing terms are sent to every task; beyond, documents are joined to them.
 MOST_TOLD = 50_000
 
 
