@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from hearthlog.llm.common import cut
+
 
 def _digest(seed: str, *cols: str) -> Column:
     """64 bits of the columns; sums of these stay exact as decimals."""
@@ -23,9 +25,12 @@ def collapse_snapshots(turns: DataFrame) -> DataFrame:
     place gets a rolling hash of all turns up to it (two sums of 64 bits). A conversation whose hash over all its
     turns equals the hash of another at that place, with more turns after it, is a snapshot and goes; of equal
     conversations the one with the smallest conv_id stays. Turns without a conv_id are conversations by
-    themselves. Empty input gives an empty result; other columns are ignored.
+    themselves. A turn that is there twice counts and renders twice. Empty input gives an empty result; other columns are ignored.
     """
-    rows = turns.select("conv_id", "turn", "role", "text").withColumn("alone", F.when(F.col("conv_id").isNull(), F.monotonically_increasing_id()))
+    rows = turns.select("conv_id", "turn", "role", "text")
+    # Numbers of turns without a conversation are written once, so that every use and every retry sees the same ones.
+    alone = cut(rows.filter("conv_id IS NULL").withColumn("alone", F.monotonically_increasing_id()))
+    rows = rows.filter("conv_id IS NOT NULL").withColumn("alone", F.lit(None).cast("long")).unionByName(alone)
     rows = rows.withColumn("key", F.struct("conv_id", "alone"))
     order = W.partitionBy("conv_id", "alone").orderBy("turn", "role", "text")
     placed = rows.withColumn("place", F.row_number().over(order)).withColumn("h1", _digest("a", "place", "role", "text")).withColumn("h2", _digest("b", "text", "place", "role"))

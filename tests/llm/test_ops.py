@@ -255,6 +255,29 @@ def test_op5_reads_long_words_whole():
     assert abs(scorer([start + good])[0] - 1 / (1 + np.exp(-(model.flat()[1] + weights[buckets].mean())))) < 1e-9
 
 
+def test_op5_matches_plain_average_and_softmax(spark):
+    """Scores against a plain loop: the mean of the features' vectors, the linear layer and softmax."""
+    rnd = random.Random(4)
+    words = ["".join(rnd.choice("abcdefg") for _ in range(rnd.randint(1, 9))) for _ in range(40)]
+    made = [(i, " ".join(rnd.choice(words[:25] if i % 2 else words[15:]) for _ in range(rnd.randint(1, 30)))) for i in range(80)] + [(200, None), (201, "unseen wörd " + "x" * 500)]
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(80)], "doc_id long, quality int, toxic int")
+    docs, t = table(spark, made), quality_classifier.Training(buckets=1 << 12)
+    rows = quality_classifier.sample(docs, labels, "quality", t.sample)
+    model = quality_classifier.Model(t).train([r[1] for r in rows], [r[2] for r in rows])
+    out = {r["doc_id"]: r for r in quality_classifier.classify(docs, labels, t).collect()}
+    for i, text in made:
+        tokens, buckets = (text or "").encode().split(), []
+        for w in tokens:
+            whole = b"<" + w + b">"
+            buckets += [zlib.crc32(w, 1) % t.buckets] + [zlib.crc32(whole[k : k + n]) % t.buckets for n in range(t.least_chars, t.most_chars + 1) for k in range(len(whole) - n + 1)]
+        if len(tokens) > 1:
+            buckets += model.features.of_pairs(np.array([zlib.crc32(w) for w in tokens], np.uint64)).tolist()
+        h = np.mean([model.E[b].astype(float) for b in buckets], axis=0) if buckets else np.zeros(t.dims)
+        z = h @ model.W + model.b
+        p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+        assert abs(out[i]["score"] - p[1]) < 1e-5 and out[i]["predicted"] == int(out[i]["score"] >= 0.7)
+
+
 def test_op5_op6_sample_holds_one_row_for_each_id(spark):
     docs = table(spark, [(3, f"text {i:03d}") for i in range(300)] + [(i, f"doc {i}") for i in range(4, 60)] + [(3, None)] * 2).repartition(7)
     labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(60)] + [(3, 1, 1)], "doc_id long, quality int, toxic int")
@@ -477,6 +500,24 @@ def test_op10_reads_survivors_only(spark):
     assert sorted((str(r["doc_id"]), r["text"]) for r in left) == [("2", "same text"), ("3", "same tent"), ("4", "other"), ("5", "")]
 
 
+def test_op6_matches_plain_cumulative_links(spark):
+    """Severity and grades against plain sums of weights for each threshold."""
+    rnd = random.Random(6)
+    words = ["".join(rnd.choice("abcdefg") for _ in range(rnd.randint(2, 9))) for _ in range(60)]
+    made = [(i, " ".join(rnd.choice(words) for _ in range(30)) + " zorgling zorg" * (i % 3)) for i in range(300)] + [(900, None)]
+    labels = spark.createDataFrame([(i, 1, int(i % 3 > 0)) for i in range(300)], "doc_id long, quality int, toxic int")
+    docs, t = table(spark, made), toxicity.Training()
+    rows = quality_classifier.sample(docs, labels, "toxic", t.sample, even=True)
+    model = toxicity.Model(t).fit([r[1] for r in rows], [r[2] for r in rows])
+    assert len(model.place) and (np.diff(model.theta) > 0).all()
+    out = {r["doc_id"]: r for r in toxicity.grade(docs, labels, t).collect()}
+    for i, text in made:
+        counts = Counter(f for w in re.findall(r"[^\W\d_]{2,}", (text or "").lower()) for f in toxicity.features(w) if f in model.place)
+        eta = sum(model.w[model.place[f]] * np.log1p(n) for f, n in counts.items())
+        above = [1 / (1 + np.exp(-(eta - theta))) for theta in model.theta]
+        assert abs(out[i]["severity"] - sum(above)) < 1e-6 and out[i]["grade"] == sum(p >= 0.5 for p in above) and out[i]["toxic"] == int(out[i]["grade"] > 0)
+
+
 def test_op7_index_fills_gaps_exactly():
     index = packing.SumIndex({5: 1, 3: 2, 2: 1}, 16)
     assert index.filling(5, 11) == (5,) and index.filling(8, 8) == (5, 3) and index.filling(10, 6) == (5, 3, 2) and index.filling(9, 7) is None
