@@ -113,15 +113,15 @@ def activity(ledger: DataFrame, people: DataFrame, kind: str | None = None, year
 
 
 def memories(ledger: DataFrame, month: int, day: int, as_of_year: int, limit: int = 60) -> DataFrame:
-    """The same day in any year, newest first; limited, then one row for each target."""
+    """The same day in any year, newest first; limited, then one row for each kind of activity and target."""
     today = ledger.filter((F.col("calendar_month") == month) & (F.col("calendar_day") == day))
     few = today.orderBy(F.desc("calendar_year"), F.desc("occurred_at"), F.desc("id")).limit(min(100, max(1, limit)))
-    once = few.groupBy("target_type", "target_id").agg(F.max(F.struct("calendar_year", "occurred_at", "id", "activity_type", "summary")).alias("m")).select("target_type", "target_id", "m.*")
+    once = few.groupBy("activity_type", F.coalesce("target_id", "id").alias("__target")).agg(F.max(F.struct("calendar_year", "occurred_at", "id", "target_type", "target_id", "summary")).alias("m")).select("activity_type", "m.*")
     return once.withColumn("years_ago", F.greatest(F.lit(0), F.lit(as_of_year) - F.col("calendar_year")))
 
 
 def people_rollup(a, page: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """People with their numbers of posts, comments, reactions, connections and media, and first and last sight.
+    """People with their numbers of posts, comments, reactions, connections, media, messages and albums, and first and last sight.
 
     `page` cuts the people by sort_name first; then only their own records are counted.
     """
@@ -131,12 +131,12 @@ def people_rollup(a, page: Callable[[DataFrame], DataFrame] | None = None) -> Da
     media_albums = a.media.filter("owner_type = 'album'").join(a.albums.select(F.col("id").alias("owner_id"), F.col("owner_id").alias("author_id")), "owner_id").select("author_id", "id")
     parts = [
         (a.posts, "author_id", "post_count"), (a.comments, "author_id", "comment_count"), (a.reactions, "person_id", "reaction_count"),
-        (a.connections, "person_id", "connection_count"), (media_posts.union(media_albums), "author_id", "media_count"),
+        (a.connections, "person_id", "connection_count"), (media_posts.union(media_albums), "author_id", "media_count"), (a.messages, "sender_id", "message_count"), (a.albums, "owner_id", "album_count"),
     ]
     # One union and one aggregate instead of a join for each number.
-    rows = [df.select(F.col(key).alias("id"), *[F.lit(int(n == name)).alias(n) for _, _, n in parts], F.lit(None).cast("string").alias("at")) for df, key, name in parts]
-    seen = [a.posts.select("author_id", "created_at"), a.comments.select("author_id", "created_at"), a.reactions.select("person_id", "created_at"), a.connections.select("person_id", "started_at")]
-    rows += [df.toDF("id", "at").select("id", *[F.lit(0).alias(n) for _, _, n in parts], "at") for df in seen]
+    at = {"post_count": "created_at", "comment_count": "created_at", "reaction_count": "created_at", "message_count": "sent_at"}
+    seen = lambda name: F.col(at[name]) if name in at else F.lit(None).cast("string")
+    rows = [df.select(F.col(key).alias("id"), *[F.lit(int(n == name)).alias(n) for _, _, n in parts], seen(name).alias("at")) for df, key, name in parts]
     if page:
         wanted = F.broadcast(people.select("id"))
         rows = [df.join(wanted, "id", "left_semi") for df in rows]

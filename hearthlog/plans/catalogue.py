@@ -304,9 +304,9 @@ def ledger_years_distinct(a):
     return derived.ledger(a).select("calendar_year").distinct()
 
 
-@query("SELECT id, min(seen) AS first_at, max(seen) AS last_at FROM (SELECT author_id AS id, created_at AS seen FROM posts UNION ALL SELECT author_id, created_at FROM comments UNION ALL SELECT person_id, created_at FROM reactions UNION ALL SELECT person_id, started_at FROM connections) GROUP BY id")
+@query("SELECT id, min(seen) AS first_at, max(seen) AS last_at FROM (SELECT author_id AS id, created_at AS seen FROM posts UNION ALL SELECT author_id, created_at FROM comments UNION ALL SELECT person_id, created_at FROM reactions UNION ALL SELECT sender_id, sent_at FROM messages) GROUP BY id")
 def first_last_interaction(a):
-    seen = a.posts.select("author_id", "created_at").union(a.comments.select("author_id", "created_at")).union(a.reactions.select("person_id", "created_at")).union(a.connections.select("person_id", "started_at"))
+    seen = a.posts.select("author_id", "created_at").union(a.comments.select("author_id", "created_at")).union(a.reactions.select("person_id", "created_at")).union(a.messages.select("sender_id", "sent_at"))
     return seen.toDF("id", "at").groupBy("id").agg(F.min("at").alias("first_at"), F.max("at").alias("last_at"))
 
 
@@ -492,7 +492,7 @@ def activity_page(a):
 @query(
     """SELECT id, target_type, target_id, calendar_year, greatest(0, 2024 - calendar_year) AS years_ago FROM (
   SELECT * FROM ledger WHERE calendar_month = 3 AND calendar_day = 5 ORDER BY calendar_year DESC, occurred_at DESC, id DESC LIMIT 60)
-QUALIFY row_number() OVER (PARTITION BY target_type, target_id ORDER BY calendar_year DESC, occurred_at DESC, id DESC) = 1""",
+QUALIFY row_number() OVER (PARTITION BY activity_type, coalesce(target_id, id) ORDER BY calendar_year DESC, occurred_at DESC, id DESC) = 1""",
     _LEDGER_PARTS,
 )
 def memories(a):

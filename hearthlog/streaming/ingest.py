@@ -17,8 +17,10 @@ FINAL = ["skipped", "complete"]
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A folder that all machines see: below spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
+    """A folder that all machines see: below spark.checkpoint.dir. A temporary one serves where driver and tasks share a machine only."""
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     return f"{named.rstrip('/')}/{name}" if named else tempfile.mkdtemp(prefix=f"hearthlog-{name}-")
 
 
