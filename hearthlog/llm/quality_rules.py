@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import string
 from collections import Counter
 from dataclasses import dataclass, field
 
@@ -49,6 +50,28 @@ class Rules:
         return {k: {w: int(n) / 1000 for w, n in zip(v.split()[::2], v.split()[1::2])} for k, v in WORDS.items()}
 
 
+def fit(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", least_share: float = 1 / 2000) -> Rules:
+    """Rules whose references are those of a trusted corpus: for each language its shares of character classes and of words.
+
+    Words with at least `least_share` of a language's words are kept, so at most 1 / least_share of them, and only these
+    come to the driver. Texts without a language, and null ones, are left out; an empty corpus gives no references.
+    """
+    rows = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    patterns = ["[^a-z]", "[^A-Z]", "[^0-9]", r"[^\x20\x09-\x0D]", r"[^.,;:!?\x22\x27()\-]", None, r"[\x00-\x7F]"]
+    counts = {c: F.length(F.regexp_replace("text", p, "")) for c, p in zip(CLASSES, patterns) if p}
+    counts["symbol"] = F.length("text") - sum(counts.values(), F.lit(0))
+    sums = rows.groupBy("lang").agg(*[F.sum(counts[c]).alias(c) for c in CLASSES]).collect()  # a row for each language
+    characters = {r["lang"]: tuple(r[c] / max(sum(r[k] for k in CLASSES), 1) for c in CLASSES) for r in sums}
+    plain = F.translate(F.col("text"), string.ascii_uppercase + STOPS, string.ascii_lowercase + " " * len(STOPS))
+    words = rows.select("lang", F.explode(F.regexp_extract_all(plain, F.lit(r"[^\x20\x09-\x0D]+"), 0)).alias("word")).groupBy("lang", "word").agg(F.count("*").alias("n"))
+    total = F.broadcast(words.groupBy("lang").agg(F.sum("n").alias("total")))  # a row for each language
+    frequent = words.join(total, "lang").filter(F.col("n") >= least_share * F.col("total")).select("lang", "word", (F.col("n") / F.col("total")).alias("share")).collect()
+    shares: dict[str, dict[str, float]] = {lang: {} for lang in characters}
+    for r in frequent:
+        shares[r["lang"]][r["word"]] = r["share"]
+    return Rules(characters=characters, words=shares, most_word_distance=word_limit(shares)) if shares else Rules(characters={}, words={}, most_word_distance=1.0)
+
+
 def repeated_words(words: list[bytes], width: int = 5) -> int:
     """Words in windows of `width` words that are found twice or more, each word counted once."""
     n = len(words) - width + 1

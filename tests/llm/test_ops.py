@@ -255,6 +255,20 @@ def test_op5_reads_long_words_whole():
     assert abs(scorer([start + good])[0] - 1 / (1 + np.exp(-(model.flat()[1] + weights[buckets].mean())))) < 1e-9
 
 
+def test_op2_fits_references(spark):
+    made = [("x", "Aa bb, bb #é 1"), ("x", "bb cc"), ("y", "dd dd dd ee"), (None, "zz"), ("y", None)]
+    rules = quality_rules.fit(spark.createDataFrame(made, "lang string, text string"), least_share=0.2)
+    assert rules.words == {"x": {"bb": 3 / 7}, "y": {"dd": 3 / 4, "ee": 1 / 4}}
+    text = "Aa bb, bb #é 1" + "bb cc"
+    want = Counter("upper" if c.isupper() else "lower" if c in string.ascii_lowercase else "digit" if c.isdigit() else "space" if c == " " else "stop" if c == "," else "symbol" if c == "#" else "wide" for c in text)
+    assert rules.characters["x"] == tuple(want[c] / len(text) for c in quality_rules.CLASSES)
+    assert 0 < rules.most_word_distance <= 1
+    assert quality_rules.fit(spark.createDataFrame([], "lang string, text string")).words == {}
+    # The rules of a corpus judge by its words.
+    judged = quality_rules.score(table(spark, [(1, "dd dd ee dd dd ee dd " * 3), (2, "qq rr ss tt uu " * 10)]), quality_rules.Rules(characters=rules.characters, words=rules.words, least_chars=10**6, most_word_distance=0.5)).collect()
+    assert len(judged) == 2
+
+
 def test_op5_matches_plain_average_and_softmax(spark):
     """Scores against a plain loop: the mean of the features' vectors, the linear layer and softmax."""
     rnd = random.Random(4)
