@@ -15,14 +15,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from hearthlog.llm.bpe import bytes_of
 from hearthlog.llm.common import SegmentCache, cut, shuffle_partitions
 
 
 class IdCache:
     """Encodes by a tokenizers file; frequent segments are encoded once each.
 
-    Segments are as SegmentCache has them, which suits pre-tokenisers of the byte-level pattern alone. With other
-    ones, and for texts that spell a special token, texts are encoded whole.
+    A byte-level BPE whose merges are in the order of their ids is the same as one by ranks, which tiktoken runs
+    four times faster; for other files, and for texts that spell a special token, tokenizers itself runs.
+    Segments are as SegmentCache has them, which suits the byte-level pattern alone; with other pre-tokenisers texts
+    are encoded whole.
     """
 
     def __init__(self, path: str):
@@ -34,7 +37,23 @@ class IdCache:
         spec = json.loads(self.tokenizer.to_str())
         level = spec["pre_tokenizer"] or {}
         self.by_segments = not spec["normalizer"] and level.get("type") == "ByteLevel" and level.get("use_regex") and not level.get("add_prefix_space")
-        self.cache = SegmentCache(self._encode)
+        self.ranked = self._by_ranks(spec["model"]) if self.by_segments else None
+        self.cache = SegmentCache(self._encode_ranked if self.ranked else self._encode)
+
+    def _by_ranks(self, model: dict):
+        import public_tokenizers
+        import tiktoken
+
+        vocab = model.get("vocab") or {}
+        pairs = [m if isinstance(m, list) else m.split(" ") for m in model.get("merges") or []]
+        made = [vocab.get("".join(m), -1) for m in pairs]
+        if model["type"] != "BPE" or model.get("ignore_merges") or made != sorted(set(made)) or len(vocab) != 256 + len(made):
+            return None
+        ranks = {bytes_of(t): i for t, i in vocab.items() if t not in self.special}
+        return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+    def _encode_ranked(self, segment: str) -> bytes:
+        return array("I", self.ranked.encode_ordinary(segment)).tobytes()
 
     def _encode(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
