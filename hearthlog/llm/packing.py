@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-import json
-import os
 import zlib
-from array import array
 from collections import Counter, defaultdict
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -15,59 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from hearthlog.llm.bpe import bytes_of
-from hearthlog.llm.common import SegmentCache, cut, shuffle_partitions
-
-
-class IdCache:
-    """Encodes by a tokenizers file; frequent segments are encoded once each.
-
-    A byte-level BPE whose merges are in the order of their ids is the same as one by ranks, which tiktoken runs
-    four times faster; for other files, and for texts that spell a special token, tokenizers itself runs.
-    Segments are as SegmentCache has them, which suits the byte-level pattern alone; with other pre-tokenisers texts
-    are encoded whole.
-    """
-
-    def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        spec = json.loads(self.tokenizer.to_str())
-        level = spec["pre_tokenizer"] or {}
-        self.by_segments = not spec["normalizer"] and level.get("type") == "ByteLevel" and level.get("use_regex") and not level.get("add_prefix_space")
-        self.ranked = self._by_ranks(spec["model"]) if self.by_segments else None
-        self.cache = SegmentCache(self._encode_ranked if self.ranked else self._encode)
-
-    def _by_ranks(self, model: dict):
-        import public_tokenizers
-        import tiktoken
-
-        vocab = model.get("vocab") or {}
-        pairs = [m if isinstance(m, list) else m.split(" ") for m in model.get("merges") or []]
-        made = [vocab.get("".join(m), -1) for m in pairs]
-        if model["type"] != "BPE" or model.get("ignore_merges") or made != sorted(set(made)) or len(vocab) != 256 + len(made):
-            return None
-        ranks = {bytes_of(t): i for t, i in vocab.items() if t not in self.special}
-        return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-
-    def _encode_ranked(self, segment: str) -> bytes:
-        return array("I", self.ranked.encode_ordinary(segment)).tobytes()
-
-    def _encode(self, text: str) -> bytes:
-        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
-
-    def encode(self, texts: list[str]):
-        """Yields the ids of each text as bytes."""
-        whole = {i for i, t in enumerate(texts) if not self.by_segments or any(s in t for s in self.special)}
-        for i, ids in enumerate(self.cache.encode(["" if i in whole else t for i, t in enumerate(texts)])):
-            yield self._encode(texts[i]) if i in whole else ids
-
-
-@lru_cache(2)
-def id_cache(path: str) -> IdCache:
-    return IdCache(path)
+from hearthlog.llm.common import cut, shuffle_partitions
+from hearthlog.llm.token_ids import id_cache
 
 
 def cut_pieces(docs: DataFrame, path: str, end_id: int, capacity: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -100,7 +45,8 @@ class SumIndex:
     gone through once. Pairs are listed by their sum for all sums; triples are those of a single and a listed pair.
     """
 
-    def __init__(self, counts: dict[int, int], capacity: int):
+    def __init__(self, counts: dict[int, int], capacity: int, most: int = 3):
+        self.most = most  # members of a combination
         self.left = Counter({k: v for k, v in counts.items() if v > 0})
         lengths = sorted(self.left, reverse=True)
         self.pairs: dict[int, list[tuple[int, int]]] = defaultdict(list)
@@ -112,11 +58,12 @@ class SumIndex:
 
     def _combinations(self, total: int):
         """Of one, two, then three lengths; those with the longest members first."""
-        if self.left[total]:
+        if self.most > 0 and self.left[total]:
             yield (total,)
-        yield from self.pairs.get(total, ())
+        if self.most > 1:
+            yield from self.pairs.get(total, ())
         for a in self.lengths:
-            if self.left[a]:
+            if self.most > 2 and self.left[a]:
                 yield from ((a, *pair) for pair in self.pairs.get(total - a, ()) if pair[0] <= a)
 
     def filling(self, gap: int, beside: int) -> tuple[int, ...] | None:
@@ -135,10 +82,17 @@ class SumIndex:
 def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, tuple[int, ...]]]:
     """How often to use which combination of lengths. Works on the histogram, so its size is bound by the capacity.
 
-    From the longest length down, gaps are filled exactly by one, two or three of the lengths still available,
-    looked up by their sum; what has no exact complement is placed by best fit, longest first.
+    Exact fills of up to three, two or one members are tried, as triples can use up what later lengths would need,
+    and best fit by itself; the plan with the fewest sequences is taken, the first of equal ones.
+    """
+    return min((_filled(counts, capacity, most) for most in (3, 2, 1, 0)), key=lambda found: sum(times for times, _ in found))
+
+
+def _filled(counts: dict[int, int], capacity: int, most: int) -> list[tuple[int, tuple[int, ...]]]:
+    """From the longest length down, gaps are filled exactly by up to `most` of the lengths still available, looked up
+    by their sum; what has no exact complement is placed by best fit, longest first.
     """
-    index, out = SumIndex(counts, capacity), []
+    index, out = SumIndex(counts, capacity, most), []
     left = index.left
     for length in range(capacity, 0, -1):
         while left[length]:
