@@ -16,14 +16,15 @@ class IdCache:
     """Encodes by a tokenizers file.
 
     With the byte-level pattern (no normaliser, no prefix space) a text is encoded by the segments of SegmentCache.
-    A segment of letters and closing marks is two pre-tokens, each of which goes to the library's model directly;
-    all other segments, texts that spell a special token, and texts under other pre-tokenisers go through
-    `Tokenizer.encode`.
+    A segment of letters and closing marks, or of two such with a line's end between them, is at most five pre-tokens,
+    each of which goes to the library's model directly; all other segments, texts that spell a special token, and
+    texts under other pre-tokenisers go through `Tokenizer.encode`.
     """
 
-    WORD = re.compile("( ?[A-Za-zÀ-ÖØ-öø-ɏ]+)([.,;:!?)]*)")
+    _LETTERS, _MARKS = "[A-Za-zÀ-ÖØ-öø-ɏ]+", r"[!-&(-/:-@\[-`{-~]*"  # an apostrophe may begin a contraction
+    WORD = re.compile(f"( ?{_LETTERS})({_MARKS})(?:\n({_LETTERS})({_MARKS}))?")
 
-    def __init__(self, path: str, most_bytes: int = 64_000_000):
+    def __init__(self, path: str, most_bytes: int = 96_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -45,13 +46,21 @@ class IdCache:
         plain = self.WORD.fullmatch(segment)
         if plain is None:
             return self._encode(segment)
-        word, marks = plain.groups()
-        if not marks:
+        word, marks, next_word, next_marks = plain.groups()
+        if not marks and next_word is None:
             return self._piece(word)
-        if len(marks) <= 2 and marks not in self.pieces:
-            self.pieces[marks] = self._piece(marks)
         known = self.cache.later.get(word[1:]) if word[0] == " " else None
-        return (known or self._piece(word)) + (self.pieces[marks] if len(marks) <= 2 else self._piece(marks))
+        out = (known or self._piece(word)) + self._marks(marks)
+        if next_word is None:
+            return out
+        return out + self._marks("\n") + self.cache.first[next_word] + self._marks(next_marks)
+
+    def _marks(self, marks: str) -> bytes:
+        if len(marks) > 2:
+            return self._piece(marks)
+        if marks not in self.pieces:
+            self.pieces[marks] = self._piece(marks) if marks else b""
+        return self.pieces[marks]
 
     def encode(self, texts: list[str]):
         """Yields the ids of each text as little-endian unsigned 32-bit integers."""
