@@ -68,12 +68,13 @@ def bundle(files: DataFrame, folder: str) -> dict[str, DataFrame]:
 
     json = lambda section: json_records.parsed(files.filter((F.col("format") == "json") & (F.col("section") == section)).drop("section", "format"))
     pages = keep("pages", html_records.pages(files.filter("format = 'html'").drop("section", "format")))
-    cards = html_records.records(keep("cards", html_records.cards(pages)))
+    card_rows = keep("cards", html_records.cards(pages))
+    cards = html_records.records(card_rows)
     profile, posts = keep("profiles", json_records.profiles(json("profile"))), keep("posts", json_records.posts(json("posts")))
     chats, albums = keep("messages", json_records.messages(json("messages"))), keep("albums", json_records.albums(json("albums")))
     owned = lambda df, kind: df.select(F.lit(kind).alias("owner_type"), F.col("id").alias("owner_id"), "archive_part_id", "source_path", "source_index", "item")
     refs = keep("references", json_records.references(_union(owned(posts, "post"), owned(chats, "message"), owned(albums, "album"))))
-    page_albums, page_media = html_records.albums(pages)
+    page_albums, page_media = html_records.albums(pages, card_rows)
     media = keep("media", _union(json_records.media(refs), cards["media"], page_media))
     inside = media.filter("owner_type = 'album'").select(F.col("owner_id").alias("album_id"), F.col("id").alias("media_id"), F.coalesce("k", "source_index").alias("at"))
     ranked = inside.groupBy("album_id").agg(F.array_sort(F.collect_list(F.struct("at", "media_id"))).alias("all")).select("album_id", F.posexplode("all").alias("position", "m")).select("album_id", "m.media_id", "position")

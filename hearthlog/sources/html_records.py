@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import codecs
+from collections import Counter
+from collections.abc import Iterable, Iterator
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -16,105 +19,198 @@ MOST_TEXT, MOST_LINKS, MOST_DEPTH, MOST_ALBUM = 100_000, 100, 2048, 20_000
 CARD, HEADING, BODY, DATE, SENDER = "_a6-g", "_a6-h", "_a6-p", "_a72d", "_a6-i"
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 _SILENT = frozenset(("script", "style", "template", "noscript"))
-_CARD_TYPE = "struct<heading:string,heading_class:string,body:string,date:string,datetime:string,text:string,links:array<string>,media:array<string>,tags:array<string>,attributes:map<string,string>>"
+_CARD_TYPE = "struct<heading:string,heading_class:string,body:string,date:string,datetime:string,text:string,links:array<string>,media:array<string>,tags:array<string>,attributes:map<string,string>,media_before:int>"
+_PAGE_FIELDS = "title:string,h1:string,links:array<string>,media:array<string>,loose:array<struct<ref:string,tag:string>>,rows:array<array<string>>"
+_CARD_ARROW = pa.struct([*[(k, pa.string()) for k in ("heading", "heading_class", "body", "date", "datetime", "text")], *[(k, pa.list_(pa.string())) for k in ("links", "media", "tags")], ("attributes", pa.map_(pa.string(), pa.string())), ("media_before", pa.int32())])
+_PAGE_ARROW = [("title", pa.string()), ("h1", pa.string()), ("links", pa.list_(pa.string())), ("media", pa.list_(pa.string())), ("loose", pa.list_(pa.struct([("ref", pa.string()), ("tag", pa.string())]))), ("rows", pa.list_(pa.list_(pa.string())))]
+#: A page as rows: its cards one by one, then what it has besides.
+STREAMED = f"place int, card {_CARD_TYPE}, page struct<{_PAGE_FIELDS}>"
+STREAMED_ARROW = [("place", pa.int32()), ("card", _CARD_ARROW), ("page", pa.struct(_PAGE_ARROW))]
 
 
-class _Cards(HTMLParser):
-    """Collects the page's title and heading, the rows of tables and the cards; unclosed and stray tags are put up with."""
+class _Text:
+    """Text with its white space squeezed as it comes; what goes beyond the limit isn't kept."""
+
+    def __init__(self):
+        self.parts, self.length, self.gap = [], 0, False
+
+    def add(self, data: str) -> None:
+        if self.length > MOST_TEXT:
+            return
+        words = " ".join(data.split())
+        if not words:
+            self.gap = self.gap or bool(data)
+            return
+        lead = " " if self.length and (self.gap or data[0].isspace()) else ""
+        self.parts.append((lead + words)[: MOST_TEXT + 1 - self.length])
+        self.length += len(self.parts[-1])
+        self.gap = data[-1].isspace()
+
+    def get(self) -> str | None:
+        text = "".join(self.parts)
+        return (text[:MOST_TEXT] + "…" if len(text) > MOST_TEXT else text) or None
+
+
+class PageStream(HTMLParser):
+    """Collects the page's title and heading, the rows of tables and the cards; unclosed and stray tags are put up with.
+
+    Bytes come in pieces of any size, also with a character split between two; they are dealt to the parser in blocks
+    of fixed length, so that the result doesn't depend on the pieces. A card is handed out when it ends, and all that
+    is kept of a page has a bound, so memory doesn't grow with it.
+    """
+
+    BLOCK = 1 << 16  # characters
+    HELD = 1 << 20  # characters of a tag or comment that may be waiting for its end
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
+        self.decoder, self.waiting = codecs.getincrementaldecoder("utf-8")("replace"), ""
         self.open: list[tuple[str, str | None]] = []
-        self.cards, self.rows, self.links, self.media, self.loose = [], [], [], [], []
-        self.text = {"title": "", "h1": ""}
-        self.card, self.row, self.silent = None, None, 0
+        self.count, self.into = Counter(), []
+        self.done, self.rows, self.links, self.media, self.loose = [], [], [], [], []
+        self.text = {"title": _Text(), "h1": _Text()}
+        self.card, self.row, self.silent, self.cards_seen, self.media_seen = None, None, 0, 0, 0
+
+    # -- pieces
+
+    def take(self, data: bytes | str, last: bool = False) -> list[dict]:
+        """The cards that end within the next piece; `last` closes the page."""
+        self.waiting += self.decoder.decode(data, last) if isinstance(data, bytes) else data
+        at = 0
+        while len(self.waiting) - at >= self.BLOCK or last and at < len(self.waiting):
+            self.feed(self.waiting[at : at + self.BLOCK])
+            at += self.BLOCK
+            while len(self.rawdata) > self.HELD and self.cdata_elem is None:  # never ended: its first character is text
+                held, self.rawdata = self.rawdata, ""
+                self.handle_data(held[0])
+                self.feed(held[1:])
+        self.waiting = self.waiting[at:]
+        if self.cdata_elem is not None and len(self.rawdata) > self.HELD:  # a long script; its end tag may be split
+            self.rawdata = self.rawdata[-64:]
+        if last:
+            self.close()
+            if self.card is not None:  # never closed
+                self._finish_card()
+        out, self.done = self.done, []
+        return out
+
+    def page(self) -> dict:
+        return {"title": self.text["title"].get(), "h1": self.text["h1"].get(), "links": self.links, "media": self.media, "loose": [{"ref": r, "tag": t} for r, t in self.loose], "rows": [[c.get() or "" for c in r] for r in self.rows if r]}
+
+    # -- the parser's events
+
+    def _finish_card(self) -> None:
+        c = self.card
+        self.done.append({**c, **{k: c[k].get() for k in ("heading", "body", "date", "text")}, "attributes": list(c["attributes"].items()), "media_before": self.media_seen})
+        self.cards_seen, self.media_seen, self.card = self.cards_seen + 1, self.media_seen + len(c["media"]), None
+
+    def _part(self) -> None:
+        if self.card is not None:
+            self.card["body"].gap = True
 
     def handle_starttag(self, tag, attrs):
+        self._part()
         a = dict(attrs)
         classes = (a.get("class") or "").split()
-        if tag in _SILENT:
-            self.silent += 1
         into = None
         if CARD in classes and self.card is None:
-            self.card = {"heading": "", "heading_class": None, "body": "", "date": "", "datetime": None, "text": "", "links": [], "media": [], "tags": [], "attributes": {k: v or "" for k, v in attrs if k.startswith("data-")}}
+            self.card = {"heading": _Text(), "heading_class": None, "body": _Text(), "date": _Text(), "datetime": None, "text": _Text(), "links": [], "media": [], "tags": [], "attributes": {}}
             into = "card"
         elif self.card is not None:
             into = "heading" if tag == "h2" or HEADING in classes else "body" if BODY in classes else "date" if tag == "time" or DATE in classes else None
-            self.card["attributes"].update((k, v or "") for k, v in attrs if k.startswith("data-"))
             if into == "heading" and self.card["heading_class"] is None:
                 self.card["heading_class"] = " ".join(classes)
             if tag == "time" and a.get("datetime"):
                 self.card["datetime"] = a["datetime"]
+        if self.card is not None:
+            for k, v in attrs:
+                if k.startswith("data-") and (k in self.card["attributes"] or len(self.card["attributes"]) < MOST_LINKS):
+                    self.card["attributes"][k] = (v or "")[:MOST_TEXT]
         if tag == "tr":
             self.row = []
-        elif tag in ("th", "td") and self.row is not None:
-            self.row.append("")
+        elif tag in ("th", "td") and self.row is not None and len(self.row) < MOST_LINKS:
+            self.row.append(_Text())
             into = into or "cell"
         for name, keep in (("href", "links"), ("src", "media")):
             if a.get(name) and (tag == "a" if name == "href" else tag in ("img", "video", "audio", "source")):
-                getattr(self, keep).append(a[name])
+                if len(getattr(self, keep)) < MOST_ALBUM:
+                    getattr(self, keep).append(a[name])
                 if self.card is not None and len(self.card[keep]) < MOST_LINKS:
                     self.card[keep].append(a[name])
                     if keep == "media":
                         self.card["tags"].append(tag)
                 elif self.card is None and keep == "media" and len(self.loose) < MOST_ALBUM:
                     self.loose.append((a[name], tag))
-        if tag not in _VOID and len(self.open) < MOST_DEPTH:
+        if tag not in _VOID and (len(self.open) < MOST_DEPTH or tag in _SILENT):
             self.open.append((tag, into))
+            self.count[tag] += 1
+            self.silent += tag in _SILENT
+            if into and into != "card":
+                self.into.append(into)
 
     def handle_endtag(self, tag):
-        if tag not in [t for t, _ in self.open]:
+        self._part()
+        if not self.count[tag]:
             return  # an end without a start
         while self.open:
             t, into = self.open.pop()
-            if t in _SILENT:
-                self.silent -= 1
+            self.count[t] -= 1
+            self.silent -= t in _SILENT
             if into == "card":
-                self.cards.append(self.card)
-                self.card = None
+                self._finish_card()
+            elif into:
+                self.into.pop()
             if t == "tr" and self.row is not None:
-                self.rows.append(self.row)
+                if len(self.rows) < MOST_ALBUM:
+                    self.rows.append(self.row)
                 self.row = None
             if t == tag:
                 return
 
+    def handle_comment(self, data):
+        self._part()
+
+    handle_decl = handle_pi = unknown_decl = handle_comment
+
     def handle_data(self, data):
         if self.silent:
             return
-        tags = [t for t, _ in self.open]
-        if self.card is not None and len(self.card["text"]) < MOST_TEXT:
-            self.card["text"] += data
-        for name in self.text:
-            if name in tags:
-                self.text[name] += data
-        into = next((i for _, i in reversed(self.open) if i and i != "card"), None)
+        if self.card is not None:
+            self.card["text"].add(data)
+        for name, text in self.text.items():
+            if self.count[name]:
+                text.add(data)
+        into = self.into[-1] if self.into else None
         if into == "cell" and self.row:
-            self.row[-1] += data
-        elif into and self.card is not None:
-            self.card[into] += data + (" " if into == "body" else "")
-        elif self.card is not None and self.open and self.open[-1][0] not in ("title",):
-            self.card["body"] += data + " "
+            self.row[-1].add(data)
+        elif into and into != "cell" and self.card is not None:
+            self.card[into].add(data)
+        elif self.card is not None and self.open and self.open[-1][0] != "title":
+            self.card["body"].add(data)
 
 
-def _squeezed(text: str) -> str | None:
-    one = " ".join(text.split())
-    return (one[:MOST_TEXT] + "…" if len(one) > MOST_TEXT else one) or None
+def _page(html: str | None) -> dict:
+    p = PageStream()
+    return {"cards": p.take(html or "", last=True), **p.page()}
 
 
-def _page(html: str | None) -> dict:
-    p = _Cards()
-    p.feed(html or "")
-    p.close()
-    if p.card is not None:  # never closed
-        p.cards.append(p.card)
-    cards = [{**c, **{k: _squeezed(c[k]) for k in ("heading", "body", "date", "text")}, "attributes": list(c["attributes"].items())} for c in p.cards]
-    return {"title": _squeezed(p.text["title"]), "h1": _squeezed(p.text["h1"]), "links": p.links, "media": p.media, "loose": [{"ref": r, "tag": t} for r, t in p.loose], "rows": [[_squeezed(x) or "" for x in r] for r in p.rows if r], "cards": cards}
+def streamed(chunks: Iterable[bytes]) -> Iterator[tuple[tuple, int]]:
+    """Rows (place, card, page) of one page from its bytes, and about the bytes that each holds: its cards, then the page itself."""
+    p, place = PageStream(), 0
+    for data in chunks:
+        for card in p.take(data):
+            yield (place, card, None), sum(len(card[k] or "") for k in ("heading", "body", "text"))
+            place += 1
+    for card in p.take(b"", last=True):
+        yield (place, card, None), len(card["text"] or "")
+        place += 1
+    yield (None, None, p.page()), 1000
 
 
 def pages(files: DataFrame, html_col: str = "text") -> DataFrame:
     """`files` with title, h1, links, media, media outside of cards, rows and cards of each page, without the HTML. Null pages have none."""
     keep = [c for c in files.columns if c != html_col]
-    arrow = pa.struct([("title", pa.string()), ("h1", pa.string()), ("links", pa.list_(pa.string())), ("media", pa.list_(pa.string())), ("loose", pa.list_(pa.struct([("ref", pa.string()), ("tag", pa.string())]))), ("rows", pa.list_(pa.list_(pa.string()))), ("cards", pa.list_(pa.struct([("heading", pa.string()), ("heading_class", pa.string()), ("body", pa.string()), ("date", pa.string()), ("datetime", pa.string()), ("text", pa.string()), ("links", pa.list_(pa.string())), ("media", pa.list_(pa.string())), ("tags", pa.list_(pa.string())), ("attributes", pa.map_(pa.string(), pa.string()))])))])
+    arrow = pa.struct([*_PAGE_ARROW, ("cards", pa.list_(_CARD_ARROW))])
 
     def run(batches):
         for batch in batches:
@@ -124,7 +220,7 @@ def pages(files: DataFrame, html_col: str = "text") -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], page], names=[*keep, "page"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in files.select(*keep).schema)
-    out = files.select(*keep, html_col).mapInArrow(run, f"{kinds}, page struct<title:string,h1:string,links:array<string>,media:array<string>,loose:array<struct<ref:string,tag:string>>,rows:array<array<string>>,cards:array<{_CARD_TYPE}>>")
+    out = files.select(*keep, html_col).mapInArrow(run, f"{kinds}, page struct<{_PAGE_FIELDS},cards:array<{_CARD_TYPE}>>")
     return out.select(*keep, "page.*")
 
 
@@ -153,10 +249,22 @@ def cards(parsed: DataFrame, path_col: str = "path") -> DataFrame:
     """One row for each card, with its place on the page, kind, date and the page's heading."""
     keep = [c for c in parsed.columns if c not in ("title", "h1", "links", "media", "loose", "rows", "cards")]
     rows = parsed.select(*keep, F.col("h1").alias("page_title"), F.posexplode("cards").alias("place", "card")).select(*keep, "page_title", "place", "card.*")
+    return _dated(rows, path_col)
+
+
+def _dated(rows: DataFrame, path_col: str) -> DataFrame:
     at = F.coalesce(S.parse_human_date(F.col("datetime")), S.parse_human_date(F.col("date")))
     return rows.withColumn("created_at", at).withColumn("section", page_kind(F.col(path_col)))
 
 
+def split(rows: DataFrame, keys: tuple[str, ...] = ("part_path", "path")) -> tuple[DataFrame, DataFrame]:
+    """Pages (without cards) and cards, as pages() and cards() have them, from the rows of a page stream."""
+    pages_ = rows.filter("page IS NOT NULL").select(*keys, "page.*")
+    titles = pages_.select(*keys, F.col("h1").alias("page_title"))
+    cards_ = rows.filter("card IS NOT NULL").select(*keys, F.col("place"), "card.*").join(titles, list(keys), "left")
+    return pages_, _dated(cards_, "path")
+
+
 def _hashed(prefix: str, *parts: Column) -> Column:
     return F.concat(F.lit(f"{prefix}:facebook:html:"), S.fnv1a32(F.concat_ws(":", *parts)))
 
@@ -189,7 +297,11 @@ def _count(text: Column, label: str) -> Column:
 
 def _media(rows: DataFrame, kind: str) -> DataFrame:
     """Local media of rows with path, id, place, refs (ref, tag) and caption, once for each path, as tables have them."""
-    each = rows.select("part_path", "path", "id", "caption", F.posexplode("refs").alias("k", "r")).withColumn("file", S.resolve_path(F.col("path"), F.col("r.ref"))).filter("file IS NOT NULL")
+    return _each_media(rows.select("part_path", "path", "id", "caption", F.posexplode("refs").alias("k", "r")), kind)
+
+
+def _each_media(refs: DataFrame, kind: str) -> DataFrame:
+    each = refs.withColumn("file", S.resolve_path(F.col("path"), F.col("r.ref"))).filter("file IS NOT NULL")
     first = each.groupBy("part_path", "path", "id", "file").agg(F.min(F.struct("k", "r.tag", "caption")).alias("m")).select("part_path", "path", "id", "file", "m.k", "m.tag", "m.caption")
     return first.select(
         _hashed("media", F.col("path"), F.col("id"), F.col("k").cast("string"), F.col("file")).alias("id"), F.col("file").alias("path"), S.shown_media_type(F.col("file"), F.col("tag")).alias("media_type"), F.substring_index("file", "/", -1).alias("filename"),
@@ -279,18 +391,21 @@ def records(card_rows: DataFrame) -> dict[str, DataFrame]:
     }
 
 
-def albums(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """An album for each page of albums, photos or videos, and its media: those of its cards and those outside of them."""
+def albums(parsed: DataFrame, card_rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """An album for each page of albums, photos or videos, and its media: those outside of cards, then those of its cards."""
     if "part_path" not in parsed.columns:
-        parsed = parsed.withColumn("part_path", F.lit(None).cast("string"))
-    pages_ = parsed.filter(F.lower("path").rlike("/album|albums|your_photos|your_videos"))
+        parsed, card_rows = (df.withColumn("part_path", F.lit(None).cast("string")) for df in (parsed, card_rows))
+    shown = F.lower("path").rlike("/album|albums|your_photos|your_videos")
     told = F.try_element_at(F.transform(F.filter("rows", lambda r: (F.size(r) == 2) & r[0].rlike("(?i)^(album|title|name)$")), lambda r: r[1]), F.lit(1))
     name = F.coalesce("h1", told, F.nullif(F.regexp_replace(F.substring_index("path", "/", -1), r"(?i)\.(html?|json)$", ""), F.lit("")), F.lit("Facebook album"))
-    rows = pages_.withColumn("id", _hashed("album", F.col("path"))).withColumn("name", name)
-    shown = F.flatten(F.transform("cards", lambda c: F.transform(F.arrays_zip(c["media"].alias("ref"), c["tags"].alias("tag")), lambda m: F.struct(m["ref"].alias("ref"), m["tag"].alias("tag"), c["body"].alias("caption")))))
-    loose = F.transform("loose", lambda m: F.struct(m["ref"].alias("ref"), m["tag"].alias("tag"), F.lit(None).cast("string").alias("caption")))
-    each = rows.withColumn("all", F.concat(loose, shown)).select("part_path", "path", "id", F.transform("all", lambda m: F.struct(m["ref"].alias("ref"), m["tag"].alias("tag"))).alias("refs"), F.lit(None).cast("string").alias("caption"))
-    return rows.select("id", F.col("name").alias("title"), F.lit("owner").alias("owner_id"), F.col("part_path").alias("archive_part_id"), F.col("path").alias("source_path"), F.lit(0).alias("source_index")), _media(each, "album")
+    rows = parsed.filter(shown).withColumn("id", _hashed("album", F.col("path"))).withColumn("name", name)
+    loose = rows.select("part_path", "path", "id", F.posexplode("loose").alias("k", "r"), F.lit(None).cast("string").alias("caption"))
+    before = rows.select(F.col("part_path").alias("__part"), F.col("path").alias("__path"), F.size("loose").alias("__loose"))
+    inside = card_rows.filter(shown).select("part_path", "path", "media_before", F.col("body").alias("caption"), F.posexplode(F.arrays_zip(F.col("media").alias("ref"), F.col("tags").alias("tag"))).alias("j", "r"))
+    inside = inside.join(before, F.col("part_path").eqNullSafe(F.col("__part")) & (F.col("path") == F.col("__path")))
+    inside = inside.select("part_path", "path", _hashed("album", F.col("path")).alias("id"), (F.col("__loose") + F.col("media_before") + F.col("j")).alias("k"), "r", "caption")
+    made = rows.select("id", F.col("name").alias("title"), F.lit("owner").alias("owner_id"), F.col("part_path").alias("archive_part_id"), F.col("path").alias("source_path"), F.lit(0).alias("source_index"))
+    return made, _each_media(loose.unionByName(inside).withColumn("caption", F.lit(None).cast("string")), "album")
 
 
 #: Categories of profile facts by label, tried in this order.
