@@ -64,8 +64,8 @@ def parse_human_date(c: Column) -> Column:
 def fnv1a32(c: Column) -> Column:
     """FNV-1a of the UTF-16 code units as eight hexadecimal digits. An id for people to see, not a key to join on."""
     units = F.hex(F.encode(c, "UTF-16BE"))
-    each = F.transform(F.sequence(F.lit(0), (F.length(units) / 4).cast("int") - 1), lambda i: F.conv(F.substring(units, i * 4 + 1, F.lit(4)), 16, 10).cast("long"))
-    each = F.when(F.length(units) > 0, each).otherwise(F.array().cast("array<long>"))
+    # Cut into units once: an expression over the whole text inside a lambda would run for every unit.
+    each = F.transform(F.regexp_extract_all(units, F.lit("...."), 0), lambda u: F.conv(u, 16, 10).cast("long"))
     h = F.aggregate(each, F.lit(2166136261).cast("long"), lambda h, x: (h.bitwiseXOR(x) * F.lit(16777619)).bitwiseAND(F.lit(4294967295)))
     return F.lpad(ascii_lower(F.hex(h)), 8, "0")
 

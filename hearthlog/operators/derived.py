@@ -2,17 +2,24 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hearthlog.functions.scalars import or_null, summary, valid_iso
+from hearthlog.operators import search
 
 _NULL = lambda: F.lit(None).cast("string")
 LEDGER = "id string, activity_type string, actor_person_id string, target_type string, target_id string, occurred_at string, summary string, source_path string, source_index int, archive_part_id string, calendar_year int, calendar_month int, calendar_day int"
 DOCUMENTS = "entity_type string, entity_id string, title string, body string, context string, created_at string, conversation_id string, source_path string"
 
+#: Tables in the order in which the ledger and the documents are made from them.
+LEDGER_SOURCES = ("profiles", "posts", "comments", "reactions", "messages", "connections", "albums", "media", "profile_facts")
+DOCUMENT_SOURCES = ("people", "profile_facts", "posts", "comments", "reactions", "connections", "albums", "media", "conversations", "messages")
+
 
 def owner(a) -> DataFrame:
     """owner_person, owner_profile, owner_name: one row, of nulls where no profile is known."""
@@ -34,6 +41,11 @@ def ledger(a) -> DataFrame:
 
     Where no profile is known, the owner's own records have no actor.
     """
+    return reduce(DataFrame.unionByName, ledger_branches(a).values())
+
+
+def ledger_branches(a) -> dict[str, DataFrame]:
+    """The ledger by the table that its rows come from."""
     own = F.broadcast(owner(a))  # one row
     lit, col = F.lit, F.col
 
@@ -60,13 +72,18 @@ def ledger(a) -> DataFrame:
         branch(a.media, "media", _NULL(), col("owner_type"), col("owner_id"), col("timestamp"), F.concat(lit("Media: "), F.coalesce(or_null(a.media, "filename"), col("path")))),
         branch(a.profile_facts.crossJoin(own), "profile", col("owner_person"), lit("profile"), col("owner_profile"), F.coalesce("start_date", "end_date"), F.concat(col("category"), _if_any(col("label"), lit(" · "), col("label")), lit(": "), col("value")), "profile-fact"),
     ]
-    rows = reduce(DataFrame.unionByName, branches).filter(valid_iso(col("occurred_at")))
     part = lambda a, n: F.substring("occurred_at", a, n).cast("int")
-    return rows.select("*", part(1, 4).alias("calendar_year"), part(6, 2).alias("calendar_month"), part(9, 2).alias("calendar_day"))
+    dated = lambda rows: rows.filter(valid_iso(col("occurred_at"))).select("*", part(1, 4).alias("calendar_year"), part(6, 2).alias("calendar_month"), part(9, 2).alias("calendar_day"))
+    return {name: dated(rows) for name, rows in zip(LEDGER_SOURCES, branches, strict=True)}
 
 
 def search_documents(a) -> DataFrame:
     """Every searchable record as (entity_type, entity_id, title, body, context, created_at, conversation_id, source_path)."""
+    return reduce(DataFrame.unionByName, document_branches(a).values())
+
+
+def document_branches(a) -> dict[str, DataFrame]:
+    """The search documents by the table that they come from."""
     lit, col = F.lit, F.col
     join = lambda *cs: F.trim(F.concat_ws(" ", *cs))
 
@@ -92,4 +109,76 @@ def search_documents(a) -> DataFrame:
         doc(a.conversations, "conversation", F.coalesce("title", lit("Conversation")), F.array_join("participant_names", " "), F.array_join("participant_names", " "), _NULL()),
         doc(texts, "message", F.coalesce("chat_title", lit("Conversation")), col("body"), join("sender_name", "sent_at"), col("sent_at"), col("conversation_id")),
     ]
-    return reduce(DataFrame.unionByName, branches)
+    return dict(zip(DOCUMENT_SOURCES, branches, strict=True))
+
+
+class _Windowed:
+    """An archive of which one table is only a window."""
+
+    def __init__(self, archive, name: str, rows: DataFrame):
+        self._archive, self._name, self._rows = archive, name, rows
+
+    def __getattr__(self, name: str) -> DataFrame:
+        return self._rows if name == self._name else getattr(self._archive, name)
+
+
+@dataclass
+class Phase:
+    """A part of a build: the table that it goes through by key, and the rows that a window of it gives, by table.
+
+    `source` gets a reader of what earlier phases of the same build have made.
+    """
+
+    key: str
+    source: Callable[[Callable[[str], DataFrame]], DataFrame]
+    rows: Callable[[DataFrame], dict[str, DataFrame]]
+    reads_made: bool = False
+
+
+def phases(a, kind: str) -> dict[str, Phase]:
+    """The phases of a build in their order: the ledger table by table, or the documents, their postings and the corpus."""
+
+    def of(table: str, target: str, branches) -> Phase:
+        return Phase("id", lambda made: getattr(a, table), lambda rows: {target: branches(_Windowed(a, table, rows))[table]})
+
+    if kind == "activity":
+        return {t: of(t, "ledger", ledger_branches) for t in LEDGER_SOURCES}
+    out = {t: of(t, "search_documents", document_branches) for t in DOCUMENT_SOURCES}
+    out["postings"] = Phase("entity_id", lambda made: made("search_documents"), lambda rows: {"postings": search.stored_postings(rows)}, True)
+    out["corpus"] = Phase("documents", lambda made: search.corpus(made("search_documents")), lambda rows: {"corpus": rows}, True)
+    return out
+
+
+def within(rows: DataFrame, key: str, low, high) -> DataFrame:
+    """The rows behind `low` up to `high`; None is no bound, and rows without a key come first."""
+    rows = rows if low is None else rows.filter(F.col(key) > F.lit(low))
+    return rows if high is None else rows.filter(F.col(key).isNull() | (F.col(key) <= F.lit(high)))
+
+
+def steps(todo: list[tuple[str, Phase, DataFrame]], key_cursor, window_rows: int, per_window: int = 40) -> Iterator[list[tuple[str, DataFrame, object, bool]]]:
+    """Commits to make of phases (name, phase, source), each a list of (phase name, rows, key that they reach, whether that ends the phase).
+
+    Neighbouring phases that fit one window go together; a large one is cut into windows of about so many rows. The
+    first phase goes on behind `key_cursor`. Bounds come from a sample of at most some `per_window` keys a window, so
+    only a few keys reach the driver. They needn't be the same in a build that goes on: what a cursor leaves is dealt
+    out anew.
+    """
+    left = [(name, p, within(df, p.key, key_cursor if k == 0 else None, None)) for k, (name, p, df) in enumerate(todo)]
+    counts = {r["k"]: r["n"] for r in reduce(DataFrame.union, [df.agg(F.lit(k).alias("k"), F.count("*").alias("n")) for k, (_, _, df) in enumerate(left)]).collect()}
+    group, held = [], 0
+    for k, (name, phase, df) in enumerate(left):
+        n = counts[k]
+        if group and held + n > window_rows:
+            yield group
+            group, held = [], 0
+        if n <= window_rows:
+            group.append((name, df, None, True))
+            held += n
+            continue
+        windows = -(-n // window_rows)
+        few = sorted(r[0] for r in df.filter(F.col(phase.key).isNotNull()).select(phase.key).sample(fraction=min(1.0, windows * per_window / n), seed=7).collect())
+        bounds = sorted({few[i * len(few) // windows] for i in range(1, windows)} if few else ())
+        for low, high in zip([None, *bounds], [*bounds, None]):
+            yield [(name, within(df, phase.key, low, high), high, high is None)]
+    if group:
+        yield group

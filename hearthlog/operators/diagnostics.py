@@ -9,10 +9,11 @@ from hearthlog.functions import scalars as S
 from hearthlog.operators.merge import union_lists
 
 
-def warning_groups(warnings: DataFrame, most_paths: int = 8) -> DataFrame:
-    """category, n, paths from (message, path); paths are redacted."""
-    rows = warnings.select(S.warning_category(F.col("message")).alias("category"), S.redact_file(F.col("path")).alias("path"))
-    return rows.groupBy("category").agg(F.count("*").alias("n"), F.slice(F.array_sort(F.collect_set("path")), 1, most_paths).alias("paths"))
+def warning_groups(warnings: DataFrame, most_paths: int = 8, by: str | None = None) -> DataFrame:
+    """category, n, paths from (message, path), and for each value of `by` if given; paths are redacted."""
+    keys = [by] if by else []
+    rows = warnings.select(*keys, S.warning_category(F.col("message")).alias("category"), S.redact_file(F.col("path")).alias("path"))
+    return rows.groupBy(*keys, "category").agg(F.count("*").alias("n"), F.slice(F.array_sort(F.collect_set("path")), 1, most_paths).alias("paths"))
 
 
 def merged(parts: DataFrame, counters: list[str], most_shapes: int = 100) -> DataFrame:

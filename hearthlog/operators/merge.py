@@ -39,6 +39,16 @@ def union_lists(c: str, order: Column, most: int | None = None) -> Column:
     return F.slice(joined, 1, most) if most else joined
 
 
+def fill_first(df: DataFrame, keys: list[str], order: list[str], source: list[str]) -> DataFrame:
+    """One row for each key: the first by order, with what it lacks from later ones. The `source` columns stay those of the first."""
+    arrival = F.struct(*order)
+    own = [c for c in source if c in df.columns]
+    rest = [c for c in df.columns if c not in (*keys, *own)]
+    first = F.min(F.struct(*order, *[c for c in own if c not in order]))
+    out = df.groupBy(*keys).agg(first.alias("__first"), *[first_known(c, arrival).alias(c) for c in rest])
+    return out.select(*[F.col(f"__first.{c}").alias(c) if c in own else c for c in df.columns])
+
+
 #: Columns of people that merge by a rule of their own.
 PERSON_RULES = ("id", "first_seen", "last_seen", "is_archive_owner", "identity_confidence", "source_paths")
 

@@ -13,6 +13,8 @@ from hearthlog.functions.scalars import contains_ci
 from hearthlog.operators import paging
 
 COLUMNS = ("title", "body", "context")
+#: Types of hits in the order in which they are grouped.
+TYPE_ORDER = ("person", "post", "message", "conversation", "comment", "reaction", "connection", "album", "media", "profile-fact")
 #: Weights of the columns, and the usual constants of BM25.
 WEIGHTS = {"title": 5.0, "body": 1.5, "context": 1.0}
 K1, B = 1.2, 0.75

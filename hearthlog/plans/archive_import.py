@@ -3,25 +3,18 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from hearthlog.functions import scalars as S
 from hearthlog.operators import diagnostics
-from hearthlog.sources import archives, html_records, json_records
-from hearthlog.store import ArchiveStore
-
-
-def staged(zips: DataFrame, folder: str) -> DataFrame:
-    """part_path, path, section, format, text of what will be parsed, written once, so that each table reads its section only."""
-    spark = zips.sparkSession
-    wanted = archives.candidates(archives.entries(zips))
-    texts = archives.texts(zips).join(F.broadcast(wanted.drop("place")), ["part_path", "path"])
-    texts.write.mode("overwrite").partitionBy("section", "format").parquet(folder)
-    schema = "part_path string, path string, text string, section string, format string"
-    return spark.read.schema(schema).parquet(folder)
+from hearthlog.sources import archives, html_records, json_records, zip_source
+from hearthlog.store import BOOKS, ArchiveStore
+from hearthlog.streaming import ingest
 
 
 def _union(*tables: DataFrame) -> DataFrame:
@@ -55,8 +48,8 @@ def people_of(t: dict[str, DataFrame]) -> DataFrame:
     )
 
 
-def bundle(files: DataFrame, folder: str) -> dict[str, DataFrame]:
-    """Entity tables of staged files (part_path, path, section, format, text), and the warnings that came up.
+def bundle(files: DataFrame, page_rows: DataFrame, folder: str) -> dict[str, DataFrame]:
+    """Entity tables of JSON files (part_path, path, section, text) and of streamed pages, and the warnings that came up.
 
     What several tables come from is parsed once and kept below `folder`. Media get positions in albums; a
     reference that leaves the archive is left out and told as a warning.
@@ -66,9 +59,9 @@ def bundle(files: DataFrame, folder: str) -> dict[str, DataFrame]:
         df.write.mode("overwrite").parquet(f"{folder}/{name}")
         return df.sparkSession.read.schema(df.schema).parquet(f"{folder}/{name}")
 
-    json = lambda section: json_records.parsed(files.filter((F.col("format") == "json") & (F.col("section") == section)).drop("section", "format"))
-    pages = keep("pages", html_records.pages(files.filter("format = 'html'").drop("section", "format")))
-    card_rows = keep("cards", html_records.cards(pages))
+    json = lambda section: json_records.parsed(files.filter(F.col("section") == section).select("part_path", "path", "text"))
+    pages, card_rows = html_records.split(page_rows)
+    card_rows = keep("cards", card_rows)
     cards = html_records.records(card_rows)
     profile, posts = keep("profiles", json_records.profiles(json("profile"))), keep("posts", json_records.posts(json("posts")))
     chats, albums = keep("messages", json_records.messages(json("messages"))), keep("albums", json_records.albums(json("albums")))
@@ -89,30 +82,147 @@ def bundle(files: DataFrame, folder: str) -> dict[str, DataFrame]:
     }
     out["conversations"] = keep("conversations", _union(json_records.conversations(json("messages"), chats), cards["conversations"]))
     out["people"] = _union(people_of(out), cards["people"])
-    broken = json_records.parsed(files.filter("format = 'json'")).filter("v IS NULL").select(F.col("part_path").alias("archive_part_id"), "path", F.lit("malformed JSON").alias("message"))
+    broken = json_records.parsed(files.select("part_path", "path", "text")).filter("v IS NULL").select(F.col("part_path").alias("archive_part_id"), "path", F.lit("malformed JSON").alias("message"))
     untold = cards["warnings"].select(F.lit(None).cast("string").alias("archive_part_id"), "path", F.concat(F.lit("unsupported: no target in "), "section").alias("message"))
     out["warnings"] = _union(broken, json_records.unsafe_references(refs), untold)
     return out
 
 
-def import_archive(store: ArchiveStore, folder: str) -> DataFrame:
-    """Imports every ZIP part below `folder` that isn't in the store yet; rows of part_id, taken and warning groups.
+#: Files are read anew by a parser of a later version.
+PARSER_VERSION = 1
+#: Tables whose rows say from which file they come.
+_RECORDS = ("profiles", "posts", "comments", "reactions", "connections", "albums", "messages", "conversations")
+
 
-    A part is known by the fingerprint of its directory, whatever its file is called. Derived tables are built by
-    store.run_derived().
+def take_stock(store: ArchiveStore, folder: str, work: str, **limits) -> tuple[DataFrame, DataFrame]:
+    """The directories of all parts below `folder`, written once, and a row for each ZIP file that was found.
+
+    The latter has part_id, part_path, fingerprint, entries, bytes, known, detection and outcome: new, known (final
+    before), duplicate (a copy of another file) or unreadable.
+    """
+    spark = store.spark
+    zip_source.read_zips(spark, folder, "entries", **limits).write.parquet(f"{work}/listing")
+    listing = spark.read.schema(zip_source.ENTRY).parquet(f"{work}/listing")
+    told = archives.manifests(listing).withColumn("part_id", F.concat(F.lit("part:"), "fingerprint")).join(archives.detect_parts(listing), "part_path", "left")
+    first = told.groupBy("part_id").agg(F.min("part_path").alias("first_path"))
+    told = told.join(first, "part_id").withColumn("outcome", F.when(F.col("part_path") != F.col("first_path"), "duplicate").otherwise("new")).drop("first_path")
+    broken = listing.filter("path IS NULL AND error IS NOT NULL").select("part_path", "error").withColumn("outcome", F.lit("unreadable"))
+    return listing, told.unionByName(broken, allowMissingColumns=True)
+
+
+def import_archive(store: ArchiveStore, folder: str, batch_files: int = 5_000, stop: Callable[[], bool] = lambda: False, **limits) -> DataFrame:
+    """Imports every ZIP part below `folder` that isn't in the store yet; a row for each file: part_id, part_path, taken, warnings.
+
+    A part is known by the fingerprint of its directory, whatever its file is called. Files are read in batches of
+    `batch_files`, each of which commits its rows together with the names of the files that gave records without a
+    warning; a later run leaves these out, so an import that was stopped or lost goes on behind its last batch. `stop`
+    is asked before each batch. Copies of a part are imported once, files that aren't ZIPs are told as warnings, and
+    where media are is stored with the parts. Derived tables are built by store.run_derived().
     """
     spark: SparkSession = store.spark
-    zips = archives.parts(spark, folder)
-    found = archives.manifests(archives.entries(zips)).select("part_path", "fingerprint").collect()  # a row for each part
-    told = []
-    for row in sorted(found, key=lambda r: r["part_path"]):
-        part_id = f"part:{row['fingerprint']}"
-        if store.is_final(part_id):
-            told.append((part_id, row["part_path"], False, []))
-            continue
-        folder_ = f"{store.root}/staged/{uuid.uuid4().hex}"
-        files = staged(zips.filter(F.col("part_path") == row["part_path"]), f"{folder_}/files")
-        tables = bundle(files.withColumn("part_path", F.lit(part_id)), folder_)
-        groups = diagnostics.warning_groups(tables.pop("warnings")).collect()
-        told.append((part_id, row["part_path"], store.import_part(part_id, tables), [f"{g['category']}: {g['n']}" for g in groups]))
+    work = f"{store.root}/staged/{uuid.uuid4().hex}"
+    listing, found = take_stock(store, folder, work, **limits)
+    rows = sorted(found.collect(), key=lambda r: (r["part_path"] or "", r["error"] or ""))  # a row for each ZIP file
+    new = [r for r in rows if r["outcome"] == "new" and not store.is_final(r["part_id"])]
+    pages = any(r["supported"] and r["format"] in ("html", "mixed") for r in rows)
+    lost = [r for r in new if not (r["supported"] or r["media_only"] and pages)]  # media alone come with pages only
+    good = [r for r in new if r not in lost]
+    notes = [(None, r["part_path"], f"{_file(r)}: ZIP could not be inspected ({r['error']})") for r in rows if r["outcome"] == "unreadable"]
+    notes += [(r["part_id"], r["part_path"], f"{_file(r)}: duplicate ZIP part selected; it will be imported once.") for r in rows if r["outcome"] == "duplicate"]
+    notes += [(r["part_id"], r["part_path"], f"{_file(r)}: unsupported, no known archive content; skipped.") for r in lost]
+    warn = lambda some: spark.createDataFrame(some, "part_id string, path string, message string")
+    for r in lost:
+        store.mark_part(r["part_id"], "failed")
+    taken: set[str] = set()
+    if good:
+        taken = _import_parts(store, listing, good, folder, work, batch_files, stop, warn(notes))
+    elif notes:
+        store.note(warn(notes))
+    groups = diagnostics.warning_groups(store.table("warnings"), by="part_id").collect()
+    by_part: dict[str, list[str]] = {}
+    for g in groups:
+        by_part.setdefault(g["part_id"], []).append(f"{g['category']}: {g['n']}")
+    own = lambda r: {"unreadable": ["unreadable-part: 1"], "duplicate": ["duplicate-part: 1"]}.get(r["outcome"], sorted(x for x in by_part.get(r["part_id"], []) if not x.startswith("duplicate-part")))
+    told = [(r["part_id"], r["part_path"], r["outcome"] == "new" and r["part_id"] in taken, own(r)) for r in rows]
     return spark.createDataFrame(told, "part_id string, part_path string, taken boolean, warnings array<string>")
+
+
+def _file(row) -> str:
+    return (row["part_path"] or "").rsplit("/", 1)[-1]
+
+
+def _import_parts(store: ArchiveStore, listing: DataFrame, good: list, folder: str, work: str, batch_files: int, stop: Callable[[], bool], notes: DataFrame) -> set[str]:
+    """Reads what the parts still lack, batch by batch; the ids of parts that are complete now."""
+    spark = store.spark
+    order = [r["part_id"] for r in good]
+    named = spark.createDataFrame([(r["part_path"], r["part_id"], k) for k, r in enumerate(good)], "part_path string, part_id string, part_at int")
+    here = listing.join(F.broadcast(named), "part_path")  # a row for each ZIP file, of which a folder has a bounded number
+    wanted = archives.candidates(archives.checked(here.filter("error IS NULL")).filter("problem IS NULL")).join(F.broadcast(named), "part_path")
+    done = store.table("files").filter(F.col("parser_version") == PARSER_VERSION)
+    left = ingest.pending(wanted, done, ["part_id", "path"])
+    counts = {r["part_at"]: r["n"] for r in left.groupBy("part_at").agg(F.count("*").alias("n")).collect()}
+    before, at = {}, 0
+    for k in range(len(good)):
+        before[k], at = at, at + counts.get(k, 0)
+    starts = spark.createDataFrame(list(before.items()), "part_at int, before long")
+    rank = F.row_number().over(W.partitionBy("part_at").orderBy("section", "place"))  # a part has at most 100,000 entries
+    dealt = left.join(F.broadcast(starts), "part_at").withColumn("batch", ((F.col("before") + rank - 1) / batch_files).cast("int"))
+    dealt.select("part_path", "part_id", "path", "section", "batch").write.parquet(f"{work}/wanted")
+    plan = spark.read.parquet(f"{work}/wanted")
+    for rows, name in (("texts", "texts"), ("pages", "pages")):
+        read = zip_source.read_zips(spark, folder, rows).filter(F.col("part_path").isin([r["part_path"] for r in good]) & F.col("section").isNotNull() & (F.col("format") == ("json" if rows == "texts" else "html")))
+        read.drop("section", "format", "size", "packed", "crc").join(plan, ["part_path", "path"]).drop("part_path").withColumnRenamed("part_id", "part_path").write.partitionBy("batch").parquet(f"{work}/{name}")
+    schema = lambda more: f"path string, error string, {more}, part_path string, section string, batch int"
+    texts, pages = (spark.read.schema(schema(more)).parquet(f"{work}/{name}") for name, more in (("texts", "text string"), ("pages", html_records.STREAMED)))
+
+    batches = -(-at // batch_files)
+    complete: set[str] = set()
+    for b in range(max(batches, 1)):
+        if stop():
+            for p in set(order) - complete:
+                store.mark_part(p, "interrupted")
+            break
+        lo, hi = b * batch_files, (b + 1) * batch_files
+        parts = [r["part_id"] for k, r in enumerate(good) if before[k] < hi and before[k] + counts.get(k, 0) > lo or b == 0 and not counts.get(k)]
+        finals = tuple(r["part_id"] for k, r in enumerate(good) if r["part_id"] in parts and (before[k] + counts.get(k, 0) <= hi or not counts.get(k)))
+        some_texts, some_pages = (df.filter(F.col("batch") == b) for df in (texts, pages))
+        tables = bundle(some_texts.filter("error IS NULL"), some_pages.filter("error IS NULL"), f"{work}/batch-{b}")
+        told = tables.pop("warnings").select(F.col("archive_part_id").alias("part_id"), "path", "message")
+        unread = some_texts.unionByName(some_pages, allowMissingColumns=True).filter("error IS NOT NULL").select(F.col("part_path").alias("part_id"), "path", F.col("error").alias("message"))
+        told = told.unionByName(unread)
+        told.write.parquet(f"{work}/batch-{b}/warnings")
+        told = spark.read.schema("part_id string, path string, message string").parquet(f"{work}/batch-{b}/warnings")
+        books = _books(store, tables, told, plan.filter(F.col("batch") == b))
+        if b == 0:
+            books |= _first_books(here, good, notes)
+            books["warnings"] = told.unionByName(notes)
+        if store.import_batch(tables, parts, finals, books):
+            complete |= set(finals)
+    return complete
+
+
+def _books(store: ArchiveStore, tables: dict[str, DataFrame], told: DataFrame, wanted: DataFrame) -> dict[str, DataFrame]:
+    """Files that are done, warnings, and how sections fared, of one batch."""
+    made = _union(*[tables[t].select(F.col("archive_part_id").alias("part_id"), F.col("source_path").alias("path")) for t in _RECORDS if "archive_part_id" in tables[t].columns])
+    per_file = made.groupBy("part_id", "path").agg(F.count("*").alias("records"))
+    warned = told.groupBy("part_id", "path").agg(F.count("*").alias("warnings"))
+    files = wanted.select("part_id", "path", "section").join(per_file, ["part_id", "path"], "left").join(warned, ["part_id", "path"], "left").fillna(0, ["records", "warnings"])
+    status = F.when(F.sum("records") == 0, F.when(F.sum("warnings") > 0, "malformed").otherwise("unsupported")).when(F.sum("warnings") > 0, "partial").otherwise("imported")
+    sections = files.groupBy("part_id", "section").agg(status.alias("status"), F.sum("records").alias("records"), F.sum("warnings").alias("warnings")).withColumn("seq", F.lit(len(store.commits())).cast("long"))
+    return {"files": files.filter("records > 0 AND warnings = 0").select("part_id", "path", F.lit(PARSER_VERSION).alias("parser_version"), "records"), "warnings": told, "sections": sections}
+
+
+def _first_books(here: DataFrame, good: list, notes: DataFrame) -> dict[str, DataFrame]:
+    """What the parts are, where they are, and the endings of the paths of their files."""
+    spark = here.sparkSession
+    parts = [(r["part_id"], r["part_path"], _file(r), r["entries"], r["bytes"], r["format"], r["sections"], r["known"]) for r in good]
+    return {
+        "parts": spark.createDataFrame(parts, BOOKS["parts"]), "sources": spark.createDataFrame([(r["part_id"], r["part_path"], True, None) for r in good], BOOKS["sources"]),
+        "suffixes": archives.suffixes(here.filter("path IS NOT NULL AND error IS NULL"), "part_id").select("suffix", "n", "part_id"),
+    }
+
+
+def reconnect(store: ArchiveStore, folder: str) -> Row:
+    """Connects the parts that are below `folder` now, whatever their names; see ArchiveStore.reconnect."""
+    listing = zip_source.read_zips(store.spark, folder, "entries")
+    return store.reconnect(archives.manifests(listing))

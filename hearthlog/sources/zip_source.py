@@ -23,6 +23,7 @@ from dataclasses import dataclass
 
 import pyarrow as pa
 from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition, IsNotNull, StringContains, StringEndsWith, StringStartsWith
 from pyspark.sql.types import StructType
@@ -122,6 +123,29 @@ def discover(system: fs.FileSystem, root: str, depth: int = MOST_DEPTH, folders:
     return found, told
 
 
+def write_parts(files: DataFrame, folder: str) -> None:
+    """Writes `files` (path, text) as ZIP parts, one for each partition; a part appears under its name when it is whole.
+
+    A task that runs twice writes the same part under the same name.
+    """
+
+    def run(batches):
+        system, root = fs.FileSystem.from_uri(re.sub("^file:/(?=[^/])", "file:///", folder)) if re.match(r"^[A-Za-z][A-Za-z0-9+.-]*:", folder) else (fs.LocalFileSystem(), folder)
+        context = TaskContext.get()
+        name = f"{root}/part-{context.partitionId():05}.zip"
+        system.create_dir(root, recursive=True)
+        n, hidden = 0, f"{name}.{context.taskAttemptId()}.tmp"
+        with system.open_output_stream(hidden) as out, zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+            for batch in batches:
+                for path, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                    z.writestr(path, (text or "").encode())
+                    n += 1
+        system.move(hidden, name)
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["entries"])
+
+    files.select("path", "text").mapInArrow(run, "entries long").agg({"entries": "sum"}).collect()
+
+
 class ZipReader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
         self.rows = options.get("rows", "entries")

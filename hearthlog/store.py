@@ -1,89 +1,163 @@
 """A stored archive: imports, derived tables and all read queries behind one object.
 
-A change writes what is new under a generation of its own and commits it last; readers take what is committed, so a
-change that fails leaves what was there. A part of an archive is a generation that is added to those before; readers
-resolve repeated records, and `compact` writes the resolved tables as one generation. Derived tables are written by
-`rebuild_*` and count only until the next change of what they are derived from.
+A change writes what is new to a folder of its own and commits it last, under the next number of a log; readers take
+what is committed, so a change that fails leaves what was there. Two writers can't take one number: the one that comes
+second looks at what the first did and goes on behind it, or gives up what the first has done already. What an import
+brings is added to what was there; readers resolve repeated records, and `compact` writes the resolved tables as one
+generation. Derived tables are built in windows of keys, each committed with the place that it reaches; they count only
+when all phases are done, and until the records change.
 """
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from hearthlog.commits import CommitLog
+from hearthlog.functions import scalars as S
 from hearthlog.operators import derived, diagnostics, merge, paging, reads, search
 from hearthlog.schemas import SCHEMAS
+from hearthlog.sources import archives
 from hearthlog.streaming import ingest
 
 KEYS = {name: ["album_id", "media_id"] if name == "album_media" else ["id"] for name in SCHEMAS}
-STATE = "part_id string, status string, seq long"
-COMMITS = "table string, generation int, whole boolean"
+#: What is known of imports besides the records: states of parts, files that are done, and so on.
+BOOKS = {
+    "states": "part_id string, status string, seq long",
+    "files": "part_id string, path string, parser_version int, records long",
+    "parts": "part_id string, part_path string, filename string, entries long, bytes long, format string, sections array<string>, known array<string>",
+    "suffixes": "suffix string, n int, part_id string",
+    "sources": "part_id string, part_path string, connected boolean, seq long",
+    "warnings": "part_id string, path string, message string",
+    "sections": "part_id string, section string, status string, records long, warnings long, seq long",
+}
+#: One row for each of these; of several the last.
+BOOK_KEYS = {"files": ["part_id", "path"], "parts": ["part_id"], "sources": ["part_id"]}
 DERIVED = {"ledger": derived.LEDGER, "search_documents": derived.DOCUMENTS, "postings": search.POSTINGS, "corpus": search.CORPUS}
+#: The builds and the tables that each makes.
+JOBS = {"activity": ("ledger",), "search": ("search_documents", "postings", "corpus")}
 PARTITIONS = {"ledger": "calendar_year", "postings": "bucket"}
 #: The part and place from which a record came; records arrive in this order.
 ARRIVAL = ("__seq", "source_path", "source_index")
-#: Parts that are read side by side before they are written as one.
+#: Generations that are read side by side before they are written as one.
 MOST_PARTS = 32
 
 
+class Interrupted(Exception):
+    """A build was asked to stop; it goes on from its last commit."""
+
+
 @dataclass
 class ArchiveStore:
     spark: SparkSession
     root: str
     _views: dict[str, DataFrame] = field(default_factory=dict)
+    _pin: int | None = None
+
+    def __post_init__(self):
+        self.log = CommitLog(self.spark, f"{self.root}/commits")
 
     # -- generations
 
-    def _commits(self) -> dict[str, list[int]]:
-        """Table and the generations that make it up: the latest whole one and what was added since. A handful of rows."""
-        try:
-            rows = self.spark.read.schema(COMMITS).parquet(f"{self.root}/commits").collect()
-        except AnalysisException as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            rows = []
-        found: dict[str, list[int]] = {}
-        for r in sorted(rows, key=lambda r: r["generation"]):
-            found[r["table"]] = [r["generation"]] if r["whole"] else [*found.get(r["table"], []), r["generation"]]
+    def commits(self) -> list[dict]:
+        """What is committed, up to the generation that this object is pinned to."""
+        return [c for c in self.log.all() if self._pin is None or c["generation"] <= self._pin]
+
+    def pinned(self) -> ArchiveStore:
+        """This archive as it is now: later commits don't show, so several reads see one state."""
+        return ArchiveStore(self.spark, self.root, _pin=max((c["generation"] for c in self.commits()), default=0))
+
+    def _generations(self, name: str) -> list[dict]:
+        """The commits that make a table up: the latest whole one and what was added since."""
+        found: list[dict] = []
+        for c in self.commits():
+            if name in c["tables"] and not c.get("job"):
+                found = [c] if c["tables"][name] else [*found, c]
         return found
 
     def _schema(self, name: str) -> StructType:
-        return SCHEMAS.get(name) or StructType.fromDDL(DERIVED.get(name, STATE))
+        return SCHEMAS.get(name) or StructType.fromDDL(DERIVED.get(name) or BOOKS[name])
 
-    def _write(self, tables: dict[str, DataFrame], added: frozenset[str] = frozenset()) -> None:
-        """Commits tables as one generation; those in `added` go beside what is there, the others replace it."""
-        new = max((g for gs in self._commits().values() for g in gs), default=0) + 1
+    def _write(self, tables: dict[str, DataFrame], added: frozenset[str] = frozenset(), finals: tuple[str, ...] = (), job: dict | None = None, same: bool = False, since: int | None = None) -> bool:
+        """Commits tables together; those in `added` go beside what is there, the others replace it.
+
+        False, and nothing is changed, if since generation `since` another writer has finished one of the parts
+        `finals`, or changed a table that this change replaces as it was then, or moved the job.
+        """
+        if self._pin is not None:
+            raise ValueError("a pinned archive is read only")
+        seen = since if since is not None else max((c["generation"] for c in self.log.all()), default=0)
+        folder = f"v-{uuid.uuid4().hex}"
         for name, df in tables.items():
             writer = df.write.mode("overwrite")
-            (writer.partitionBy(PARTITIONS[name]) if name in PARTITIONS else writer).parquet(f"{self.root}/v{new}/{name}")
-        self.spark.createDataFrame([(name, new, name not in added) for name in tables], COMMITS).coalesce(1).write.mode("append").parquet(f"{self.root}/commits")
-        self._views.clear()
+            (writer.partitionBy(PARTITIONS[name]) if name in PARTITIONS else writer).parquet(f"{self.root}/{folder}/{name}")
+        commit = {"folder": folder, "tables": {n: n not in added for n in tables}, "finals": list(finals), "job": job, "same": same}
+        while True:
+            now = self.log.all()
+            for c in now:
+                if c["generation"] > seen:
+                    replaced = {n for n, whole in commit["tables"].items() if whole and not job}
+                    if set(finals) & set(c["finals"]) or replaced & set(c["tables"]) and same or job and c["job"] and c["job"]["kind"] == job["kind"]:
+                        return False
+            if self.log.take(max((c["generation"] for c in now), default=0) + 1, commit):
+                self._views.clear()
+                return True
+
+    def _changed(self) -> int:
+        """The generation of the last change of records."""
+        return max((c["generation"] for c in self.commits() if not c["job"] and not c["same"] and set(c["tables"]) & set(SCHEMAS)), default=0)
+
+    def job(self, kind: str) -> dict | None:
+        """Where the latest build of this kind stands, if it is of the records as they are."""
+        last = next((c["job"] for c in reversed(self.commits()) if c["job"] and c["job"]["kind"] == kind), None)
+        return last if last and last["base"] >= self._changed() else None
 
     def fresh(self, name: str) -> bool:
-        """Whether a derived table was built after the last change of the records."""
-        now = self._commits()
-        last = max((g for n, gs in now.items() if n in SCHEMAS for g in gs), default=0)
-        return name in now and now[name][-1] >= last
+        """Whether a derived table was built, to its end, after the last change of the records."""
+        now = self.job(next(k for k, made in JOBS.items() if name in made))
+        return now is not None and now["status"] == "complete"
 
     def table(self, name: str) -> DataFrame:
         """A table as it is; an empty one where nothing was written, or where a derived one is out of date."""
         if name not in self._views:
-            generations, schema = self._commits().get(name, []), self._schema(name)
-            if not generations or name in DERIVED and not self.fresh(name):
-                self._views[name] = self.spark.createDataFrame([], schema)
-            else:
-                read = lambda g: self.spark.read.schema(schema).parquet(f"{self.root}/v{g}/{name}")
-                parts = [read(g) for g in generations]
-                self._views[name] = parts[0] if len(parts) == 1 else self._resolved(name, parts)
+            self._views[name] = self._derived(name) if name in DERIVED else self._stored(name)
         return self._views[name]
 
+    def _stored(self, name: str) -> DataFrame:
+        generations, schema = self._generations(name), self._schema(name)
+        parts = [self.spark.read.schema(schema).parquet(f"{self.root}/{c['folder']}/{name}") for c in generations]
+        if not parts:
+            return self.spark.createDataFrame([], schema)
+        if name in BOOKS:
+            rows = parts[0].withColumn("__seq", F.lit(0))
+            for i, part in enumerate(parts[1:], 1):
+                rows = rows.unionByName(part.withColumn("__seq", F.lit(i)))
+            if name == "states":
+                return ingest.transition(rows.limit(0).drop("__seq"), rows.select("part_id", "status", F.col("__seq").cast("long").alias("seq")))
+            return merge.last_wins(rows, BOOK_KEYS[name], ["__seq"]).drop("__seq") if name in BOOK_KEYS else rows.drop("__seq").distinct()
+        return parts[0] if len(parts) == 1 else self._resolved(name, parts)
+
+    def _derived(self, name: str, job: dict | None = None) -> DataFrame:
+        """The windows of the build that is complete, or of the given one."""
+        kind = next(k for k, made in JOBS.items() if name in made)
+        wanted = job or (self.job(kind) if self.fresh(name) else None)
+        folders = [f"{self.root}/{c['folder']}/{name}" for c in self.commits() if wanted and c["job"] and c["job"]["id"] == wanted["id"] and name in c["tables"]]
+        if not folders:
+            return self.spark.createDataFrame([], self._schema(name))
+        parts = [self.spark.read.schema(self._schema(name)).parquet(f).select(*self._schema(name).names) for f in folders]
+        out = parts[0]
+        for part in parts[1:]:
+            out = out.unionByName(part)
+        return out
+
     def _resolved(self, name: str, parts: list[DataFrame]) -> DataFrame:
-        """Repeated records of several parts as one: people and conversations merge, the last profile and of all others the first record counts."""
-        rows = parts[0].withColumn("__seq", F.lit(0))
+        """Repeated records of several parts as one: people and conversations merge, profiles fill what earlier ones lack, of all others the first record counts."""
+        rows = parts[0] if "__seq" in parts[0].columns else parts[0].withColumn("__seq", F.lit(0))
         for i, part in enumerate(parts[1:], 1):
             rows = rows.unionByName(part.withColumn("__seq", F.lit(i)))
         columns = SCHEMAS[name].names
@@ -92,12 +166,18 @@ class ArchiveStore:
         if name == "conversations":
             return merge.merge_conversations(rows, "__seq").select(*columns)
         order = [c for c in ARRIVAL if c in rows.columns]
-        return (merge.last_wins if name == "profiles" else merge.first_wins)(rows, KEYS[name], order).drop("__seq")
+        if name == "profiles":
+            return merge.fill_first(rows, KEYS[name], order, ["archive_part_id", "source_path", "source_index"]).drop("__seq")
+        return merge.first_wins(rows, KEYS[name], order).drop("__seq")
 
     def compact(self) -> None:
-        """Writes the records of all parts as one generation."""
-        now = self._commits()
-        self._write({n: self.table(n) for n in SCHEMAS if len(now.get(n, [])) > 1})
+        """Writes the records of all generations as one. If another import comes in between, it tries again."""
+        while True:
+            seen = max((c["generation"] for c in self.log.all()), default=0)
+            self._views.clear()
+            several = [n for n in (*SCHEMAS, *BOOKS) if len(self._generations(n)) > 1]
+            if not several or self._write({n: self.table(n) for n in several}, same=True, since=seen):
+                return
 
     def __getattr__(self, name: str) -> DataFrame:
         if name in SCHEMAS:
@@ -108,76 +188,163 @@ class ArchiveStore:
 
     def replace(self, bundle: dict[str, DataFrame]) -> None:
         """The whole archive anew."""
-        self._write({n: self._shaped(n, bundle.get(n)) for n in SCHEMAS} | {"states": self.spark.createDataFrame([], STATE)})
+        self._write({n: self._shaped(n, bundle.get(n)) for n in SCHEMAS} | {n: self.spark.createDataFrame([], BOOKS[n]) for n in BOOKS})
 
-    def _shaped(self, name: str, df: DataFrame | None) -> DataFrame:
-        """`df` in a table's columns, one row for each key by the rules that hold between parts."""
+    def _shaped(self, name: str, df: DataFrame | None, order: list[str] | None = None) -> DataFrame:
+        """`df` in a table's columns, one row for each key by the rules that hold between parts; parts arrive in `order`."""
         empty = self.spark.createDataFrame([], SCHEMAS[name])
         if df is None:
             return empty
         rows = empty.unionByName(df.select(*[c for c in df.columns if c in SCHEMAS[name].names]), allowMissingColumns=True)
+        if order and "archive_part_id" in rows.columns:
+            rows = rows.withColumn("__seq", F.coalesce(F.array_position(F.array(*map(F.lit, order)), F.col("archive_part_id")).cast("int"), F.lit(0)))
         return self._resolved(name, [rows])
 
     def is_final(self, part_id: str) -> bool:
-        return self.table("states").filter((F.col("part_id") == part_id) & F.col("status").isin(ingest.FINAL)).count() > 0
+        final = False
+        for c in self.commits():
+            final = final and not c["tables"].get("states") or c["same"] and final or part_id in c["finals"]
+        return final
 
     def import_part(self, part_id: str, bundle: dict[str, DataFrame]) -> bool:
         """Adds a part's records. Posts and the like that are there stay as they are, people and conversations merge.
 
-        A part that is complete or skipped isn't taken again. Only the part is written.
+        A part that is complete or skipped isn't taken again, nor one that another writer completes meanwhile.
+        """
+        return self.import_batch(bundle, [part_id], (part_id,))
+
+    def import_batch(self, bundle: dict[str, DataFrame], parts: list[str], finals: tuple[str, ...] = (), books: dict[str, DataFrame] | None = None) -> bool:
+        """Adds records of some parts, in the order of `parts`, and what the books say of them, in one commit.
+
+        `finals` are the parts that are complete with it. False if one of them was final before.
         """
-        if self.is_final(part_id):
+        seen = max((c["generation"] for c in self.log.all()), default=0)
+        if any(self.is_final(p) for p in finals):
             return False
         tables = {}
         for name, df in bundle.items():
-            new = self._shaped(name, df)
-            if "archive_part_id" in new.columns:
-                new = new.withColumn("archive_part_id", F.coalesce("archive_part_id", F.lit(part_id)))
+            new = self._shaped(name, df, parts)
+            if "archive_part_id" in new.columns and len(parts) == 1:
+                new = new.withColumn("archive_part_id", F.coalesce("archive_part_id", F.lit(parts[0])))
             tables[name] = new
-        self._write(tables | {"states": self._moved(part_id, "complete")}, added=frozenset(tables))
-        if max(map(len, self._commits().values())) > MOST_PARTS:
+        states = [(p, "complete" if p in finals else "importing", None) for p in parts]
+        tables |= (books or {}) | {"states": self.spark.createDataFrame(states, BOOKS["states"])}
+        if not self._write(tables, added=frozenset(tables), finals=finals, since=seen):
+            return False
+        if max(len(self._generations(n)) for n in (*SCHEMAS, *BOOKS)) > MOST_PARTS:
             self.compact()
         return True
 
-    def _moved(self, part_id: str, status: str) -> DataFrame:
-        now = self.table("states")
-        seq = (now.agg(F.max("seq")).first()[0] or 0) + 1
-        return ingest.transition(now, self.spark.createDataFrame([(part_id, status, seq)], STATE))
-
     def mark_part(self, part_id: str, status: str) -> None:
         """Skips, fails, cancels, interrupts or retries (pending) a part."""
         if status not in ingest.STATES:
             raise ValueError(status)
-        self._write({"states": self._moved(part_id, status)})
+        rows = self.spark.createDataFrame([(part_id, status, None)], BOOKS["states"])
+        self._write({"states": rows}, added=frozenset(["states"]), finals=(part_id,) if status in ingest.FINAL else ())
+
+    def note(self, warnings: DataFrame) -> None:
+        """Adds warnings (part_id, path, message)."""
+        self._write({"warnings": warnings}, added=frozenset(["warnings"]))
 
     def session(self) -> Row:
         return ingest.session_state(self.table("states"), self.table("posts").count() + self.table("messages").count()).first()
 
+    # -- sources of media
+
+    def connect(self, parts: dict[str, str | None]) -> None:
+        """Where parts are now: id and path, or None for a part that isn't there any more."""
+        rows = self.spark.createDataFrame([(p, at, at is not None, None) for p, at in parts.items()], BOOKS["sources"])
+        self._write({"sources": rows}, added=frozenset(["sources"]), same=False)
+
+    def reconnect(self, found: DataFrame) -> Row:
+        """Connects the known parts among `found` (part_path, fingerprint); one row of matched, missing, duplicates and unexpected."""
+        known = self.table("parts").select(F.col("part_id").alias("expected_id"), F.regexp_replace("part_id", "^part:", "").alias("fingerprint"))
+        told = merge.match_parts(known, found.select(F.col("part_path").alias("found_id"), "fingerprint")).cache()
+        self.connect({r["expected_id"]: r["found_id"] for r in told.filter("outcome = 'matched'").collect()})
+        n = lambda x: F.count_if(F.col("outcome") == x)
+        still = self.table("parts").join(self.table("sources").filter("connected"), "part_id", "left_anti").count()
+        return told.agg(n("matched").alias("matched"), n("duplicate").alias("duplicates"), n("unexpected").alias("unexpected")).withColumn("missing", F.lit(still)).first()
+
+    def media_sources(self) -> DataFrame:
+        """Media with owner_part, the one part that has the file by the stored index of path endings, and whether it is connected."""
+        owned = archives.owners_by_suffix(self.media.select("path"), self.table("suffixes"))
+        there = self.table("sources").select(F.col("part_id").alias("owner_part"), F.col("part_path").alias("owner_path"), "connected")
+        rows = self.media.join(owned.withColumnRenamed("part_id", "owner_part"), "path", "left").join(there, "owner_part", "left")
+        return rows.withColumn("connected", F.coalesce("connected", F.lit(False)))
+
+    def coverage(self) -> DataFrame:
+        return diagnostics.coverage(merge.fold_sections(self.table("sections")))
+
+    def archive_status(self) -> DataFrame:
+        """part_id, filename, status, connected, entries, bytes and format of every part that was seen."""
+        states, sources = self.table("states").select("part_id", "status"), self.table("sources").select("part_id", "connected")
+        rows = self.table("parts").join(states, "part_id", "full_outer").join(sources, "part_id", "left")
+        return rows.select("part_id", "filename", F.coalesce("status", F.lit("pending")).alias("status"), F.coalesce("connected", F.lit(False)).alias("connected"), "entries", "bytes", "format", "sections")
+
     # -- derived tables
 
+    def build(self, kind: str, window_rows: int = 20_000_000, force: bool = False, stop: Callable[[], bool] = lambda: False) -> dict:
+        """Builds the tables of a kind, phase by phase in windows of keys, from where an earlier build stands.
+
+        Each window's rows are committed together with its phase and the last key that it covers. `stop` is asked
+        before each window; then the build is left as interrupted, and the next one goes on from the last commit.
+        `force`, or records that changed, start anew.
+        """
+        phases = derived.phases(self, kind)
+        last = self.job(kind)
+        job = None if force else last
+        if job is None:
+            job = {"id": uuid.uuid4().hex, "kind": kind, "phase": next(iter(phases)), "cursor": None, "phase_done": False, "base": self._changed(), "status": "running"}
+        if job["status"] == "complete":
+            return job
+        names = list(phases)
+        todo = names[names.index(job["phase"]) + bool(job["phase_done"]) :]
+        while todo:
+            # Phases that read what this build has made wait until that is committed.
+            now = [n for n in todo if phases[n].reads_made == phases[todo[0]].reads_made]
+            sources = [(n, phases[n], phases[n].source(lambda table, j=job: self._derived(table, j))) for n in now]
+            for step in derived.steps(sources, job["cursor"], window_rows):
+                if stop():
+                    self._commit_job(last, job | {"status": "interrupted"}, {})
+                    raise Interrupted(f"{kind}: behind {job['phase']}, {job['cursor']}")
+                rows: dict[str, DataFrame] = {}
+                for name, df, _, _ in step:
+                    for table, made in phases[name].rows(df).items():
+                        rows[table] = rows[table].unionByName(made) if table in rows else made
+                name, _, reached, ended = step[-1]
+                done = job | {"phase": name, "cursor": reached, "phase_done": ended, "status": "complete" if ended and name == names[-1] else "running"}
+                job = last = self._commit_job(last, done, rows)
+            todo = todo[len(now) :]
+        return job
+
+    def _commit_job(self, last: dict | None, job: dict, rows: dict[str, DataFrame]) -> dict:
+        """Commits a step behind `last`, which is where this build saw the job."""
+        seen = max((c["generation"] for c in self.log.all()), default=0)
+        if self.job(job["kind"]) != last or not self._write(rows, added=frozenset(rows), job=job, since=seen):
+            raise Interrupted(f"{job['kind']}: another build has moved it")
+        return job
+
     def rebuild_activity(self) -> int:
-        self._write({"ledger": derived.ledger(self)})
+        self.build("activity", force=True)
         return self.table("ledger").count()
 
     def rebuild_search(self) -> int:
         """Search documents, their postings by term, and the numbers that ranks need."""
-        self._write({"search_documents": merge.first_wins(derived.search_documents(self), ["entity_type", "entity_id"], ["created_at"])})
-        docs = self.table("search_documents")
-        self._write({"postings": search.stored_postings(docs), "corpus": search.corpus(docs)})
+        self.build("search", force=True)
         return self.table("search_documents").count()
 
-    def run_derived(self) -> dict[str, int]:
-        """Builds what is out of date, and nothing else; rows of each. A run that was broken off goes on where it stood."""
+    def run_derived(self, **options) -> dict[str, int]:
+        """Builds what is out of date, and nothing else; rows of each. A build that was broken off goes on where it stood."""
         built = {}
-        if not self.fresh("ledger"):
-            built["ledger"] = self.rebuild_activity()
-        if not (self.fresh("search_documents") and self.fresh("postings")):
-            built["search_documents"] = self.rebuild_search()
+        for kind, name in (("activity", "ledger"), ("search", "search_documents")):
+            if not self.fresh(name):
+                self.build(kind, **options)
+                built[name] = self.table(name).count()
         return built
 
     def derived_status(self) -> dict[str, str]:
-        """pending or complete, for the ledger and the search."""
-        return {"activity": "complete" if self.fresh("ledger") else "pending", "search": "complete" if self.fresh("postings") else "pending"}
+        """pending, running, interrupted or complete, for the ledger and the search."""
+        return {kind: (self.job(kind) or {"status": "pending"})["status"] for kind in JOBS}
 
     # -- read queries
 
@@ -254,6 +421,35 @@ class ArchiveStore:
         """The hits of search_page."""
         return self.search_page(text, **options).items
 
+    # -- what pages show together, from one state of the archive
+
+    def profile_page(self) -> dict[str, object]:
+        """The profile with its person, and the first friends, albums, photos and own posts."""
+        now = self.pinned()
+        profile = now.profile()
+        person = now.person(profile["person_id"]) if profile else None
+        posts = now.posts_page(5, person=profile["person_id"]).items if profile else []
+        return {"profile": profile, "person": person, "friends": now.connections_page("friend", limit=6).items, "albums": now.albums_page(4).items, "photos": now.media_page("photo", 6).items, "posts": posts}
+
+    def person_page(self, person_id: str) -> dict[str, object]:
+        """A person with numbers, the newest posts, and where a link to the person leads."""
+        now = self.pinned()
+        link = S.profile_target(F.col("profile_url"), F.col("facebook_id"), F.col("username"), F.col("display_name"))
+        target = now.people.filter(F.col("id") == person_id).select(link.alias("url")).first()
+        return {"person": now.person(person_id), "posts": now.posts_page(5, person=person_id).items, "link": target and target["url"]}
+
+    def thread_page(self, conversation: str, limit: int = 40, cursor: str | None = None) -> dict[str, object]:
+        """A thread's newest messages in the order in which they were sent, and its title."""
+        now = self.pinned()
+        page = now.messages_page(conversation, limit, cursor)
+        chat = now.conversations.filter(F.col("id") == conversation).select("title").first()
+        return {"title": chat and chat["title"], "messages": page.items[::-1], "next_cursor": page.next_cursor, "has_more": page.has_more}
+
+    def search_groups(self, text: str, **options) -> list[tuple[str, list[Row]]]:
+        """The hits of a page by type, in the order of search.TYPE_ORDER; every type is listed."""
+        hits = self.pinned().search(text, **options)
+        return [(t, [h for h in hits if h["entity_type"] == t]) for t in search.TYPE_ORDER if any(h["entity_type"] == t for h in hits)]
+
     def report(self, filenames: DataFrame, warnings: DataFrame) -> str:
         return diagnostics.report(filenames, warnings).first()["report"]
 

@@ -7,10 +7,10 @@ import duckdb
 import pandas as pd
 import pytest
 
-from hearthlog.plans import catalogue, ingest
+from hearthlog.plans import catalogue, ingest, parts
 
 SF = "/root/testdata/sf0.001"
-QUERIES, SQL = {**catalogue.QUERIES, **ingest.QUERIES}, {**catalogue.SQL, **ingest.SQL}
+QUERIES, SQL = {**catalogue.QUERIES, **ingest.QUERIES, **parts.QUERIES}, {**catalogue.SQL, **ingest.SQL, **parts.SQL}
 
 
 @pytest.fixture(scope="module")

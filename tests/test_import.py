@@ -43,7 +43,7 @@ def archive(spark, tmp_path_factory):
 
 def test_import(archive):
     s, told, home = archive
-    assert {n: (r["taken"], r["warnings"]) for n, r in told.items()} == {"one.zip": (True, ["malformed-json: 1", "unsafe-path: 1"]), "two.zip": (True, []), "three.zip": (True, [])}
+    assert {n: (r["taken"], r["warnings"]) for n, r in told.items()} == {"one.zip": (True, ["malformed-json: 1", "unsafe-path: 1"]), "two.zip": (True, []), "three.zip": (True, []), "four.zip": (False, ["unreadable-part: 1"])}
     rows = lambda t, *cs: {tuple(r[c] for c in cs) for r in s.table(t).collect()}
     assert rows("posts", "author_id", "title", "body", "created_at") == {("owner", "One", "body", "2023-11-14T22:13:20.000Z"), ("person:facebook:9", None, None, None), ("owner", "Ann", "Post text 3 comments", "2024-05-06T15:04:00.000Z"), ("owner", "Bea", "Hi", None)}
     assert rows("comments", "author_name", "body") == {("E", "hi"), (None, "deep"), ("Yan", "nice")} and rows("reactions", "person_name", "kind") == {("F", "Love"), ("Zoe", "Wow")}
@@ -66,4 +66,4 @@ def test_reading_what_was_imported(archive):
     assert [(p["title"], p["author_name"], p["comment_count"], len(p["media"])) for p in newest] == [("Ann", "Me", 1, 0), ("One", "Me", 1, 1)] and newest[1]["comments"][0]["body"] == "hi"
     assert "Work: Acme" in [r["summary"] for r in s.activity_page(limit=50).items] and s.profile()["facebook_id"] == "77"
     assert [r["entity_type"] for r in s.search("yo")] == ["message"] and [m["path"] for m in s.messages_page("conversation:ab-1").items[0]["media"]] == ["m/p.png"]
-    assert [r["taken"] for r in archive_import.import_archive(s, home).collect()] == [False] * 3
+    assert [r["taken"] for r in archive_import.import_archive(s, home).collect()] == [False] * 4

@@ -4,7 +4,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from hearthlog.sources import archives, html_records, json_records
+from hearthlog.sources import archives, html_records, json_records, zip_source
 
 PAGE = """<html><head><title>T &amp; x</title><style>.no{}</style></head><body><h1>Me</h1>
 <table class="_a6_n"><tr><th>Works at</th><td>Acme</td></tr><tr><td>Lived in</td><td>Here</td></tr></table>
@@ -30,7 +30,7 @@ def folder(tmp_path_factory):
 
 
 def test_listing(spark, folder):
-    listing = archives.entries(archives.parts(spark, folder)).cache()
+    listing = zip_source.read_zips(spark, folder).cache()
     assert listing.filter("error IS NOT NULL").count() == 1
     good = listing.filter("path IS NOT NULL")
     assert {(r["section"], r["format"]) for r in archives.candidates(good).collect()} == {("posts", "json"), ("profile", "json"), ("messages", "json"), ("connections", "json"), ("comments", "html"), ("albums", "json")}
@@ -41,7 +41,7 @@ def test_listing(spark, folder):
 
 
 def test_json(spark, folder):
-    files = json_records.parsed(archives.texts(archives.parts(spark, folder), (".json",))).cache()
+    files = json_records.parsed(zip_source.read_zips(spark, folder, "texts").filter("format = 'json'").select("part_path", "path", "text")).cache()
     assert files.filter("v IS NULL").count() == 1
     posts = json_records.posts(files.filter("path LIKE '%posts__1%'")).cache()
     assert [(r["title"], r["body"], r["created_at"], r["author_id"]) for r in posts.collect()] == [("One", "body", "2023-11-14T22:13:20.000Z", "owner")]
