@@ -8,7 +8,6 @@ equal places, and comparing what surrounds equal anchors finds every repeat.
 from __future__ import annotations
 
 import hashlib
-import zlib
 from array import array
 from dataclasses import dataclass
 
@@ -18,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from hearthlog.llm.common import cut, shuffle_partitions
+from hearthlog.llm.common import bitmap, cut, maybe, shuffle_partitions
 
 
 @dataclass(frozen=True)
@@ -39,7 +38,7 @@ _RNG = np.random.default_rng(19930301)
 _BYTE = _RNG.integers(0, 2**63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = int(_RNG.integers(2**62, 2**63)) | 1
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
-_PLACE = 40  # bits of a place in a text; above it are 15 bits of the text's checksum, which tell rows of one id apart
+_PLACE = 32  # bits of a place in a text; above it are 31 bits of the text's number, which tells texts of one id apart
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -131,8 +130,27 @@ def union(doc: np.ndarray, start: np.ndarray, stop: np.ndarray):
     return doc[at], start[at], (far[last] - base[last]) if len(at) else stop[:0]
 
 
-def _checksum(data: bytes) -> int:
-    return zlib.crc32(data) & 0x7FFF
+def _numbered(rows: DataFrame) -> DataFrame:
+    """`rows` (doc, text) with `no`: texts of one id have different numbers, equal ones the same.
+
+    Ids that one row has need none and have 0. The others' texts are numbered through, in the order of id and digest;
+    the driver sees how many of them each partition holds.
+    """
+    again = cut(rows.groupBy("doc").agg(F.count("*").alias("n")).filter("n > 1").select("doc"))
+    if again.isEmpty():
+        return rows.withColumn("no", F.lit(0).cast("long"))
+    repeats = maybe(F.col("doc"), bitmap(again))  # few other ids come along, and are numbered too
+    some = rows.filter(repeats).withColumn("digest", F.sha2("text", 256))
+    texts = some.select("doc", "digest").distinct().repartitionByRange("doc", "digest").sortWithinPartitions("doc", "digest")
+    placed = cut(texts.select("doc", "digest", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("k")))
+    before, starts = 1, []
+    for r in placed.groupBy("part").agg(F.count("*").alias("n")).orderBy("part").collect():
+        starts.append((r["part"], before))
+        before += r["n"]
+    if before >= 1 << 31:
+        raise ValueError("more than two billion different texts share ids with others")
+    numbers = placed.join(F.broadcast(rows.sparkSession.createDataFrame(starts, "part int, start long")), "part").select("doc", "digest", (F.col("start") + F.col("k")).alias("no"))
+    return rows.filter(~repeats).withColumn("no", F.lit(0).cast("long")).unionByName(some.join(numbers, ["doc", "digest"]).select("doc", "text", "no"))
 
 
 def _find_anchors(rule: Repeats, chunk: int = 700_000, most: int = 300_000):
@@ -157,7 +175,7 @@ def _find_anchors(rule: Repeats, chunk: int = 700_000, most: int = 300_000):
 
     def run(batches):
         kept, held = [], 0
-        pending: list[tuple[int, int, int, bytes, int, int]] = []  # doc, checksum, where its bytes begin, they, first and last place that are its own
+        pending: list[tuple[int, int, int, bytes, int, int]] = []  # doc, number, where its bytes begin, they, first and last place that are its own
         size = 0
 
         def work():
@@ -176,14 +194,14 @@ def _find_anchors(rule: Repeats, chunk: int = 700_000, most: int = 300_000):
             return len(h)
 
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+            for doc, text, no in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
                 data = text.as_py().encode()
                 if len(data) < rule.length:
                     continue
-                check, step = _checksum(data), chunk // 2
+                step = chunk // 2
                 for offset in range(0, len(data), step):  # long texts in slices, each with what surrounds its own anchors
                     low, high = max(0, offset - rule.left), min(len(data), offset + step + rule.length + rule.left)
-                    pending.append((doc, check, low, data[low:high], offset, min(offset + step, len(data))))
+                    pending.append((doc, no, low, data[low:high], offset, min(offset + step, len(data))))
                     size += high - low
                     if size > chunk:
                         held += work()
@@ -200,16 +218,16 @@ def _find_anchors(rule: Repeats, chunk: int = 700_000, most: int = 300_000):
 
 
 def _squeezed(rows: DataFrame) -> DataFrame:
-    """doc, z: texts compressed before they are dealt out."""
+    """doc, z, no: texts compressed before they are dealt out."""
 
     def squeeze(batches):
         import zstandard
 
         pack = zstandard.ZstdCompressor(level=3).compress
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([pack(t.as_py().encode()) for t in batch.column(1)], pa.binary())], names=["doc", "z"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([pack(t.as_py().encode()) for t in batch.column(1)], pa.binary()), batch.column(2)], names=["doc", "z", "no"])
 
-    return rows.mapInArrow(squeeze, "doc long, z binary")
+    return rows.mapInArrow(squeeze, "doc long, z binary, no long")
 
 
 def _sort_runs(rule: Repeats, parts: int):
@@ -239,9 +257,9 @@ def _sort_runs(rule: Repeats, parts: int):
 
         unpack, kept, held = zstandard.ZstdDecompressor().decompress, [], 0
         for batch in batches:
-            for doc, z, ats in zip(*(batch.column(c).to_pylist() for c in ("doc", "z", "anchors"))):
+            for doc, z, no, ats in zip(*(batch.column(c).to_pylist() for c in ("doc", "z", "no", "anchors"))):
                 data, at = unpack(z, max_output_size=2**31 - 1), np.sort(np.array(ats, np.int64))
-                at = at[at >> _PLACE == _checksum(data)]
+                at = at[at >> _PLACE == no]
                 if not len(at):
                     continue
                 data, place = np.frombuffer(data, np.uint8), at & (1 << _PLACE) - 1
@@ -451,7 +469,7 @@ def remove_repeats(docs: DataFrame, rule: Repeats = Repeats(), id_col: str = "do
     A byte goes if it lies in a passage of rule.length bytes that also starts earlier, in a document with a
     smaller id or before it in the same one. Passages never cross documents and are judged on the input.
     Null texts are empty and lose nothing; texts shorter than a passage neither. A null id is the smallest. Rows
-    of one id with different texts are different documents, in the order of a checksum; equal rows count as one
+    of one id with different texts are different documents, in the order of their digests; equal rows count as one
     document and get the same result. Empty tables give empty results; other columns are ignored.
 
     1. Each task finds its anchors; of anchors with equal surroundings only the earliest goes on.
@@ -463,6 +481,7 @@ def remove_repeats(docs: DataFrame, rule: Repeats = Repeats(), id_col: str = "do
     parts = 4 * shuffle_partitions(spark)  # small merges
     lowest = -(2**63)
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(lowest)).alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = _numbered(rows)
     met = rows.mapInArrow(_find_anchors(rule), "h long, doc long, at long, stop long").repartition("h")
     shared = met.withColumn("n", F.count("*").over(W.partitionBy("h"))).filter("n > 1 OR stop >= 0")
     by_doc = shared.groupBy("doc").agg(
@@ -495,9 +514,9 @@ def remove_repeats(docs: DataFrame, rule: Repeats = Repeats(), id_col: str = "do
         unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
             out = []
-            for doc, z, spans in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
+            for doc, z, no, spans in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
                 data = unpack(z.as_py(), max_output_size=2**31 - 1)
-                mine = [(s["starts"] & (1 << _PLACE) - 1, s["stops"]) for s in spans or () if s["starts"] >> _PLACE == _checksum(data)]
+                mine = [(s["starts"] & (1 << _PLACE) - 1, s["stops"]) for s in spans or () if s["starts"] >> _PLACE == no]
                 kept, done, removed, n = [], 0, 0, 0
                 for a, b in sorted(mine):
                     if a > done or not n:

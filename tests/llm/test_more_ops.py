@@ -216,3 +216,21 @@ def test_op7_never_needs_more_than_best_fit(lengths):
                 used[m] = used.get(m, 0) + times
         assert used == {k: v for k, v in counts.items() if v}
         assert sum(times for times, _ in found) <= best_fit_alone(counts, 64)
+
+
+def test_op3_texts_of_one_id_with_equal_checksums(spark):
+    """Two texts of one id whose short checksums agree are still two documents, in the order of their digests."""
+    from hearthlog.llm import suffix_dedup
+
+    rnd = random.Random(6)
+    say = lambda n: "".join(rnd.choice("abcdefghij ") for _ in range(n))
+    shared = say(150)
+    one = say(200) + shared + say(50)
+    two = next(t for t in (f"{k:07}" + say(40) + shared + say(60) for k in range(10**6)) if zlib.crc32(t.encode()) & 0x7FFF == zlib.crc32(one.encode()) & 0x7FFF)
+    rows = [(3, shared[:120] + "zz"), (5, one), (5, two), (5, two), (9, say(300)), (9, None), (8, two[:200])]
+    name = lambda t: sha(t or "")
+    apart = sorted({(i, name(t), t or "") for i, t in rows})
+    numbered = {(i, n): k for k, (i, n, _) in enumerate(apart)}
+    want = {r["doc_id"]: tuple(r)[1:] for r in suffix_dedup.remove_repeats(table(spark, [(k, t) for k, (_, _, t) in enumerate(apart)])).collect()}
+    got = sorted(tuple(r) for r in suffix_dedup.remove_repeats(table(spark, rows)).collect())
+    assert got == sorted((i, *want[numbered[i, name(t)]]) for i, t in rows)

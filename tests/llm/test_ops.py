@@ -168,7 +168,7 @@ def test_op3_slices_of_long_texts():
     data = np.frombuffer(bytes(rnd.choice(b"abc") for _ in range(2000)), np.uint8)
     import pyarrow as pa
 
-    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([data.tobytes().decode()])], names=["doc", "text"])
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([data.tobytes().decode()]), pa.array([0])], names=["doc", "text", "no"])
     whole, sliced = ({(x["h"], x["at"], x["stop"]) for b in suffix_dedup._find_anchors(rule, chunk=c)([batch]) for x in b.to_pylist() if x["stop"] < 0} for c in (10**6, 100))
     assert whole == sliced
 
