@@ -176,3 +176,13 @@ def test_profiles_fill_what_earlier_ones_lack(spark, tmp_path):
     s.import_part("p3", {"profiles": made("profiles", {"id": "profile:owner", "display_name": "Second", "username": "user", "source_path": "a", "source_index": 0})})
     p = s.profiles.first()
     assert (p["display_name"], p["username"], p["archive_part_id"], p["source_path"], p["source_index"]) == ("First", "user", "p2", "b", 1)
+
+
+def test_pages_from_one_state(spark, tmp_path):
+    s, made = filled(spark, str(tmp_path / "a"))
+    talk = [{"id": f"m:{k}", "conversation_id": "conversation:1", "sender_id": "person:2", "sender_name": "bob", "body": str(k), "sent_at": f"2024-01-01T00:00:0{k}.000Z"} for k in range(3)]
+    s.import_part("p2", {"messages": made("messages", *talk), "conversations": made("conversations", {"id": "conversation:1", "title": "Talk", "participant_names": ["bob"], "participant_ids": ["person:2"]})})
+    thread = s.thread_page("conversation:1", limit=2)
+    assert (thread["title"], [m["body"] for m in thread["messages"]], thread["has_more"]) == ("Talk", ["1", "2"], True)
+    person = s.person_page("person:1")
+    assert person["person"]["post_count"] == 300 and len(person["posts"]) == 5 and person["link"].endswith("Ann")
