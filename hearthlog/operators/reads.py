@@ -120,28 +120,38 @@ def memories(ledger: DataFrame, month: int, day: int, as_of_year: int, limit: in
     return once.withColumn("years_ago", F.greatest(F.lit(0), F.lit(as_of_year) - F.col("calendar_year")))
 
 
+#: The numbers of a person's records.
+PERSON_COUNTS = ["post_count", "comment_count", "reaction_count", "connection_count", "media_count", "message_count", "album_count", "shared_post_count", "shared_media_count", "participation_count"]
+
+
 def people_rollup(a, page: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """People with their numbers of posts, comments, reactions, connections, media, messages and albums, and first and last sight.
+    """People with the PERSON_COUNTS of their records, and first and last sight.
 
-    `page` cuts the people by sort_name first; then only their own records are counted.
+    Media count through the author of their post, the sender of their message and the owner of their album; shared are
+    a person's posts, and the media of their albums. Participation is exact membership in a conversation's
+    participant_ids, each conversation once. `page` cuts the people by sort_name first; then only their own records are counted.
     """
     people = a.people.withColumn("sort_name", ascii_lower(F.col("display_name")))
     people = page(people) if page else people
-    media_posts = a.media.filter("owner_type = 'post'").join(a.posts.select(F.col("id").alias("owner_id"), "author_id"), "owner_id").select("author_id", "id")
-    media_albums = a.media.filter("owner_type = 'album'").join(a.albums.select(F.col("id").alias("owner_id"), F.col("owner_id").alias("author_id")), "owner_id").select("author_id", "id")
+
+    def media_of(kind: str, owners: DataFrame, person: str) -> DataFrame:
+        return a.media.filter(F.col("owner_type") == kind).join(owners.select(F.col("id").alias("owner_id"), F.col(person).alias("person")), "owner_id").select("person")
+
+    inside = a.conversations.select(F.explode(F.array_distinct("participant_ids")).alias("person"))
     parts = [
-        (a.posts, "author_id", "post_count"), (a.comments, "author_id", "comment_count"), (a.reactions, "person_id", "reaction_count"),
-        (a.connections, "person_id", "connection_count"), (media_posts.union(media_albums), "author_id", "media_count"), (a.messages, "sender_id", "message_count"), (a.albums, "owner_id", "album_count"),
+        (a.posts, "author_id", "created_at", ["post_count", "shared_post_count"]), (a.comments, "author_id", "created_at", ["comment_count"]), (a.reactions, "person_id", "created_at", ["reaction_count"]),
+        (a.messages, "sender_id", "sent_at", ["message_count"]), (a.connections, "person_id", None, ["connection_count"]), (a.albums, "owner_id", None, ["album_count"]), (inside, "person", None, ["participation_count"]),
+        (media_of("post", a.posts, "author_id"), "person", None, ["media_count"]), (media_of("message", a.messages, "sender_id"), "person", None, ["media_count"]),
+        (media_of("album", a.albums, "owner_id"), "person", None, ["media_count", "shared_media_count"]),
     ]
     # One union and one aggregate instead of a join for each number.
-    at = {"post_count": "created_at", "comment_count": "created_at", "reaction_count": "created_at", "message_count": "sent_at"}
-    seen = lambda name: F.col(at[name]) if name in at else F.lit(None).cast("string")
-    rows = [df.select(F.col(key).alias("id"), *[F.lit(int(n == name)).alias(n) for _, _, n in parts], seen(name).alias("at")) for df, key, name in parts]
+    seen = lambda at: (F.col(at) if at else F.lit(None).cast("string")).alias("at")
+    rows = [df.select(F.col(key).alias("id"), *[F.lit(int(n in told)).alias(n) for n in PERSON_COUNTS], seen(at)) for df, key, at, told in parts]
     if page:
         wanted = F.broadcast(people.select("id"))
         rows = [df.join(wanted, "id", "left_semi") for df in rows]
-    sums = reduce(DataFrame.unionByName, rows).groupBy("id").agg(*[F.sum(n).alias(n) for _, _, n in parts], F.min("at").alias("first_interaction"), F.max("at").alias("last_interaction"))
-    return people.join(sums, "id", "left").select("id", "display_name", "sort_name", *[F.coalesce(n, F.lit(0)).alias(n) for _, _, n in parts], "first_interaction", "last_interaction")
+    sums = reduce(DataFrame.unionByName, rows).groupBy("id").agg(*[F.sum(n).alias(n) for n in PERSON_COUNTS], F.min("at").alias("first_interaction"), F.max("at").alias("last_interaction"))
+    return people.join(sums, "id", "left").select("id", "display_name", "sort_name", *[F.coalesce(n, F.lit(0)).alias(n) for n in PERSON_COUNTS], "first_interaction", "last_interaction")
 
 
 def connections(a, kind: str | None = None, text: str | None = None) -> DataFrame:
@@ -165,7 +175,7 @@ def album_detail(a, album: str) -> DataFrame:
 
 def stats(a, ledger: DataFrame) -> DataFrame:
     """name, value: numbers of each entity, and the ledger's range and years."""
-    names = ["people", "posts", "comments", "reactions", "connections", "albums", "conversations", "messages", "media", "profile_facts"]
+    names = ["profiles", "people", "posts", "comments", "reactions", "connections", "albums", "conversations", "messages", "media", "profile_facts"]
     rows = [getattr(a, n).agg(F.lit(n).alias("name"), F.count("*").cast("string").alias("value")) for n in names]
     span = ledger.agg(F.min("occurred_at").alias("lo"), F.max("occurred_at").alias("hi"), F.count_distinct("calendar_year").cast("string").alias("years"), F.count("*").cast("string").alias("n"))
     more = span.select(F.explode(F.create_map(F.lit("activity_first"), F.col("lo"), F.lit("activity_last"), F.col("hi"), F.lit("activity_years"), F.col("years"), F.lit("activities"), F.col("n"))).alias("name", "value"))

@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 
 from hearthlog.functions import scalars as S
 from hearthlog.operators import diagnostics
-from hearthlog.sources import archives, html_records, json_records, zip_source
+from hearthlog.sources import adapters, archives, html_records, json_records, zip_source
 from hearthlog.store import BOOKS, ArchiveStore
 from hearthlog.streaming import ingest
 
@@ -88,8 +88,6 @@ def bundle(files: DataFrame, page_rows: DataFrame, folder: str) -> dict[str, Dat
     return out
 
 
-#: Files are read anew by a parser of a later version.
-PARSER_VERSION = 1
 #: Tables whose rows say from which file they come.
 _RECORDS = ("profiles", "posts", "comments", "reactions", "connections", "albums", "messages", "conversations")
 
@@ -158,7 +156,7 @@ def _import_parts(store: ArchiveStore, listing: DataFrame, good: list, folder: s
     named = spark.createDataFrame([(r["part_path"], r["part_id"], k) for k, r in enumerate(good)], "part_path string, part_id string, part_at int")
     here = listing.join(F.broadcast(named), "part_path")  # a row for each ZIP file, of which a folder has a bounded number
     wanted = archives.candidates(archives.checked(here.filter("error IS NULL")).filter("problem IS NULL")).join(F.broadcast(named), "part_path")
-    done = store.table("files").filter(F.col("parser_version") == PARSER_VERSION)
+    done = store.table("files").filter(F.col("parser_version") == adapters.version_of(F.col("path")))
     left = ingest.pending(wanted, done, ["part_id", "path"])
     counts = {r["part_at"]: r["n"] for r in left.groupBy("part_at").agg(F.count("*").alias("n")).collect()}
     before, at = {}, 0
@@ -169,8 +167,9 @@ def _import_parts(store: ArchiveStore, listing: DataFrame, good: list, folder: s
     dealt = left.join(F.broadcast(starts), "part_at").withColumn("batch", ((F.col("before") + rank - 1) / batch_files).cast("int"))
     dealt.select("part_path", "part_id", "path", "section", "batch").write.parquet(f"{work}/wanted")
     plan = spark.read.parquet(f"{work}/wanted")
-    for rows, name in (("texts", "texts"), ("pages", "pages")):
-        read = zip_source.read_zips(spark, folder, rows).filter(F.col("part_path").isin([r["part_path"] for r in good]) & F.col("section").isNotNull() & (F.col("format") == ("json" if rows == "texts" else "html")))
+    for adapter in adapters.ADAPTERS:
+        name = adapter.rows
+        read = zip_source.read_zips(spark, folder, name).filter(F.col("part_path").isin([r["part_path"] for r in good]) & F.col("section").isNotNull() & (F.col("format") == adapter.format))
         read.drop("section", "format", "size", "packed", "crc").join(plan, ["part_path", "path"]).drop("part_path").withColumnRenamed("part_id", "part_path").write.partitionBy("batch").parquet(f"{work}/{name}")
     schema = lambda more: f"path string, error string, {more}, part_path string, section string, batch int"
     texts, pages = (spark.read.schema(schema(more)).parquet(f"{work}/{name}") for name, more in (("texts", "text string"), ("pages", html_records.STREAMED)))
@@ -209,7 +208,7 @@ def _books(store: ArchiveStore, tables: dict[str, DataFrame], told: DataFrame, w
     files = wanted.select("part_id", "path", "section").join(per_file, ["part_id", "path"], "left").join(warned, ["part_id", "path"], "left").fillna(0, ["records", "warnings"])
     status = F.when(F.sum("records") == 0, F.when(F.sum("warnings") > 0, "malformed").otherwise("unsupported")).when(F.sum("warnings") > 0, "partial").otherwise("imported")
     sections = files.groupBy("part_id", "section").agg(status.alias("status"), F.sum("records").alias("records"), F.sum("warnings").alias("warnings")).withColumn("seq", F.lit(len(store.commits())).cast("long"))
-    return {"files": files.filter("records > 0 AND warnings = 0").select("part_id", "path", F.lit(PARSER_VERSION).alias("parser_version"), "records"), "warnings": told, "sections": sections}
+    return {"files": files.filter("records > 0 AND warnings = 0").select("part_id", "path", adapters.version_of(F.col("path")).alias("parser_version"), "records"), "warnings": told, "sections": sections}
 
 
 def _first_books(here: DataFrame, good: list, notes: DataFrame) -> dict[str, DataFrame]:

@@ -77,7 +77,9 @@ class Archive:
     @cached_property
     def conversations(self) -> DataFrame:
         g = self.table("conversations").groupBy("conv_id").agg(F.array_sort(F.collect_set("role")).alias("participant_names"))
-        return g.select(_id("conversation:", "conv_id").alias("id"), F.when(F.col("conv_id") % 5 != 0, F.concat(F.lit("Chat "), F.col("conv_id").cast("string"))).alias("title"), "participant_names", (F.size("participant_names") > 2).alias("is_group"))
+        # Who takes part: the roles, as senders, and one customer.
+        ids = F.concat(F.transform("participant_names", lambda x: F.concat(F.lit("person:m:"), x)), F.array(F.concat(F.lit("person:c:"), (F.col("conv_id") % 100 + 1).cast("string"))))
+        return g.select(_id("conversation:", "conv_id").alias("id"), F.when(F.col("conv_id") % 5 != 0, F.concat(F.lit("Chat "), F.col("conv_id").cast("string"))).alias("title"), "participant_names", ids.alias("participant_ids"), (F.size("participant_names") > 2).alias("is_group"))
 
     @cached_property
     def media(self) -> DataFrame:
@@ -142,7 +144,8 @@ messages AS (
          CASE WHEN role <> 'system' THEN strftime(TIMESTAMP '2024-01-01' + to_days(conv_id::INT) + to_minutes(turn), {f}) END AS sent_at FROM conversations),
 chats AS (
   SELECT 'conversation:' || conv_id AS id, CASE WHEN conv_id % 5 <> 0 THEN 'Chat ' || conv_id END AS title,
-         list_sort(list(DISTINCT role)) AS participant_names, count(DISTINCT role) > 2 AS is_group FROM conversations GROUP BY conv_id),
+         list_sort(list(DISTINCT role)) AS participant_names, list_concat(list_sort(list(DISTINCT 'person:m:' || role)), ['person:c:' || (conv_id % 100 + 1)]) AS participant_ids,
+         count(DISTINCT role) > 2 AS is_group FROM conversations GROUP BY conv_id),
 media_paths AS (SELECT *, 'media/' || p_partkey || ['.jpg', '.MP4', '.mp3', '.pdf', ''][p_size % 5 + 1] AS path FROM part),
 media AS (
   SELECT 'media:' || p_partkey AS id, path, ['photo', 'video', 'audio', 'file', 'unknown'][p_size % 5 + 1] AS media_type, split_part(path, '/', 2) AS filename, p_name AS caption,

@@ -276,7 +276,7 @@ def message_titles_left(a):
 # -- aggregates
 
 
-_NAMES = ["people", "posts", "comments", "reactions", "connections", "albums", "messages", "media", "profile_facts"]
+_NAMES = ["profiles", "people", "posts", "comments", "reactions", "connections", "albums", "messages", "media", "profile_facts"]
 
 
 @query(

@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 
 from hearthlog.operators import metrics, paging, reads
 from hearthlog.plans.bindings import CTES, Archive
-from hearthlog.sources import archives, html_records, zip_source
+from hearthlog.sources import adapters, archives, html_records, zip_source
 from hearthlog.streaming import ingest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -152,3 +152,55 @@ def person_posts(spark, sf_dir):
     top = mine.withColumn("k", F.row_number().over(W.partitionBy("id").orderBy(F.desc("at"), F.desc("post")))).filter("k <= 5").groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "post"))), lambda x: x["post"]), ",").alias("newest"))
     counts = mine.groupBy("id").agg(F.count("*").alias("posts"))
     return few.join(counts, "id", "left").join(top, "id", "left").select("id", F.coalesce("posts", F.lit(0)).alias("posts"), "newest")
+
+
+@query(_entities("""SELECT id, (SELECT count(*) FROM posts x WHERE x.author_id = p.id) AS post_count, (SELECT count(*) FROM comments x WHERE x.author_id = p.id) AS comment_count,
+  (SELECT count(*) FROM reactions x WHERE x.person_id = p.id) AS reaction_count, (SELECT count(*) FROM connections x WHERE x.person_id = p.id) AS connection_count,
+  (SELECT count(*) FROM messages x WHERE x.sender_id = p.id) AS message_count, (SELECT count(*) FROM albums x WHERE x.owner_id = p.id) AS album_count,
+  (SELECT count(*) FROM media m JOIN posts x ON m.owner_type = 'post' AND m.owner_id = x.id WHERE x.author_id = p.id) + (SELECT count(*) FROM media m JOIN messages x ON m.owner_type = 'message' AND m.owner_id = x.id WHERE x.sender_id = p.id)
+  + (SELECT count(*) FROM media m JOIN albums x ON m.owner_type = 'album' AND m.owner_id = x.id WHERE x.owner_id = p.id) AS media_count,
+  (SELECT count(*) FROM posts x WHERE x.author_id = p.id) AS shared_post_count, (SELECT count(*) FROM media m JOIN albums x ON m.owner_type = 'album' AND m.owner_id = x.id WHERE x.owner_id = p.id) AS shared_media_count,
+  (SELECT count(*) FROM (SELECT DISTINCT id, unnest(participant_ids) AS who FROM chats) x WHERE x.who = p.id) AS participation_count FROM people p"""))
+def person_counts(spark, sf_dir):
+    """All ten numbers of everybody, from one union and one aggregate."""
+    return reads.people_rollup(Archive(spark, sf_dir)).select("id", *reads.PERSON_COUNTS)
+
+
+def _json_files(rows: DataFrame, folder: str, key: str, *fields) -> DataFrame:
+    return rows.select(F.concat(F.lit(folder), key, F.lit(".json")).alias("path"), F.to_json(F.struct(*fields)).alias("text"))
+
+
+@query("SELECT 'archive/profile_information/' || c_custkey || '.json' AS path, c_name AS display_name, CAST(c_custkey AS VARCHAR) AS facebook_id, c_mktsegment AS bio, CASE WHEN c_custkey % 3 = 0 THEN c_mktsegment END AS relationship FROM customer WHERE c_custkey % 2 = 0")
+def lateral_profiles(spark, sf_dir):
+    """Profiles from JSON files by a lateral table function; every second file is called as no adapter reads it."""
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    inner = F.struct(F.col("c_name").alias("full_name"), F.col("c_custkey").alias("user_id"), F.col("c_mktsegment").alias("about_me"), F.when(F.col("c_custkey") % 3 == 0, F.col("c_mktsegment")).alias("relationship_status"))
+    files = _json_files(c, "archive/profile_information/", "c_custkey", F.struct(inner.alias("profile_v2")).alias("profile_information"))
+    named = files.withColumn("path", F.when(F.substring_index(F.substring_index("path", "/", -1), ".", 1).cast("long") % 2 == 0, F.col("path")).otherwise(F.replace("path", F.lit(".json"), F.lit(".txt"))))
+    adapters.register(spark)
+    named.createOrReplaceTempView("profile_files")
+    return spark.sql("SELECT f.path, p.display_name, p.facebook_id, p.bio, p.relationship FROM profile_files f, LATERAL archive_records(f.path, f.text, 'profile') p")
+
+
+@query(
+    """SELECT 'archive/posts/' || p_partkey || '.json' AS path, k::INT AS k, 'media/' || p_partkey || '_' || k || '.jpg' AS ref, CASE WHEN k = 0 THEN p_name END AS caption, CASE WHEN k = 0 THEN p_size END AS width
+FROM (SELECT *, unnest([0, 1]) AS k FROM part)"""
+)
+def lateral_references(spark, sf_dir):
+    """Files that posts name at two depths, by a lateral table function."""
+    p = spark.read.parquet(f"{sf_dir}/part.parquet")
+    uri = lambda k: F.concat(F.lit("media/"), F.col("p_partkey").cast("string"), F.lit(f"_{k}.jpg"))
+    outer = F.struct(F.struct(uri(0).alias("uri"), F.col("p_name").alias("description"), F.struct(F.col("p_size").alias("width")).alias("dimensions")).alias("media"))
+    deep = F.struct(F.array(F.struct(F.struct(uri(1).alias("uri")).alias("photo"))).alias("data"))
+    files = _json_files(p, "archive/posts/", "p_partkey", F.array(outer).alias("attachments"), F.array(deep).alias("more"))
+    return adapters.told(files, "references").select("path", "k", "ref", "caption", "width")
+
+
+@query("SELECT 'pages/' || doc_id || '.html' AS path, 0 AS place, lang AS heading, sha256(CASE WHEN length(body) > 100000 THEN substr(body, 1, 100000) || '…' ELSE body END) AS body_sha256 FROM (SELECT doc_id, lang, trim(regexp_replace(coalesce(text, ''), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')) AS body FROM documents) WHERE body <> ''")
+def lateral_cards(spark, sf_dir):
+    """Cards of HTML pages by a lateral table function."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    safe = F.replace(F.replace(F.replace(F.coalesce("text", F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    html = F.concat(F.lit("<html><body><section class='_a6-g'><h2>"), "lang", F.lit("</h2><div class='_a6-p'>"), safe, F.lit("</div></section></body></html>"))
+    files = docs.select(F.concat(F.lit("pages/"), "doc_id", F.lit(".html")).alias("path"), html.alias("text"))
+    return adapters.told(files, "cards").filter("body IS NOT NULL").select("path", "place", "heading", F.sha2("body", 256).alias("body_sha256"))

@@ -211,29 +211,40 @@ def _first_text(node: dict, keys: list[str]) -> str | None:
     return next((node[k] for k in keys if isinstance(node.get(k), str) and node[k].strip()), None)
 
 
+def _whole(x) -> int | None:
+    return int(x) if isinstance(x, (int, float)) and not isinstance(x, bool) else None
+
+
+#: What is told of a reference to a file.
+REFERENCE = ["k", "ref", "hint", "caption", "raw_time", "width", "height", "duration_ms"]
+
+
+def references_told(document):
+    """The fields of REFERENCE for each object that names a file, at any depth."""
+    for k, n in enumerate(x for x in _walk(document) if _first_text(x, FILE_KEYS)):
+        size = next((n[x] for x in ("media_metadata", "metadata", "dimensions") if isinstance(n.get(x), dict)), {})
+        at = next((n[x] for x in ("creation_timestamp", "timestamp", "creation_time") if n.get(x) is not None), None)
+        lasts = _whole(size.get("duration_ms")) or (_whole(size.get("duration")) or 0) * 1000 or None
+        yield k, _first_text(n, FILE_KEYS), _first_text(n, HINT_KEYS), _first_text(n, ["description", "caption", "title", "name"]), None if at is None else str(at), _whole(size.get("width")), _whole(size.get("height")), lasts
+
+
 def references(owners: DataFrame) -> DataFrame:
     """Every file that the records of owners (owner_type, owner_id, archive_part_id, source_path, source_index, item) name, at any depth.
 
     k numbers them within their owner; objects come in the order of their keys. ref is as it was written.
     """
     keep = ["owner_type", "owner_id", "archive_part_id", "source_path", "source_index"]
-    fields = ["k", "ref", "hint", "caption", "raw_time", "width", "height", "duration_ms"]
     kinds = (pa.int32(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32())
-    whole = lambda x: int(x) if isinstance(x, (int, float)) and not isinstance(x, bool) else None
 
     def run(batches):
         for batch in batches:
             which, out = [], []
             for row, text in enumerate(batch.column("json").to_pylist()):
-                found = [n for n in _walk(json.loads(text)) if _first_text(n, FILE_KEYS)] if text else []
-                for k, n in enumerate(found):
-                    size = next((n[x] for x in ("media_metadata", "metadata", "dimensions") if isinstance(n.get(x), dict)), {})
-                    at = next((n[x] for x in ("creation_timestamp", "timestamp", "creation_time") if n.get(x) is not None), None)
-                    lasts = whole(size.get("duration_ms")) or (whole(size.get("duration")) or 0) * 1000 or None
-                    out.append((k, _first_text(n, FILE_KEYS), _first_text(n, HINT_KEYS), _first_text(n, ["description", "caption", "title", "name"]), None if at is None else str(at), whole(size.get("width")), whole(size.get("height")), lasts))
-                    which.append(row)
+                found = list(references_told(json.loads(text))) if text else []
+                out += found
+                which += [row] * len(found)
             of = batch.select(keep).take(pa.array(which, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*of.columns, *[pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)]], names=[*keep, *fields])
+            yield pa.RecordBatch.from_arrays([*of.columns, *[pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)]], names=[*keep, *REFERENCE])
 
     schema = "owner_type string, owner_id string, archive_part_id string, source_path string, source_index int, k int, ref string, hint string, caption string, raw_time string, width int, height int, duration_ms int"
     return owners.select(*keep[:4], F.col("source_index").cast("int").alias("source_index"), F.to_json("item").alias("json")).mapInArrow(run, schema)
@@ -386,12 +397,11 @@ def _present(node: dict, *keys: str) -> str | None:
     return None if found is None or isinstance(found, (dict, list)) else str(found)
 
 
-_PROFILE = ["display_name", "facebook_id", "username", "profile_url", "bio", "joined", "relationship", "photo", "cover"]
+PROFILE = ["display_name", "facebook_id", "username", "profile_url", "bio", "joined", "relationship", "photo", "cover"]
 
 
-def _profile(text: str | None):
-    """The fields of _PROFILE, or nothing where no name is found."""
-    top = json.loads(text) if text else {}
+def profile_told(top):
+    """The fields of PROFILE, or nothing where no name is found."""
     p = _profile_root(top)
     inner = next((_object(p[k]) for k in ("profile", "basic_information", "account_information") if p.get(k) is not None), {})
     name = _first_text(p, ["name", "full_name", "display_name"]) or _first_text(_object(top), ["name"]) or _first_text(inner, ["name"])
@@ -433,11 +443,11 @@ def _facts_in(x, label: str | None = None, depth: int = 0):
                 yield from _facts_in(y, label or key, depth + 1)
 
 
-_FACT = ["key", "category", "n", "label", "value", "start", "end"]
+FACT = ["key", "category", "n", "label", "value", "start", "end"]
 
 
-def _facts(text: str | None):
-    top = json.loads(text) if text else {}
+def facts_told(top):
+    """The fields of FACT for each text or number under a known key."""
     p = _profile_root(top)
     for key, category in FACT_KEYS.items():
         found = p.get(key) if p.get(key) is not None else _object(top).get(key)
@@ -452,7 +462,7 @@ def _told_by(files: DataFrame, tell, names: list[str]) -> DataFrame:
         for batch in batches:
             which, out = [], []
             for row, text in enumerate(batch.column(2).to_pylist()):
-                for fields in tell(text):
+                for fields in tell(json.loads(text) if text else {}):
                     which.append(row)
                     out.append(fields)
             of = batch.select([0, 1]).take(pa.array(which, pa.int64()))
@@ -464,8 +474,13 @@ def _told_by(files: DataFrame, tell, names: list[str]) -> DataFrame:
 
 def profiles(files: DataFrame) -> DataFrame:
     """The owner's profile from each file that has one; those without a name are left out."""
+    return profile_table(_told_by(files, profile_told, PROFILE))
+
+
+def profile_table(told: DataFrame) -> DataFrame:
+    """Profiles from part_path, path and the fields of PROFILE."""
     local = lambda c: F.when(~S.suspicious_path(F.col(c)) & ~F.col(c).rlike(r"(?i)^https?://"), S.clean_path(F.col(c)))
-    return _told_by(files, _profile, _PROFILE).select(
+    return told.select(
         F.lit("owner").alias("id"), F.lit("owner").alias("person_id"), "display_name", "facebook_id", "username", F.when(F.col("profile_url").rlike(r"(?i)^https?://"), F.col("profile_url")).alias("profile_url"), "bio",
         S.parse_time(F.trim("joined")).alias("joined_at"), "relationship", local("photo").alias("profile_photo_path"), local("cover").alias("cover_photo_path"),
         F.col("part_path").alias("archive_part_id"), F.col("path").alias("source_path"), F.lit(None).cast("int").alias("source_index"),
@@ -474,7 +489,12 @@ def profiles(files: DataFrame) -> DataFrame:
 
 def profile_facts(files: DataFrame) -> DataFrame:
     """A fact for each text or number under a known key of a profile."""
-    return _told_by(files, _facts, _FACT).select(
+    return fact_table(_told_by(files, facts_told, FACT))
+
+
+def fact_table(told: DataFrame) -> DataFrame:
+    """Profile facts from part_path, path and the fields of FACT."""
+    return told.select(
         F.concat_ws(":", F.lit("fact"), S.slug(F.col("path")), "key", "n", S.slug(F.col("value"))).alias("id"), F.lit("owner").alias("profile_id"), "category", "label", "value",
         S.parse_time(F.trim("start")).alias("start_date"), S.parse_time(F.trim("end")).alias("end_date"), F.col("part_path").alias("archive_part_id"), F.col("path").alias("source_path"), F.col("n").cast("int").alias("source_index"),
     )

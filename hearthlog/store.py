@@ -364,8 +364,16 @@ class ArchiveStore:
     def post(self, post_id: str) -> Row | None:
         return reads.full_posts(reads.feed(self, post=post_id), self).first()
 
-    def people_page(self, limit: int | None = None, cursor: str | None = None) -> paging.Page:
-        return paging.page(reads.people_rollup(self), F.col("sort_name"), limit=limit, cursor=cursor, descending=False, name="name")
+    def people_page(self, limit: int | None = None, cursor: str | None = None, text: str | None = None) -> paging.Page:
+        n, c = paging.clamp(limit), paging.decode_cursor(cursor, "name", "id")
+
+        def cut(people: DataFrame) -> DataFrame:
+            people = people.filter(S.contains_ci(F.col("display_name"), text)) if text and text.strip() else people
+            return paging.window_of(people, F.col("sort_name"), "id", n + 1, descending=False, after=(c["name"], c["id"]) if c else None)
+
+        rows = reads.people_rollup(self, page=cut).orderBy("sort_name", "id").collect()
+        more, items = len(rows) > n, rows[:n]
+        return paging.Page(items, paging.encode_cursor(name=items[-1]["sort_name"], id=items[-1]["id"]) if more else None, more)
 
     def person(self, person_id: str) -> Row | None:
         return reads.people_rollup(self, page=lambda p: p.filter(F.col("id") == person_id)).first()
