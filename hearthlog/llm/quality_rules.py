@@ -54,7 +54,9 @@ def fit(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", least_s
     """Rules whose references are those of a trusted corpus: for each language its shares of character classes and of words.
 
     Words with at least `least_share` of a language's words are kept, so at most 1 / least_share of them, and only these
-    come to the driver. Texts without a language, and null ones, are left out; an empty corpus gives no references.
+    come to the driver. Texts without a language, and null ones, are left out. A language without frequent words, as one
+    without spaces, says that texts may have none: they lie at its reference, and the limit comes from the others. An
+    empty corpus gives no references, and then the base rules alone judge.
     """
     rows = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     patterns = ["[^a-z]", "[^A-Z]", "[^0-9]", r"[^\x20\x09-\x0D]", r"[^.,;:!?\x22\x27()\-]", None, r"[\x00-\x7F]"]
@@ -69,7 +71,7 @@ def fit(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", least_s
     shares: dict[str, dict[str, float]] = {lang: {} for lang in characters}
     for r in frequent:
         shares[r["lang"]][r["word"]] = r["share"]
-    return Rules(characters=characters, words=shares, most_word_distance=word_limit(shares)) if shares else Rules(characters={}, words={}, most_word_distance=1.0)
+    return Rules(characters=characters, words=shares, most_word_distance=word_limit(shares))
 
 
 def repeated_words(words: list[bytes], width: int = 5) -> int:
@@ -121,9 +123,12 @@ def distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
 
 
 def word_limit(words: dict, share: float = 0.01) -> float:
-    """The least distance to its reference of a text that holds `share` of frequent words, in their proportions."""
-    out = []
-    for ws in words.values():
+    """The least distance to its reference of a text that holds `share` of frequent words, in their proportions.
+
+    References without words don't count; without any other nothing is too far.
+    """
+    out = [1.0]
+    for ws in filter(None, words.values()):
         q = np.array([*ws.values(), 1 - sum(ws.values())])
         p = np.array([*(share * x / sum(ws.values()) for x in ws.values()), 1 - share])
         out.append(float(distance(1e6 * p[None], q)[0]))
@@ -131,7 +136,7 @@ def word_limit(words: dict, share: float = 0.01) -> float:
 
 
 def measure(texts: list[str | None], rules: Rules) -> list[tuple]:
-    """For each text: the four counts of the contract after n_words, and the two least distances to a reference."""
+    """For each text: the counts of the contract, and the two least distances to a reference, 0 where there is none."""
     vocabulary = sorted({w for ws in rules.words.values() for w in ws})
     position = {w.encode(): i for i, w in enumerate(vocabulary)}
     counts, kinds, common = [], np.zeros((len(texts), len(CLASSES))), np.zeros((len(texts), len(vocabulary) + 1))
@@ -151,9 +156,10 @@ def measure(texts: list[str | None], rules: Rules) -> list[tuple]:
         for w in plain.keys() & position.keys():
             common[i, position[w]] = plain[w]
         common[i, -1] = sum(plain.values()) - common[i].sum()
-    by_char = np.min([distance(kinds, np.array(q)) for q in rules.characters.values()], axis=0)
+    least = lambda found: np.min(found, axis=0) if found else np.zeros(len(texts))
+    by_char = least([distance(kinds, np.array(q)) for q in rules.characters.values()])
     reference = [np.array([*(ws.get(w, 0) for w in vocabulary), 1 - sum(ws.values())]) for ws in rules.words.values()]
-    by_word = np.min([distance(common, q) for q in reference], axis=0)
+    by_word = least([distance(common, q) for q in reference])
     return [(*c, round(float(a), 6), round(float(b), 6)) for c, a, b in zip(counts, by_char, by_word)]
 
 

@@ -234,3 +234,21 @@ def test_op3_texts_of_one_id_with_equal_checksums(spark):
     want = {r["doc_id"]: tuple(r)[1:] for r in suffix_dedup.remove_repeats(table(spark, [(k, t) for k, (_, _, t) in enumerate(apart)])).collect()}
     got = sorted(tuple(r) for r in suffix_dedup.remove_repeats(table(spark, rows)).collect())
     assert got == sorted((i, *want[numbered[i, name(t)]]) for i, t in rows)
+
+
+def test_fitted_rules_of_thin_corpora(spark):
+    """An empty corpus leaves the base rules alone; a language without frequent words changes no other language's limit."""
+    from hearthlog.llm import quality_rules
+
+    english = [f"the a{k} cat and the b{k} dog of the c{k} house and a d{k} bird in the e{k} tree" for k in range(300)]
+    foreign = [f"q{k}z r{k}z" for k in range(3000)]
+    schema = "doc_id long, lang string, text string"
+    trusted = lambda rows: quality_rules.fit(spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], schema))
+    docs = spark.createDataFrame([(1, "en", " ".join(english[:5])), (2, "xx", " ".join(foreign[:60])), (3, "en", "too short"), (4, "en", None), (5, "en", "")], schema)
+    kept = lambda rules: {r["doc_id"] for r in quality_rules.score(docs, rules).filter("kept").collect()}
+
+    nothing = trusted([("en", None), (None, "text")])
+    assert not nothing.words and kept(nothing) == {1, 2}
+    assert {r["doc_id"] for r in quality_rules.keep_good(docs, nothing).collect()} == {1, 2}
+    one, both = trusted([("en", t) for t in english]), trusted([("en", t) for t in english] + [("xx", t) for t in foreign])
+    assert kept(one) == {1} and both.words["xx"] == {} and both.most_word_distance == one.most_word_distance > 0 and kept(both) == {1, 2}
