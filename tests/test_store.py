@@ -73,3 +73,16 @@ def test_parts_merge(spark, tmp_path):
         assert (p["username"], p["first_seen"], p["last_seen"], p["source_paths"], p["identity_confidence"], p["is_archive_owner"]) == ("ann", "2019", "2021", ["p", "q"], "exact", False)
         assert s.posts.first()["body"] == "zz" and s.posts.count() == 1
         s.compact()
+
+
+def test_pages_of_people(spark, tmp_path):
+    """Pages go on behind their cursor, a text narrows them, and numbers are those of the page's own people."""
+    s = ArchiveStore(spark, str(tmp_path))
+    person = lambda k, name: {"id": f"person:{k}", "display_name": name, "source_path": "x"}
+    chat = {"id": "conversation:1", "participant_names": ["a", "b"], "participant_ids": ["person:1", "person:1", "person:2"], "source_path": "x"}
+    s.import_part("p1", {"people": rows(spark, "people", person(1, "bea"), person(2, "Abe"), person(3, "Cee"), person(11, "bea")), "conversations": rows(spark, "conversations", chat)})
+    first = s.people_page(limit=2)
+    assert [(r["id"], r["participation_count"]) for r in first.items] == [("person:2", 1), ("person:1", 1)] and first.has_more
+    rest = s.people_page(limit=2, cursor=first.next_cursor)
+    assert [(r["id"], r["participation_count"]) for r in rest.items] == [("person:11", 0), ("person:3", 0)] and not rest.has_more
+    assert [r["id"] for r in s.people_page(text=" BE ").items] == ["person:2", "person:1", "person:11"] and s.people_page(text="zz").items == []
