@@ -126,13 +126,14 @@ class _Windowed:
 class Phase:
     """A part of a build: the table that it goes through by key, and the rows that a window of it gives, by table.
 
-    `source` gets a reader of what earlier phases of the same build have made.
+    `source` gets a reader of what earlier phases of the same build have made; `level` says how many phases it stands
+    behind: one that reads what others made waits until those are committed.
     """
 
     key: str
     source: Callable[[Callable[[str], DataFrame]], DataFrame]
     rows: Callable[[DataFrame], dict[str, DataFrame]]
-    reads_made: bool = False
+    level: int = 0
 
 
 def phases(a, kind: str) -> dict[str, Phase]:
@@ -144,8 +145,9 @@ def phases(a, kind: str) -> dict[str, Phase]:
     if kind == "activity":
         return {t: of(t, "ledger", ledger_branches) for t in LEDGER_SOURCES}
     out = {t: of(t, "search_documents", document_branches) for t in DOCUMENT_SOURCES}
-    out["postings"] = Phase("entity_id", lambda made: made("search_documents"), lambda rows: {"postings": search.stored_postings(rows)}, True)
-    out["corpus"] = Phase("documents", lambda made: search.corpus(made("search_documents")), lambda rows: {"corpus": rows}, True)
+    out["postings"] = Phase("entity_id", lambda made: made("search_documents"), lambda rows: {"postings": search.stored_postings(rows)}, 1)
+    out["corpus"] = Phase("documents", lambda made: search.corpus(made("search_documents")), lambda rows: {"corpus": rows}, 1)
+    out["terms"] = Phase("term", lambda made: search.stored_terms(made("postings")), lambda rows: {"terms": rows}, 2)
     return out
 
 

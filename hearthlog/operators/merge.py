@@ -83,8 +83,21 @@ def fold_sections(sections: DataFrame) -> DataFrame:
 
 
 def fold_warnings(warnings: DataFrame, most_paths: int = 32) -> DataFrame:
-    """Count and first distinct paths of each category; the paths are cut after they are collected as a set."""
-    return warnings.groupBy("category").agg(F.sum("n").alias("n"), F.slice(F.array_sort(F.collect_set("path")), 1, most_paths).alias("paths"))
+    """n and the first distinct paths of each category."""
+    return with_first(warnings, ["category"], "path", most_paths, F.sum("n").alias("n")).withColumnRenamed("path", "paths")
+
+
+def with_first(rows: DataFrame, keys: list[str], value: str, most: int, *aggregates: Column) -> DataFrame:
+    """The aggregates of each key with its `most` least distinct values as an array; every task passes on only so many.
+
+    Null keys make a group too; null values don't count.
+    """
+    place = F.row_number().over(W.partitionBy(*keys).orderBy(value))
+    least = rows.filter(F.col(value).isNotNull()).select(*keys, value).distinct().withColumn("__k", place).filter(F.col("__k") <= most)
+    first = least.groupBy(*keys).agg(F.array_sort(F.collect_list(value)).alias("__v")).select(*[F.col(k).alias(f"__{k}") for k in keys], "__v")
+    same = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys))
+    both = rows.groupBy(*keys).agg(*aggregates).join(first, same, "left")
+    return both.withColumn(value, F.coalesce("__v", F.array().cast(f"array<{rows.schema[value].dataType.simpleString()}>"))).drop("__v", *[f"__{k}" for k in keys])
 
 
 def match_parts(expected: DataFrame, found: DataFrame) -> DataFrame:

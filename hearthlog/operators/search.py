@@ -24,6 +24,7 @@ SEPARATOR = r"[^\p{L}\p{N}\p{Co}]+"
 BUCKETS = 64
 POSTINGS = "term string, entity_type string, entity_id string, title array<int>, body array<int>, context array<int>, length long, created_at string, bucket int"
 CORPUS = "documents long, length double"
+TERMS = "term string, docs long, n long"
 
 
 @lru_cache(1)
@@ -78,14 +79,21 @@ def _bucket(term: Column) -> Column:
 def stored_postings(docs: DataFrame) -> DataFrame:
     """A row for each term of each document: where it stands in each column, and the document's length and date.
 
-    Rows are ordered by term within their bucket, so that a query reads few row groups.
+    Rows are dealt by ranges of bucket, term and document and sorted so, so that a query reads few row groups and the
+    list of a word that nearly every document has is written by several tasks.
     """
     places = lambda c: F.transform(tokens(F.col(c)), lambda t, i: F.struct(t.alias("term"), F.lit(c).alias("col"), i.alias("pos")))
     every = docs.select("entity_type", "entity_id", "created_at", F.concat(*map(places, COLUMNS)).alias("p"))
     met = every.select("entity_type", "entity_id", "created_at", F.size("p").cast("long").alias("length"), F.explode("p").alias("p"))
     at = lambda c: F.array_sort(F.collect_list(F.when(F.col("p.col") == c, F.col("p.pos")))).alias(c)
     rows = met.groupBy(F.col("p.term").alias("term"), "entity_type", "entity_id", "length", "created_at").agg(*map(at, COLUMNS))
-    return rows.select("term", "entity_type", "entity_id", *COLUMNS, "length", "created_at", _bucket(F.col("term")).alias("bucket")).repartition("bucket").sortWithinPartitions("bucket", "term")
+    order = ["bucket", "term", "entity_id"]
+    return rows.select("term", "entity_type", "entity_id", *COLUMNS, "length", "created_at", _bucket(F.col("term")).alias("bucket")).repartitionByRange(*order).sortWithinPartitions(*order)
+
+
+def stored_terms(stored: DataFrame) -> DataFrame:
+    """term, docs, n from stored postings, of which a document has one a term; texts aren't read again."""
+    return stored.groupBy("term").agg(F.count("*").alias("docs"), F.sum(sum((F.size(c) for c in COLUMNS), F.lit(0))).alias("n"))
 
 
 def corpus(docs: DataFrame) -> DataFrame:
@@ -118,7 +126,7 @@ def scored(stored: DataFrame, numbers: DataFrame, text: str, where: Column | Non
     docs = read.groupBy("entity_type", "entity_id", "created_at", "length").agg(*[place(i, c) for i in range(len(terms)) for c in COLUMNS])
 
     def followed(starts: Column, places: Column, k: int) -> Column:
-        return F.filter(starts, lambda p: F.array_contains(places, p + k))
+        return F.array_intersect(starts, F.transform(places, lambda p: p - k))  # by a hash set, not place by place
 
     def found(phrase: list[str], c: str) -> Column:
         at = [F.col(f"{c}{terms.index(t)}") for t in phrase]
@@ -168,10 +176,25 @@ def _behind(cursor: str | None, rank: Column | None) -> Column:
 _ORDER = lambda: (F.desc(F.coalesce("created_at", F.lit(""))), "entity_id", "entity_type")
 
 
+def documents_of(docs: DataFrame, keys: list[tuple[str, str]]) -> DataFrame:
+    """The documents with these (entity_type, entity_id), a page's worth.
+
+    Each id is a test of its own, which the Parquet reader holds against statistics and Bloom filters of row groups;
+    of a longer list of values it would take the least and the largest only.
+    """
+    ids = sorted({i for _, i in keys})
+    wanted = reduce(lambda a, b: a | b, (F.col("entity_id") == i for i in ids), F.lit(False))
+    return docs.filter(wanted & F.col("entity_type").isin(sorted({t for t, _ in keys})))
+
+
 def ranked_page(docs: DataFrame, stored: DataFrame, numbers: DataFrame, text: str, where: Column | None, limit: int, cursor: str | None = None) -> SearchPage:
-    """A page of hits; only the page's own documents are read."""
+    """A page of hits; of the documents, row groups without any of the page's own aren't read."""
     hits = scored(stored, numbers, text, where).filter(_behind(cursor, F.col("rank"))).orderBy("rank", *_ORDER()).limit(limit + 1)
-    found = docs.drop("created_at").join(F.broadcast(hits), ["entity_type", "entity_id"])
+    best = hits.collect()  # at most limit + 1 rows
+    if not best:
+        return _search_page([], limit, "ranked")
+    ranks = docs.sparkSession.createDataFrame(best, hits.schema)
+    found = documents_of(docs, [(r["entity_type"], r["entity_id"]) for r in best]).drop("created_at").join(F.broadcast(ranks), ["entity_type", "entity_id"])
     found = found.withColumn("snippet", snippet(F.col("body"), query_phrases(text)))
     return _search_page(found.orderBy("rank", *_ORDER()).collect(), limit, "ranked")
 

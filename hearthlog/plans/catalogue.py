@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from hearthlog.functions import scalars as S
-from hearthlog.operators import derived, merge, paging, reads, search
+from hearthlog.operators import backfill, derived, diagnostics, merge, paging, reads, search
 from hearthlog.plans.bindings import CTES, Archive
 from hearthlog.streaming import ingest
 
@@ -336,6 +336,34 @@ def section_status_fold(a):
     return merge.fold_sections(a.table("supplier").select((F.col("s_nationkey") % 5).alias("section"), F.col("s_suppkey").alias("seq"), status.alias("status"), F.col("s_suppkey").alias("records"), (F.col("s_suppkey") % 3).alias("warnings")))
 
 
+@query(
+    """SELECT list_sort(list(DISTINCT section) FILTER (true)) AS detected, list_sort(list(DISTINCT section) FILTER (status = 'imported')) AS imported, list_sort(list(DISTINCT section) FILTER (status = 'partial')) AS partial,
+  list_sort(list(DISTINCT section) FILTER (status = 'malformed')) AS malformed, (SELECT list_sort(list('supplier:' || s_suppkey)) FROM supplier WHERE s_suppkey % 7 = 3) AS skipped_parts
+FROM (SELECT 's' || s_nationkey AS section, ['detected', 'imported', 'partial', 'malformed'][s_nationkey % 4 + 1] AS status FROM supplier)"""
+)
+def coverage_sets(a):
+    """Sections and parts of which each supplier's nation is one."""
+    rows = a.table("supplier").select(F.concat(F.lit("s"), F.col("s_nationkey").cast("string")).alias("section"), F.element_at(F.array(*map(F.lit, ["detected", "imported", "partial", "malformed"])), (F.col("s_nationkey") % 4 + 1).cast("int")).alias("status"), "s_suppkey")
+    states = rows.select(F.concat(F.lit("supplier:"), F.col("s_suppkey").cast("string")).alias("part_id"), F.when(F.col("s_suppkey") % 7 == 3, "skipped").otherwise("complete").alias("status"))
+    folded = merge.fold_sections(rows.select("section", "status", F.col("s_suppkey").alias("seq"), F.lit(1).alias("records"), F.lit(0).alias("warnings")))
+    return diagnostics.coverage_sets(rows.select(F.array("section").alias("sections")), folded, states).select("detected", "imported", "partial", "malformed", "skipped_parts")
+
+
+@query(
+    """SELECT 'person:legacy:' || id || ':' || regexp_replace(lower(name), '[^a-z0-9]+', '-', 'g') AS id, name AS display_name, 'ambiguous' AS identity_confidence, false AS is_archive_owner
+FROM (SELECT id, unnest(participant_names) AS name FROM chats)
+UNION ALL SELECT person_id, display_name, 'exact', true FROM profiles"""
+)
+def legacy_people(a):
+    """People of a store that has none: the owner, and who is named in conversations."""
+    return backfill.legacy_people(a.profiles.withColumn("source_path", F.lit(None).cast("string")), a.conversations).select("id", "display_name", "identity_confidence", "is_archive_owner")
+
+
+@query("SELECT id, 'person:legacy:' || conversation_id || ':' || regexp_replace(lower(sender_name), '[^a-z0-9]+', '-', 'g') AS sender_id FROM messages")
+def legacy_senders(a):
+    return backfill.legacy_senders(a.messages).select("id", "sender_id")
+
+
 @query("SELECT category, sum(n)::BIGINT AS n, array_to_string(list_sort(list(DISTINCT path))[1:8], ',') AS paths FROM (SELECT l_returnflag AS category, 1 AS n, l_linestatus || (l_partkey % 40) AS path FROM lineitem) GROUP BY category")
 def warning_groups(a):
     w = a.table("lineitem").select(F.col("l_returnflag").alias("category"), F.lit(1).alias("n"), F.concat("l_linestatus", (F.col("l_partkey") % 40).cast("string")).alias("path"))
@@ -636,10 +664,19 @@ corpus AS (SELECT count(*)::DOUBLE AS n, avg(dl) AS avgdl, sum(CASE WHEN f > 0 T
 )
 def search_stored(a):
     """Two terms by stored postings, which are written and read again."""
+    return stored_hits(*build_stored(a))
+
+
+def build_stored(a) -> tuple[DataFrame, DataFrame]:
+    """The postings and the numbers of the corpus, written and read again."""
     folder = ingest.shared_folder(a.spark, f"postings-{uuid.uuid4().hex}")
-    search.stored_postings(_docs(a)).write.partitionBy("bucket").parquet(folder)
-    stored = a.spark.read.schema(search.POSTINGS).parquet(folder)
-    return search.scored(stored, search.corpus(_docs(a)), "Idiot ÉN").select("entity_id", F.round("rank", 4).alias("rank"))
+    search.stored_postings(_docs(a)).write.partitionBy("bucket").parquet(f"{folder}/postings")
+    search.corpus(_docs(a)).write.parquet(f"{folder}/corpus")
+    return a.spark.read.schema(search.POSTINGS).parquet(f"{folder}/postings"), a.spark.read.schema(search.CORPUS).parquet(f"{folder}/corpus")
+
+
+def stored_hits(stored: DataFrame, numbers: DataFrame) -> DataFrame:
+    return search.scored(stored, numbers, "Idiot ÉN").select("entity_id", F.round("rank", 4).alias("rank"))
 
 
 @query("SELECT entity_id FROM words WHERE (' ' || array_to_string(t, ' ') || ' ') LIKE '% of the %' OR (' ' || array_to_string(b, ' ') || ' ') LIKE '% of the %'", _TEXTS)

@@ -20,7 +20,7 @@ from pyspark.sql.types import StructType
 
 from hearthlog.commits import CommitLog
 from hearthlog.functions import scalars as S
-from hearthlog.operators import derived, diagnostics, merge, paging, reads, search
+from hearthlog.operators import backfill, derived, diagnostics, merge, paging, reads, search
 from hearthlog.schemas import SCHEMAS
 from hearthlog.sources import archives
 from hearthlog.streaming import ingest
@@ -38,14 +38,18 @@ BOOKS = {
 }
 #: One row for each of these; of several the last.
 BOOK_KEYS = {"files": ["part_id", "path"], "parts": ["part_id"], "sources": ["part_id"]}
-DERIVED = {"ledger": derived.LEDGER, "search_documents": derived.DOCUMENTS, "postings": search.POSTINGS, "corpus": search.CORPUS}
+DERIVED = {"ledger": derived.LEDGER, "search_documents": derived.DOCUMENTS, "postings": search.POSTINGS, "corpus": search.CORPUS, "terms": search.TERMS}
 #: The builds and the tables that each makes.
-JOBS = {"activity": ("ledger",), "search": ("search_documents", "postings", "corpus")}
+JOBS = {"activity": ("ledger",), "search": ("search_documents", "postings", "corpus", "terms")}
 PARTITIONS = {"ledger": "calendar_year", "postings": "bucket"}
+#: Tables that are written in ranges of a key, with Bloom filters on it, as they are read by few values of it.
+CLUSTERED = {"search_documents": "entity_id"}
 #: The part and place from which a record came; records arrive in this order.
 ARRIVAL = ("__seq", "source_path", "source_index")
 #: Generations that are read side by side before they are written as one.
 MOST_PARTS = 32
+#: What a commit says of its records: before 2 they may lack the part that they came from, and people.
+FORMAT = 2
 
 
 class Interrupted(Exception):
@@ -83,26 +87,30 @@ class ArchiveStore:
     def _schema(self, name: str) -> StructType:
         return SCHEMAS.get(name) or StructType.fromDDL(DERIVED.get(name) or BOOKS[name])
 
-    def _write(self, tables: dict[str, DataFrame], added: frozenset[str] = frozenset(), finals: tuple[str, ...] = (), job: dict | None = None, same: bool = False, since: int | None = None) -> bool:
+    def _write(self, tables: dict[str, DataFrame], added: frozenset[str] = frozenset(), finals: tuple[str, ...] = (), job: dict | None = None, same: bool = False, since: int | None = None, careful: bool = False) -> bool:
         """Commits tables together; those in `added` go beside what is there, the others replace it.
 
         False, and nothing is changed, if since generation `since` another writer has finished one of the parts
-        `finals`, or changed a table that this change replaces as it was then, or moved the job.
+        `finals`, or changed a table that this change replaces as it was then (`same`, or `careful`), or moved the job.
         """
         if self._pin is not None:
             raise ValueError("a pinned archive is read only")
         seen = since if since is not None else max((c["generation"] for c in self.log.all()), default=0)
         folder = f"v-{uuid.uuid4().hex}"
         for name, df in tables.items():
+            if key := CLUSTERED.get(name):
+                df = df.repartitionByRange(key).sortWithinPartitions(key)
             writer = df.write.mode("overwrite")
+            if key:
+                writer = writer.option(f"parquet.bloom.filter.enabled#{key}", "true")
             (writer.partitionBy(PARTITIONS[name]) if name in PARTITIONS else writer).parquet(f"{self.root}/{folder}/{name}")
-        commit = {"folder": folder, "tables": {n: n not in added for n in tables}, "finals": list(finals), "job": job, "same": same}
+        commit = {"folder": folder, "tables": {n: n not in added for n in tables}, "finals": list(finals), "job": job, "same": same, "format": FORMAT}
         while True:
             now = self.log.all()
             for c in now:
                 if c["generation"] > seen:
                     replaced = {n for n, whole in commit["tables"].items() if whole and not job}
-                    if set(finals) & set(c["finals"]) or replaced & set(c["tables"]) and same or job and c["job"] and c["job"]["kind"] == job["kind"]:
+                    if set(finals) & set(c["finals"]) or replaced & set(c["tables"]) and (same or careful) or job and c["job"] and c["job"]["kind"] == job["kind"]:
                         return False
             if self.log.take(max((c["generation"] for c in now), default=0) + 1, commit):
                 self._views.clear()
@@ -179,6 +187,29 @@ class ArchiveStore:
             if not several or self._write({n: self.table(n) for n in several}, same=True, since=seen):
                 return
 
+    def backfill(self) -> list[str]:
+        """Brings records of commits before FORMAT up to it, in one commit; the tables that were written.
+
+        Records without a part get the first that was ever imported. Where nobody is known, people are made of the
+        profile and of the names in conversations, and messages get them as senders. A second call finds nothing to
+        do. If another import comes in between, it tries again.
+        """
+        while True:
+            seen = max((c["generation"] for c in self.log.all()), default=0)
+            self._views.clear()
+            old = [n for n in SCHEMAS if any(c.get("format", 1) < FORMAT for c in self._generations(n))]
+            if not old:
+                return []
+            part = next((c["finals"][0] for c in self.commits() if c["finals"]), "part:legacy")
+            new = {n: self.table(n) for n in old}
+            if self.people.isEmpty():
+                new["people"] = backfill.legacy_people(self.profiles, self.conversations)
+                new["conversations"] = backfill.legacy_participants(self.conversations)
+                new["messages"] = backfill.legacy_senders(self.messages)
+            tables = {n: backfill.with_part(df, part) if "archive_part_id" in df.columns and n != "people" else df for n, df in new.items()}
+            if self._write(tables, since=seen, careful=True):
+                return sorted(tables)
+
     def __getattr__(self, name: str) -> DataFrame:
         if name in SCHEMAS:
             return self.table(name)
@@ -272,6 +303,29 @@ class ArchiveStore:
         rows = self.media.join(owned.withColumnRenamed("part_id", "owner_part"), "path", "left").join(there, "owner_part", "left")
         return rows.withColumn("connected", F.coalesce("connected", F.lit(False)))
 
+    def identity(self) -> Row | None:
+        """filename, bytes, entries, fingerprint and known entries of the first part; None before an import."""
+        first = self.table("parts").select("filename", "bytes", "entries", F.regexp_replace("part_id", "^part:", "").alias("fingerprint"), F.col("known").alias("known_entries"), "part_path")
+        return first.orderBy("part_path", "fingerprint").drop("part_path").first()
+
+    def archive_set(self) -> Row | None:
+        """One row of all parts together: their number, size, identity whatever their order, format and status."""
+        parts = self.table("parts").select(F.regexp_replace("part_id", "^part:", "").alias("fingerprint"), "bytes", "format", "part_id")
+        rows = parts.join(self.table("states").select("part_id", "status"), "part_id", "left")
+        kind = F.when(F.count_distinct("format") > 1, "mixed").otherwise(F.max("format"))
+        status = F.when(F.bool_or(F.col("status") == "failed"), "failed").when(F.bool_and(F.coalesce("status", F.lit("pending")).isin("complete", "skipped")), "complete").otherwise("incomplete")
+        whole = rows.agg(F.sum("bytes").alias("bytes"), kind.alias("format"), status.alias("status"))
+        found = archives.set_fingerprint(parts).crossJoin(whole).first()  # one row each
+        return found if found["parts"] else None
+
+    def coverage_sets(self) -> Row:
+        """One row of lists: the sections that parts have, those imported, partial, unsupported and malformed, and the parts that were skipped."""
+        return diagnostics.coverage_sets(self.table("parts"), merge.fold_sections(self.table("sections")), self.table("states")).first()
+
+    def term_statistics(self) -> DataFrame:
+        """term, docs, n of the search as it was built; empty while it is out of date."""
+        return self.table("terms")
+
     def coverage(self) -> DataFrame:
         return diagnostics.coverage(merge.fold_sections(self.table("sections")))
 
@@ -301,7 +355,7 @@ class ArchiveStore:
         todo = names[names.index(job["phase"]) + bool(job["phase_done"]) :]
         while todo:
             # Phases that read what this build has made wait until that is committed.
-            now = [n for n in todo if phases[n].reads_made == phases[todo[0]].reads_made]
+            now = [n for n in todo if phases[n].level == phases[todo[0]].level]
             sources = [(n, phases[n], phases[n].source(lambda table, j=job: self._derived(table, j))) for n in now]
             for step in derived.steps(sources, job["cursor"], window_rows):
                 if stop():
@@ -431,6 +485,13 @@ class ArchiveStore:
 
     # -- what pages show together, from one state of the archive
 
+    def home_page(self, month: int, day: int, as_of_year: int) -> dict[str, object]:
+        """The newest posts, the numbers of people and media, the years that the archive spans, and three memories of a day."""
+        now = self.pinned()
+        numbers = now.stats()
+        span = [numbers[k][:4] for k in ("activity_first", "activity_last") if numbers.get(k)]
+        return {"posts": now.posts_page(), "people": int(numbers["people"]), "media": int(numbers["media"]), "years": tuple(span) if len(span) == 2 else None, "memories": now.memories(month, day, as_of_year, 3).collect()}
+
     def profile_page(self) -> dict[str, object]:
         """The profile with its person, and the first friends, albums, photos and own posts."""
         now = self.pinned()

@@ -186,3 +186,51 @@ def test_pages_from_one_state(spark, tmp_path):
     assert (thread["title"], [m["body"] for m in thread["messages"]], thread["has_more"]) == ("Talk", ["1", "2"], True)
     person = s.person_page("person:1")
     assert person["person"]["post_count"] == 300 and len(person["posts"]) == 5 and person["link"].endswith("Ann")
+
+
+def test_backfill_of_earlier_records(spark, tmp_path, monkeypatch):
+    s = ArchiveStore(spark, str(tmp_path / "a"))
+    made = lambda t, *rows: spark.createDataFrame([tuple(r.get(f) for f in SCHEMAS[t].names) for r in rows], SCHEMAS[t])
+    chat = {"id": "conversation:1", "title": "Talk", "participant_names": ["Bob É.", "bob é", None], "participant_ids": []}
+    talk = [{"id": "m:1", "conversation_id": "conversation:1", "sender_name": "Bob É.", "body": "hi", "sent_at": "2024-01-01T00:00:01.000Z"}, {"id": "m:2", "conversation_id": "conversation:1", "body": "anonymous"}]
+    old = {"conversations": made("conversations", chat), "messages": made("messages", *talk), "profiles": made("profiles", {"id": "profile:owner", "person_id": "person:1", "display_name": "Ann", "source_path": "p.json"}), "people": made("people")}
+    monkeypatch.setattr("hearthlog.store.FORMAT", 1)
+    s._write(old)
+    s._write({"posts": made("posts", {"id": "post:1", "body": "x"}, {"id": "post:2", "body": "y", "archive_part_id": "p7"})}, added=frozenset(["posts"]), finals=("p3",))
+    monkeypatch.undo()
+    s.run_derived()
+    before = s.pinned()
+    assert s.backfill() == ["conversations", "messages", "people", "posts", "profiles"] and s.backfill() == []
+    assert {r["id"]: r["archive_part_id"] for r in s.posts.collect()} == {"post:1": "p3", "post:2": "p7"} and {r["id"]: r["archive_part_id"] for r in before.posts.collect()} == {"post:1": None, "post:2": "p7"}
+    legacy = "person:legacy:conversation:1:bob-"
+    assert {(r["id"], r["display_name"], r["identity_confidence"], r["is_archive_owner"]) for r in s.people.collect()} == {("person:1", "Ann", "exact", True), (legacy, "Bob É.", "ambiguous", False)}
+    assert s.conversations.first()["participant_ids"] == [legacy, legacy, None] and {r["id"]: r["sender_id"] for r in s.messages.collect()} == {"m:1": legacy, "m:2": None}
+    assert s.derived_status()["search"] == "pending" and s.is_final("p3")
+    # what is stored now is as it should be, and an import that comes in between isn't lost
+    assert s.import_part("p4", {"posts": made("posts", {"id": "post:3", "body": "z"})}) and s.backfill() == []
+    other = ArchiveStore(spark, str(tmp_path / "b"))
+    monkeypatch.setattr("hearthlog.store.FORMAT", 1)
+    other._write({"posts": made("posts", {"id": "post:1", "body": "x"})}, finals=("p1",))
+    monkeypatch.undo()
+    second, take, lost = ArchiveStore(spark, other.root), other.log.take, []
+    other.log.take = lambda n, c: (None if lost else (lost.append(1), second.import_part("p2", {"posts": made("posts", {"id": "post:2", "body": "y"})})), take(n, c))[1]
+    assert "posts" in other.backfill() and {r["id"]: r["archive_part_id"] for r in other.posts.collect()} == {"post:1": "p1", "post:2": "p2"}
+
+
+def test_what_is_known_of_parts(spark, tmp_path):
+    s = ArchiveStore(spark, str(tmp_path / "s"))
+    assert s.identity() is None and s.archive_set() is None and s.coverage_sets()["detected"] == []
+    zips = tmp_path / "zips"
+    zips.mkdir()
+    pack(zips / "1.zip", {"profile_information/profile_information.json": {"profile_v2": {"name": "Ann"}}, "your_facebook_activity/posts/your_posts.json": [{"timestamp": 1709632800, "title": "One", "data": [{"post": "text"}]}]})
+    pack(zips / "2.zip", {"your_facebook_activity/posts/your_posts_2.json": "{", "friends_and_followers/friends.json": {"friends_v2": [{"name": "Bob", "timestamp": 1700000000}]}})
+    archive_import.import_archive(s, str(zips))
+    whole, first = s.archive_set(), s.identity()
+    assert (whole["parts"], whole["format"], whole["status"], len(whole["fingerprint"])) == (2, "json", "complete", 8) and whole["bytes"] == sum(r["bytes"] for r in s.table("parts").collect())
+    assert (first["filename"], first["entries"]) == ("1.zip", 2) and first["known_entries"]
+    s.mark_part("part:none", "skipped")
+    sets = s.coverage_sets()
+    assert sets.asDict() == {"detected": ["Friends", "Posts", "Profile"], "imported": ["connections", "profile"], "partial": [], "unsupported": [], "malformed": ["posts"], "skipped_parts": ["part:none"]}
+    s.run_derived()
+    home = s.home_page(3, 5, 2026)
+    assert [p["title"] for p in home["posts"].items] == ["One"] and home["people"] == s.people.count() and home["media"] == 0 and home["years"] == ("2023", "2024") and [m["calendar_year"] for m in home["memories"]] == [2024]

@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 from hearthlog.schemas import SCHEMAS
 from hearthlog.store import ArchiveStore
 
@@ -86,3 +88,47 @@ def test_pages_of_people(spark, tmp_path):
     rest = s.people_page(limit=2, cursor=first.next_cursor)
     assert [(r["id"], r["participation_count"]) for r in rest.items] == [("person:11", 0), ("person:3", 0)] and not rest.has_more
     assert [r["id"] for r in s.people_page(text=" BE ").items] == ["person:2", "person:1", "person:11"] and s.people_page(text="zz").items == []
+
+
+def test_stored_search(spark, tmp_path):
+    """Postings in ranges, phrases, terms and pages that read their own documents only, against plain loops."""
+    import random
+
+    from hearthlog.operators import search
+
+    dice = random.Random(5)
+    bodies = [" ".join(dice.choice(["a", "a", "b", "the", "lake", "x"]) for _ in range(dice.randrange(60))) for _ in range(120)] + ["a " * 3000, "", None]
+    s = ArchiveStore(spark, str(tmp_path / "c"))
+    s.import_part("p1", {"posts": rows(spark, "posts", *[{"id": f"post:{k:03}", "body": b} for k, b in enumerate(bodies)])})
+    s.run_derived(window_rows=50)
+    words = {f"post:{k:03}": (b or "").split() for k, b in enumerate(bodies)}
+    for phrase in (["a", "a"], ["the", "lake"], ["a", "b", "a"]):
+        n = {i: sum(w[k : k + len(phrase)] == phrase for k in range(len(w))) for i, w in words.items()}
+        hits = search.scored(s.table("postings"), s.table("corpus"), "-".join(phrase))
+        assert {r["entity_id"] for r in hits.collect()} == {i for i, c in n.items() if c}
+    told = {r["term"]: (r["docs"], r["n"]) for r in s.term_statistics().collect()}
+    assert told == {t: (sum(t in w for w in words.values()), sum(w.count(t) for w in words.values())) for t in {x for w in words.values() for x in w}}
+    assert told == {r["term"]: (r["docs"], r["n"]) for r in search.term_statistics(s.table("search_documents")).collect()}
+    page = s.search_page("lake", limit=7)
+    wanted = search.documents_of(s.table("search_documents"), [(r["entity_type"], r["entity_id"]) for r in page.items])
+    assert {r["entity_id"] for r in wanted.collect()} == {r["entity_id"] for r in page.items} and len(page.items) == 7
+    plan = wanted._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters" in plan and f"EqualTo(entity_id,{page.items[0]['entity_id']})" in plan
+    # a word that every document has is written by several tasks
+    many = spark.range(4000).select(F.lit("post").alias("entity_type"), F.col("id").cast("string").alias("entity_id"), F.lit(None).cast("string").alias("title"), F.lit("common").alias("body"), F.lit("").alias("context"), F.lit(None).cast("string").alias("created_at"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        tasks = search.stored_postings(many).groupBy(F.spark_partition_id()).count().collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(tasks) > 2 and sum(r["count"] for r in tasks) == 4000
+
+
+def test_first_values_of_groups(spark):
+    from hearthlog.operators import merge
+
+    given = spark.createDataFrame([("a", f"p{k % 50:02}") for k in range(500)] + [("b", None), (None, "q")], "k string, v string")
+    got = {r["k"]: (r["n"], r["v"]) for r in merge.with_first(given, ["k"], "v", 3, F.count("*").alias("n")).collect()}
+    assert got == {"a": (500, ["p00", "p01", "p02"]), "b": (1, []), None: (1, ["q"])}
+    assert merge.with_first(given.limit(0), ["k"], "v", 3, F.count("*").alias("n")).collect() == []
+    assert "WindowGroupLimit" in merge.with_first(given, ["k"], "v", 3, F.count("*").alias("n"))._jdf.queryExecution().toString()
