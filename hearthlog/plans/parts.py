@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import sys
 import uuid
 from collections.abc import Callable
 
@@ -28,18 +29,18 @@ def query(sql: str | None = None):
     return register
 
 
-def _zipped(spark: SparkSession, files: DataFrame) -> str:
-    """The folder of parts that hold `files` (path, text)."""
+def _zipped(spark: SparkSession, files: DataFrame, rows: str) -> DataFrame:
+    """`rows` of parts that hold `files` (path, text). The limits of a folder are for what users bring; here every part counts."""
     folder = f"{ingest.shared_folder(spark, f'parts-{uuid.uuid4().hex}')}/zips"
     zip_source.write_parts(files, folder)
-    return folder
+    return zip_source.read_zips(spark, folder, rows, most_files=sys.maxsize, most_visited=sys.maxsize)
 
 
 @query("SELECT 'your_facebook_activity/posts/page_' || page_id || '.html' AS path, octet_length(encode(html)) AS size, 'posts' AS section, 'html' AS format FROM pages WHERE html IS NOT NULL")
 def zip_entries(spark, sf_dir):
     """Directories of parts, without inflating anything."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").filter("html IS NOT NULL").select(F.concat(F.lit("your_facebook_activity/posts/page_"), "page_id", F.lit(".html")).alias("path"), F.col("html").alias("text"))
-    return zip_source.read_zips(spark, _zipped(spark, pages), "entries").select("path", "size", "section", "format")
+    return _zipped(spark, pages, "entries").select("path", "size", "section", "format")
 
 
 @query("SELECT doc_id, lang, sha256(coalesce(text, '')) AS text_sha256 FROM documents")
@@ -47,7 +48,7 @@ def zip_texts(spark, sf_dir):
     """JSON files of parts, whole."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     files = docs.select(F.concat(F.lit("archive/posts/"), "lang", F.lit("/"), "doc_id", F.lit(".json")).alias("path"), F.to_json(F.struct("doc_id", "lang", F.coalesce("text", F.lit("")).alias("text"))).alias("text"))
-    read = zip_source.read_zips(spark, _zipped(spark, files), "texts").filter("section = 'posts' AND format = 'json'")
+    read = _zipped(spark, files, "texts").filter("section = 'posts' AND format = 'json'")
     parsed = read.select(F.from_json("text", "doc_id long, lang string, text string").alias("d")).select("d.*")
     return parsed.select("doc_id", "lang", F.sha2("text", 256).alias("text_sha256"))
 
@@ -62,7 +63,7 @@ def zip_pages_streamed(spark, sf_dir):
     safe = F.replace(F.replace(F.replace(F.coalesce("text", F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
     html = F.concat(F.lit("<html><body><h1>Page "), "doc_id", F.lit("</h1><section class='_a6-g'><h2>"), "lang", F.lit("</h2><div class='_a6-p'>"), safe, F.lit("</div></section></body></html>"))
     files = docs.select(F.concat(F.lit("archive/posts/"), "doc_id", F.lit(".html")).alias("path"), html.alias("text"))
-    _, cards = html_records.split(zip_source.read_zips(spark, _zipped(spark, files), "pages").filter("section = 'posts' AND format = 'html'"))
+    _, cards = html_records.split(_zipped(spark, files, "pages").filter("section = 'posts' AND format = 'html'"))
     return cards.filter("body IS NOT NULL").select(F.col("page_title").alias("h1"), "heading", F.sha2("body", 256).alias("body_sha256"))
 
 

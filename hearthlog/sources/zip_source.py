@@ -20,6 +20,7 @@ import zlib
 from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from itertools import chain, islice
 
 import pyarrow as pa
 from pyarrow import fs
@@ -35,6 +36,8 @@ from hearthlog.sources import html_records
 MOST_ENTRIES, MOST_ENTRY_BYTES, MOST_JSON_BYTES, MOST_HTML_BYTES = 100_000, 2 << 30, 20 << 20, 512 << 20
 #: Limits of a folder's discovery.
 MOST_DEPTH, MOST_FOLDERS, MOST_FILES, MOST_VISITED = 8, 2_000, 10_000, 50_000
+#: Entries of a part that is written here; well below MOST_ENTRIES, as each task that reads a part parses its directory.
+PART_ENTRIES = 20_000
 
 ENTRY = "part_path string, path string, section string, format string, size long, packed long, crc long, error string"
 SCHEMAS = {"entries": ENTRY, "texts": f"{ENTRY}, text string", "chunks": f"{ENTRY}, chunk int, data binary", "pages": f"{ENTRY}, {html_records.STREAMED}"}
@@ -96,6 +99,13 @@ class ZipParts(DataSource):
         return ZipReader(dict(self.options))
 
 
+def system_of(folder: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path or URI, and the path there."""
+    if re.match(r"^[A-Za-z][A-Za-z0-9+.-]*:", folder):
+        return fs.FileSystem.from_uri(re.sub("^file:/(?=[^/])", "file:///", folder))
+    return fs.LocalFileSystem(), folder
+
+
 def discover(system: fs.FileSystem, root: str, depth: int = MOST_DEPTH, folders: int = MOST_FOLDERS, files: int = MOST_FILES, visited: int = MOST_VISITED) -> tuple[list[fs.FileInfo], list[str]]:
     """The *.zip files below `root` by name, and what the limits left out."""
     info = system.get_file_info(root)
@@ -123,25 +133,29 @@ def discover(system: fs.FileSystem, root: str, depth: int = MOST_DEPTH, folders:
     return found, told
 
 
-def write_parts(files: DataFrame, folder: str) -> None:
-    """Writes `files` (path, text) as ZIP parts, one for each partition; a part appears under its name when it is whole.
+def write_parts(files: DataFrame, folder: str, entries: int = PART_ENTRIES) -> None:
+    """Writes `files` (path, text) as ZIP parts of at most so many entries, one or more for each partition; a part appears under its name when it is whole.
 
-    A task that runs twice writes the same part under the same name.
+    A task that runs twice writes the same parts under the same names.
     """
+    entries = min(entries, MOST_ENTRIES)  # readers refuse parts with more
+    system, root = system_of(folder)
+    system.create_dir(root, recursive=True)  # also where there is nothing to write
 
     def run(batches):
-        system, root = fs.FileSystem.from_uri(re.sub("^file:/(?=[^/])", "file:///", folder)) if re.match(r"^[A-Za-z][A-Za-z0-9+.-]*:", folder) else (fs.LocalFileSystem(), folder)
-        context = TaskContext.get()
-        name = f"{root}/part-{context.partitionId():05}.zip"
-        system.create_dir(root, recursive=True)
-        n, hidden = 0, f"{name}.{context.taskAttemptId()}.tmp"
-        with system.open_output_stream(hidden) as out, zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
-            for batch in batches:
-                for path, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+        (system, root), context = system_of(folder), TaskContext.get()
+        rows = (row for batch in batches for row in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
+        first, k, total = next(rows, None), 0, 0
+        while first or not k:
+            name, n = f"{root}/part-{context.partitionId():05}-{k:05}.zip", 0
+            hidden = f"{name}.{context.taskAttemptId()}.tmp"
+            with system.open_output_stream(hidden) as out, zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+                for path, text in chain([first] if first else [], islice(rows, entries - 1)):
                     z.writestr(path, (text or "").encode())
                     n += 1
-        system.move(hidden, name)
-        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["entries"])
+            system.move(hidden, name)
+            first, k, total = next(rows, None), k + 1, total + n
+        yield pa.RecordBatch.from_arrays([pa.array([total], pa.int64())], names=["entries"])
 
     files.select("path", "text").mapInArrow(run, "entries long").agg({"entries": "sum"}).collect()
 
@@ -179,9 +193,7 @@ class ZipReader(DataSourceReader):
         return all(holds(values[c], test, v) for c, test, v in self.tests if c in values)
 
     def _system(self) -> tuple[fs.FileSystem, str]:
-        if re.match(r"^[A-Za-z][A-Za-z0-9+.-]*:", self.folder):
-            return fs.FileSystem.from_uri(re.sub("^file:/(?=[^/])", "file:///", self.folder))
-        return fs.LocalFileSystem(), self.folder
+        return system_of(self.folder)
 
     def partitions(self) -> list[Range]:
         """Ranges of some entries and bytes of each part, from its directory; a part that has none stands for its error."""

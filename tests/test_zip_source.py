@@ -153,3 +153,14 @@ def test_detection_of_sets(spark):
 def test_all_hints_of_a_path(spark):
     got = spark.createDataFrame([("a/messages/archived_threads/comments/x.json",), ("PROFILE_V2/x",), ("x.txt",), (None,)], "path string").select(archives.path_sections(F.col("path")).alias("s")).collect()
     assert [r["s"] for r in got][:3] == [["Messages", "Comments", "Ads"], ["Profile"], []]  # threads end in ads
+
+
+def test_a_partition_with_more_entries_than_a_part_may_have(spark, tmp_path):
+    files = spark.range(100_001).coalesce(1).select(F.concat(F.lit("posts/"), "id", F.lit(".json")).alias("path"), F.lit("[]").alias("text"))
+    zip_source.write_parts(files, f"{tmp_path}/many")
+    read = zip_source.read_zips(spark, f"{tmp_path}/many")
+    assert read.filter("error IS NULL AND size = 2").agg(F.count_distinct("path")).first()[0] == read.count() == 100_001
+    for n, parts in ((0, 0), (3, 1), (4, 2), (7, 3)):
+        some = spark.range(n, numPartitions=1).select(F.concat(F.lit("posts/"), "id", F.lit(".json")).alias("path"), F.lit("[]").alias("text"))
+        zip_source.write_parts(some if n else some.limit(0), f"{tmp_path}/{n}", entries=3)
+        assert zip_source.read_zips(spark, f"{tmp_path}/{n}").count() == n and len(list((tmp_path / str(n)).glob("*.zip"))) == parts
