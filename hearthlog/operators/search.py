@@ -79,16 +79,24 @@ def _bucket(term: Column) -> Column:
 def stored_postings(docs: DataFrame) -> DataFrame:
     """A row for each term of each document: where it stands in each column, and the document's length and date.
 
-    Rows are dealt by ranges of bucket, term and document and sorted so, so that a query reads few row groups and the
-    list of a word that nearly every document has is written by several tasks.
+    A document's sorted tokens are cut where a term ends, so what is dealt out once are whole rows, with all places of a
+    term in one short text. Rows are dealt by ranges of bucket, term and document and sorted so, so that a query reads few
+    row groups and the list of a word that nearly every document has is written by several tasks.
     """
-    places = lambda c: F.transform(tokens(F.col(c)), lambda t, i: F.struct(t.alias("term"), F.lit(c).alias("col"), i.alias("pos")))
-    every = docs.select("entity_type", "entity_id", "created_at", F.concat(*map(places, COLUMNS)).alias("p"))
-    met = every.select("entity_type", "entity_id", "created_at", F.size("p").cast("long").alias("length"), F.explode("p").alias("p"))
-    at = lambda c: F.array_sort(F.collect_list(F.when(F.col("p.col") == c, F.col("p.pos")))).alias(c)
-    rows = met.groupBy(F.col("p.term").alias("term"), "entity_type", "entity_id", "length", "created_at").agg(*map(at, COLUMNS))
-    order = ["bucket", "term", "entity_id"]
-    return rows.select("term", "entity_type", "entity_id", *COLUMNS, "length", "created_at", _bucket(F.col("term")).alias("bucket")).repartitionByRange(*order).sortWithinPartitions(*order)
+    placed = lambda k, c: F.transform(tokens(F.col(c)), lambda t, i: F.struct(t.alias("term"), F.shiftleft(i, 2).bitwiseOR(F.lit(k)).alias("place")))
+    keys = ["entity_type", "entity_id", "created_at"]
+    every = docs.select(*keys, F.sort_array(F.concat(*[placed(k, c) for k, c in enumerate(COLUMNS)])).alias("p"))
+    term = lambda i: F.get("p", i)["term"]
+    cuts = every.withColumn("cuts", F.filter(F.transform("p", lambda _, i: i), lambda i: (i == 0) | (term(i) != term(i - 1))))
+    run = lambda i, j: F.sequence(i, F.coalesce(F.get("cuts", j + 1), F.size("p")) - 1)
+    places = lambda i, j: F.array_join(F.transform(run(i, j), lambda at: F.get("p", at)["place"].cast("string")), ",")
+    met = F.inline(F.transform("cuts", lambda i, j: F.struct(term(i).alias("term"), places(i, j).alias("places"))))
+    rows = cuts.select(*keys, F.size("p").cast("long").alias("length"), met)
+    bucket = _bucket(F.col("term"))
+    dealt = rows.repartitionByRange(bucket, "term", "entity_id").withColumn("bucket", bucket).sortWithinPartitions("bucket", "term", "entity_id")
+    dealt = dealt.withColumn("places", F.transform(F.split("places", ","), lambda x: x.cast("int")))
+    at = lambda k, c: F.transform(F.filter("places", lambda x: x.bitwiseAND(F.lit(3)) == k), lambda x: F.shiftright(x, 2)).alias(c)
+    return dealt.select("term", "entity_type", "entity_id", *[at(k, c) for k, c in enumerate(COLUMNS)], "length", "created_at", "bucket")
 
 
 def stored_terms(stored: DataFrame) -> DataFrame:
@@ -139,7 +147,7 @@ def scored(stored: DataFrame, numbers: DataFrame, text: str, where: Column | Non
     counts = docs.agg(*[F.count_if(F.col(f"_f{i}") > 0).alias(f"_d{i}") for i in n]).crossJoin(numbers.select("documents", F.col("length").alias("_mean")))  # one row
     hits = reduce(lambda df, i: df.filter(F.col(f"_f{i}") > 0), n, docs if where is None else docs.filter(where)).crossJoin(F.broadcast(counts))
     rank = sum((_score(F.col(f"_f{i}"), F.col(f"_d{i}"), F.col("documents"), F.col("length"), F.col("_mean")) for i in n), F.lit(0.0))
-    return hits.select("entity_type", "entity_id", "created_at", F.round(-rank, 6).alias("rank"))
+    return hits.select("entity_type", "entity_id", "created_at", (-rank).alias("rank"))
 
 
 @dataclass(frozen=True)
@@ -189,7 +197,7 @@ def documents_of(docs: DataFrame, keys: list[tuple[str, str]]) -> DataFrame:
 
 def ranked_page(docs: DataFrame, stored: DataFrame, numbers: DataFrame, text: str, where: Column | None, limit: int, cursor: str | None = None) -> SearchPage:
     """A page of hits; of the documents, row groups without any of the page's own aren't read."""
-    hits = scored(stored, numbers, text, where).filter(_behind(cursor, F.col("rank"))).orderBy("rank", *_ORDER()).limit(limit + 1)
+    hits = scored(stored, numbers, text, where).withColumn("rank", F.round("rank", 6)).filter(_behind(cursor, F.col("rank"))).orderBy("rank", *_ORDER()).limit(limit + 1)
     best = hits.collect()  # at most limit + 1 rows
     if not best:
         return _search_page([], limit, "ranked")

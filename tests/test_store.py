@@ -132,3 +132,26 @@ def test_first_values_of_groups(spark):
     assert got == {"a": (500, ["p00", "p01", "p02"]), "b": (1, []), None: (1, ["q"])}
     assert merge.with_first(given.limit(0), ["k"], "v", 3, F.count("*").alias("n")).collect() == []
     assert "WindowGroupLimit" in merge.with_first(given, ["k"], "v", 3, F.count("*").alias("n"))._jdf.queryExecution().toString()
+
+
+def test_postings_are_dealt_out_once(spark):
+    import math
+
+    from hearthlog.operators import search
+
+    rows = [("post", "1", "A b", "b c, é B", None), ("post", "2", None, "", ""), ("note", "3", "b", "x " * 300 + "É", "b b"), ("post", "4", "c", None, "c")]
+    docs = spark.createDataFrame(rows, "entity_type string, entity_id string, title string, body string, context string").withColumn("created_at", F.lit("2020"))
+    stored = search.stored_postings(docs)
+    assert stored._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    want = {}
+    for kind, id_, *texts in rows:
+        split = [(t or "").lower().replace("é", "e").replace(",", " ").split() for t in texts]
+        for t in {t for w in split for t in w}:
+            want[t, kind, id_] = tuple([i for i, x in enumerate(w) if x == t] for w in split), sum(map(len, split))
+    got = stored.collect()
+    assert {(r["term"], r["entity_type"], r["entity_id"]): ((r["title"], r["body"], r["context"]), r["length"]) for r in got} == want and len(got) == len(want)
+    assert stored.schema.simpleString() == spark.createDataFrame([], search.POSTINGS).schema.simpleString()
+    # ranks aren't rounded twice
+    hits = {r["entity_id"]: r["rank"] for r in search.scored(stored, search.corpus(docs), "x").collect()}
+    f, length, mean = 450.0, 304, (6 + 0 + 304 + 2) / 4
+    assert abs(hits["3"] + math.log(3.5 / 1.5) * (f * 2.2) / (f + 1.2 * (0.25 + 0.75 * length / mean))) < 1e-12
