@@ -33,6 +33,7 @@ class IdCache:
         spec = json.loads(self.tokenizer.to_str())
         level = spec["pre_tokenizer"] or {}
         self.by_segments = not spec["normalizer"] and level.get("type") == "ByteLevel" and level.get("use_regex") and not level.get("add_prefix_space")
+        self.tokenize = self.tokenizer.model.tokenize
         self.pieces: dict[str, bytes] = {}
         self.cache = SegmentCache(self._encode_segment if self.by_segments else self._encode, most_bytes)
 
@@ -40,9 +41,14 @@ class IdCache:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def _piece(self, text: str) -> bytes:
-        return array("I", [t.id for t in self.tokenizer.model.tokenize(letters_of(text.encode()))]).tobytes()
+        # Spaces and line ends are the only characters of ASCII segments that come here which have other letters.
+        letters = text.replace(" ", "Ġ").replace("\n", "Ċ") if text.isascii() else letters_of(text.encode())
+        return array("I", [t.id for t in self.tokenize(letters)]).tobytes()
 
     def _encode_segment(self, segment: str) -> bytes:
+        body = segment[1:] if segment[:1] == " " else segment
+        if body.isascii() and body.isalpha():
+            return self._piece(segment)
         plain = self.WORD.fullmatch(segment)
         if plain is None:
             return self._encode(segment)

@@ -252,3 +252,18 @@ def test_fitted_rules_of_thin_corpora(spark):
     assert {r["doc_id"] for r in quality_rules.keep_good(docs, nothing).collect()} == {1, 2}
     one, both = trusted([("en", t) for t in english]), trusted([("en", t) for t in english] + [("xx", t) for t in foreign])
     assert kept(one) == {1} and both.words["xx"] == {} and both.most_word_distance == one.most_word_distance > 0 and kept(both) == {1, 2}
+
+
+def test_words_are_encoded_as_the_library_does():
+    """Plain words skip the pattern and the mapping of bytes; ids stay those of Tokenizer.encode."""
+    import public_tokenizers
+
+    from hearthlog.llm.token_ids import IdCache
+
+    of = IdCache(public_tokenizers.path("byte_bpe_50k.json"))
+    words = ["word", "Word,", "a\nb", "x.\nY!", "été", "Ärger,", "don't", "I'll", "x1", "1", "_a", "ſ", "a²", "a\n", "\na", "!!!", "漢字", "Ġ", "Ċ", "q\u00a0r", " lead", "trail ", " ", ""]
+    texts = [*words, *[f"so {w} on" for w in words], " ".join(words), "  ".join(words)]
+    assert list(of.encode(texts)) == [of._encode(t) for t in texts]
+    seen = []
+    of.WORD = type("Asked", (), {"fullmatch": lambda self, s: seen.append(s)})()
+    assert list(of.encode(["plainword otherword"])) == [of._encode("plainword otherword")] and seen == []
