@@ -15,6 +15,11 @@ from hearthlog.llm import exact_dedup, ngram_join, packing, pii, quality_rules
 from hearthlog.llm.common import ensure_checkpoint_dir, small_batches
 
 
+#: Segments that a worker keeps while it packs. Executors that ran the stages before have less memory to spare than
+#: packing alone has; fewer segments cost time only.
+SEGMENT_BYTES = 24_000_000
+
+
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go."""
     small_batches(spark)
@@ -42,7 +47,7 @@ def sanitise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents as pieces placed in sequences of 1024 tokens."""
     small_batches(spark)
-    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), most_bytes=SEGMENT_BYTES)
 
 
 STAGES = [

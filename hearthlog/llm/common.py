@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import string
 import sys
 import tempfile
+from collections.abc import Callable, Hashable
 
 import numpy as np
 import pandas as pd
@@ -46,6 +48,43 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+_kept: dict[Hashable, object] = {}
+
+
+def kept(key: Hashable, make: Callable[[], object]) -> object:
+    """What a Python worker keeps from one task to the next: one thing, as the same workers serve all operators."""
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = make()
+    return _kept[key]
+
+
+def let_go(keeps: Hashable = None) -> None:
+    """Drops what this worker keeps for other operators."""
+    for key in _kept.keys() - {keeps}:
+        del _kept[key]
+
+
+def give_back() -> None:
+    """Returns memory that is free in this worker's allocators to the system; else an idle worker holds its highest mark."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux" and hasattr(ctypes.CDLL(None), "malloc_trim"):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def lean(run: Callable, keeps: Hashable = None) -> Callable:
+    """`run` for mapInArrow, which finds the worker without what other operators keep there and leaves no free memory behind."""
+
+    def task(batches):
+        let_go(keeps)
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return task
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -66,7 +105,7 @@ def bitmap(keys: DataFrame) -> np.ndarray:
             bits = np.unique(np.concatenate(places(batch.column(0).to_numpy())))
             yield pa.RecordBatch.from_arrays([pa.array((bits >> np.uint64(6)).astype(np.int64)), pa.array((np.uint64(1) << (bits & np.uint64(63))).view(np.int64))], names=["word", "bit"])
 
-    words = keys.mapInArrow(run, "word long, bit long").groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    words = keys.mapInArrow(lean(run), "word long, bit long").groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
     out = np.zeros(1 << _BITS - 6, np.uint64)
     out[words.column(0).to_numpy()] = words.column(1).to_numpy().view(np.uint64)
     return out

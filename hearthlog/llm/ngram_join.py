@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hearthlog.llm.common import bitmap, cut, hot_join, maybe, maybe_in
+from hearthlog.llm.common import bitmap, cut, hot_join, lean, maybe, maybe_in
 from hearthlog.llm.graph import components
 
 
@@ -193,7 +193,7 @@ def shingled(rows: DataFrame, rule: Join) -> DataFrame:
                     yield counted(*told)
         yield counted(*tally.rest())
 
-    return rows.mapInArrow(run, "doc_id long, n long, s1 long, s2 long, set binary, tokens array<long>, times array<long>")
+    return rows.mapInArrow(lean(run), "doc_id long, n long, s1 long, s2 long, set binary, tokens array<long>, times array<long>")
 
 
 def frequent_shingles(base: DataFrame, rule: Join) -> tuple[np.ndarray, np.ndarray]:
@@ -277,7 +277,7 @@ def sketched(base: DataFrame, frequent: tuple[np.ndarray, np.ndarray], rule: Joi
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=names)
 
     rows = base.filter("n > 0 AND doc_id IS NOT NULL").select("rid", "s1", "s2", "set")
-    return rows.mapInArrow(run, "rid long, s1 long, s2 long, n long, gid long, score long, parity array<long>, fold array<long>, leads array<long>")
+    return rows.mapInArrow(lean(run), "rid long, s1 long, s2 long, n long, gid long, score long, parity array<long>, fold array<long>, leads array<long>")
 
 
 def link_components(docs: DataFrame, rule: Join = Join(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -398,7 +398,7 @@ def _open_lists(base: DataFrame, labelled: DataFrame, frequent: tuple[np.ndarray
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([p for _, p in held]) >> 8)], names=["token"])  # fewer bytes; what falls together is told apart below
 
     sets = base.filter("n > 0 AND doc_id IS NOT NULL").select("rid", "set")
-    shared = bitmap(sets.mapInArrow(tokens, "token long").groupBy("token").agg(F.count("*").alias("c")).filter("c > 1").select("token"))
+    shared = bitmap(sets.mapInArrow(lean(tokens), "token long").groupBy("token").agg(F.count("*").alias("c")).filter("c > 1").select("token"))
 
     def run(batches):
         for held in in_parts(batches):
@@ -411,7 +411,7 @@ def _open_lists(base: DataFrame, labelled: DataFrame, frequent: tuple[np.ndarray
             before[1:] = np.where(rid[1:] == rid[:-1], token[:-1], -1)
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (token, pos, rid, before)], names=["token", "pos", "node", "before"])
 
-    met = sets.mapInArrow(run, "token long, pos long, node long, before long").join(labelled.select("node", "gid", "n", "comp"), "node")
+    met = sets.mapInArrow(lean(run), "token long, pos long, node long, before long").join(labelled.select("node", "gid", "n", "comp"), "node")
     some = cut(met.select("token", "pos", "before", "gid", "n", "comp").distinct())
     small = F.greatest("small", F.ceil(F.lit(rule.percent) * F.col("n") / 100))
     both = some.join(_apart(some, F.min("n").alias("small"), F.count("*").alias("rows")), "token")
@@ -486,7 +486,7 @@ def _may_link(pairs: DataFrame, nodes: DataFrame, rule: Join) -> DataFrame:
 
     x, y = _sides(nodes, ["n", "parity"], ["node"])
     both = pairs.join(x.withColumnRenamed("node", "a"), "a").join(y.withColumnRenamed("node", "b"), "b")
-    return both.select("a", "b", "n1", "n2", "parity1", "parity2").mapInArrow(run, "a long, b long")
+    return both.select("a", "b", "n1", "n2", "parity1", "parity2").mapInArrow(lean(run), "a long, b long")
 
 
 def _verify(pairs: DataFrame, base: DataFrame, nodes: DataFrame, rule: Join) -> DataFrame:
@@ -516,7 +516,7 @@ def _verify(pairs: DataFrame, base: DataFrame, nodes: DataFrame, rule: Join) ->
                     out.append((a[i], b[i]))
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
-    sets = base.filter("n > 0 AND doc_id IS NOT NULL").select("rid", "set").mapInArrow(some, "node long, set binary")
+    sets = base.filter("n > 0 AND doc_id IS NOT NULL").select("rid", "set").mapInArrow(lean(some), "node long, set binary")
     hubs = [r["b"] for r in pairs.groupBy("b").agg(F.count("*").alias("c")).filter(F.col("c") > max(_BLOCK, pairs.count() // 1000)).collect()]  # fewer than a thousand
     few = pairs.filter(~F.col("b").isin(hubs)) if hubs else pairs
     both = few.join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b").select("a", "b", "set_a", "set_b")
@@ -525,7 +525,7 @@ def _verify(pairs: DataFrame, base: DataFrame, nodes: DataFrame, rule: Join) ->
         left = pairs.filter(F.col("b").isin(hubs)).join(sets.toDF("a", "set_a"), "a").select("a", "b", "set_a", salt)
         right = sets.toDF("b", "set_b").filter(F.col("b").isin(hubs)).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_HUB - 1))))
         both = both.unionByName(left.join(right, ["b", "salt"]).select("a", "b", "set_a", "set_b"))
-    return cut(both.mapInArrow(run, "a long, b long"))
+    return cut(both.mapInArrow(lean(run), "a long, b long"))
 
 
 def keep_one(docs: DataFrame, rule: Join = Join(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

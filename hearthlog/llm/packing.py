@@ -11,18 +11,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from hearthlog.llm.common import cut, shuffle_partitions
-from hearthlog.llm.token_ids import id_cache
+from hearthlog.llm.common import cut, lean, shuffle_partitions
+from hearthlog.llm.token_ids import MOST_BYTES, id_cache
 
 
-def cut_pieces(docs: DataFrame, path: str, end_id: int, capacity: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def cut_pieces(docs: DataFrame, path: str, end_id: int, capacity: int, id_col: str = "doc_id", text_col: str = "text", most_bytes: int = MOST_BYTES) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32: each document's ids and the end id, cut where longer than the capacity.
 
-    All pieces of a long document have `capacity` tokens but the first, which takes the remainder.
+    All pieces of a long document have `capacity` tokens but the first, which takes the remainder. Workers keep up to
+    `most_bytes` of segments and their ids.
     """
 
     def run(batches):
-        ids_of, end = id_cache(path), np.array([end_id], "<u4").tobytes()
+        ids_of, end = id_cache(path, most_bytes), np.array([end_id], "<u4").tobytes()
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part, rows = batch.slice(at, 1000), []
@@ -35,7 +36,7 @@ def cut_pieces(docs: DataFrame, path: str, end_id: int, capacity: int, id_col: s
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return rows.mapInArrow(lean(run, (path, most_bytes)), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 class SumIndex:
@@ -167,9 +168,9 @@ def pack(pieces: DataFrame, capacity: int) -> DataFrame:
     return ranked.mapInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
-def pack_documents(docs: DataFrame, path: str, end_id: int = 2, capacity: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack_documents(docs: DataFrame, path: str, end_id: int = 2, capacity: int = 1024, id_col: str = "doc_id", text_col: str = "text", most_bytes: int = MOST_BYTES) -> DataFrame:
     """Packs all documents into sequences of at most `capacity` tokens; see cut_pieces and pack.
 
     Null texts are empty and give a piece of one token, the end id. Repeated rows are packed each by itself.
     """
-    return pack(cut_pieces(docs, path, end_id, capacity, id_col, text_col), capacity)
+    return pack(cut_pieces(docs, path, end_id, capacity, id_col, text_col, most_bytes), capacity)

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hearthlog.llm.common import bitmap, cut, maybe_in
+from hearthlog.llm.common import bitmap, cut, lean, maybe_in
 
 KINDS = ("email", "ip", "card", "phone", "term")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -173,8 +173,8 @@ def over_distinct(rows: DataFrame, repeated: np.ndarray, run: Callable, schema:
 
     keyed = rows.select(F.xxhash64("text").alias("doc"), "text")
     once = part(False)
-    again = keyed.mapInArrow(part(True), "doc long, text string").repartition("doc")
-    return keyed.mapInArrow(lambda b: run(once(b)), schema).unionByName(again.mapInArrow(lambda b: run(first(b)), schema))
+    again = keyed.mapInArrow(lean(part(True)), "doc long, text string").repartition("doc")
+    return keyed.mapInArrow(lean(lambda b: run(once(b))), schema).unionByName(again.mapInArrow(lean(lambda b: run(first(b))), schema))
 
 
 def half_of(text: str) -> int:
@@ -325,7 +325,7 @@ def _suspects(docs: DataFrame, rule: Disclosure, text_col: str) -> tuple[DataFra
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.string(), pa.string()))], names=["__uid", "entity", "term"])
 
     held = cut(held.withColumn("__uid", F.monotonically_increasing_id()))
-    met = held.select("__uid", "__text").mapInArrow(entities, "__uid long, entity string, term string")
+    met = held.select("__uid", "__text").mapInArrow(lean(entities), "__uid long, entity string, term string")
     told = met.join(terms, ["entity", "term"]).groupBy("__uid").agg(F.collect_set(F.struct("entity", "term")).alias("__told"))
     return clean, held.join(told, "__uid", "left").drop("__uid"), None
 
@@ -369,7 +369,7 @@ def find(docs: DataFrame, rule: Disclosure = Disclosure(), id_col: str = "doc_id
 
     names = ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "text"]
     schema = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, text string"
-    marked = held.select("doc_id", "__text", "__told").mapInArrow(run, schema)
+    marked = held.select("doc_id", "__text", "__told").mapInArrow(lean(run), schema)
     zero = [F.lit(0).cast("long").alias(c) for c in names[1:5]]
     return clean.select("doc_id", *zero, F.sha2(F.lit(""), 256).alias("base_sha256"), F.lit("").alias("spans"), "text").unionByName(marked)
 
@@ -395,5 +395,5 @@ def sanitise(docs: DataFrame, rule: Disclosure = Disclosure(), id_col: str = "do
 
     columns = docs.columns
     place = columns.index(text_col)
-    marked = held.select(*columns, "__text", "__told").mapInArrow(run, docs.schema)
+    marked = held.select(*columns, "__text", "__told").mapInArrow(lean(run), docs.schema)
     return clean.select(*columns).unionByName(marked)

@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from hearthlog.llm.common import lean
+
 #: Share of each character class in ordinary prose, in the order of CLASSES.
 CLASSES = ("lower", "upper", "digit", "space", "stop", "symbol", "wide")
 CHARACTERS = {
@@ -200,7 +202,7 @@ def keep_good(docs: DataFrame, rules: Rules = Rules(), id_col: str = "doc_id", t
                 yield part.filter(pa.array([verdict(len(t or ""), m, rules) for t, m in zip(texts, measure(texts, rules))]))
 
     place = docs.columns.index(text_col)
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
 
 
 def verdict(n_chars: int, measured: tuple, rules: Rules) -> bool:

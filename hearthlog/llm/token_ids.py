@@ -6,10 +6,13 @@ import json
 import os
 import re
 from array import array
-from functools import lru_cache
 
 from hearthlog.llm.bpe import letters_of
-from hearthlog.llm.common import SegmentCache
+from hearthlog.llm.common import SegmentCache, kept
+
+
+#: What a worker keeps of segments, where a caller doesn't say.
+MOST_BYTES = 96_000_000
 
 
 class IdCache:
@@ -24,7 +27,7 @@ class IdCache:
     _LETTERS, _MARKS = "[A-Za-zÀ-ÖØ-öø-ɏ]+", r"[!-&(-/:-@\[-`{-~]*"  # an apostrophe may begin a contraction
     WORD = re.compile(f"( ?{_LETTERS})({_MARKS})(?:\n({_LETTERS})({_MARKS}))?")
 
-    def __init__(self, path: str, most_bytes: int = 96_000_000):
+    def __init__(self, path: str, most_bytes: int = MOST_BYTES):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -75,7 +78,6 @@ class IdCache:
             yield self._encode(texts[i]) if i in whole else ids
 
 
-@lru_cache(2)
-def id_cache(path: str) -> IdCache:
-    """One for each Python worker."""
-    return IdCache(path)
+def id_cache(path: str, most_bytes: int = MOST_BYTES) -> IdCache:
+    """One for each Python worker, until an operator of another kind uses the worker."""
+    return kept((path, most_bytes), lambda: IdCache(path, most_bytes))

@@ -1,7 +1,9 @@
 """Fill-in-middle, hard negatives and ORC token files against brute force, with nulls, ties, repeats and empty tables."""
 
+import gc
 import hashlib
 import random
+import weakref
 import zlib
 
 import numpy as np
@@ -9,7 +11,7 @@ import public_tokenizers
 import pyarrow.orc as orc
 import pytest
 
-from hearthlog.llm import fim, hard_negatives, packing, token_orc
+from hearthlog.llm import common, fim, hard_negatives, packing, token_orc
 from hearthlog.llm.queries import QUERIES
 from hearthlog.llm.token_ids import IdCache
 from pyspark.sql import functions as F
@@ -189,6 +191,37 @@ def test_queries_of_the_three_are_registered():
     assert packing.id_cache(TOKENS) is packing.id_cache(TOKENS)
 
 
+def test_a_worker_keeps_nothing_for_other_operators():
+    """Segments of packing stayed in workers beside what the stages of the next run need."""
+
+    def run(batches):
+        yield from batches
+
+    kept = weakref.ref(packing.id_cache(TOKENS))
+    assert list(common.lean(run, (TOKENS, 96_000_000))([1, 2])) == [1, 2]
+    assert kept() is not None
+    assert list(common.lean(run)([1, 2])) == [1, 2]
+    gc.collect()
+    assert kept() is None
+
+    less = weakref.ref(packing.id_cache(TOKENS, 1_000_000))
+    packing.id_cache(TOKENS)
+    gc.collect()
+    assert less() is None
+
+
+def test_the_pipeline_packs_with_few_segments_a_worker(spark, rows, monkeypatch):
+    import corpus_pipeline
+
+    asked, made = [], packing.cut_pieces
+    monkeypatch.setattr(packing, "cut_pieces", lambda *a, **b: (asked.append(a[-1]), made(*a, **b))[1])
+    docs = table(spark, rows)
+    columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
+    got, whole = (sorted(map(str, x.select(columns).collect())) for x in (corpus_pipeline.pack(spark, docs, ""), packing.pack_documents(docs, TOKENS)))
+    assert got == whole
+    assert asked[0] <= 32_000_000 < asked[1]
+
+
 def best_fit_alone(counts, capacity):
     """Sequences of best fit, longest first, one piece at a time."""
     room = np.zeros(capacity + 1, np.int64)
